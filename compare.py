@@ -54,7 +54,8 @@ def compare(spark, con, q, folder):
     want = sorted(key([r[i] for i in order]) for r in rows)
     if got == want:
         return len(got), len(want), "ok", df
-    a, b = [r for r in got if r not in set(want)], [r for r in want if r not in set(got)]
+    gs, ws = set(got), set(want)
+    a, b = [r for r in got if r not in ws], [r for r in want if r not in gs]
     return len(got), len(want), f"values differ {cols}\n   spark {len(a)}: {a[:2]}\n   sql   {len(b)}: {b[:2]}", df
 
 

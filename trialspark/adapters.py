@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialspark.functions.features import segment_difficulty
+from trialspark.session import materialize
 from trialspark.functions.score import with_compression, with_score
 from trialspark.operators.scan import ordered_scan, running_sum
 
@@ -90,6 +91,11 @@ class Tables:
         return num.select("event_id", "video_id", (c("_n") - 1).cast("int").alias("frame"),
                           F.floor(c("value") * 100).cast("bigint").alias("size"))
 
+    @cached_property
+    def log_table(self) -> DataFrame:
+        """The log lines, written once: text is built (or read) a single time."""
+        return materialize(self.log_lines, "log-lines")
+
     @cached_property
     def log_lines(self) -> DataFrame:
         """(file, line, value): the events table read as one score log."""

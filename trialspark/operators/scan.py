@@ -51,32 +51,28 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column
         run = w.rowsBetween(W.unboundedPreceding, 0)
         return df.withColumns({name: _local(op, w, run) for name, op in ops.items()})
 
-    local = df.withColumn(CHUNK, chunk)
+    base = df.withColumn(CHUNK, chunk)
     parts = keys + [CHUNK]
     w = W.partitionBy(*parts).orderBy(*ordering)
     run = w.rowsBetween(W.unboundedPreceding, 0)
     cols = {f"_l_{name}": _local(op, w, run) for name, op in ops.items()}
     if any(op[0] == "lag" for op in ops.values()):
         cols["_first"] = F.row_number().over(w) == 1
-    # what the carry of a chunk needs from each row, before it is windowed away
-    src = {f"_s_{name}": op[1] for name, op in ops.items() if op[0] in ("sum", "lag", "max")}
-    local = local.withColumns({**src, **cols})
+    local = base.withColumns(cols)
 
+    # One row per chunk, straight from the input: partial aggregation keeps the
+    # rows where they are, only chunk totals are shuffled.
     pick = F.min if reverse else F.max
-    at = [F.col(c) for c in order]
+    at = [F.col(c).alias(f"o{i}") for i, c in enumerate(order)]
     aggs = []
-    for name, (kind, _) in ops.items():
-        if kind == "sum":
-            aggs.append(F.sum(f"_s_{name}").alias(f"_c_{name}"))
-        elif kind == "max":
-            aggs.append(F.max(f"_s_{name}").alias(f"_c_{name}"))
-        elif kind == "last":
-            tip = pick(F.struct(*at, F.struct(F.col(f"_l_{name}").alias("v")).alias("_tip")))
-            aggs.append(tip["_tip"]["v"].alias(f"_c_{name}"))
+    for name, (kind, x) in ops.items():
+        if kind in ("sum", "max"):
+            agg = (F.sum if kind == "sum" else F.max)(x)
         else:
-            tip = pick(F.struct(*at, F.struct(F.col(f"_s_{name}").alias("v")).alias("_tip")))
-            aggs.append(tip["_tip"]["v"].alias(f"_c_{name}"))
-    summary = local.groupBy(*parts).agg(*aggs)
+            tip = F.struct(*at, F.struct(x.alias("v")).alias("tip"))
+            agg = pick(F.when(x.isNotNull(), tip) if kind == "last" else tip)["tip"]["v"]
+        aggs.append(agg.alias(f"_c_{name}"))
+    summary = base.groupBy(*parts).agg(*aggs)
 
     by_key = W.partitionBy(*(keys or [F.lit(0)])).orderBy(
         F.col(CHUNK).desc() if reverse else F.col(CHUNK).asc())

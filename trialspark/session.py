@@ -51,3 +51,15 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the scratch root; nothing there is ever overwritten."""
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df, label: str):
+    """Write a table to the shared scratch folder and read it back.
+
+    Cuts the lineage where a costly result (parsed text) feeds several branches;
+    the copy is columnar, so each branch reads only the columns it needs, and it
+    outlives lost executors.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
