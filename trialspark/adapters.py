@@ -218,7 +218,9 @@ def with_views(sql: str, views: dict[str, str]) -> str:
     body = sql.strip()
     ctes = ",\n".join(f"{n} AS ({views[n].strip()})" for n in need)
     if ctes:
-        if body.upper().startswith("WITH "):
+        if body.upper().startswith("WITH RECURSIVE "):
+            body = f"WITH RECURSIVE {ctes},\n{body[15:]}"
+        elif body.upper().startswith("WITH "):
             body = f"WITH {ctes},\n{body[5:]}"
         else:
             body = f"WITH {ctes}\n{body}"

@@ -183,3 +183,31 @@ def bucket_range_join(points: DataFrame, ranges: DataFrame, keys: list[str], poi
     cols = [F.col(f"r.{c}") for c in ranges.columns]
     cols += [F.col(f"p.{c}") for c in points.columns if c not in ranges.columns]
     return r.join(p, cond, how).select(*cols)
+
+
+def asof(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str,
+         payload: list[str], name: str, width: int, *, forward: bool = False,
+         tie: list[str] = ()) -> DataFrame:
+    """Add `name` = struct(payload) of the nearest right row at or before `left_at`
+    (`forward`: at or after), found in one ordered scan over both sides.
+
+    Among right rows at the same place the last by `tie` wins (first when forward).
+    """
+    tie = list(tie)
+    body = F.struct(*[F.col(c) for c in [right_at, *payload]])
+    r = right.select(*keys, F.col(right_at).alias("_at"), F.lit(1 if forward else 0).alias("_side"),
+                     F.struct(*[F.col(c) for c in tie] or [F.lit(0).alias("z")]).alias("_tie"),
+                     body.alias(name), F.lit(None).cast(_row_type(left)).alias("_row"))
+    l = left.select(*keys, F.col(left_at).alias("_at"), F.lit(0 if forward else 1).alias("_side"),
+                    F.lit(None).cast(r.schema["_tie"].dataType).alias("_tie"),
+                    F.lit(None).cast(r.schema[name].dataType).alias(name),
+                    F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_row"))
+    both = r.unionByName(l)
+    chunk = F.floor(F.col("_at") / F.lit(width)).cast("bigint")
+    done = ordered_scan(both, keys, ["_at", "_side", "_tie"], chunk, reverse=forward, _hit=last_value(F.col(name)))
+    return done.filter(F.col("_row").isNotNull()).select("_row.*", F.col("_hit").alias(name))
+
+
+def _row_type(df: DataFrame):
+    from pyspark.sql import types as T
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
