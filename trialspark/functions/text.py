@@ -41,11 +41,18 @@ def entry_value(entries: Column, key: str) -> Column:
     return F.try_element_at(hit, F.lit(-1))["value"]
 
 
+def _pick_last(keys: Column, entries: Column, make) -> Column:
+    """One item per key from its last entry; the entries are passed along as a value,
+    so that they are built once and not once per key."""
+    return F.aggregate(
+        F.array(F.struct(keys.alias("k"), entries.alias("e"))), F.lit(None).cast("array<string>"),
+        lambda _, x: F.transform(x["k"], lambda k: make(k, F.element_at(F.filter(x["e"], lambda e: e["key"] == k), -1)["value"])))
+
+
 def entries_to_map(entries: Column) -> Column:
     """Map with the last value per key, whatever the session's map policy."""
     keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    vals = F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"])
-    return F.map_from_arrays(keys, vals)
+    return F.map_from_arrays(keys, _pick_last(keys, entries, lambda k, v: v))
 
 
 def merge_options(base: Column, override: Column, sep: str = ":") -> Column:
@@ -53,8 +60,7 @@ def merge_options(base: Column, override: Column, sep: str = ":") -> Column:
     b, o = F.trim(F.coalesce(base, F.lit(""))), F.trim(F.coalesce(override, F.lit("")))
     both = F.concat(option_entries(b, sep), option_entries(o, sep))
     keys = F.array_distinct(F.transform(both, lambda e: e["key"]))
-    text = F.array_join(F.transform(keys, lambda k: F.concat(
-        k, F.lit("="), F.element_at(F.filter(both, lambda e: e["key"] == k), -1)["value"])), sep)
+    text = F.array_join(_pick_last(keys, both, lambda k, v: F.concat(k, F.lit("="), v)), sep)
     return F.when(o == "", b).when(b == "", o).otherwise(text)
 
 
