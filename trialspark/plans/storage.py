@@ -21,9 +21,8 @@ def _(t):
     bad = t.nation.select(F.explode(F.array(F.lit("segment_00"), F.lit("segment_05"))).alias("seg_dir"),
                           F.element_at(F.array(F.lit("{broken"), F.lit("[1, 2]"), F.lit("  ")), F.col("n_nationkey") % 3 + 1).alias("value"))
     lines = rows.select("seg_dir", F.to_json(F.struct(*[c for c in rows.columns if c != "seg_dir"])).alias("value")).unionByName(bad)
-    lines.repartition("seg_dir").write.partitionBy("seg_dir").option("extension", "jsonl").format("text").save(path)
-    got = R.parse_objects(t.spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("_path")), SC.TRIAL)
-    return got.select("video_stem", F.regexp_extract("_path", r"segment_(\d+)", 1).cast("int").alias("segment_index"), "crf", "aq_strength", "vmaf_neg", "encode_ok", "params")
+    lines.write.partitionBy("seg_dir").text(path)
+    return R.read_trials(t.spark, path, "*.txt").select("video_stem", "segment_index", "crf", "aq_strength", "vmaf_neg", "encode_ok", "params")
 
 
 @query("a02_document_source", "SELECT CAST(s_suppkey AS VARCHAR) AS job_id, s_acctbal AS elapsed_sec, s_nationkey::DOUBLE AS crf, s_name AS encoder FROM supplier")
@@ -44,12 +43,14 @@ def _(t):
     return R.read_sweep(t.spark, path + "/trials.jsonl", path + "/results.csv", gates_only=True)
 
 
-@query("a04_log_text_source", "SELECT CAST(row_number() OVER (ORDER BY line) AS BIGINT) AS line, value FROM v_log_lines")
+@query("a04_log_text_source", "SELECT CAST(line // 4096 AS INT) AS part, row_number() OVER (PARTITION BY line // 4096 ORDER BY line) AS line, value FROM v_log_lines")
 def _(t):
     path = scratch_path(t.spark, "log")
-    # one file, so that the split order is the line order
-    t.log_lines.coalesce(1).sortWithinPartitions("line").select("value").write.text(path)
-    return R.read_log(t.spark, path).select("line", "value")
+    # many log files of consecutive lines
+    lines = t.log_lines.withColumn("part", F.floor(F.col("line") / 4096).cast("int"))
+    lines.repartition("part").sortWithinPartitions("part", "line").select("part", "value").write.partitionBy("part").text(path)
+    got = R.read_log(t.spark, path)
+    return got.select(F.regexp_extract("file", r"part=(\d+)", 1).cast("int").alias("part"), "line", "value")
 
 
 @query("a05_job_manifest", """WITH j AS (SELECT o_orderkey, o_custkey, unnest([0, 1, 2]) AS job_pos FROM orders),

@@ -32,7 +32,7 @@ def parse_objects(lines: DataFrame, fields: dict[str, T.DataType], column: str =
     return df.select(*rest, *[typed(n, t).alias(n) for n, t in fields.items()])
 
 
-def read_trials(spark: SparkSession, folder: str) -> DataFrame:
+def read_trials(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
     """All trials of a work folder. A flat all_trials.jsonl is preferred to the
     per-segment files; video and segment come from the path where the row lacks them."""
     flat = files.glob(spark, f"{folder}/all_trials.jsonl") or files.glob(spark, f"{folder}/*/all_trials.jsonl")
@@ -40,7 +40,7 @@ def read_trials(spark: SparkSession, folder: str) -> DataFrame:
     if flat:
         lines = reader.text(flat)
     else:
-        lines = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").text(folder)
+        lines = reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder)
     lines = lines.select("value", F.col("_metadata.file_path").alias("_path"))
     rows = parse_objects(lines, S.TRIAL)
     parts = F.split("_path", "/")
