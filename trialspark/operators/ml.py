@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trialspark.operators.scan import number_rows
+from trialspark.operators.scan import group_sum, ordered_scan, running_sum
 
 # Limits of a predicted CRF.
 CRF_MIN, CRF_MAX = 22.0, 42.0
@@ -13,8 +13,8 @@ MIN_ROWS = 8
 
 def contiguous_folds(df: DataFrame, order: list[str], chunk: Column, k: int) -> DataFrame:
     """Fold per row from contiguous blocks in `order`; the first n mod k folds get one more row."""
-    n = df.agg(F.count(F.lit(1)).alias("_n"))  # one row
-    x = number_rows(df, [], order, chunk, "_rn").join(F.broadcast(n))
+    one = F.lit(1).cast("bigint")
+    x = ordered_scan(df, [], order, chunk, _rn=running_sum(one), _n=group_sum(one))
     kk = F.greatest(F.lit(2), F.least(F.lit(k), F.col("_n")))
     i, base, extra = F.col("_rn") - 1, F.floor(F.col("_n") / kk), F.col("_n") % kk
     head = extra * (base + 1)

@@ -31,11 +31,32 @@ def last_value(x: Column):
     return ("last", x)
 
 
+def next_value(x: Column):
+    """First non-null value from the row on towards the end of the group."""
+    return ("next", x)
+
+
 def previous(x: Column):
     """Value of the row before (null at the start of the group)."""
     return ("lag", x)
 
 
+def group_sum(x: Column):
+    """Sum over the whole group, on every row."""
+    return ("gsum", x)
+
+
+def group_min(x: Column):
+    return ("gmin", x)
+
+
+def group_max(x: Column):
+    return ("gmax", x)
+
+
+_GROUP = {"gsum": F.sum, "gmin": F.min, "gmax": F.max}
+
+
 def ordered_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column | None,
                  *, reverse: bool = False, **ops) -> DataFrame:
     """Add one column per op, computed over `keys` in `order`.
@@ -55,7 +76,7 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column
     parts = keys + [CHUNK]
     w = W.partitionBy(*parts).orderBy(*ordering)
     run = w.rowsBetween(W.unboundedPreceding, 0)
-    cols = {f"_l_{name}": _local(op, w, run) for name, op in ops.items()}
+    cols = {f"_l_{name}": _local(op, w, run) for name, op in ops.items() if op[0] not in _GROUP}
     if any(op[0] == "lag" for op in ops.values()):
         cols["_first"] = F.row_number().over(w) == 1
     local = base.withColumns(cols)
@@ -66,24 +87,31 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column
     at = [F.col(c).alias(f"o{i}") for i, c in enumerate(order)]
     aggs = []
     for name, (kind, x) in ops.items():
-        if kind in ("sum", "max"):
-            agg = (F.sum if kind == "sum" else F.max)(x)
+        if kind in _GROUP or kind in ("sum", "max"):
+            agg = _GROUP[kind if kind in _GROUP else "g" + kind](x)
         else:
             tip = F.struct(*at, F.struct(x.alias("v")).alias("tip"))
-            agg = pick(F.when(x.isNotNull(), tip) if kind == "last" else tip)["tip"]["v"]
+            near = (F.max if reverse else F.min) if kind == "next" else pick
+            agg = near(F.when(x.isNotNull(), tip) if kind in ("last", "next") else tip)["tip"]["v"]
         aggs.append(agg.alias(f"_c_{name}"))
     summary = base.groupBy(*parts).agg(*aggs)
 
     by_key = W.partitionBy(*(keys or [F.lit(0)])).orderBy(
         F.col(CHUNK).desc() if reverse else F.col(CHUNK).asc())
     before = by_key.rowsBetween(W.unboundedPreceding, -1)
+    after = by_key.rowsBetween(1, W.unboundedFollowing)
+    whole = by_key.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     carry = {}
     for name, (kind, _) in ops.items():
         c = F.col(f"_c_{name}")
+        if kind in _GROUP:
+            carry[f"_p_{name}"] = _GROUP[kind](c).over(whole)
+            continue
         carry[f"_p_{name}"] = {
             "sum": F.sum(c).over(before),
             "max": F.max(c).over(before),
             "last": F.last(c, ignorenulls=True).over(before),
+            "next": F.first(c, ignorenulls=True).over(after),
             "lag": F.lag(c, 1).over(by_key),
         }[kind]
     prefix = summary.select(*parts, *[v.alias(k) for k, v in carry.items()])
@@ -92,10 +120,14 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column
     out = []
     for name, (kind, _) in ops.items():
         loc, pre = F.col(f"_l_{name}"), F.col(f"_p_{name}")
+        if kind in _GROUP:
+            out.append(pre.alias(name))
+            continue
         out.append({
             "sum": loc + F.coalesce(pre, F.lit(0)),
             "max": F.greatest(loc, pre),
             "last": F.coalesce(loc, pre),
+            "next": F.coalesce(loc, pre),
             "lag": F.when(F.col("_first"), pre).otherwise(loc),
         }[kind].alias(name))
     return joined.select(*[F.col(c) for c in df.columns if c not in ops], *out)
@@ -103,12 +135,16 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column
 
 def _local(op, w, run):
     kind, x = op
+    if kind in _GROUP:
+        return _GROUP[kind](x).over(run.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     if kind == "sum":
         return F.sum(x).over(run)
     if kind == "max":
         return F.max(x).over(run)
     if kind == "last":
         return F.last(x, ignorenulls=True).over(run)
+    if kind == "next":
+        return F.first(x, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
     return F.lag(x, 1).over(w)
 
 
@@ -139,13 +175,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
     if not keys:
         base = base.withColumn("_all", F.lit(0))
     counts = base.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ordered_scan(counts, group, [value],
+    joined = ordered_scan(counts, group, [value],
                           F.floor(F.col(value) / F.lit(width)).cast("bigint"),
-                          _cum=running_sum(F.col("_n")))
-    totals = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_total"))
-    if not keys:
-        totals = F.broadcast(totals)  # exactly one row
-    joined = ranked.join(totals, group)
+                          _cum=running_sum(F.col("_n")), _total=group_sum(F.col("_n")))
     aggs = []
     lo_rank = {}
     for name, q in qs.items():
@@ -185,27 +217,40 @@ def bucket_range_join(points: DataFrame, ranges: DataFrame, keys: list[str], poi
     return r.join(p, cond, how).select(*cols)
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str,
-         payload: list[str], name: str, width: int, *, forward: bool = False,
-         tie: list[str] = ()) -> DataFrame:
-    """Add `name` = struct(payload) of the nearest right row at or before `left_at`
-    (`forward`: at or after), found in one ordered scan over both sides.
-
-    Among right rows at the same place the last by `tie` wins (first when forward).
-    """
-    tie = list(tie)
+def _both_sides(left: DataFrame, right: DataFrame, keys, left_at: str, right_at: str, payload, tie) -> DataFrame:
+    """Right rows and left rows on one axis; at equal places right rows come first."""
     body = F.struct(*[F.col(c) for c in [right_at, *payload]])
-    r = right.select(*keys, F.col(right_at).alias("_at"), F.lit(1 if forward else 0).alias("_side"),
+    r = right.select(*keys, F.col(right_at).alias("_at"), F.lit(0).alias("_side"),
                      F.struct(*[F.col(c) for c in tie] or [F.lit(0).alias("z")]).alias("_tie"),
-                     body.alias(name), F.lit(None).cast(_row_type(left)).alias("_row"))
-    l = left.select(*keys, F.col(left_at).alias("_at"), F.lit(0 if forward else 1).alias("_side"),
-                    F.lit(None).cast(r.schema["_tie"].dataType).alias("_tie"),
-                    F.lit(None).cast(r.schema[name].dataType).alias(name),
-                    F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_row"))
-    both = r.unionByName(l)
-    chunk = F.floor(F.col("_at") / F.lit(width)).cast("bigint")
-    done = ordered_scan(both, keys, ["_at", "_side", "_tie"], chunk, reverse=forward, _hit=last_value(F.col(name)))
-    return done.filter(F.col("_row").isNotNull()).select("_row.*", F.col("_hit").alias(name))
+                     body.alias("_hit"), F.lit(None).cast(_row_type(left)).alias("_row"))
+    lf = left.select(*keys, F.col(left_at).alias("_at"), F.lit(1).alias("_side"),
+                     F.lit(None).cast(r.schema["_tie"].dataType).alias("_tie"),
+                     F.lit(None).cast(r.schema["_hit"].dataType).alias("_hit"),
+                     F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_row"))
+    return r.unionByName(lf)
+
+
+def asof(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str,
+         payload: list[str], name: str, width: int, tie: list[str] = ()) -> DataFrame:
+    """Add `name` = struct(right_at, payload) of the last right row at or before
+    `left_at`, found in one ordered scan over both sides. Among right rows at the same
+    place the last by `tie` wins."""
+    both = _both_sides(left, right, keys, left_at, right_at, payload, list(tie))
+    done = ordered_scan(both, keys, ["_at", "_side", "_tie"], F.floor(F.col("_at") / F.lit(width)).cast("bigint"),
+                        _found=last_value(F.col("_hit")))
+    return done.filter(F.col("_row").isNotNull()).select("_row.*", F.col("_found").alias(name))
+
+
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str,
+            payload: list[str], name: str, width: int) -> DataFrame:
+    """Add `name` = struct(right_at, payload) of the right row closest to `left_at`
+    (the lower one on ties, null when the group has none), in one ordered scan."""
+    both = _both_sides(left, right, keys, left_at, right_at, payload, [])
+    done = ordered_scan(both, keys, ["_at", "_side"], F.floor(F.col("_at") / F.lit(width)).cast("bigint"),
+                        _lo=last_value(F.col("_hit")), _hi=next_value(F.col("_hit")))
+    lo, hi, at = F.col("_lo"), F.col("_hi"), F.col("_at")
+    pick = F.when(hi.isNull() | (at - lo[right_at] <= hi[right_at] - at), lo).otherwise(hi)
+    return done.withColumn("_pick", pick).filter(F.col("_row").isNotNull()).select("_row.*", F.col("_pick").alias(name))
 
 
 def _row_type(df: DataFrame):

@@ -7,12 +7,25 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trialspark.functions.features import (EDGE_MID, HARD_DIFFICULTY, HF_MID, MOTION_MID, NOISE_MID, TEXTURE_MID,
                                            FEATURE_KEYS)
 from trialspark.functions.numbers import half_even, round_even, soft_level
-from trialspark.operators.scan import (asof, bucket_range_join, exact_quantiles, ordered_scan, previous, running_sum)
+from trialspark.operators.scan import (asof, bucket_range_join, exact_quantiles, group_max, group_min, group_sum,
+                                       ordered_scan, nearest, previous, running_sum)
+from trialspark.session import materialize
 
 FRAME_BUCKET = 64
 FRAME_CHUNK = 4096
 SEG = ["video_id", "seg_index"]
 
+
+def _seg_chunk() -> Column:
+    return F.floor(F.col("seg_index") / FRAME_CHUNK).cast("bigint")
+
+
+def _per_video(segs: DataFrame, key: str = "video_id", **ops) -> DataFrame:
+    """Group values on every segment, joined by (video, chunk) so that a video with
+    very many segments is still spread over tasks."""
+    return ordered_scan(segs, [key], ["seg_index"], _seg_chunk(), **ops)
+
+
 # Cut thresholds on the histogram distance and the mean difference.
 CUT_HIST = 0.45
 CUT_DIFF = 0.18
@@ -29,8 +42,7 @@ def segment_frames(segs: DataFrame, key: str = "video_id") -> DataFrame:
 
     Input: seg_index, start_sec, end_sec, fps and clip_frames (0 when unknown).
     """
-    last = segs.groupBy(key).agg(F.max("seg_index").alias("_last"))
-    j = segs.join(last, key)
+    j = _per_video(segs, key, _last=group_max(F.col("seg_index")))
     fps, n = F.coalesce(F.nullif("fps", F.lit(0.0)), F.lit(30.0)), F.col("clip_frames")
     s, e = half_even(F.col("start_sec") * fps), half_even(F.col("end_sec") * fps)
     start = F.greatest(F.lit(0), F.when(n > 0, F.least(s, n)).otherwise(s))
@@ -66,9 +78,8 @@ def cuts_to_segments(cuts: DataFrame, clips: DataFrame, min_segment_sec: float,
 
 def limit_segments(segs: DataFrame, max_segments: int, key: str = "video_id") -> DataFrame:
     """Group every ceil(n / max) neighbours where a video has too many segments."""
-    n = segs.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     size = F.when(F.col("_n") <= max_segments, 1).otherwise(F.ceil(F.col("_n") / max_segments))
-    g = segs.join(n, key).withColumn("group_index", F.floor(F.col("seg_index") / size).cast("int"))
+    g = _per_video(segs, key, _n=group_sum(F.lit(1))).withColumn("group_index", F.floor(F.col("seg_index") / size).cast("int"))
     return g.groupBy(key, "group_index").agg(F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"))
 
 
@@ -103,11 +114,9 @@ def frames_in_segments(segs: DataFrame, frames: DataFrame, payload: list[str]) -
     bare = s.join(hit.select(*SEG).distinct(), SEG, "left_anti")
     bare = bare.withColumn("_mid", F.floor((F.col("start_frame") + F.col("end_frame") - 1) / 2).cast("bigint"))
     f = f.withColumn("frame", F.col("frame").cast("bigint"))
-    near = asof(bare, f, ["video_id"], "_mid", "frame", payload, "_lo", FRAME_CHUNK)
-    near = asof(near, f, ["video_id"], "_mid", "frame", payload, "_hi", FRAME_CHUNK, forward=True)
-    lo_d, hi_d = F.col("_mid") - F.col("_lo.frame"), F.col("_hi.frame") - F.col("_mid")
-    pick = F.when(F.col("_hi").isNull() | (lo_d <= hi_d), F.col("_lo")).otherwise(F.col("_hi"))
-    near = near.withColumn("_pick", pick).filter(F.col("_pick").isNotNull())
+    # few segments are bare; written once, they need no second range join
+    near = nearest(materialize(bare, "bare-segments"), f, ["video_id"], "_mid", "frame", payload, "_pick", FRAME_CHUNK)
+    near = near.filter(F.col("_pick").isNotNull())
     cols = [*SEG, "start_frame", "end_frame"]
     return hit.select(*cols, F.col("frame").cast("bigint").alias("frame"), *payload, F.lit(False).alias("is_nearest")).unionByName(
         near.select(*cols, F.col("_pick.frame").alias("frame"), *[F.col(f"_pick.{c}").alias(c) for c in payload],
@@ -116,9 +125,9 @@ def frames_in_segments(segs: DataFrame, frames: DataFrame, payload: list[str]) -
 
 def even_samples(in_segment: DataFrame, count: int) -> DataFrame:
     """At most `count` frames per segment at evenly spaced (truncated) positions."""
-    n = in_segment.groupBy(*SEG).agg(F.count(F.lit(1)).alias("_n"))
+    one = F.lit(1).cast("bigint")
     pos = ordered_scan(in_segment, SEG, ["frame"], F.floor(F.col("frame") / FRAME_CHUNK).cast("bigint"),
-                       _p=running_sum(F.lit(1).cast("bigint"))).join(n, SEG)
+                       _p=running_sum(one), _n=group_sum(one))
     p = F.col("_p") - 1
     if count == 1:
         keep = p == 0
@@ -167,10 +176,8 @@ def attach_zones(segs: DataFrame, zones: DataFrame, width: int = FRAME_CHUNK) ->
     the earliest zone when none is. Zones: video_id, zone_pos, zone_start, crf, qp, bitrate.
     """
     opts = ["crf", "qp", "bitrate"]
-    counts = (segs.groupBy("video_id").agg(F.count(F.lit(1)).alias("_ns"))
-              .join(zones.groupBy("video_id").agg(F.count(F.lit(1)).alias("_nz"),
-                                                  F.min("zone_start").alias("_z0")), "video_id"))
-    s = segs.join(counts, "video_id")
+    per = zones.groupBy("video_id").agg(F.count(F.lit(1)).alias("_nz"), F.min("zone_start").alias("_z0"))
+    s = _per_video(segs, _ns=group_sum(F.lit(1))).join(per, "video_id")
     pair = s.filter(F.col("_ns") == F.col("_nz")).join(
         zones.select("video_id", F.col("zone_pos").alias("seg_index"), "zone_start", *opts), SEG)
     pair = pair.select(*segs.columns, F.col("start_frame").cast("bigint").alias("zone_start_frame"), *opts,
@@ -228,8 +235,7 @@ def zones_text(segs: DataFrame, qp: str = "qp", part_size: int = 1024) -> DataFr
 
 
 def _difficulty_scale(segs: DataFrame) -> DataFrame:
-    r = segs.groupBy("video_id").agg(F.min("difficulty").alias("_lo"), F.max("difficulty").alias("_hi"))
-    j = segs.join(r, "video_id")
+    j = _per_video(segs, _lo=group_min(F.col("difficulty")), _hi=group_max(F.col("difficulty")))
     flat = F.col("_hi") <= F.col("_lo") + 1e-9
     return j.withColumn("_t", F.when(~flat, (F.col("difficulty") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))))
 
@@ -248,8 +254,7 @@ def difficulty_settings(segs: DataFrame, base_qp: int = 28, qp_span: float = 6.0
 
 def spread_scenes(segs: DataFrame, max_scenes: int) -> DataFrame:
     """At most `max_scenes` segments per video, spread over the timeline."""
-    n = segs.groupBy("video_id").agg(F.count(F.lit(1)).alias("_n"))
-    j = segs.join(n, "video_id")
+    j = _per_video(segs, _n=group_sum(F.lit(1)))
     if max_scenes <= 0:
         return j.filter(F.lit(False)).drop("_n")
     if max_scenes == 1:
@@ -286,9 +291,8 @@ def budget_windows(segs: DataFrame, seconds_per_segment: float = 2.5, max_second
     raw = segs.withColumns({"_w": win, "_s": F.when(small, F.col("start_sec")).otherwise(
         F.col("start_sec") + F.greatest(F.lit(0.0), (dur - win) / 2.0))}).filter(F.col("_w") > 1e-3)
     raw = raw.withColumn("_hard", -F.col("difficulty"))
-    total = raw.groupBy("video_id").agg(F.sum("_w").alias("_total"))
     run = ordered_scan(raw, ["video_id"], ["_hard", "seg_index"], F.floor(F.col("_hard") * 256).cast("bigint"),
-                       _cum=running_sum(F.col("_w"))).join(total, "video_id")
+                       _cum=running_sum(F.col("_w")), _total=group_sum(F.col("_w")))
     fits = F.col("_total") <= max_seconds
     left = F.lit(float(max_seconds)) - (F.col("_cum") - F.col("_w"))
     take = F.when(fits, F.col("_w")).otherwise(F.least(F.col("_w"), left))
