@@ -312,13 +312,15 @@ def clip_summary(segs: DataFrame, width: int = 3840, height: int = 2160, fps: fl
     have = set(segs.columns)
     d = F.col(c["duration"])
 
+    total = F.when(F.sum(d) > 0, F.sum(d)).otherwise(1.0)
+
     def wmean(name):
-        return (F.sum(F.col(c[name]) * d) / F.sum(d)) if c[name] in have else F.lit(None).cast("double")
+        return (F.sum(F.col(c[name]) * d) / total) if c[name] in have else F.lit(None).cast("double")
 
     diff = F.col(c["difficulty"])
     agg = segs.groupBy("video_id").agg(
         F.count(F.lit(1)).cast("double").alias("segment_count"), F.sum(d).alias("duration"),
-        (F.coalesce(F.sum(F.when(diff >= HARD_DIFFICULTY, d)), F.lit(0.0)) / F.sum(d)).alias("hard_fraction"),
+        (F.coalesce(F.sum(F.when(diff >= HARD_DIFFICULTY, d)), F.lit(0.0)) / total).alias("hard_fraction"),
         F.max(diff).alias("worst_difficulty"), F.avg(diff).alias("difficulty_mean"), wmean("difficulty").alias("duration_weighted_difficulty"),
         wmean("motion_mean").alias("motion_mean"), F.stddev_pop(c["motion_mean"]).alias("motion_std"), F.max(c["motion_p90"]).alias("motion_p90"),
         wmean("texture").alias("texture"), F.stddev_pop(c["texture"]).alias("texture_std"), wmean("entropy").alias("entropy"),

@@ -249,7 +249,7 @@ def rescore(trials: DataFrame, segment_bytes: DataFrame, threshold: float, keys=
     o = F.coalesce(F.col("size_out_bytes").cast("double"), F.lit(0.0))
     live = F.coalesce(F.col("encode_ok"), F.lit(False)) & (i > 0) & (o > 0)
     j = j.withColumns({"_live": live, "_rate": compression_rate(i, o)})
-    j = j.withColumn("_ratio", F.when(o >= i, 1.0).otherwise(i / o))
+    j = j.withColumn("_ratio", F.when(o >= i, 1.0).otherwise(F.try_divide(i, o)))
     j = j.withColumn("_sc", score_struct(F.coalesce(F.col("vmaf_neg"), F.lit(0.0)), F.col("_rate"), threshold))
 
     def old(c):
