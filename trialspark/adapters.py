@@ -195,13 +195,7 @@ _CALL = re.compile(r"\bfixed_text\(([^(),]+), (\d)\)")
 
 
 def _fixed_sql(m: re.Match) -> str:
-    x, d = m.group(1).strip(), int(m.group(2))
-    n = f"CAST(abs(round_even({x} * {10 ** d}, 0)) AS BIGINT)"
-    sign = f"CASE WHEN {x} < 0 THEN '-' ELSE '' END"
-    if d == 0:
-        return f"({sign} || CAST({n} AS VARCHAR))"
-    return (f"({sign} || CAST({n} // {10 ** d} AS VARCHAR) || '.' || "
-            f"lpad(CAST({n} % {10 ** d} AS VARCHAR), {d}, '0'))")
+    return f"printf('%.{m.group(2)}f', {m.group(1).strip()})"
 
 
 def with_views(sql: str, views: dict[str, str]) -> str:

@@ -30,15 +30,8 @@ def round_even(x: Column, digits: int) -> Column:
 
 
 def fixed_text(x: Column, digits: int) -> Column:
-    """'%.<digits>f' built from integers, so that every engine prints the same."""
-    scale = 10 ** digits
-    n = F.abs(F.rint(x * F.lit(float(scale)))).cast("bigint")
-    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
-    if digits == 0:
-        return F.concat(sign, n.cast("string"))
-    whole = F.floor(n / F.lit(scale)).cast("bigint").cast("string")
-    part = F.lpad((n % F.lit(scale)).cast("string"), digits, "0")
-    return F.concat(sign, whole, F.lit("."), part)
+    """'%.<digits>f': correctly rounded decimal text, ties to even."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits if digits else "0"))
 
 
 def short_text(x: Column, digits: int = 2) -> Column:

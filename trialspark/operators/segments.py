@@ -111,7 +111,8 @@ def frames_in_segments(segs: DataFrame, frames: DataFrame, payload: list[str]) -
     s = segs.select(*SEG, "start_frame", "end_frame")
     f = frames.select("video_id", "frame", *payload)
     hit = bucket_range_join(f, s, ["video_id"], "frame", "start_frame", "end_frame", FRAME_BUCKET)
-    bare = s.join(hit.select(*SEG).distinct(), SEG, "left_anti")
+    # videos without any frame have nothing to fall back to
+    bare = s.join(hit.select(*SEG).distinct(), SEG, "left_anti").join(f.select("video_id").distinct(), "video_id", "left_semi")
     bare = bare.withColumn("_mid", F.floor((F.col("start_frame") + F.col("end_frame") - 1) / 2).cast("bigint"))
     f = f.withColumn("frame", F.col("frame").cast("bigint"))
     # few segments are bare; written once, they need no second range join

@@ -55,25 +55,51 @@ def _(t):
     return C.with_anchor(curves(t).filter(F.size("pts") > 0), THR).select("video_id", "segment_index", F.col("anchor.cq").alias("anchor_cq"), "band_lo", "band_hi")
 
 
-@query("f14_next_probes", f"""WITH j AS (SELECT p.*, a.*  EXCLUDE (video_id, segment_index), CAST(round_even(cq_star, 0) AS INT) AS cv, greatest({LO}, band_lo) AS bl, least({HI}, band_hi) AS bh FROM v_pred p JOIN v_anchor a USING (video_id, segment_index)
- LEFT JOIN v_cross USING (video_id, segment_index) WHERE NOT EXISTS (SELECT 1 FROM v_obs o WHERE o.video_id = p.video_id AND o.segment_index = p.segment_index AND o.cq = p.candidate)),
-s AS (SELECT *, predicted_s_f + CASE WHEN candidate BETWEEN bl AND bh THEN 0.02 ELSE 0 END + CASE WHEN abs(candidate - cv) <= 1 THEN 0.015 ELSE 0 END + CASE WHEN candidate = anchor_cq + 1 AND predicted_s_f >= 0.5 * greatest(asf, 1e-9) THEN 0.02 ELSE 0 END
-  - CASE WHEN candidate < anchor_cq - 1 THEN 0.1 * (anchor_cq - candidate) ELSE 0 END - CASE WHEN coalesce(beyond < 88, FALSE) AND candidate > anchor_cq + 1 THEN 0.25 ELSE 0 END AS score,
+def probes_sql(used: str, count: int) -> str:
+    """Next probes per curve; `used` is a condition on (p, a) that marks taken CQs."""
+    return f"""WITH j AS (SELECT p.*, a.* EXCLUDE (video_id, segment_index), CAST(round_even(cq_star, 0) AS INT) AS cv, greatest({LO}, band_lo) AS bl, least({HI}, band_hi) AS bh FROM v_pred p JOIN v_anchor a USING (video_id, segment_index)
+ LEFT JOIN v_cross USING (video_id, segment_index) WHERE NOT ({used})),
+s AS (SELECT *, candidate BETWEEN bl AND bh AS r1, abs(candidate - cv) <= 1 AS r2, candidate = anchor_cq + 1 AND predicted_s_f >= 0.5 * greatest(asf, 1e-9) AS r3, candidate < anchor_cq - 1 AS r4, coalesce(beyond < 88, FALSE) AND candidate > anchor_cq + 1 AS r5,
   candidate >= anchor_cq - 1 AND (predicted_s_f >= CASE WHEN asf > 0 THEN asf * 0.95 ELSE 0 END OR candidate = anchor_cq + 1 OR candidate = cv) AS keep,
   CASE WHEN candidate = anchor_cq - 1 THEN 0 WHEN candidate = anchor_cq + 1 THEN 1 WHEN candidate = cv THEN 2 END AS tag FROM j),
-k AS (SELECT *, bool_or(keep) OVER (PARTITION BY {K}) AS anyk FROM s),
+k AS (SELECT *, predicted_s_f + CASE WHEN r1 THEN 0.02 ELSE 0 END + CASE WHEN r2 THEN 0.015 ELSE 0 END + CASE WHEN r3 THEN 0.02 ELSE 0 END - CASE WHEN r4 THEN 0.1 * (anchor_cq - candidate) ELSE 0 END - CASE WHEN r5 THEN 0.25 ELSE 0 END AS score, bool_or(keep) OVER (PARTITION BY {K}) AS anyk FROM s),
 r AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY CASE WHEN NOT anyk THEN tag END NULLS FIRST, round(score, 9) DESC, round(predicted_s_f, 9) DESC, candidate) AS rn FROM k WHERE keep OR (NOT anyk AND tag IS NOT NULL))
-SELECT {K}, candidate AS cq, predicted_s_f FROM r WHERE rn <= 3""", "predicted_s_f")
+SELECT {K}, candidate AS cq, predicted_s_f, CASE WHEN anyk THEN concat_ws('+', 'pred_s_f', CASE WHEN r1 THEN 'sweet_band' END, CASE WHEN r2 THEN 'near_cq_vmaf*' END, CASE WHEN r3 THEN 'best+1' END, CASE WHEN r4 THEN 'overshoot_penalty' END, CASE WHEN r5 THEN 'known_fail_region' END)
+ ELSE ['fallback_best-1', 'fallback_best+1', 'fallback_cq_vmaf*'][tag + 1] END AS probe_reason FROM r WHERE rn <= {count}"""
+
+
+@query("f14_next_probes", probes_sql("EXISTS (SELECT 1 FROM v_obs o WHERE o.video_id = p.video_id AND o.segment_index = p.segment_index AND o.cq = p.candidate)", 3), "predicted_s_f")
 def _(t):
-    return C.next_probes(curves(t).filter(F.size("pts") > 0), 3, LO, HI, THR).select("video_id", "segment_index", "cq", "predicted_s_f")
+    return C.next_probes(curves(t).filter(F.size("pts") > 0), 3, LO, HI, THR)
+
+
+view("v_targets", """SELECT video_id, segment_index, 1 AS ti, av AS target, 'vmaf_anchor match CQ' || anchor_cq || ' V=' || fixed_text(av, 1) AS reason FROM v_anchor
+UNION ALL SELECT video_id, segment_index, 2, greatest(86.0::DOUBLE, av - 2), 'vmaf_anchor push_compression V=' || fixed_text(pv, 1) FROM (SELECT *, greatest(86.0::DOUBLE, av - 2) AS pv FROM v_anchor) AS x WHERE av - 85 > 2 AND abs(greatest(86.0::DOUBLE, av - 2) - av) >= 0.75
+UNION ALL SELECT video_id, segment_index, 3, 87.0::DOUBLE, 'vmaf_anchor near_gate V=87.0' FROM v_anchor WHERE 87 < av - 0.5""")
 
 
-@query("f15_vmaf_anchored_crfs")
+@query("f15_vmaf_anchored_crfs", f"""WITH p AS (SELECT q.*, ti, target, lead(cq) OVER w AS c2, lead(vmaf) OVER w AS v2, row_number() OVER (PARTITION BY {K}, ti ORDER BY abs(vmaf - target), cq) AS nr FROM v_pts q JOIN v_targets USING (video_id, segment_index) WHERE vmaf > 0 WINDOW w AS (PARTITION BY {K}, ti ORDER BY cq)),
+h AS (SELECT {K}, ti, first(cq + (target - vmaf) / (v2 - vmaf) * (c2 - cq) ORDER BY cq) AS x FROM p WHERE (vmaf - target) * (v2 - target) <= 0 AND vmaf <> v2 GROUP BY 1, 2, 3),
+n AS (SELECT {K}, ti, any_value(target) AS target, count(*) AS n, min(cq) FILTER (nr <= 2) AS ca, max(cq) FILTER (nr <= 2) AS cb, first(vmaf ORDER BY cq) FILTER (nr <= 2) AS va, first(vmaf ORDER BY cq DESC) FILTER (nr <= 2) AS vb FROM p GROUP BY 1, 2, 3),
+c AS (SELECT n.video_id, n.segment_index, n.ti, n.target, CASE WHEN n = 1 THEN ca WHEN x IS NOT NULL THEN x WHEN va = vb THEN ca ELSE ca + (target - va) / (vb - va) * (cb - ca) END AS cqs FROM n LEFT JOIN h USING (video_id, segment_index, ti)),
+m AS (SELECT c.*, t.reason, CAST(round_even(16 + greatest(0, least(1, (cqs - {LO}) / {HI - LO}.0::DOUBLE)) * 24, 0) AS INT) AS crf FROM c JOIN v_targets t USING (video_id, segment_index, ti)),
+f AS (SELECT {K}, crf AS c0 FROM m WHERE ti = 1),
+b AS (SELECT f.video_id, f.segment_index, 3 + i AS ti, greatest(16, least(40, c0 + o)) AS crf, 'band_around CRF' || c0 || printf('%+d', o) AS reason, a.av AS target FROM f JOIN v_anchor a USING (video_id, segment_index), (SELECT unnest([1, 2, 3, 4, 5, 6]) AS i, unnest([2, -2, 4, -4, 6, -6]) AS o) AS s),
+u AS (SELECT {K}, ti, crf, reason, target FROM m UNION ALL SELECT {K}, ti, crf, reason, target FROM b),
+d AS (SELECT *, row_number() OVER (PARTITION BY {K}, crf ORDER BY ti) AS own FROM u), e AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY ti) AS pos FROM d WHERE own = 1)
+SELECT {K}, CAST(crf AS INT) AS crf, reason, target AS target_vmaf FROM e WHERE pos <= 3""", "target_vmaf")
 def _(t):
     return C.vmaf_anchored_crfs(curves(t), 3, (LO, HI), (16, 40), 85.0)
 
 
-@query("f16_rule_anchored_crf")
+@query("f16_rule_anchored_crf", f"""WITH c AS (SELECT DISTINCT {K}, (video_id % 10) / 10.0::DOUBLE < 0.55 AS push FROM v_obs), p AS (SELECT * FROM v_pts WHERE cq IN (30, 32) AND vmaf > 0),
+g AS (SELECT c.*, a.vmaf AS va, b.vmaf AS vb, a.s_f AS sa, b.s_f AS sb, (a.cq IS NOT NULL)::INT + (b.cq IS NOT NULL)::INT AS n, coalesce((a.vmaf >= 93)::INT, 0) + coalesce((b.vmaf >= 93)::INT, 0) AS np, coalesce(a.cq, b.cq) AS lowc, coalesce(a.vmaf, b.vmaf) AS lowv,
+ least(CASE WHEN a.vmaf >= 93 THEN a.vmaf END, CASE WHEN b.vmaf >= 93 THEN b.vmaf END) AS minv, CASE WHEN b.vmaf >= 93 THEN 32 ELSE 30 END AS topc, CASE WHEN a.vmaf >= 93 AND (b.vmaf IS NULL OR b.vmaf < 93 OR a.s_f > b.s_f) THEN 30 ELSE 32 END AS bestc
+ FROM c LEFT JOIN p a ON a.cq = 30 AND a.video_id = c.video_id AND a.segment_index = c.segment_index LEFT JOIN p b ON b.cq = 32 AND b.video_id = c.video_id AND b.segment_index = c.segment_index)
+SELECT {K}, CAST(CASE WHEN n = 0 THEN NULL WHEN n = 1 AND np = 1 AND push AND lowv >= 95 THEN lowc + 1 WHEN n = 1 AND np = 1 THEN lowc WHEN n = 1 THEN lowc - 1 WHEN np = 2 AND push AND minv >= 96 THEN 33 WHEN np = 2 AND push AND minv >= 95 THEN 32 WHEN np = 2 THEN bestc WHEN np = 0 THEN 29
+ WHEN push AND va >= 94.5 AND vb < 93 AND vb >= 92 THEN 32 ELSE bestc END AS INT) AS crf,
+CASE WHEN n = 0 THEN 'no_observations' WHEN n = 1 AND np = 1 AND push AND lowv >= 96 THEN 'single_pass_margin+1' WHEN n = 1 AND np = 1 AND push AND lowv >= 95 THEN 'single_pass_nudge' WHEN n = 1 AND np = 1 THEN 'single_pass_keep' WHEN n = 1 THEN 'single_fail_nudge-1'
+ WHEN np = 2 AND push AND minv >= 96 THEN 'all_pass_margin+1' WHEN np = 2 AND push AND minv >= 95 THEN 'all_pass_high_crf' WHEN np = 2 THEN 'all_pass_best_s_f' WHEN np = 0 THEN 'all_fail_nudge-1' WHEN push AND va >= 94.5 AND vb < 93 AND vb >= 92 THEN 'bracket_lean_up' ELSE 'bracket' END AS crf_reason FROM g""")
 def _(t):
     obs = C.observations(t.scored)
     c = C.curves(obs).withColumns({"plan": F.array(F.lit(30), F.lit(32)), "mashup": (F.col("video_id") % 10) / 10.0})
@@ -82,7 +108,10 @@ def _(t):
     return C.rule_anchored_crf(c, "plan", "mashup", LO, HI, THR).select("video_id", "segment_index", "crf", "crf_reason")
 
 
-@query("f27_handoff_set", None)
+@query("f27_handoff_set", f"""WITH q AS ({probes_sql('p.candidate = a.anchor_cq', 3)}),
+h AS (SELECT {K}, anchor_cq AS cq, 'measured_best' AS reason, asf AS predicted_s_f, 0 AS rk FROM v_anchor UNION ALL SELECT {K}, cq, 'interp_' || probe_reason, predicted_s_f, row_number() OVER (PARTITION BY {K} ORDER BY cq) FROM q),
+m AS (SELECT *, greatest(16, least(40, cq - 6)) AS crf FROM h)
+SELECT {K}, crf, cq, reason, predicted_s_f FROM (SELECT *, row_number() OVER (PARTITION BY {K}, crf ORDER BY rk) AS rn FROM m) AS x WHERE rn = 1""", "predicted_s_f")
 def _(t):
     h = C.handoff(curves(t), 4, LO, HI, THR)
     return C.map_offset(h, -6, 16, 40).select("video_id", "segment_index", "crf", "cq", "reason", "predicted_s_f")

@@ -56,7 +56,14 @@ def _(t):
     return clips(t).select("video_id", *[v.alias(k) for k, v in R.cq_seed(89, 22, 40).items()])
 
 
-@query("i03_probe_band")
+CQ_SEED = """(SELECT *, CAST(greatest(25, least(34, round_even(22 + 18 * 0.45 + bias, 0))) AS INT) AS cq_seed FROM (SELECT *, (0.4 - df) * 18 * 0.7 - CASE WHEN texture_level >= 0.85 THEN 5 WHEN texture_level >= 0.7 THEN 3 WHEN texture_level >= 0.55 THEN 1.5 ELSE 0 END - CASE WHEN motion_level >= 0.65 THEN 3 WHEN motion_level >= 0.5 THEN 1.5 ELSE 0 END
+ - CASE WHEN m >= 0.6 THEN 3 WHEN m >= 0.45 THEN 1.5 ELSE 0 END - CASE WHEN edge_level >= 0.65 AND texture_level >= 0.55 THEN 1 ELSE 0 END - CASE WHEN noise_level_norm >= 0.55 THEN 1.5 WHEN noise_level_norm >= 0.45 THEN 0.5 ELSE 0 END + CASE WHEN df <= 0.35 AND m < 0.35 THEN 2 ELSE 0 END AS bias
+ FROM (SELECT *, greatest(0.0, least(1.0, 0.35 * texture_level + 0.25 * motion_level + 0.15 * edge_level + 0.15 * m + 0.1 * cut_level)) AS df FROM (SELECT *, """ + MASH + """ AS m FROM v_clips) AS x0) AS x1) AS x2)"""
+
+
+@query("i03_probe_band", f"""SELECT video_id, cq_seed, band, CASE band WHEN 'hard_down_band' THEN (cq_seed - 2) || ',' || cq_seed WHEN 'noise_down_band' THEN (cq_seed - 1) || ',' || cq_seed WHEN 'default_bracket' THEN (cq_seed - 1) || ',' || (cq_seed + 2) ELSE cq_seed || ',' || (cq_seed + 2) END AS cqs,
+greatest(22, cq_seed - 4) || ',' || (cq_seed - 2) || ',' || cq_seed AS quality_cqs FROM (SELECT *, CASE WHEN m >= 0.55 THEN 'hard_down_band' WHEN motion_level >= 0.52 THEN 'hard_up_band' WHEN noise_level_norm >= 0.5 THEN 'noise_down_band'
+ WHEN 0.3 * motion_level + 0.25 * texture_level + 0.2 * edge_level + 0.15 * cut_level + 0.1 * noise_level_norm < 0.45 THEN 'easy_up_band' ELSE 'default_bracket' END AS band FROM {CQ_SEED} AS y) AS z""")
 def _(t):
     two = P.probe_band(clips(t), 2, 22, 40, 89.0)
     return two.select("video_id", "cq_seed", "band", F.array_join(F.col("cqs").cast("array<string>"), ",").alias("cqs"),
@@ -124,7 +131,18 @@ def _(t):
     return t.orders.select("o_orderkey", F.explode(R.bitrate_grid(F.col("o_totalprice") / 100000.0, F.lit(3.0), 5)).alias("mbps"))
 
 
-@query("i12_knob_candidates")
+UNIQ = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+
+
+@query("i12_knob_candidates", f"""WITH b AS (SELECT *, motion_level >= 0.55 AS fast, CASE WHEN motion_level >= 0.52 OR mash >= 0.6 THEN 5 ELSE 4 END AS ref, CASE WHEN mash >= 0.6 THEN 6 ELSE 5 END AS rd, CASE WHEN motion_level < 0.45 AND noise_level_norm < 0.48 THEN 4 ELSE 8 END AS bf,
+ CAST(regexp_extract(params, 'rc-lookahead=([0-9]+)', 1) AS INT) AS la FROM {software_sql('v_clips')} AS x),
+l AS (SELECT *, list_transform(CASE WHEN texture_level >= 0.7 THEN [0, 0.1, 0.2, -0.1] WHEN noise_level_norm >= 0.45 THEN [0, -0.1, -0.2, 0.1] ELSE [0, -0.1, 0.1, -0.2, 0.2] END, lambda d: round_even(greatest(0.8::DOUBLE, least(1.4::DOUBLE, aq_strength + d::DOUBLE)), 2)) AS ls,
+ list_transform(CASE WHEN fast THEN [la, la + 10, la + 20, la - 10] ELSE [la, la + 10, la - 10, la + 20] END, lambda v: (greatest(20, least(80, v)))::DOUBLE) AS ll FROM b),
+k AS (SELECT video_id, 'aq-mode' AS knob, CASE WHEN texture_level >= 0.75 OR noise_level_norm >= 0.45 OR aq_mode = 1 THEN [1.0::DOUBLE, 2, 3] ELSE [2.0::DOUBLE, 1, 3] END AS v FROM l
+UNION ALL SELECT video_id, 'aq-strength', ({UNIQ.format('ls')})[1:4] FROM l UNION ALL SELECT video_id, 'rd', CASE rd WHEN 6 THEN [6.0::DOUBLE, 5] ELSE [5.0::DOUBLE, 6, 4] END FROM l
+UNION ALL SELECT video_id, 'ref', CASE WHEN ref = 5 THEN [5.0::DOUBLE, 6, 4] WHEN fast THEN [4.0::DOUBLE, 5, 6, 3] ELSE [4.0::DOUBLE, 5, 3] END FROM l UNION ALL SELECT video_id, 'bframes', CASE WHEN bf = 8 AND fast THEN [8.0::DOUBLE] WHEN bf = 8 THEN [8.0::DOUBLE, 6] WHEN fast THEN [4.0::DOUBLE, 6, 8] ELSE [4.0::DOUBLE, 6, 2] END FROM l
+UNION ALL SELECT video_id, 'rc-lookahead', ({UNIQ.format('ll')})[1:4] FROM l)
+SELECT video_id, knob, CAST(generate_subscripts(v, 1) - 1 AS INT) AS pos, unnest(v) AS value FROM k""")
 def _(t):
     x = R.software_settings(clips(t))
     names = {"aq-mode": "aq_mode", "aq-strength": "aq_strength", "rd": "rd", "ref": "ref", "bframes": "bframes", "rc-lookahead": "rc_lookahead"}
@@ -163,13 +181,23 @@ def _(t):
     return x.select("video_id", "sample_count", F.posexplode(R.sample_starts(F.col("d"), F.col("sample_count"), 3.0)).alias("sample_idx", "start_sec"))
 
 
-@query("i17_preprocess_candidates")
+CLIP_PRE = """CASE WHEN noise_level_norm >= 0.55 THEN CASE WHEN motion_level >= 0.55 AND coalesce(nullif(texture_level, 0), 0.5) < 0.45 THEN 'atadenoise_light' WHEN coalesce(nullif(texture_level, 0), 0.5) >= 0.55 THEN 'bilateral_light' ELSE 'hqdn3d_med' END
+WHEN noise_level_norm >= 0.52 THEN 'hqdn3d_light' WHEN noise_level_norm < 0.48 AND edge_level >= 0.6 THEN 'unsharp_mild' WHEN noise_level_norm < 0.48 AND flatness >= 0.55 THEN 'contrast_mild' ELSE 'none' END"""
+
+
+@query("i17_preprocess_candidates", f"""WITH c AS (SELECT video_id, {CLIP_PRE} AS pick FROM v_clips), l AS (SELECT *, CASE video_id % 5 WHEN 0 THEN {list(R.SURVEY_SET)} WHEN 1 THEN {list(R.BRAVE_SET)} WHEN 2 THEN ['hqdn3d_med'] ELSE ['none'] END AS base FROM c),
+v AS (SELECT video_id, CASE WHEN video_id % 5 = 2 OR pick = 'none' OR list_contains(base, pick) THEN base ELSE list_append(base, pick) END AS v FROM l)
+SELECT video_id, CAST(generate_subscripts(v, 1) - 1 AS INT) AS pos, unnest(v) AS preprocess FROM v""")
 def _(t):
     explicit = F.when(F.col("video_id") % 5 == 0, "sweep").when(F.col("video_id") % 5 == 1, "Brave").when(F.col("video_id") % 5 == 2, "hqdn3d_med")
     return clips(t).select("video_id", F.posexplode(R.preprocess_candidates(explicit)).alias("pos", "preprocess"))
 
 
-@query("i18_recipe_table")
+@query("i18_recipe_table", f"""WITH s AS (SELECT *, greatest(8, 16 + {BIAS}) AS seed FROM {software_sql('v_clips')} AS x), m AS (SELECT *, CASE WHEN texture_level > 0.8 AND noise_level_norm < 0.15 AND cut_count < 3 THEN 1 ELSE 2 END AS fm FROM s)
+SELECT video_id, 'default_medium' AS recipe, 'medium' AS preset, regexp_replace(params, ':rd=[0-9]+', ':rd=4') AS params, seed AS crf_start FROM m
+UNION ALL SELECT video_id, 'default_quality', 'slow', regexp_replace(regexp_replace(params, ':rd=[0-9]+', ':rd=4'), ':ref=[0-9]+', ':ref=5') || ':me=umh:subme=7', seed FROM m
+UNION ALL SELECT video_id, 'crf_pack', 'slow', 'aq-mode=' || fm || ':aq-strength=1:rd=6:ref=6:bframes=12:rc-lookahead=50:keyint=60:min-keyint=1:scenecut=50', NULL FROM m
+UNION ALL SELECT video_id, 'vbr_pack', 'slow', 'aq-mode=' || fm || ':aq-strength=1.2:rd=6:ref=6:bframes=8:rc-lookahead=50:keyint=60:min-keyint=1:scenecut=50', NULL FROM m""")
 def _(t):
     x = clips(t)
     a = P.recipes(x, 89, override="rd=4")

@@ -22,6 +22,8 @@ def build_session(app: str = "trialspark", master: str | None = None,
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.ui.enabled": "false",
+        # larger methods are not JIT-compiled; split projections run faster
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         **(extra or {}),
     }
     for k, v in conf.items():
