@@ -26,11 +26,12 @@ def same(a, b):
 def test_running_ops(rows, width):
     chunk = F.floor(F.col("pos") / width).cast("bigint")
     got = S.ordered_scan(rows, ["k"], ["pos", "id"], chunk, s=S.running_sum(F.col("id")), m=S.running_max(F.col("v")),
-                         l=S.last_value(F.col("v")), n=S.next_value(F.col("v")), p=S.previous(F.col("v")), g=S.group_sum(F.lit(1)))
+                         l=S.last_value(F.col("v")), n=S.next_value(F.col("v")), p=S.previous(F.col("v")), b=S.max_before(F.col("v")), g=S.group_sum(F.lit(1)))
     w = W.partitionBy("k").orderBy("pos", "id")
     run = w.rowsBetween(W.unboundedPreceding, 0)
     want = rows.select("*", F.sum("id").over(run).alias("s"), F.max("v").over(run).alias("m"), F.last("v", True).over(run).alias("l"),
                        F.first("v", True).over(w.rowsBetween(0, W.unboundedFollowing)).alias("n"), F.lag("v").over(w).alias("p"),
+                       F.max("v").over(w.rowsBetween(W.unboundedPreceding, -1)).alias("b"),
                        F.count("*").over(W.partitionBy("k")).alias("g"))
     same(got, want.select(got.columns))
 

@@ -78,6 +78,15 @@ class Tables:
             share(151).alias("entropy"), share(73).alias("luma_mean"), share(67, 5.0).alias("hf_energy"),
             (c("_f") - c("frame_count")).cast("bigint").alias("start_frame"), c("_f").cast("bigint").alias("end_frame"))
 
+    @cached_property
+    def segment_table(self) -> DataFrame:
+        """The numbered segments, written once for queries that read them several times."""
+        return materialize(self.segments, "segments")
+
+    @cached_property
+    def packet_table(self) -> DataFrame:
+        return materialize(self.packets, "packets")
+
     @cached_property
     def segments_d(self) -> DataFrame:
         return self.segments.withColumn("difficulty", segment_difficulty())

@@ -26,6 +26,11 @@ def running_max(x: Column):
     return ("max", x)
 
 
+def max_before(x: Column):
+    """Largest value of the rows before (null at the start of the group)."""
+    return ("pmax", x)
+
+
 def last_value(x: Column):
     """Latest non-null value up to and including the row."""
     return ("last", x)
@@ -87,8 +92,8 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column
     at = [F.col(c).alias(f"o{i}") for i, c in enumerate(order)]
     aggs = []
     for name, (kind, x) in ops.items():
-        if kind in _GROUP or kind in ("sum", "max"):
-            agg = _GROUP[kind if kind in _GROUP else "g" + kind](x)
+        if kind in _GROUP or kind in ("sum", "max", "pmax"):
+            agg = (F.sum if kind in ("sum", "gsum") else F.min if kind == "gmin" else F.max)(x)
         else:
             tip = F.struct(*at, F.struct(x.alias("v")).alias("tip"))
             near = (F.max if reverse else F.min) if kind == "next" else pick
@@ -110,6 +115,7 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column
         carry[f"_p_{name}"] = {
             "sum": F.sum(c).over(before),
             "max": F.max(c).over(before),
+            "pmax": F.max(c).over(before),
             "last": F.last(c, ignorenulls=True).over(before),
             "next": F.first(c, ignorenulls=True).over(after),
             "lag": F.lag(c, 1).over(by_key),
@@ -126,6 +132,7 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column
         out.append({
             "sum": loc + F.coalesce(pre, F.lit(0)),
             "max": F.greatest(loc, pre),
+            "pmax": F.greatest(loc, pre),
             "last": F.coalesce(loc, pre),
             "next": F.coalesce(loc, pre),
             "lag": F.when(F.col("_first"), pre).otherwise(loc),
@@ -141,6 +148,8 @@ def _local(op, w, run):
         return F.sum(x).over(run)
     if kind == "max":
         return F.max(x).over(run)
+    if kind == "pmax":
+        return F.max(x).over(w.rowsBetween(W.unboundedPreceding, -1))
     if kind == "last":
         return F.last(x, ignorenulls=True).over(run)
     if kind == "next":

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trialspark.functions.numbers import round_even, short_text
 from trialspark.functions.score import compression_rate, compression_ratio, score_struct
-from trialspark.operators.scan import ordered_scan, previous, running_max, top_one
+from trialspark.operators.scan import max_before, ordered_scan, top_one
 
 SEQ = ["k1", "k2", "k3", "k4"]
 SEGMENT = ["video_id", "segment_index"]
@@ -152,8 +152,8 @@ def incumbent_trace(df: DataFrame, keys, threshold: float, chunk: Column | None,
     rank = F.when(counts, F.struct(clears.alias("clears"), F.col("s_f").alias("s_f"),
                                    F.when(clears, 0.0).otherwise(F.col("vmaf_neg")).alias("tie")))
     out = df.withColumn("_rank", rank)
-    out = ordered_scan(out, keys, seq, chunk, _best=running_max(F.col("_rank")))
-    out = ordered_scan(out, keys, seq, chunk, _prev=previous(F.col("_best")))
+    out = ordered_scan(out, keys, seq, chunk, _prev=max_before(F.col("_rank")))
+    out = out.withColumn("_best", F.greatest("_prev", "_rank"))
     accepted = F.col("_rank").isNotNull() & (F.col("_prev").isNull() | (F.col("_rank") > F.col("_prev")))
     return (out.withColumns({"accepted": accepted, "best_s_f": F.col("_best.s_f"),
                              "best_clears": F.col("_best.clears")})

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from trialspark.functions.features import segment_difficulty
 from trialspark.operators import fleet as X
 from trialspark.plans.registry import query
 
@@ -75,7 +76,7 @@ r AS (SELECT video_id, segment_index, CASE WHEN min(root_rank) = 1 THEN 'adaptiv
 
 
 def seg_catalogue(t):
-    s = t.segments_d.withColumnRenamed("seg_index", "segment_index")
+    s = t.segment_table.withColumn("difficulty", segment_difficulty()).withColumnRenamed("seg_index", "segment_index")
     own = s.select("video_id", "segment_index", "start_frame", "end_frame", "duration", F.when(F.col("seg_key") % 2 == 0, F.col("texture")).alias("texture"))
     return X.segments_with_best(own, s, t.scored, ["texture", "difficulty"], ["grid", "adaptive"])
 
@@ -93,7 +94,7 @@ SELECT s.video_id, s.seg_index AS segment_index, s.start_frame, s.end_frame, CAS
 FROM v_frames s JOIN d USING (video_id) LEFT JOIN customer ON c_custkey = s.video_id LEFT JOIN b ON b.video_id = s.video_id AND b.segment_index = s.seg_index""", "bitrate_bps vmaf compression_ratio")
 def _(t):
     size = t.customer.select(F.col("c_custkey").alias("video_id"), (F.col("c_acctbal") * 1000).alias("size_bytes"))
-    dur = t.segments.groupBy("video_id").agg(F.sum("duration").alias("clip_sec"))
+    dur = t.segment_table.groupBy("video_id").agg(F.sum("duration").alias("clip_sec"))
     x = seg_catalogue(t).join(dur, "video_id").join(size, "video_id", "left")
     return x.select("video_id", "segment_index", "start_frame", "end_frame", X.source_bitrate(F.col("size_bytes"), F.col("clip_sec")).alias("bitrate_bps"), "crf", "vmaf", "compression_ratio")
 

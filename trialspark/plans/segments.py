@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 from trialspark.functions import features as FE
 from trialspark.operators import segments as S, trials as T
 from trialspark.plans.registry import query, view
+from trialspark.session import materialize
 
 view("v_timed", "SELECT *, start_frame / 30.0::DOUBLE AS start_sec, end_frame / 30.0::DOUBLE AS end_sec FROM v_segments_d")
 view("v_counts", "SELECT video_id, count(*) AS n FROM v_segments GROUP BY 1")
 
 
-def timed(t):
-    return t.segments_d.withColumns({"start_sec": F.col("start_frame") / 30.0, "end_sec": F.col("end_frame") / 30.0, "fps": F.lit(30.0)})
+def timed(t, table=None):
+    return (t.segments_d if table is None else table.withColumn("difficulty", FE.segment_difficulty())).withColumns({"start_sec": F.col("start_frame") / 30.0, "end_sec": F.col("end_frame") / 30.0, "fps": F.lit(30.0)})
 
 
 @query("b18_segment_frame_ranges", """
@@ -21,8 +22,8 @@ j AS (SELECT s.*, n, li, greatest(0, least(a, n)) AS st FROM s JOIN c USING (vid
 k AS (SELECT *, greatest(st + 1, least(b, n)) AS en FROM j)
 SELECT video_id, seg_index, CAST(st AS INT) AS start_frame, CAST(CASE WHEN seg_index = li THEN greatest(en, n) ELSE en END AS INT) AS end_frame FROM k""")
 def _(t):
-    n = t.segments.groupBy("video_id").agg((F.sum("frame_count") + F.first(F.col("video_id")) % 5 - 2).cast("int").alias("clip_frames"))
-    s = timed(t).withColumns({"start_sec": F.col("start_sec") + (F.col("seg_key") % 10) * F.lit(0.01), "end_sec": F.col("end_sec") + (F.col("seg_key") % 7) * F.lit(0.02)})
+    n = t.segment_table.groupBy("video_id").agg((F.sum("frame_count") + F.first(F.col("video_id")) % 5 - 2).cast("int").alias("clip_frames"))
+    s = timed(t, t.segment_table).withColumns({"start_sec": F.col("start_sec") + (F.col("seg_key") % 10) * F.lit(0.01), "end_sec": F.col("end_sec") + (F.col("seg_key") % 7) * F.lit(0.02)})
     s = s.drop("start_frame", "end_frame", "frame_count").join(n, "video_id")
     return S.segment_frames(s).select("video_id", "seg_index", "start_frame", "end_frame")
 
@@ -30,7 +31,7 @@ def _(t):
 @query("d05_packet_range_sum", """SELECT s.video_id, s.seg_index, CAST(coalesce(sum(p.size), 0) AS BIGINT) AS packet_bytes FROM v_frames s
 LEFT JOIN v_packets p ON p.video_id = s.video_id AND p.frame >= s.start_frame AND p.frame < s.end_frame GROUP BY 1, 2""")
 def _(t):
-    return S.packet_bytes(t.segments, t.packets).select("video_id", "seg_index", "packet_bytes")
+    return S.packet_bytes(t.segment_table, t.packet_table).select("video_id", "seg_index", "packet_bytes")
 
 
 view("v_zones", """SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY seg_index) - 1 AS INT) AS zone_pos, start_frame + 2 AS zone_start, CASE WHEN seg_key % 3 = 0 THEN 20.5::DOUBLE + seg_key % 20 END AS crf,
@@ -41,7 +42,7 @@ FROM v_frames WHERE video_id % 2 = 0 OR frame_count >= 40""")
 def zones(t):
     from trialspark.operators.scan import number_rows
     k = F.col("seg_key")
-    z = t.segments.filter((F.col("video_id") % 2 == 0) | (F.col("frame_count") >= 40))
+    z = t.segment_table.filter((F.col("video_id") % 2 == 0) | (F.col("frame_count") >= 40))
     z = number_rows(z, ["video_id"], ["seg_index"], F.floor(F.col("seg_index") / 4096).cast("bigint"), "_p")
     return z.select("video_id", "seg_key", (F.col("_p") - 1).cast("int").alias("zone_pos"), (F.col("start_frame") + 2).alias("zone_start"),
                     F.when(k % 3 == 0, F.lit(20.5) + k % 20).alias("crf"), F.when(k % 3 == 1, (F.lit(15) + k % 20).cast("double")).alias("qp"),
@@ -57,7 +58,7 @@ u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
 SELECT video_id, seg_index, CAST(zone_start_frame AS BIGINT) AS zone_start_frame, zone_match, CASE WHEN qp IS NOT NULL THEN 'qp' WHEN crf IS NOT NULL THEN 'crf' WHEN bitrate IS NOT NULL THEN 'bitrate' ELSE 'fallback' END AS rc_mode,
 CAST(round_even(coalesce(qp, crf), 0) AS INT) AS applied_q, CASE WHEN qp IS NULL THEN crf END AS applied_crf FROM u""")
 def _(t):
-    return S.attach_zones(t.segments, zones(t)).select("video_id", "seg_index", "zone_start_frame", "zone_match", "rc_mode", "applied_q", "applied_crf")
+    return S.attach_zones(t.segment_table, zones(t)).select("video_id", "seg_index", "zone_start_frame", "zone_match", "rc_mode", "applied_q", "applied_crf")
 
 
 view("v_inseg", """WITH hit AS (SELECT s.video_id, s.seg_index, p.frame, p.size FROM v_frames s JOIN v_packets p ON p.video_id = s.video_id AND p.frame >= s.start_frame AND p.frame < s.end_frame),
@@ -70,15 +71,15 @@ SELECT video_id, seg_index, frame, size FROM r WHERE n <= 16 OR p = n - 1 OR lis
 
 @query("d11_frames_in_segment", "SELECT video_id, seg_index, CAST(frame AS BIGINT) AS frame, size, is_nearest FROM v_inseg")
 def _(t):
-    return S.frames_in_segments(t.segments, t.packets, ["size"]).select("video_id", "seg_index", "frame", "size", "is_nearest")
+    return S.frames_in_segments(t.segment_table, t.packet_table, ["size"]).select("video_id", "seg_index", "frame", "size", "is_nearest")
 
 
 @query("d12_zone_compression", """WITH b AS (SELECT s.video_id, s.seg_index, CAST(coalesce(sum(p.size), 0) AS BIGINT) AS i, CAST(coalesce(sum(CASE WHEN p.size % 4 = 0 THEN 0 ELSE p.size // 3 END), 0) AS BIGINT) AS o
 FROM v_frames s LEFT JOIN v_packets p ON p.video_id = s.video_id AND p.frame >= s.start_frame AND p.frame < s.end_frame GROUP BY 1, 2)
 SELECT video_id, seg_index, i AS size_in_bytes, o AS size_out_bytes, CASE WHEN i > 0 THEN o / i ELSE 0.0::DOUBLE END AS compression_rate, CASE WHEN o > 0 THEN i / o ELSE 0.0::DOUBLE END AS compression_ratio FROM b""")
 def _(t):
-    out = t.packets.withColumn("size", F.when(F.col("size") % 4 == 0, 0).otherwise(F.floor(F.col("size") / 3)).cast("bigint"))
-    return S.zone_compression(t.segments, t.packets, out).select("video_id", "seg_index", "size_in_bytes", "size_out_bytes", "compression_rate", "compression_ratio")
+    out = t.packet_table.withColumn("size", F.when(F.col("size") % 4 == 0, 0).otherwise(F.floor(F.col("size") / 3)).cast("bigint"))
+    return S.zone_compression(t.segment_table, t.packet_table, out).select("video_id", "seg_index", "size_in_bytes", "size_out_bytes", "compression_rate", "compression_ratio")
 
 
 @query("d15_trials_with_segments", """SELECT t.k1, t.k2, t.k3, t.k4, t.crf, s.start_frame, s.end_frame, s.difficulty, s.edge, s.noise FROM v_trials t JOIN v_segments_d s ON s.video_id = t.video_id AND s.seg_index = t.segment_index""", "difficulty")
@@ -149,8 +150,8 @@ def _(t):
 @query("e08_segment_sample_stats", """SELECT video_id, seg_index, count(*) AS samples, avg(size / 51234.0::DOUBLE) AS motion_mean, stddev_pop(size / 51234.0::DOUBLE) AS motion_std, quantile_cont(size / 51234.0::DOUBLE, 0.9) AS motion_p90, max(size / 51234.0::DOUBLE) AS motion_max,
 avg((size % 97)::DOUBLE) AS noise_mean FROM v_sampled GROUP BY 1, 2""", "motion_mean motion_std motion_p90 motion_max noise_mean")
 def _(t):
-    fr = t.packets.withColumns({"motion": F.col("size") / 51234.0, "noise": (F.col("size") % 97).cast("double")})
-    s = S.even_samples(S.frames_in_segments(t.segments, fr, ["motion", "noise"]), 16)
+    fr = t.packet_table.withColumns({"motion": F.col("size") / 51234.0, "noise": (F.col("size") % 97).cast("double")})
+    s = S.even_samples(materialize(S.frames_in_segments(t.segment_table, fr, ["motion", "noise"]), "frames"), 16)
     return S.aggregate_samples(s, "motion", ["noise"])
 
 
@@ -190,13 +191,13 @@ SELECT video_id, frame, coalesce((abs(h[1] - g[1]) + abs(h[2] - g[2]) + abs(h[3]
 def _(t):
     z = F.col("size")
     h = [z % 11, F.floor(z / 11) % 11, F.floor(z / 121) % 11]
-    fr = t.packets.select("video_id", "frame", F.array(*[x / 20.0 for x in h]).alias("hist"), ((z % 100) / 500.0).alias("diff"))
+    fr = t.packet_table.select("video_id", "frame", F.array(*[x / 20.0 for x in h]).alias("hist"), ((z % 100) / 500.0).alias("diff"))
     return S.detect_cuts(fr).select("video_id", "frame", "is_cut")
 
 
 @query("f18_motion_between_samples", """SELECT video_id, s * 7 AS frame, coalesce(m, 0) AS motion FROM (SELECT video_id, CAST(ceil(frame / 7.0) AS INT) AS s, max(CASE WHEN frame > 0 THEN size / 51234.0::DOUBLE END) AS m, max(frame) AS e FROM v_packets GROUP BY 1, 2) AS x WHERE e = s * 7""")
 def _(t):
-    return S.motion_between_samples(t.packets.select("video_id", "frame", F.when(F.col("frame") > 0, F.col("size") / 51234.0).alias("motion_inst")), 7)
+    return S.motion_between_samples(t.packet_table.select("video_id", "frame", F.when(F.col("frame") > 0, F.col("size") / 51234.0).alias("motion_inst")), 7)
 
 
 @query("f19_cuts_to_segments", """
@@ -205,24 +206,24 @@ m AS (SELECT video_id, i, 0::BIGINT AS seg, s, e FROM c WHERE i = 1
  UNION ALL SELECT c.video_id, c.i, CASE WHEN c.e - c.s < 45 OR m.e - m.s < 45 THEN m.seg ELSE m.seg + 1 END, CASE WHEN c.e - c.s < 45 OR m.e - m.s < 45 THEN m.s ELSE c.s END, c.e FROM m JOIN c ON c.video_id = m.video_id AND c.i = m.i + 1)
 SELECT video_id, min(s) AS start_frame, max(e) AS end_frame FROM m GROUP BY video_id, seg""")
 def _(t):
-    clips_ = t.segments.groupBy("video_id").agg(F.max("end_frame").alias("clip_frames")).withColumn("fps", F.lit(30.0))
-    return S.cuts_to_segments(t.segments.select("video_id", F.col("start_frame").alias("cut_frame")), clips_, 1.5)
+    clips_ = t.segment_table.groupBy("video_id").agg(F.max("end_frame").alias("clip_frames")).withColumn("fps", F.lit(30.0))
+    return S.cuts_to_segments(t.segment_table.select("video_id", F.col("start_frame").alias("cut_frame")), clips_, 1.5)
 
 
 @query("f20_segment_cap", """WITH g AS (SELECT f.*, CASE WHEN n <= 4 THEN seg_index ELSE seg_index // CAST(ceil(n / 4.0) AS INT) END AS gi FROM v_frames f JOIN v_counts USING (video_id))
 SELECT video_id, CAST(gi AS INT) AS group_index, min(start_frame) AS start_frame, max(end_frame) AS end_frame FROM g GROUP BY 1, 2""")
 def _(t):
-    return S.limit_segments(t.segments, 4)
+    return S.limit_segments(t.segment_table, 4)
 
 
 @query("f21_even_frame_sampling", "SELECT video_id, seg_index, CAST(frame AS BIGINT) AS frame FROM v_sampled")
 def _(t):
-    return S.even_samples(S.frames_in_segments(t.segments, t.packets, []), 16).select("video_id", "seg_index", "frame")
+    return S.even_samples(materialize(S.frames_in_segments(t.segment_table, t.packet_table, []), "frames"), 16).select("video_id", "seg_index", "frame")
 
 
 @query("f22_even_scene_selection", """SELECT video_id, seg_index FROM v_segments JOIN v_counts USING (video_id) WHERE n <= 5 OR list_contains(list_transform(range(0, 5), lambda i: CAST(round_even(i * ((n - 1)::DOUBLE / 4.0::DOUBLE), 0) AS INT)), seg_index)""")
 def _(t):
-    return S.spread_scenes(t.segments, 5).select("video_id", "seg_index")
+    return S.spread_scenes(t.segment_table, 5).select("video_id", "seg_index")
 
 
 @query("f23_midpoint_sample_window", """WITH w AS (SELECT *, least(2.5::DOUBLE, greatest(end_sec - start_sec, 1.0::DOUBLE / 30.0::DOUBLE)) AS take FROM v_timed)
@@ -238,7 +239,7 @@ x AS (SELECT *, CASE WHEN end_sec - start_sec < 0.5 THEN start_sec ELSE start_se
 y AS (SELECT *, CASE WHEN total <= 6 THEN wd ELSE least(wd, remaining) END AS take FROM x WHERE total <= 6 OR round(remaining, 9) >= 0.5)
 SELECT video_id, seg_index, ws + (wd - take) / 2 AS window_start, take AS window_sec, difficulty FROM y""", "window_start window_sec difficulty")
 def _(t):
-    return S.budget_windows(timed(t), max_seconds=6.0)
+    return S.budget_windows(timed(t, t.segment_table), max_seconds=6.0)
 
 
 view("v_qp", """SELECT *, CAST(round_even(28 + 6.0::DOUBLE * (0.5 - coalesce(tt, 0.5)), 0) AS INT) AS qp, round_even(greatest(0.5, least(1.5, 1 + 0.6::DOUBLE * (coalesce(tt, 0.5) - 0.5))), 3) AS bitrate_factor FROM
@@ -252,4 +253,4 @@ def _(t):
 
 @query("f26_zones_text", "SELECT video_id, 0 AS part, 'zones=' || string_agg(start_frame || ',' || end_frame || ',q=' || qp, '/' ORDER BY seg_index) AS zones FROM v_qp GROUP BY 1")
 def _(t):
-    return S.zones_text(S.difficulty_settings(t.segments_d))
+    return S.zones_text(S.difficulty_settings(t.segment_table.withColumn("difficulty", FE.segment_difficulty())))
