@@ -206,4 +206,4 @@ def test_folds_split_like_blocks(spark):
 def test_training_needs_rows(spark):
     x = M.vectors(spark.range(5).select(F.col("id").alias("f"), F.lit(30).alias("y")), ["f"], "y")
     with pytest.raises(ValueError):
-        M.fit(x)
+        M.require_rows(x)

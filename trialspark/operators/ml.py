@@ -43,16 +43,20 @@ def vectors(df: DataFrame, features: list[str], label: str) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(x)
 
 
+def require_rows(df: DataFrame) -> None:
+    if df.limit(MIN_ROWS).count() < MIN_ROWS:
+        raise ValueError(f"need at least {MIN_ROWS} labelled rows")
+
+
 def fit(train: DataFrame, *, rounds: int = 100, depth: int = 6, step: float = 0.05, seed: int = 42):
     """Gradient-boosted trees on absolute error; `train` comes from `vectors`."""
     from pyspark.ml.regression import GBTRegressor
-    if train.limit(MIN_ROWS).count() < MIN_ROWS:
-        raise ValueError(f"need at least {MIN_ROWS} labelled rows")
     return GBTRegressor(featuresCol="features", labelCol="label", lossType="absolute", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed).fit(train)
 
 
 def cross_validate(folded: DataFrame, k: int, **params) -> DataFrame:
     """Out-of-fold predictions: one model per fold, each trained on the others."""
+    require_rows(folded)
     out = None
     for i in range(k):
         part = fit(folded.filter(F.col("fold") != i), **params).transform(folded.filter(F.col("fold") == i))
