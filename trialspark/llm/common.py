@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from trialspark.session import materialize
@@ -14,21 +13,6 @@ from trialspark.session import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, computed once per task; forgotten when it holds too many words."""
-
-    LIMIT = 1 << 20
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def words_of(text: str | bytes | None) -> list[bytes]:
     """Words of a text: runs of characters other than ASCII white space. None has none."""
     if not text:
@@ -73,6 +57,23 @@ class RangeHash:
         return mix((sums[right] - sums[left]) * self.down[left] + length)
 
 
+_BYTE_VALUES = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
+_LOWER_VALUES = _BYTE_VALUES.copy()
+_LOWER_VALUES[65:91] = _BYTE_VALUES[97:123]
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+
+
+def word_hashes(text: bytes, ranges: RangeHash, lower: bool = False) -> np.ndarray:
+    """64-bit hash of each word of a text, in order; with `lower`, A-Z count as a-z."""
+    codes = np.frombuffer(text, np.uint8)
+    blank = np.ones(len(codes) + 2, bool)
+    blank[1:-1] = _SPACE[codes]
+    left = np.flatnonzero(blank[:-1] & ~blank[1:])
+    right = np.flatnonzero(~blank[:-1] & blank[1:])
+    return ranges.ranges(ranges.sums((_LOWER_VALUES if lower else _BYTE_VALUES)[codes]), left, right)
+
+
 def text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
     """(id, UTF-8 bytes) of each row of batches whose columns are an id and a text; null is empty."""
     for batch in batches:

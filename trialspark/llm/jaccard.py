@@ -5,7 +5,7 @@ and two relations between sets save work.
 
 * Index level: the entries of a shingle's list carry the set size and the position of the shingle in
   its set. Entries of one leader form a block with least and greatest size and position; a pair of
-  blocks whose sizes or positions cannot reach the threshold is skipped whole.
+  blocks whose sizes, positions or number of common lists cannot reach the threshold is skipped whole.
 * Answer level: a set that is highly similar to an already answered set (its leader) takes over the
   leader's answers. With the exact distance d(p, q) between two leaders and the distances d(e, p),
   d(f, q) of their members, |d(p, q) - d(e, p) - d(f, q)| bounds d(e, f): most member pairs are
@@ -24,33 +24,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trialspark.llm.common import RangeHash, WordHashes, by_id, held, in_chunks, near_semi, text_rows, words_of
+from trialspark.llm.common import RangeHash, by_id, held, in_chunks, near_semi, text_rows, word_hashes
 from trialspark.llm.components import components
 
-#: Shingle hashes are counted in 2**SKETCH_BITS buckets; the counts set the order of shingles (rare first).
-#: Any order gives the same result, so the size of this table bounds memory and never changes the answer.
+#: Shingles whose hash starts with COUNTED_BITS zero bits are counted in 2**SKETCH_BITS buckets; they come first
+#: in the order of shingles, those of rare buckets first. Any order gives the same result: these numbers bound
+#: memory and never change the answer.
 SKETCH_BITS = 18
+COUNTED_BITS = 2
 
 
-def shingles_of(text: bytes, words: int, hashes: WordHashes, ranges: RangeHash) -> np.ndarray:
-    """Distinct hashes of the word shingles of a text; A-Z are lower-cased first."""
-    tokens = words_of(text.lower())
-    if not tokens:
-        return np.empty(0, np.uint64)
-    n = len(tokens)
+def shingles_of(text: bytes, words: int, ranges: RangeHash) -> np.ndarray:
+    """Hashes of the word shingles of a text, in order; A-Z are lower-cased first."""
+    hashes = word_hashes(text, ranges, lower=True)
+    n = len(hashes)
+    if not n:
+        return hashes
     left = np.arange(max(1, n - words + 1))
-    return np.unique(ranges.ranges(ranges.sums(hashes.of(tokens)), left, np.minimum(left + words, n)))
+    return ranges.ranges(ranges.sums(hashes), left, np.minimum(left + words, n))
 
 
 def bucket_counts(docs: DataFrame, words: int) -> np.ndarray:
-    """How many sets have a shingle in each hash bucket, over all documents (2**18 numbers)."""
-    shift = np.uint64(64 - SKETCH_BITS)
+    """How many counted shingles fall into each hash bucket, over all documents (2**18 numbers)."""
+    shift = np.uint64(64 - COUNTED_BITS - SKETCH_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ranges, total = WordHashes(), RangeHash(), np.zeros(1 << SKETCH_BITS, np.int64)
+        ranges, total = RangeHash(), np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            found = [shingles_of(text, words, hashes, ranges) for _, text in text_rows([batch])]
-            total += np.bincount((np.concatenate(found) >> shift).astype(np.int64), minlength=len(total))
+            found = np.concatenate([shingles_of(text, words, ranges) for _, text in text_rows([batch])]) >> shift
+            total += np.bincount(found[found < len(total)].astype(np.int64), minlength=len(total))
         used = np.flatnonzero(total)
         for at in range(0, len(used), 1 << 16):
             part = used[at:at + (1 << 16)]
@@ -70,51 +72,86 @@ def shingle_sets(docs: DataFrame, words: int, percent: int, counts: np.ndarray,
     rank = np.empty(len(counts), np.uint64)
     rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.uint64)
     rank = docs.sparkSession.sparkContext.broadcast(rank)
-    shift = np.uint64(64 - SKETCH_BITS)
-    low = np.uint64((1 << (64 - SKETCH_BITS)) - 1)
+    shift = np.uint64(64 - COUNTED_BITS - SKETCH_BITS)
+    low = np.uint64((1 << (64 - COUNTED_BITS - SKETCH_BITS)) - 1)
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        hashes, ranges, order = WordHashes(), RangeHash(), rank.value
+        ranges, order = RangeHash(), rank.value
         for doc, text in text_rows(batches):
-            found = shingles_of(text, words, hashes, ranges)
-            n = len(found)
-            sid = int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "big", signed=True) if n else None
-            keys = np.sort((order[(found >> shift).astype(np.int64)] << shift) | (found & low)) ^ np.uint64(1 << 63)
-            yield doc, n, sid, keys.view(np.int64)[: n if whole else n - -(-percent * n // 100) + 1]
+            keys = np.unique(shingles_of(text, words, ranges))
+            n = len(keys)
+            sid = int.from_bytes(hashlib.blake2b(keys.tobytes(), digest_size=8).digest(), "big", signed=True) if n else None
+            counted = int(np.searchsorted(keys, np.uint64(1 << (64 - COUNTED_BITS))))
+            head = keys[:counted]
+            keys[:counted] = np.sort(order[(head >> shift).astype(np.int64)] << shift | head & low)
+            yield doc, n, sid, (keys ^ np.uint64(1 << 63)).view(np.int64)[: n if whole else n - -(-percent * n // 100) + 1]
 
     return docs.mapInArrow(lambda batches: in_chunks(rows(batches), schema, 256), "doc_id long, n int, sid long, keys array<long>")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with the sizes na, nb of both sets and the size `common` of their intersection."""
-    left = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
-    right = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.withColumn("common", F.size(F.array_intersect("ka", "kb"))).drop("ka", "kb")
+class Texts:
+    """Reads the whole sets of a few documents again, when pairs have to be compared."""
 
+    def __init__(self, docs: DataFrame, reps: DataFrame, words: int, percent: int, counts: np.ndarray):
+        self.docs, self.reps, self.percent = docs, reps, percent
+        self.sets = lambda some: shingle_sets(some, words, percent, counts, whole=True)
+
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """pairs (a, b, ...) with the sizes na, nb of both sets and the size `common` of their intersection."""
+        sids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+        ids = held(sids.join(self.reps, "sid"), "compared")
+        some = near_semi(self.docs, "doc_id", ids, "rep").join(ids.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        sets = held(self.sets(some).select("sid", "n", "keys"), "sets")
+        if sets.count() > ids.count():  # rows that repeat a document
+            sets = held(sets.dropDuplicates(["sid"]), "sets")
+        left = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
+        right = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
+        both = pairs.join(left, "a").join(right, "b")
+        return both.withColumn("common", F.size(F.array_intersect("ka", "kb"))).drop("ka", "kb")
+
+    def linked(self):
+        return F.expr(f"100L * common >= {self.percent}L * (na + nb - common)")
 
-def _linked(percent: int):
-    return F.expr(f"100L * common >= {percent}L * (na + nb - common)")
 
+def _rest_size(n: str, percent: int) -> str:
+    """SQL for the shingles of a set of n that are not in its index."""
+    return f"(({percent}L * {n} + 99) div 100 - 1)"
 
-def _pivot_links(entries: DataFrame, label: DataFrame, sets: DataFrame, percent: int, pick: str) -> DataFrame:
+
+def _pivot_links(entries: DataFrame, label: DataFrame, texts: Texts, pick: str) -> DataFrame:
     """One verified link at most for each set: to the pivot of the lists that it shares most with.
 
     label: (sid, comp). Only sets of another component than the pivot are compared.
     Returns (a, b, gap): a linked to b, gap the size of the symmetric difference.
     """
+    percent = texts.percent
     known = entries.join(label, "sid")
-    pivot = known.groupBy("token").agg(getattr(F, pick)(F.struct("sid", "n", "comp")).alias("p"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    near = known.join(pivot.filter("c0 < c1"), "token").filter("comp <> p.comp").filter(
-        f"100L * least(n, p.n) >= {percent}L * greatest(n, p.n)")
-    best = near.groupBy(F.col("sid").alias("a"), F.col("p.sid").alias("b")).agg(F.count("*").alias("shared"))
-    best = best.groupBy("a").agg(F.max(F.struct("shared", F.col("b").alias("b"))).alias("best")).select("a", F.col("best.b").alias("b"))
-    return held(_compared(best, sets).filter(_linked(percent)).select("a", "b", F.expr("na + nb - 2 * common").alias("gap")), "links")
+    pivot = known.groupBy("token").agg(getattr(F, pick)(F.struct("sid", "n", "comp", "pos")).alias("p"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    near = known.join(pivot.filter("c0 < c1"), "token").filter("comp <> p.comp").filter(_may_link("n", "pos", "p.n", "p.pos", percent))
+    best = near.groupBy(F.col("sid").alias("a"), F.col("p.sid").alias("b"), F.col("n"), F.col("p.n").alias("m")).agg(F.count("*").alias("shared"))
+    best = best.filter(_may_share("shared", "n", "m", percent))
+    best = held(best.groupBy("a").agg(F.max(F.struct("shared", F.col("b").alias("b"))).alias("best")).select("a", F.col("best.b").alias("b")), "tries")
+    return held(texts.compared(best).filter(texts.linked()).select("a", "b", F.expr("na + nb - 2 * common").alias("gap")), "links")
+
+
+def _may_link(n: str, pos: str, m: str, at: str, percent: int) -> str:
+    """SQL: sizes n, m and positions pos, at of one shared shingle allow a link."""
+    return (f"100L * least({n}, {m}) >= {percent}L * greatest({n}, {m}) AND "
+            f"{100 + percent}L * (least({pos}, {at}) + 1 + least({n} - {pos}, {m} - {at}) - 1) >= {percent}L * ({n} + {m})")
+
 
+def _may_share(shared: str, n: str, m: str, percent: int) -> str:
+    """SQL: `shared` common shingles in both indexes allow a link of sets of n and m.
 
-def _rest_links(entries: DataFrame, label: DataFrame, leaders: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    What is common and not in both indexes lies behind the index that ends first.
+    """
+    return f"{100 + percent}L * ({shared} + greatest({_rest_size(n, percent)}, {_rest_size(m, percent)})) >= {percent}L * ({n} + {m})"
+
+
+def _rest_links(entries: DataFrame, label: DataFrame, leaders: DataFrame, texts: Texts) -> DataFrame:
     """Every remaining link between sets of different components (a, b)."""
+    percent = texts.percent
     room = (100 - percent) / (100 + percent)  # links have d(e, f) <= room * (n_e + n_f)
     full = (entries.join(label, "sid").join(leaders, "sid", "left")
             .select("token", "sid", "n", "pos", "comp", F.coalesce("leader", "sid").alias("leader"), F.coalesce("gap", F.lit(0)).alias("gap")))
@@ -128,19 +165,23 @@ def _rest_links(entries: DataFrame, label: DataFrame, leaders: DataFrame, sets:
     met = block.join(other, "token").filter("comp < comp_b").filter(
         f"100L * n1 >= {percent}L * n0_b AND 100L * n1_b >= {percent}L * n0").filter(
         f"{100 + percent}L * (least(p1, p1_b) + 1 + least(r1, r1_b)) >= {percent}L * (n0 + n0_b)")
-    met = met.groupBy(F.col("leader").alias("a"), F.col("leader_b").alias("b")).agg(F.max(F.expr("reach + reach_b")).alias("reach"))
-    apart = _compared(met, sets).select("a", "b", "reach", F.expr("na + nb - 2 * common").alias("apart"))
+    met = met.groupBy(F.col("leader").alias("a"), F.col("leader_b").alias("b")).agg(
+        F.max(F.expr("reach + reach_b")).alias("reach"), F.count("*").alias("lists"), F.min("n0").alias("n0"), F.min("n0_b").alias("m0"), F.max("n1").alias("n1"), F.max("n1_b").alias("m1"))
+    # no members share more lists than their blocks do
+    met = met.filter(f"{100 + percent}L * (lists + greatest({_rest_size('n1', percent)}, {_rest_size('m1', percent)})) >= {percent}L * (n0 + m0)")
+    met = held(met.select("a", "b", "reach"), "met")
+    apart = texts.compared(met).select("a", "b", "reach", F.expr("na + nb - 2 * common").alias("apart"))
     apart = held(apart.filter("apart <= reach + 1e-6").select("a", "b", "apart"), "leaders")
     # members of leaders that are near enough; distances to the leaders settle most pairs
     one = full.select("token", F.col("sid").alias("e"), F.col("n").alias("ne"), F.col("pos").alias("pe"), F.col("gap").alias("ge"), F.col("leader").alias("a"), F.col("comp").alias("ce"))
     two = full.select("token", F.col("sid").alias("f"), F.col("n").alias("nf"), F.col("pos").alias("pf"), F.col("gap").alias("gf"), F.col("leader").alias("b"), F.col("comp").alias("cf"))
     pairs = (one.join(apart, "a").join(two, ["token", "b"]).filter("ce < cf")
-             .filter(f"100L * least(ne, nf) >= {percent}L * greatest(ne, nf)")
-             .filter(f"{100 + percent}L * (least(pe, pf) + 1 + least(ne - pe, nf - pf) - 1) >= {percent}L * (ne + nf)")
+             .filter(_may_link("ne", "pe", "nf", "pf", percent))
              .filter(f"apart - ge - gf <= {room}D * (ne + nf) + 1e-6")
-             .select(F.col("e").alias("a"), F.col("f").alias("b"), F.expr(f"apart + ge + gf <= {room}D * (ne + nf) - 1e-6").alias("sure")).distinct())
-    pairs = held(pairs, "pairs")
-    checked = _compared(pairs.filter("NOT sure").select("a", "b"), sets).filter(_linked(percent)).select("a", "b")
+             .groupBy("e", "f", "ne", "nf", F.expr(f"apart + ge + gf <= {room}D * (ne + nf) - 1e-6").alias("sure")).agg(F.count("*").alias("shared"))
+             .filter("sure OR " + _may_share("shared", "ne", "nf", percent)))
+    pairs = held(pairs.select(F.col("e").alias("a"), F.col("f").alias("b"), "sure"), "pairs")
+    checked = texts.compared(pairs.filter("NOT sure").select("a", "b")).filter(texts.linked()).select("a", "b")
     return pairs.filter("sure").select("a", "b").unionByName(checked)
 
 
@@ -166,19 +207,14 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80,
     entries = held(index.join(shared, "token"), "lists")
     found = twins.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     if not entries.isEmpty():
-        ids = held(entries.select("sid").distinct().join(classes, "sid").select("sid", "rep"), "listed")
-        sets = near_semi(docs, "doc_id", ids, "rep").join(ids.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        sets = shingle_sets(sets, words, percent, counts, whole=True)
-        sets = held(sets.select("sid", "n", "keys"), "sets")
-        if sets.count() > ids.count():  # rows that repeat a document
-            sets = held(sets.dropDuplicates(["sid"]), "sets")
-        ids = ids.select("sid")
-        links = _pivot_links(entries, ids.withColumn("comp", F.col("sid")), sets, percent, "min")
-        leaders = links.groupBy(F.col("a").alias("sid")).agg(F.min(F.struct("b", "gap")).alias("x")).select("sid", F.col("x.b").alias("leader"), F.col("x.gap").alias("gap"))
-        links = links.select("a", "b")
-        links = links.unionByName(_pivot_links(entries, _labels(ids, links), sets, percent, "max").select("a", "b"))
-        links = links.unionByName(_rest_links(entries, _labels(ids, links), leaders, sets, percent))
         reps = classes.select("sid", "rep")
+        texts = Texts(docs, reps, words, percent, counts)
+        ids = held(entries.select("sid").distinct(), "listed")
+        links = _pivot_links(entries, ids.withColumn("comp", F.col("sid")), texts, "min")
+        leaders = links.select(F.col("a").alias("sid"), F.col("b").alias("leader"), "gap")
+        links = links.select("a", "b")
+        links = links.unionByName(_pivot_links(entries, _labels(ids, links), texts, "max").select("a", "b"))
+        links = links.unionByName(_rest_links(entries, _labels(ids, links), leaders, texts))
         links = links.join(reps.toDF("a", "ra"), "a").join(reps.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         found = found.unionByName(links)
     whole = components(found)
