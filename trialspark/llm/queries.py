@@ -4,20 +4,94 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from trialspark.llm.bpe import decode_documents, encode_documents
 from trialspark.llm.jaccard import jaccard_components
+from trialspark.llm.language import identify
+from trialspark.llm.lines import LINES_SQL, drop_boilerplate
+from trialspark.llm.mixing import MIX_SQL, mix
+from trialspark.llm.neardup import near_duplicates
+from trialspark.llm.substrings import remove_repeats
+from trialspark.llm.topk import top_k
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _tokenizer() -> dict[str, str]:
+    import public_tokenizers
+
+    return {"path": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    tokens = encode_documents(_table(spark, folder, "documents").select("doc_id", "text"), **_tokenizer()).select("doc_id", "token_ids")
+    both = decode_documents(tokens, **_tokenizer())
+    return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return identify(_table(spark, folder, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(_table(spark, folder, "documents"), words=4, percent=85)
 
 
+def op6_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_table(spark, folder, "embeddings"))
+
+
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(_table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", F.col("sha256").alias("kept_sha256"))
+
+
+def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(_table(spark, folder, "documents"))
+
+
+def op9_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(_table(spark, folder, "embeddings"), lambda key: key % 50 == 0)
+
+
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "source", "text")
+    return drop_boilerplate(docs, F.col("source")).select("doc_id", "source", "n_lines", "n_dropped", "text")
+
+
+TOP_K_SQL = """
+WITH scaled AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(d.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM scaled q JOIN scaled d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id AND len(q.v) = len(d.v))
+SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM scored
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+NEAR_DUP_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT r.a AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.b) AS component_id, min(r.b) = r.a AS kept
+FROM reach r LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = r.a GROUP BY r.a
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (
+        op2_byte_bpe, op3_language_id, op5_ngram_jaccard_join, op6_embedding_near_dedup,
+        op7_substring_dedup, op8_source_mix, op9_exact_top_k, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_embedding_near_dedup": NEAR_DUP_SQL, "op8_source_mix": MIX_SQL, "op9_exact_top_k": TOP_K_SQL, "op10_line_dedup": LINES_SQL}
