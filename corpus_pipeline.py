@@ -2,19 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from trialspark.llm.bpe import decode_documents, encode_documents
 from trialspark.llm.common import held
 from trialspark.llm.jaccard import keep_one
+from trialspark.llm.language import UNKNOWN, identify
+from trialspark.llm.lines import drop_boilerplate
+from trialspark.llm.mixing import take_mix
 
+#: A text is rejected if no language scores so much (0 to 1).
+LEAST_SCORE = 0.25
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs)
 
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; null texts and texts without letters go."""
+    found = identify(docs).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return found.select(docs.columns)
 
-STAGES = [("ngram_jaccard_join", near_copies)]
 
-#: Language identification cannot be expressed in SQL; the tests hold the stages against brute force.
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that are boilerplate of their source; n_chars follows the text."""
+    return drop_boilerplate(docs, F.col("source")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies (five words, similarity 0.8)."""
+    return keep_one(docs, words=5, percent=80)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return take_mix(docs)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, and whether they decode to it again."""
+    import public_tokenizers
+
+    tokenizer = {"path": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    out = encode_documents(docs.select("doc_id", "source", "text"), **tokenizer)
+    out = decode_documents(out, **tokenizer).withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary"))
+    return out.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
+
+
+STAGES = [
+    ("language_id", identify_languages),
+    ("line_dedup", dedup_lines),
+    ("ngram_jaccard_join", dedup_documents),
+    ("source_mix", mix_sources),
+    ("byte_bpe", encode_texts),
+]
+
+#: Language identification cannot be expressed in SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

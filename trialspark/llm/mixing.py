@@ -83,36 +83,55 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source_no", F.expr("k0 + CASE WHEN 2 * rest >= sum THEN 1 ELSE 0 END").alias("below"))
 
 
+def _keyed(documents: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    digest = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")), 1, KEY_DIGITS)
+    return documents.withColumns({"__source": F.col(source_col).cast("string"), "__size": words_in(F.col(text_col)), "__key": F.conv(digest, 16, 10).cast("long")})
+
+
+def _plan(rows: DataFrame, share: float, most: int, weights: tuple[float, ...]) -> DataFrame:
+    """(name, source_size, target, whole, below) of each source: all its documents whole times, those of keys below once more."""
+    totals = rows.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size"))
+    sources = targets(numbered(totals), share, most, weights)
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    sources = sources.withColumn("whole", F.floor(ratio + 1e-12)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    sources = held(sources.withColumnRenamed("source", "name"), "targets")
+    keyed = join_small(rows, sources.select("name", "source_no"), F.col("__source").eqNullSafe(F.col("name")))
+    keyed = held(keyed.select("source_no", F.col("__size").alias("size"), F.col("__key").alias("key")), "keyed")
+    edge = thresholds(keyed, sources.select("source_no", "rest"))
+    return held(sources.join(edge, "source_no", "left").select("name", "source_size", "target", "whole", F.coalesce("below", F.lit(-1)).alias("below")), "plan")
+
+
+def _times():
+    return F.col("whole") + F.when(F.col("__key") < F.col("below"), 1).otherwise(0)
+
+
 def mix(documents: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[float, ...] = (5.0, 2.0, 1.0), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document.
 
     size: words of the text (null: 0). Sources, by code point with null last, have the weights in turn;
     together their targets are `share` times all sizes, each at most `most` times its source's size. taken is
     a multiple of size, at most `most` times: all documents of a source are taken as often as its target
-    allows, and those of least key once more. A null id has a key of its own; rows that repeat an id are
-    taken together; empty texts take 0; an empty table gives an empty table. Other columns are ignored.
+    allows, and those of least key once more. Null ids share one key; rows that repeat an id are taken
+    together; empty texts take 0; an empty table gives an empty table. Other columns are ignored.
     """
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col)).alias("size"))
-    digest = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")), 1, KEY_DIGITS)
-    rows = held(rows.withColumn("key", F.conv(digest, 16, 10).cast("long")), "sizes")
-    sources = targets(numbered(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), share, most, weights)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    sources = sources.withColumn("whole", F.floor(ratio + 1e-12)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    sources = held(sources.withColumnRenamed("source", "name"), "targets")
-    keyed = held(join_small(rows, sources.select("name", "source_no"), F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "source_no", "size", "key"), "keyed")
-    edge = thresholds(keyed.select("source_no", "size", "key"), sources.select("source_no", "rest"))
-    plan = held(sources.join(edge, "source_no", "left").select("source_no", "source_size", "target", "whole", F.coalesce("below", F.lit(-1)).alias("below")), "plan")
-    times = F.col("whole") + F.when(F.col("key") < F.col("below"), 1).otherwise(0)
-    return join_small(keyed, plan, "source_no").select("doc_id", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"))
-
-
-def take_mix(documents: DataFrame, **settings) -> DataFrame:
-    """documents, each row repeated as often as the mix takes it (not at all to `most` times); empty texts stay once."""
-    key = settings.get("id_col", "doc_id")
-    taken = mix(documents, **settings)
-    times = taken.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.expr("CASE WHEN size > 0 THEN taken div size ELSE 1 END")).cast("int").alias("__times"))
-    rows = documents.join(times, F.col(key).eqNullSafe(F.col("__id")))
-    return rows.withColumn("__n", F.explode(F.sequence(F.lit(0), F.col("__times")))).filter("__n > 0").select(documents.columns)
+    rows = _keyed(documents.select(id_col, text_col, source_col), id_col, text_col, source_col).select(F.col(id_col).alias("doc_id"), "__source", "__size", "__key")
+    rows = held(rows, "sizes")
+    plan = _plan(rows, share, most, weights)
+    out = join_small(rows, plan, F.col("__source").eqNullSafe(F.col("name")))
+    return out.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * _times()).cast("long").alias("taken"))
+
+
+def take_mix(documents: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[float, ...] = (5.0, 2.0, 1.0), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """documents, each row repeated as often as the mix takes it, from not at all to `most` times.
+
+    Rows are taken as in mix(); the table is read once for the sizes and once for the rows, which are not
+    shuffled.
+    """
+    keyed = _keyed(documents, id_col, text_col, source_col)
+    plan = _plan(held(keyed.select("__source", "__size", "__key"), "sizes"), share, most, weights)
+    rows = join_small(keyed.drop("__size"), plan, F.col("__source").eqNullSafe(F.col("name")))
+    rows = rows.withColumn("__times", _times().cast("int")).filter("__times > 0").select(*documents.columns, "__times")
+    return rows.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(documents.columns)
 
 
 MIX_SQL = r"""

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialspark.llm.bpe import decode_documents, encode_documents
+from trialspark.llm.fixity import FIXITY_SQL, audit, replicas
 from trialspark.llm.jaccard import jaccard_components
-from trialspark.llm.language import identify
+from trialspark.llm.language import identify, is_held_out
 from trialspark.llm.lines import LINES_SQL, drop_boilerplate
 from trialspark.llm.mixing import MIX_SQL, mix
 from trialspark.llm.neardup import near_duplicates
+from trialspark.llm.secrets import scan
 from trialspark.llm.substrings import remove_repeats
 from trialspark.llm.topk import top_k
 
@@ -18,6 +20,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_warc_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    return audit(*replicas(_table(spark, folder, "pages")))
+
+
 def _tokenizer() -> dict[str, str]:
     import public_tokenizers
 
@@ -36,6 +42,13 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(_table(spark, folder, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels: findings of documents outside the held-out third, reviewed by the format of the planted secrets."""
+    real = F.col("before").rlike(r'(?i)(token|key|secret|password)\s*[=:]\s*"$') & F.col("candidate").rlike("^[0-9a-f]{40}$")
+    found = scan(_table(spark, folder, "documents"), F.when(~is_held_out(), real))
+    return found.select("doc_id", "start", F.length("candidate").alias("length"), F.sha2(F.col("candidate").cast("binary"), 256).alias("candidate_sha256"), "score", "is_secret")
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(_table(spark, folder, "documents"), words=4, percent=85)
 
@@ -89,9 +102,9 @@ FROM reach r LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op2_byte_bpe, op3_language_id, op5_ngram_jaccard_join, op6_embedding_near_dedup,
+        op1_warc_fixity, op2_byte_bpe, op3_language_id, op4_secret_scan, op5_ngram_jaccard_join, op6_embedding_near_dedup,
         op7_substring_dedup, op8_source_mix, op9_exact_top_k, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_embedding_near_dedup": NEAR_DUP_SQL, "op8_source_mix": MIX_SQL, "op9_exact_top_k": TOP_K_SQL, "op10_line_dedup": LINES_SQL}
+    return {"op1_warc_fixity": FIXITY_SQL, "op6_embedding_near_dedup": NEAR_DUP_SQL, "op8_source_mix": MIX_SQL, "op9_exact_top_k": TOP_K_SQL, "op10_line_dedup": LINES_SQL}
