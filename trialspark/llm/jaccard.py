@@ -4,8 +4,8 @@ Method: set-relation skipping. Each set is indexed under its rarest shingles onl
 and two relations between sets save work.
 
 * Index level: the entries of a shingle's list carry the set size and the position of the shingle in
-  its set. Entries of one leader form a block with least and greatest size and position; a pair of
-  blocks whose sizes, positions or number of common lists cannot reach the threshold is skipped whole.
+  its set. Entries of like size and position form a block; a pair of blocks whose sizes or positions
+  cannot reach the threshold is skipped whole, and so is a pair of sets with too few common lists.
 * Answer level: a set that is highly similar to an already answered set (its leader) takes over the
   leader's answers. With the exact distance d(p, q) between two leaders and the distances d(e, p),
   d(f, q) of their members, |d(p, q) - d(e, p) - d(f, q)| bounds d(e, f): most member pairs are
@@ -119,28 +119,20 @@ def _rest_size(n: str, percent: int) -> str:
     return f"(({percent}L * {n} + 99) div 100 - 1)"
 
 
-def _pivot_links(entries: DataFrame, label: DataFrame, texts: Texts, pick: str) -> DataFrame:
-    """One verified link at most for each set: to the pivot of the lists that it shares most with.
-
-    label: (sid, comp). Only sets of another component than the pivot are compared.
-    Returns (a, b, gap): a linked to b, gap the size of the symmetric difference.
-    """
-    percent = texts.percent
-    known = entries.join(label, "sid")
-    pivot = known.groupBy("token").agg(getattr(F, pick)(F.struct("sid", "n", "comp", "pos")).alias("p"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    near = known.join(pivot.filter("c0 < c1"), "token").filter("comp <> p.comp").filter(_may_link("n", "pos", "p.n", "p.pos", percent))
-    best = near.groupBy(F.col("sid").alias("a"), F.col("p.sid").alias("b"), F.col("n"), F.col("p.n").alias("m")).agg(F.count("*").alias("shared"))
-    best = best.filter(_may_share("shared", "n", "m", percent))
-    best = held(best.groupBy("a").agg(F.max(F.struct("shared", F.col("b").alias("b"))).alias("best")).select("a", F.col("best.b").alias("b")), "tries")
-    return held(texts.compared(best).filter(texts.linked()).select("a", "b", F.expr("na + nb - 2 * common").alias("gap")), "links")
-
-
 def _may_link(n: str, pos: str, m: str, at: str, percent: int) -> str:
     """SQL: sizes n, m and positions pos, at of one shared shingle allow a link."""
     return (f"100L * least({n}, {m}) >= {percent}L * greatest({n}, {m}) AND "
             f"{100 + percent}L * (least({pos}, {at}) + 1 + least({n} - {pos}, {m} - {at}) - 1) >= {percent}L * ({n} + {m})")
 
 
+def _may_start(n: str, pos: str, m: str, at: str, percent: int) -> str:
+    """SQL: a link of sets of n and m may have its first common shingle at positions pos and at.
+
+    Nothing before it is common, so that all common shingles lie behind it. Every link has such a shingle.
+    """
+    return f"{100 + percent}L * least({n} - {pos}, {m} - {at}) >= {percent}L * ({n} + {m})"
+
+
 def _may_share(shared: str, n: str, m: str, percent: int) -> str:
     """SQL: `shared` common shingles in both indexes allow a link of sets of n and m.
 
@@ -149,40 +141,62 @@ def _may_share(shared: str, n: str, m: str, percent: int) -> str:
     return f"{100 + percent}L * ({shared} + greatest({_rest_size(n, percent)}, {_rest_size(m, percent)})) >= {percent}L * ({n} + {m})"
 
 
+def _pivot_links(entries: DataFrame, label: DataFrame, texts: Texts, pick: str) -> DataFrame:
+    """One verified link at most for each set: to the pivot of the lists that it shares most with.
+
+    label: (sid, comp). The pivot of a list is the set with the fewest shingles of its own before the list's
+    ("first": a group's original rather than one of its variants) or the one of greatest sid ("last"). Only sets
+    of another component than the pivot are compared. Returns (a, b, gap): a linked to b, gap the size of the
+    symmetric difference.
+    """
+    percent = texts.percent
+    known = entries.join(label, "sid")
+    row = F.struct("pos", "sid", "n", "comp") if pick == "first" else F.struct((-F.col("sid")).alias("other"), "sid", "n", "comp", "pos")
+    pivot = known.groupBy("token").agg(F.min(row).alias("p"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    near = known.join(pivot.filter("c0 < c1"), "token").filter("comp <> p.comp").filter(_may_link("n", "pos", "p.n", "p.pos", percent))
+    start = F.expr(_may_start("n", "pos", "p.n", "p.pos", percent))
+    best = near.groupBy(F.col("sid").alias("a"), F.col("p.sid").alias("b"), F.col("n"), F.col("p.n").alias("m")).agg(
+        F.count("*").alias("shared"), F.max(start).alias("starts"))
+    best = best.filter("starts").filter(_may_share("shared", "n", "m", percent))
+    best = held(best.groupBy("a").agg(F.max(F.struct("shared", F.col("b").alias("b"))).alias("best")).select("a", F.col("best.b").alias("b")), "tries")
+    return held(texts.compared(best).filter(texts.linked()).select("a", "b", F.expr("na + nb - 2 * common").alias("gap")), "links")
+
+
 def _rest_links(entries: DataFrame, label: DataFrame, leaders: DataFrame, texts: Texts) -> DataFrame:
     """Every remaining link between sets of different components (a, b)."""
     percent = texts.percent
     room = (100 - percent) / (100 + percent)  # links have d(e, f) <= room * (n_e + n_f)
-    full = (entries.join(label, "sid").join(leaders, "sid", "left")
-            .select("token", "sid", "n", "pos", "comp", F.coalesce("leader", "sid").alias("leader"), F.coalesce("gap", F.lit(0)).alias("gap")))
+    full = entries.join(label, "sid").select("token", "sid", "n", "pos", "comp")
     mixed = full.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("token")
     full = held(full.join(mixed, "token"), "open")
-    block = full.groupBy("token", "leader", "comp").agg(
-        F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("pos").alias("p1"), F.max(F.expr("n - pos - 1")).alias("r1"),
-        F.max(F.expr(f"{room}D * n + gap")).alias("reach"))
-    other = block.select("token", *[F.col(c).alias(c + "_b") for c in ("leader", "comp", "n0", "n1", "p1", "r1", "reach")])
-    # a pair of blocks is skipped when neither sizes nor positions can reach the threshold
-    met = block.join(other, "token").filter("comp < comp_b").filter(
-        f"100L * n1 >= {percent}L * n0_b AND 100L * n1_b >= {percent}L * n0").filter(
-        f"{100 + percent}L * (least(p1, p1_b) + 1 + least(r1, r1_b)) >= {percent}L * (n0 + n0_b)")
-    met = met.groupBy(F.col("leader").alias("a"), F.col("leader_b").alias("b")).agg(
-        F.max(F.expr("reach + reach_b")).alias("reach"), F.count("*").alias("lists"), F.min("n0").alias("n0"), F.min("n0_b").alias("m0"), F.max("n1").alias("n1"), F.max("n1_b").alias("m1"))
-    # no members share more lists than their blocks do
-    met = met.filter(f"{100 + percent}L * (lists + greatest({_rest_size('n1', percent)}, {_rest_size('m1', percent)})) >= {percent}L * (n0 + m0)")
-    met = held(met.select("a", "b", "reach"), "met")
-    apart = texts.compared(met).select("a", "b", "reach", F.expr("na + nb - 2 * common").alias("apart"))
-    apart = held(apart.filter("apart <= reach + 1e-6").select("a", "b", "apart"), "leaders")
-    # members of leaders that are near enough; distances to the leaders settle most pairs
-    one = full.select("token", F.col("sid").alias("e"), F.col("n").alias("ne"), F.col("pos").alias("pe"), F.col("gap").alias("ge"), F.col("leader").alias("a"), F.col("comp").alias("ce"))
-    two = full.select("token", F.col("sid").alias("f"), F.col("n").alias("nf"), F.col("pos").alias("pf"), F.col("gap").alias("gf"), F.col("leader").alias("b"), F.col("comp").alias("cf"))
-    pairs = (one.join(apart, "a").join(two, ["token", "b"]).filter("ce < cf")
-             .filter(_may_link("ne", "pe", "nf", "pf", percent))
-             .filter(f"apart - ge - gf <= {room}D * (ne + nf) + 1e-6")
-             .groupBy("e", "f", "ne", "nf", F.expr(f"apart + ge + gf <= {room}D * (ne + nf) - 1e-6").alias("sure")).agg(F.count("*").alias("shared"))
-             .filter("sure OR " + _may_share("shared", "ne", "nf", percent)))
-    pairs = held(pairs.select(F.col("e").alias("a"), F.col("f").alias("b"), "sure"), "pairs")
-    checked = texts.compared(pairs.filter("NOT sure").select("a", "b")).filter(texts.linked()).select("a", "b")
-    return pairs.filter("sure").select("a", "b").unionByName(checked)
+    # blocks of one size class and position class; a pair of blocks out of reach is skipped whole
+    full = full.withColumns({"nc": F.floor(F.log2(F.col("n").cast("double")) * 4), "pc": F.floor(F.log2(F.col("pos") + 1.0))})
+    block = full.groupBy("token", "nc", "pc").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("p0"), F.max(F.expr("n - pos")).alias("r1"),
+                                                  F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    other = block.select("token", *[F.col(c).alias(c + "_b") for c in ("nc", "pc", "n0", "n1", "p0", "r1", "c0", "c1")])
+    reach = block.join(other, "token").filter(
+        f"100L * n1 >= {percent}L * n0_b AND 100L * n1_b >= {percent}L * n0 AND {100 + percent}L * least(r1, r1_b) >= {percent}L * (n0 + n0_b)"
+    ).filter("NOT (c0 = c1 AND c0_b = c1_b AND c0 = c0_b)").select("token", "nc", "pc", "nc_b", "pc_b")
+    one = full.select("token", "nc", "pc", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
+    two = full.select("token", F.col("nc").alias("nc_b"), F.col("pc").alias("pc_b"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
+    pairs = one.join(reach, ["token", "nc", "pc"]).join(two, ["token", "nc_b", "pc_b"]).filter("ca < cb")
+    pairs = pairs.filter(_may_link("na", "pa", "nb", "pb", percent)).filter(_may_start("na", "pa", "nb", "pb", percent))
+    met = held(pairs.select("a", "b", "na", "nb").distinct(), "met")
+    # the number of common lists, of all positions
+    own = full.groupBy("sid").agg(F.collect_list("token").alias("tokens"))
+    left, right = own.toDF("a", "ta"), own.toDF("b", "tb")
+    met = met.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("ta", "tb"))).filter(_may_share("shared", "na", "nb", percent))
+    lead = lambda c: leaders.select(F.col("sid").alias(c), F.col("leader").alias("l" + c), F.col("gap").alias("g" + c))
+    met = met.select("a", "b", "na", "nb").join(lead("a"), "a", "left").join(lead("b"), "b", "left").select(
+        "a", "b", "na", "nb", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"), F.coalesce("ga", F.lit(0)).alias("ga"), F.coalesce("gb", F.lit(0)).alias("gb"))
+    met = held(met, "close")
+    # the answer of two leaders bounds that of their members; only what it leaves open is compared
+    ends = met.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    apart = held(texts.compared(ends).select(F.col("a").alias("la"), F.col("b").alias("lb"), F.expr("na + nb - 2 * common").alias("apart")), "leaders")
+    met = met.join(apart, ["la", "lb"]).filter(f"apart - ga - gb <= {room}D * (na + nb) + 1e-6")
+    met = held(met.select("a", "b", F.expr(f"apart + ga + gb <= {room}D * (na + nb) - 1e-6").alias("sure")), "pairs")
+    checked = texts.compared(met.filter("NOT sure").select("a", "b")).filter(texts.linked()).select("a", "b")
+    return met.filter("sure").select("a", "b").unionByName(checked)
 
 
 def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,10 +224,10 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80,
         reps = classes.select("sid", "rep")
         texts = Texts(docs, reps, words, percent, counts)
         ids = held(entries.select("sid").distinct(), "listed")
-        links = _pivot_links(entries, ids.withColumn("comp", F.col("sid")), texts, "min")
+        links = _pivot_links(entries, ids.withColumn("comp", F.col("sid")), texts, "first")
         leaders = links.select(F.col("a").alias("sid"), F.col("b").alias("leader"), "gap")
         links = links.select("a", "b")
-        links = links.unionByName(_pivot_links(entries, _labels(ids, links), texts, "max").select("a", "b"))
+        links = links.unionByName(_pivot_links(entries, _labels(ids, links), texts, "last").select("a", "b"))
         links = links.unionByName(_rest_links(entries, _labels(ids, links), leaders, texts))
         links = links.join(reps.toDF("a", "ra"), "a").join(reps.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         found = found.unionByName(links)
