@@ -13,8 +13,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from trialspark.plans import load_all  # noqa: E402
 from trialspark.session import build_session  # noqa: E402
 
-TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
-          "benchmark labels conversations").split()
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+    "pages", "benchmark", "labels", "conversations",
+)
 
 
 def key(row):

@@ -169,10 +169,10 @@ def test_segment_edge_cases(spark):
     assert (c.worst_segment_index, c.high_complexity_ratio, c.low_complexity_ratio) == (0, 0.75, 0.25)
 
 
-def test_long_zone_texts_are_split_in_parts(spark):
+def test_long_zone_texts_stay_one_text(spark):
     df = spark.range(2500).select(F.lit(1).alias("video_id"), F.col("id").cast("int").alias("seg_index"), F.col("id").alias("start_frame"), (F.col("id") + 1).alias("end_frame"), F.lit(20).alias("qp"))
-    parts = S.zones_text(df).orderBy("part").collect()
-    assert len(parts) == 3 and "/".join(p.zones for p in parts).count("q=20") == 2500 and parts[0].zones.startswith("zones=0,1,q=20/1,2")
+    (row,) = S.zones_text(df).collect()
+    assert row.zones.count("q=20") == 2500 and row.zones.startswith("zones=0,1,q=20/1,2")
 
 
 def test_whole_file_setting_ties(spark):
@@ -197,6 +197,20 @@ def test_natural_order(spark):
     assert [r.n for r in df.filter("n like 'v%'").orderBy(X.natural_key(F.col("n"))).collect()] == ["v9", "v10"]
 
 
+def test_natural_order_of_long_digit_runs(spark):
+    df = spark.createDataFrame([("v" + "9" * 50,), ("v1" + "0" * 50,), ("v007",), ("v8",)], "n string")
+    assert [len(r.n) for r in df.orderBy(X.natural_key(F.col("n"))).collect()] == [4, 2, 51, 52]
+    assert [len(r.n) for r in X.order_names(df.selectExpr("substring(n, 2) AS n"), "n").collect()] == [3, 1, 50, 51]
+
+
+def test_segments_without_zones_or_frames_stay(spark):
+    two = segs(spark, (0, 30, 0.5, 1.0), (30, 60, 0.5, 1.0))
+    zones = spark.createDataFrame([], "video_id int, zone_pos int, zone_start int, crf double, qp double, bitrate double")
+    assert [(r.rc_mode, r.zone_match, r.crf) for r in S.attach_zones(two, zones).collect()] == 2 * [("fallback", "none", None)]
+    none = S.frames_in_segments(two, spark.createDataFrame([], "video_id int, frame int, size bigint"), ["size"]).collect()
+    assert [(r.frame, r.size, r.is_nearest) for r in none] == 2 * [(None, None, False)]
+
+
 def test_folds_split_like_blocks(spark):
     df = spark.range(11).select(F.col("id"))
     got = {r.id: r.fold for r in M.contiguous_folds(df, ["id"], F.floor(F.col("id") / 3).cast("bigint"), 3).collect()}

@@ -87,3 +87,26 @@ def test_asof_and_nearest_match_brute_force(spark):
 def test_top_one_limits_before_the_shuffle(rows):
     plan = S.top_one(rows, ["k"], F.col("x").desc(), F.col("id"))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_null_keys_are_one_group_and_long_groups_carry(spark, monkeypatch):
+    from trialspark.operators import scan
+    monkeypatch.setattr(scan, "CHUNKS_PER_GROUP", 3)
+    df = spark.range(200).select(F.when(F.col("id") % 2 == 0, "k").alias("g"), F.col("id").alias("at"), F.when(F.col("id") % 7 < 2, F.col("id")).alias("v"))
+    out = scan.ordered_scan(df, ["g"], ["at"], F.floor(F.col("at") / 5).cast("bigint"), s=scan.running_sum(F.lit(1)), n=scan.next_value(F.col("v")),
+                            p=scan.previous(F.col("v")), m=scan.max_before(F.col("v")), x=scan.last_value(F.col("v")), t=scan.group_sum(F.lit(1)))
+    rows = sorted(out.collect(), key=lambda r: r.at)
+    for parity in (0, 1):
+        own = [r for r in rows if r.at % 2 == parity]
+        for i, r in enumerate(own):
+            before, after = [o.v for o in own[:i] if o.v is not None], [o.v for o in own[i:] if o.v is not None]
+            upto = [o.v for o in own[: i + 1] if o.v is not None]
+            assert (r.s, r.t) == (i + 1, 100) and r.p == (own[i - 1].v if i else None)
+            assert r.n == (after[0] if after else None) and r.m == (max(before) if before else None) and r.x == (upto[-1] if upto else None)
+
+
+def test_no_forward_frames(spark):
+    from trialspark.operators import scan
+    df = spark.range(10).selectExpr("1 AS g", "id AS at", "id AS v")
+    plan = scan.ordered_scan(df, ["g"], ["at"], F.floor(F.col("at") / 5).cast("bigint"), n=scan.next_value(F.col("v")))._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedfollowing" not in plan.replace("specifiedwindowframe(RowFrame, unboundedpreceding$(), unboundedfollowing$())", "")

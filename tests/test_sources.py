@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from trialspark import schema as SC
 from trialspark.operators.fleet import stale_documents
@@ -118,6 +118,52 @@ def test_repeated_batch_is_skipped(spark, tmp_path):
     assert t.read(rows.schema).count() == 2
 
 
+def test_upsert_survives_a_crash_before_the_manifest(spark, tmp_path, monkeypatch):
+    t = table(spark, tmp_path / "t")
+    rows = spark.createDataFrame([("r", "a", 1.0, 30.0)], SCHEMA)
+    with monkeypatch.context() as m:
+        m.setattr(K.files, "create_small", lambda *a: (_ for _ in ()).throw(RuntimeError("driver lost")))
+        with pytest.raises(RuntimeError):
+            t.upsert(rows, 0)
+    assert t.read(rows.schema).count() == 0
+    assert t.upsert(rows, 0) and t.read(rows.schema).count() == 1
+
+
+def test_two_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    one, two = table(spark, tmp_path / "t"), table(spark, tmp_path / "t")
+    a, b = (spark.createDataFrame([("r", k, 1.0, 30.0)], SCHEMA) for k in "ab")
+    create = K.files.create_small
+
+    def second_first(*args):
+        monkeypatch.setattr(K.files, "create_small", create)
+        two.upsert(b)
+        return create(*args)
+
+    monkeypatch.setattr(K.files, "create_small", second_first)
+    one.upsert(a)
+    assert sorted(r.job_id for r in one.read(a.schema).collect()) == ["a", "b"]
+
+
+def test_buckets_follow_the_size(spark, tmp_path):
+    t = K.UpsertTable(spark, str(tmp_path / "t"), ["created_at", "crf"], buckets=1, bucket_rows=10)
+    rows = spark.range(100).selectExpr("'r' AS run_id", "CAST(id AS STRING) AS job_id", "1D AS created_at", "CAST(id AS DOUBLE) AS crf")
+    t.upsert(rows)
+    t.upsert(rows.withColumn("created_at", F.lit(2.0)))
+    got = t.read(rows.schema)
+    assert len(t.parts()) > 8 and got.count() == 100 and got.filter("created_at = 2").count() == 100
+
+
+def test_readers_survive_odd_numbers(spark, tmp_path):
+    lines = spark.createDataFrame([(json.dumps({"crf": 1e12, "aq_strength": "x"}),), (json.dumps({"crf": "27"}),)], "value string")
+    assert [r.crf for r in R.parse_objects(lines, {"crf": T.IntegerType(), "aq_strength": T.DoubleType()}).collect()] == [None, 27]
+    seg = tmp_path / "w" / "v" / "segment_01"
+    seg.mkdir(parents=True)
+    (tmp_path / "w" / "all_trials.jsonl").write_text("", encoding="utf-8")
+    (seg / "trials.jsonl").write_text(json.dumps({"crf": 30}) + "\n", encoding="utf-8")
+    (seg / "train_rows.jsonl").write_text(json.dumps({"crf": 99}) + "\n", encoding="utf-8")
+    assert [(r.video_stem, r.segment_index, r.crf) for r in R.read_trials(spark, str(tmp_path / "w")).collect()] == [("v", 1, 30)]
+
+
 def test_flatten_result(spark):
     doc = {"run_id": "r", "job_id": "v1", "uploaded": True, "best": {"crf": 30.0, "recipe": "p", "s_f": 0.5}, "features": {"motion": 0.5}}
     d = spark.createDataFrame([(json.dumps(doc),), ('{"run_id": "r"}',)], "d string").select(F.from_json("d", SC.RESULT_DOC).alias("r")).select("r.*")

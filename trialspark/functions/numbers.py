@@ -19,8 +19,8 @@ def _same(v) -> Column:
 
 
 def half_even(x: Column) -> Column:
-    """round(x) with ties to even, as an integer."""
-    return F.rint(x).cast("int")
+    """round(x) with ties to even, as an integer; null beyond 32 bits."""
+    return F.rint(x).try_cast("int")
 
 
 def round_even(x: Column, digits: int) -> Column:

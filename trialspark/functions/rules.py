@@ -160,11 +160,12 @@ def aq_strength() -> tuple[Column, Column]:
               (dark_noisy, "cap", 1.0, "dark_noisy"), (dark_clean, "floor", 1.15, "dark_clean")]
     for cond, kind, limit, name in bounds:
         hit = (cond & (s < limit)) if kind == "floor" else cond
-        why.append(F.when(hit, F.lit(f"{name} {kind} {limit}")))
+        why.append(F.when(hit, F.lit(f"{name} → {kind} {limit}")))
         # null limits are skipped, so an unmet condition changes nothing
         s = (F.greatest if kind == "floor" else F.least)(s, F.when(cond, F.lit(limit)))
     s = round_even(clamp(s, AQ_MIN, AQ_MAX), 2)
-    return s, F.array_compact(F.array(*why))
+    head = F.concat(F.lit("aq-strength="), short_text(s), F.lit(" (base 1.0)"))
+    return s, F.array_compact(F.array(head, *why))
 
 
 def segment_gop() -> Column:
@@ -328,7 +329,9 @@ def knob_candidates(base: dict[str, Column]) -> dict[str, Column]:
     fast = mot >= 0.55
 
     def start(key, default):
-        return F.coalesce(base[key].cast("double"), F.lit(float(default)))
+        number = base[key].try_cast("double")
+        whole = number if key == "aq-strength" else F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("double")
+        return F.coalesce(whole, F.lit(float(default)))
 
     def steps(b, *ds):
         return F.array(*[b + float(d) for d in ds])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # Characters that count as white space.
@@ -72,18 +74,26 @@ OPTION_COLUMNS = {"aq-mode": "int", "aq-strength": "double", "rd": "int", "ref":
 def expand_options(df, params: str, prefix: str = ""):
     """Typed option columns from a parameter text column (integers are read through
     a float), plus the raw text of values that are no number."""
-    df = df.withColumn("_opts", option_entries(F.col(params)))
-    raws = df.withColumns({f"_raw_{k}": entry_value(F.col("_opts"), k) for k in OPTION_COLUMNS})
+    # a bare key has the value '1'
+    filled = F.regexp_replace(F.coalesce(F.col(params), F.lit("")), r"(?<=^|:) *([^:= ][^:=]*?) *(?=:|$)", "$1=1")
+    df = df.withColumn("_opts", filled)
+    raws = df.withColumns({f"_raw_{k}": last_option(F.col("_opts"), k) for k in OPTION_COLUMNS})
     out = {}
     for key, typ in OPTION_COLUMNS.items():
         raw = F.col(f"`_raw_{key}`")
         n = raw.try_cast("double")
         name = prefix + key.replace("-", "_")
-        out[name] = n.cast("int") if typ == "int" else n
+        out[name] = n.try_cast("int") if typ == "int" else n
         out[f"{name}_raw"] = F.when(n.isNull(), raw)
     return raws.withColumns(out).drop("_opts", *[f"_raw_{k}" for k in OPTION_COLUMNS])
 
 
+def last_option(filled: Column, key: str) -> Column:
+    """Last value of an option in `a=b:c=d` text, by one anchored pattern; null without it."""
+    found = F.regexp_extract(filled, rf"(?s)^(?:.*:)? *{re.escape(key)} *(=[^:]*)(?::.*)?$", 1)
+    return F.when(found != "", F.trim(found.substr(F.lit(2), F.length(found))))
+
+
 def url_path(url: Column) -> Column:
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
     return F.regexp_replace(path, r";[^/]*$", "")

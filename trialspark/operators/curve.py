@@ -17,13 +17,29 @@ from trialspark.operators.trials import SEGMENT, SEQ
 MIN_CQ, MAX_CQ = 0, 63
 
 
-def observations(trials: DataFrame, keys=SEGMENT, seq=SEQ) -> DataFrame:
-    """One observation per (curve, cq): a working trial before a failed one, then the best score."""
-    rows = trials.filter(F.col("crf").between(MIN_CQ, MAX_CQ)).withColumn("cq", F.col("crf").cast("int"))
+def _with_cq(trials: DataFrame) -> DataFrame:
+    return trials.withColumn("cq", F.col("crf").try_cast("int"))
+
+
+def observations(trials: DataFrame, keys=SEGMENT, seq=SEQ, cq_range: tuple[int, int] = (MIN_CQ, MAX_CQ)) -> DataFrame:
+    """One observation per (curve, cq): a working trial before a failed one, then the best score.
+
+    The setting is cut to a whole CQ and has to lie in cq_range, which bounds the points of a curve; what
+    is left out comes back from rejected_observations. A missing rate counts as 1, a missing quality or
+    score as 0.
+    """
+    rows = _with_cq(trials).filter(F.col("cq").between(*cq_range))
     ok = F.coalesce(F.col("encode_ok"), F.lit(False))
     best = top_one(rows, [*keys, "cq"], ok.desc(), F.coalesce("s_f", F.lit(0.0)).desc(), *[F.col(c).asc() for c in seq])
-    return best.select(*keys, "cq", F.col("vmaf_neg").alias("vmaf"), "compression_rate", "compression_ratio", "s_f",
-                       ok.alias("encode_ok"))
+    return best.select(*keys, "cq", F.coalesce("vmaf_neg", F.lit(0.0)).alias("vmaf"), F.coalesce("compression_rate", F.lit(1.0)).alias("compression_rate"),
+                       "compression_ratio", F.coalesce("s_f", F.lit(0.0)).alias("s_f"), ok.alias("encode_ok"))
+
+
+def rejected_observations(trials: DataFrame, cq_range: tuple[int, int] = (MIN_CQ, MAX_CQ)) -> DataFrame:
+    """Trials that no curve can hold, with the reason: no number, or a CQ outside the range."""
+    rows = _with_cq(trials)
+    reason = F.when(F.col("cq").isNull(), "no_cq").when(~F.col("cq").between(*cq_range), "cq_out_of_range")
+    return rows.withColumn("reject_reason", reason).filter(F.col("reject_reason").isNotNull()).drop("cq")
 
 
 def curves(obs: DataFrame, keys=SEGMENT) -> DataFrame:

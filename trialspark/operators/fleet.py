@@ -34,7 +34,7 @@ def job_keys(jobs: DataFrame) -> DataFrame:
     """Names under which a job's video may be found; the later job wins a name."""
     jid = F.trim(F.coalesce("job_id", F.lit("")))
     file = F.element_at(F.split(F.coalesce("input_path", F.lit("")), "/"), -1)
-    alias = F.when(F.regexp_like(jid, F.lit(r"^v\d+$")), F.concat(F.substring(jid, 2, 1000000), F.lit(".mp4")))
+    alias = F.when(F.regexp_like(jid, F.lit(r"^v\d+$")), F.concat(jid.substr(F.lit(2), F.length(jid)), F.lit(".mp4")))
     names = F.filter(F.array(file, jid, alias), lambda n: n.isNotNull() & (n != ""))
     x = jobs.select("job_id", "job_pos", F.posexplode(names).alias("_i", "name"))
     return top_one(x, ["name"], F.col("job_pos").desc(), F.col("_i").desc()).select("name", "job_id")
@@ -60,17 +60,23 @@ def order_catalogue(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("result_mtime").desc_nulls_last(), F.lower("name"))
 
 
+def _number_key(digits: Column) -> Column:
+    """Sorts digit runs of any length by value: by length without leading zeros, then by digits."""
+    short = F.regexp_replace(digits, "^0+(?=.)", "")
+    return F.struct(F.length(short).alias("length"), short.alias("digits"))
+
+
 def natural_key(x: Column) -> Column:
     """Sort key that reads digit runs as numbers: array of (is_text, number, text)."""
-    parts = F.regexp_extract_all(x, F.lit(r"\d+|\D+"), 0)
+    parts = F.regexp_extract_all(x, F.lit(r"[0-9]+|[^0-9]+"), 0)
     return F.transform(parts, lambda p: F.struct(
-        p.try_cast("decimal(38,0)").isNull().alias("is_text"), p.try_cast("decimal(38,0)").alias("number"), F.lower(p).alias("text")))
+        (~p.rlike("^[0-9]")).alias("is_text"), F.when(p.rlike("^[0-9]"), _number_key(p)).alias("number"), F.lower(p).alias("text")))
 
 
 def order_names(df: DataFrame, name: str) -> DataFrame:
     """Whole-number names by value, then the others as text."""
-    num = F.regexp_like(name, F.lit(r"^\d+$"))
-    return df.orderBy(num.desc(), F.when(num, F.col(name).try_cast("decimal(38,0)")), name)
+    num = F.regexp_like(name, F.lit("^[0-9]+$"))
+    return df.orderBy(num.desc(), F.when(num, _number_key(F.col(name))), name)
 
 
 def segments_with_best(segs: DataFrame, rich: DataFrame, trials: DataFrame, features: list[str], root_names: list[str],
@@ -136,17 +142,26 @@ def job_bitrates(jobs: DataFrame, features: DataFrame) -> DataFrame:
     return j.withColumns({"bitrate": F.coalesce(explicit, F.when(err.isNull(), made["bitrate"])), "error": err})
 
 
-def fleet_status(results: DataFrame, expected: DataFrame) -> DataFrame:
-    """Counts per threshold against the expected jobs, with a change fingerprint."""
+def status_counts(results: DataFrame, *more: str) -> DataFrame:
+    """Counts and newest change per threshold (and `more` keys); counts of disjoint results add up."""
     ok = (F.coalesce("error", F.lit("")) == "") & F.col("crf").isNotNull()
-    g = results.groupBy("vmaf_threshold").agg(
+    return results.groupBy("vmaf_threshold", *more).agg(
         F.count_if("has_best").alias("best_json"), F.count_if("has_result").alias("result_json"), F.count_if(ok & F.col("has_best")).alias("ok_best"),
         F.max(F.when(F.col("has_best"), F.col("mtime"))).alias("newest"))
-    out = expected.join(g, "vmaf_threshold", "left")
-    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("best_json", "result_json", "ok_best")})
+
+
+def status_against(counts: DataFrame, expected: DataFrame) -> DataFrame:
+    """Added-up counts per threshold against the expected jobs, with a change fingerprint."""
+    numbers = ("best_json", "result_json", "ok_best")
+    g = counts.groupBy("vmaf_threshold").agg(*[F.sum(c).alias(c) for c in numbers], F.max("newest").alias("newest"))
+    out = expected.join(g, "vmaf_threshold", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in numbers})
     return out.withColumn("done", (F.col("ok_best") >= F.col("expected_jobs")) & (F.col("expected_jobs") > 0))
 
 
+def fleet_status(results: DataFrame, expected: DataFrame) -> DataFrame:
+    return status_against(status_counts(results), expected)
+
+
 def latest_results(results: DataFrame, limit: int = 50) -> DataFrame:
     return results.orderBy(F.col("created_at").desc(), F.col("job_id").desc()).limit(limit)
 
@@ -154,17 +169,20 @@ def latest_results(results: DataFrame, limit: int = 50) -> DataFrame:
 # What a current feature document must hold.
 NEEDED_SEGMENT_KEYS = ("si", "ti", "luma_mean", "sat_mean")
 MIN_SAMPLES = 16
+# Detectors by the start of their name, the last for all others; what else counts as one.
+DETECTORS = (("builtin", "builtin"), ("adapt", "adaptive"), ("", "content"))
+ACCEPTED_WITH = {"builtin": ("",)}
 
 
 def stale_documents(docs: DataFrame, detector: str = "content") -> DataFrame:
     """Feature documents that must be extracted again (missing keys, other detector,
     too few samples)."""
-    want = "builtin" if detector == "builtin" else "adaptive" if detector.lower().startswith("adapt") else "content"
+    want = next((kind for start, kind in DETECTORS if detector.lower().startswith(start)), DETECTORS[-1][1])
     first = F.get("segments", F.lit(0))
     missing = F.coalesce(F.size("segments"), F.lit(0)) <= 0
     for k in NEEDED_SEGMENT_KEYS:
         missing = missing | first[k].isNull()
     have = F.coalesce(F.col("meta.scene_detect.detector"), F.lit(""))
-    other = (have != "") & (have != "builtin") if want == "builtin" else have != want
+    accepted = [want, *ACCEPTED_WITH.get(want, ())]
     few = F.coalesce(F.col("meta.samples_per_segment"), F.lit(0)) < MIN_SAMPLES
-    return docs.filter(F.coalesce(missing, F.lit(True)) | other | few)
+    return docs.filter(F.coalesce(missing, F.lit(True)) | ~have.isin(accepted) | few)

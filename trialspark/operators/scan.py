@@ -5,7 +5,7 @@ chunks by a monotone function of its leading order column: the window runs
 inside (group, chunk), one summary row per chunk is carried forward over the
 group, and the carry is joined back on (group, chunk). A group that holds a
 third of all rows is thus spread over as many tasks as it has chunks, and the
-only per-group step sees one row per chunk.
+only per-group step sees one row per 4096 chunks.
 """
 
 from __future__ import annotations
@@ -14,8 +14,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from trialspark.session import materialize
+
 CHUNK = "_chunk"
 LINES_PER_CHUNK = 65536
+_WIDE = "_wide"
+CHUNKS_PER_GROUP = 4096
 
 
 def running_sum(x: Column):
@@ -68,20 +72,24 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column
 
     `chunk` must not decrease along the order (with `reverse` the walk goes from
     the end and `previous` becomes "next"). Without a chunk the group size must
-    have a known bound, and a plain window is used. Key columns are non-null.
+    have a known bound, and a plain window is used. Rows with a null key form a group.
     """
     keys = list(keys)
     ordering = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
+    # nulls come first in ascending order and last in descending order: the exact reverse
+    backward = [F.col(c).asc() if reverse else F.col(c).desc() for c in order]
     if chunk is None:
         w = W.partitionBy(*keys).orderBy(*ordering)
         run = w.rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumns({name: _local(op, w, run) for name, op in ops.items()})
+        back = W.partitionBy(*keys).orderBy(*backward).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumns({name: _local(op, w, run, back) for name, op in ops.items()})
 
     base = df.withColumn(CHUNK, chunk)
     parts = keys + [CHUNK]
     w = W.partitionBy(*parts).orderBy(*ordering)
     run = w.rowsBetween(W.unboundedPreceding, 0)
-    cols = {f"_l_{name}": _local(op, w, run) for name, op in ops.items() if op[0] not in _GROUP}
+    back = W.partitionBy(*parts).orderBy(*backward).rowsBetween(W.unboundedPreceding, 0)
+    cols = {f"_l_{name}": _local(op, w, run, back) for name, op in ops.items() if op[0] not in _GROUP}
     if any(op[0] == "lag" for op in ops.values()):
         cols["_first"] = F.row_number().over(w) == 1
     local = base.withColumns(cols)
@@ -101,28 +109,11 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column
         aggs.append(agg.alias(f"_c_{name}"))
     summary = base.groupBy(*parts).agg(*aggs)
 
-    by_key = W.partitionBy(*(keys or [F.lit(0)])).orderBy(
-        F.col(CHUNK).desc() if reverse else F.col(CHUNK).asc())
-    before = by_key.rowsBetween(W.unboundedPreceding, -1)
-    after = by_key.rowsBetween(1, W.unboundedFollowing)
-    whole = by_key.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    carry = {}
-    for name, (kind, _) in ops.items():
-        c = F.col(f"_c_{name}")
-        if kind in _GROUP:
-            carry[f"_p_{name}"] = _GROUP[kind](c).over(whole)
-            continue
-        carry[f"_p_{name}"] = {
-            "sum": F.sum(c).over(before),
-            "max": F.max(c).over(before),
-            "pmax": F.max(c).over(before),
-            "last": F.last(c, ignorenulls=True).over(before),
-            "next": F.first(c, ignorenulls=True).over(after),
-            "lag": F.lag(c, 1).over(by_key),
-        }[kind]
-    prefix = summary.select(*parts, *[v.alias(k) for k, v in carry.items()])
-
-    joined = local.join(prefix, parts, "left")
+    prefix = _carry(summary, keys, ops, reverse)
+    # null keys are groups of their own
+    prefix = prefix.select(*[F.col(c).alias(f"_j{i}") for i, c in enumerate(parts)], *[f"_p_{name}" for name in ops])
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_j{i}")) for i, c in enumerate(parts)])
+    joined = local.join(prefix, same, "left")
     out = []
     for name, (kind, _) in ops.items():
         loc, pre = F.col(f"_l_{name}"), F.col(f"_p_{name}")
@@ -140,7 +131,54 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column
     return joined.select(*[F.col(c) for c in df.columns if c not in ops], *out)
 
 
-def _local(op, w, run):
+def _carry(summary: DataFrame, keys: list[str], ops: dict, reverse: bool, depth: int = 1) -> DataFrame:
+    """What each chunk receives from the chunks before it (after it for "next"), or from the whole group.
+
+    Chunks are grouped like rows: CHUNKS_PER_GROUP neighbouring chunks are scanned together, and their
+    totals are carried one level up, so that the last step sees few rows even of a very long group.
+    """
+    down = F.col(CHUNK).desc() if reverse else F.col(CHUNK).asc()
+    up = F.col(CHUNK).asc() if reverse else F.col(CHUNK).desc()
+    place = [*keys, _WIDE] if depth else keys or [F.lit(0)]
+    rows = summary.withColumn(_WIDE, F.floor(F.col(CHUNK) / CHUNKS_PER_GROUP).cast("bigint")) if depth else summary
+    by_key = W.partitionBy(*place).orderBy(down)
+    before = by_key.rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy(*place).orderBy(up).rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(*place)
+    cols = {}
+    for name, (kind, _) in ops.items():
+        c = F.col(f"_c_{name}")
+        cols[f"_p_{name}"] = (
+            _GROUP[kind](c).over(whole) if kind in _GROUP else F.sum(c).over(before) if kind == "sum"
+            else F.max(c).over(before) if kind in ("max", "pmax") else F.last(c, ignorenulls=True).over(before) if kind == "last"
+            else F.last(c, ignorenulls=True).over(after) if kind == "next" else F.lag(c, 1).over(by_key))
+    if not depth:
+        return rows.select(*keys, CHUNK, *[v.alias(k) for k, v in cols.items()])
+    cols["_first"] = F.row_number().over(by_key) == 1
+    near = rows.select(*keys, CHUNK, _WIDE, *[v.alias(k) for k, v in cols.items()])
+    pick = F.min if reverse else F.max
+    other = F.max if reverse else F.min
+    totals = []
+    for name, (kind, _) in ops.items():
+        c = F.col(f"_c_{name}")
+        tip = F.struct(CHUNK, F.struct(c.alias("v")).alias("tip"))
+        agg = (F.sum(c) if kind in ("sum", "gsum") else F.min(c) if kind == "gmin" else F.max(c) if kind in ("max", "pmax", "gmax")
+               else (pick if kind == "last" else other)(F.when(c.isNotNull(), tip))["tip"]["v"] if kind in ("last", "next") else pick(tip)["tip"]["v"])
+        totals.append(agg.alias(f"_c_{name}"))
+    far = _carry(rows.groupBy(*keys, F.col(_WIDE)).agg(*totals).withColumnRenamed(_WIDE, CHUNK), keys, ops, reverse, depth - 1)
+    parts = [*keys, CHUNK]
+    far = far.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(parts)], *[F.col(f"_p_{name}").alias(f"_f_{name}") for name in ops])
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate([*keys, _WIDE])])
+    out = []
+    for name, (kind, _) in ops.items():
+        p, f = F.col(f"_p_{name}"), F.col(f"_f_{name}")
+        both = (f if kind in _GROUP else F.coalesce(p + f, p, f) if kind == "sum" else F.greatest(p, f) if kind in ("max", "pmax")
+                else F.when(F.col("_first"), f).otherwise(p) if kind == "lag" else F.coalesce(p, f))
+        out.append(both.alias(f"_p_{name}"))
+    return near.join(far, same, "left").select(*parts, *out)
+
+
+def _local(op, w, run, back):
     kind, x = op
     if kind in _GROUP:
         return _GROUP[kind](x).over(run.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
@@ -150,10 +188,8 @@ def _local(op, w, run):
         return F.max(x).over(run)
     if kind == "pmax":
         return F.max(x).over(w.rowsBetween(W.unboundedPreceding, -1))
-    if kind == "last":
-        return F.last(x, ignorenulls=True).over(run)
-    if kind == "next":
-        return F.first(x, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
+    if kind in ("last", "next"):  # a forward look is a backward look over the reversed order
+        return F.last(x, ignorenulls=True).over(run if kind == "last" else back)
     return F.lag(x, 1).over(w)
 
 
@@ -170,20 +206,36 @@ def top_one(df: DataFrame, keys: list[str], *ordering: Column) -> DataFrame:
             .filter(F.col("_rn") == 1).drop("_rn"))
 
 
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, _n): how often each value occurs, written once. Null and NaN values are ignored.
+
+    Moments and quantiles both come from this table, so that the input is read once.
+    """
+    base = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    return materialize(base.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+
+
+def moments(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """n, mean, min, max, variance and std per group of a value_counts table."""
+    v, n = F.col(value).cast("double"), F.col("_n")
+    g = counts.groupBy(*keys).agg(F.sum(n).alias("n"), (F.sum(v * n) / F.sum(n)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v * v * n).alias("_sq"))
+    var = F.greatest(F.lit(0.0), F.col("_sq") / F.col("n") - F.col("mean") * F.col("mean"))
+    return g.withColumn("variance", var).withColumn("std", F.sqrt("variance")).drop("_sq")
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
-                    width: float) -> DataFrame:
+                    width: float, counts: DataFrame | None = None) -> DataFrame:
     """Linear-interpolated exact quantiles of `value` per group, one column each.
 
     Equal values are counted before the shuffle and ranks come from chunked
     running sums, so neither a hot group nor a hot value lands in one task.
-    `width` is the value range of one chunk. Null and NaN values are ignored.
+    `width` is the value range of one chunk; `counts` is a value_counts table, if there is one.
     """
     keys = list(keys)
-    base = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    counts = value_counts(df, keys, value) if counts is None else counts
     group = keys or ["_all"]
     if not keys:
-        base = base.withColumn("_all", F.lit(0))
-    counts = base.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+        counts = counts.withColumn("_all", F.lit(0))
     joined = ordered_scan(counts, group, [value],
                           F.floor(F.col(value) / F.lit(width)).cast("bigint"),
                           _cum=running_sum(F.col("_n")), _total=group_sum(F.col("_n")))

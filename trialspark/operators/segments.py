@@ -8,7 +8,7 @@ from trialspark.functions.features import (EDGE_MID, HARD_DIFFICULTY, HF_MID, MO
                                            FEATURE_KEYS)
 from trialspark.functions.numbers import half_even, round_even, soft_level
 from trialspark.operators.scan import (asof, bucket_range_join, exact_quantiles, group_max, group_min, group_sum,
-                                       ordered_scan, nearest, previous, running_sum)
+                                       moments, ordered_scan, nearest, previous, running_sum, value_counts)
 from trialspark.session import materialize
 
 FRAME_BUCKET = 64
@@ -107,21 +107,22 @@ def zone_compression(segs: DataFrame, reference: DataFrame, output: DataFrame) -
 
 
 def frames_in_segments(segs: DataFrame, frames: DataFrame, payload: list[str]) -> DataFrame:
-    """Frames of each segment; a segment without any takes the frame nearest its middle."""
+    """Frames of each segment; a segment without any takes the frame nearest its middle.
+
+    A segment of a video without frames keeps one row with null frame columns.
+    """
     s = segs.select(*SEG, "start_frame", "end_frame")
     f = frames.select("video_id", "frame", *payload)
     hit = bucket_range_join(f, s, ["video_id"], "frame", "start_frame", "end_frame", FRAME_BUCKET)
-    # videos without any frame have nothing to fall back to
-    bare = s.join(hit.select(*SEG).distinct(), SEG, "left_anti").join(f.select("video_id").distinct(), "video_id", "left_semi")
+    bare = s.join(hit.select(*SEG).distinct(), SEG, "left_anti")
     bare = bare.withColumn("_mid", F.floor((F.col("start_frame") + F.col("end_frame") - 1) / 2).cast("bigint"))
     f = f.withColumn("frame", F.col("frame").cast("bigint"))
     # few segments are bare; written once, they need no second range join
     near = nearest(materialize(bare, "bare-segments"), f, ["video_id"], "_mid", "frame", payload, "_pick", FRAME_CHUNK)
-    near = near.filter(F.col("_pick").isNotNull())
     cols = [*SEG, "start_frame", "end_frame"]
     return hit.select(*cols, F.col("frame").cast("bigint").alias("frame"), *payload, F.lit(False).alias("is_nearest")).unionByName(
         near.select(*cols, F.col("_pick.frame").alias("frame"), *[F.col(f"_pick.{c}").alias(c) for c in payload],
-                    F.lit(True).alias("is_nearest")))
+                    F.col("_pick").isNotNull().alias("is_nearest")))
 
 
 def even_samples(in_segment: DataFrame, count: int) -> DataFrame:
@@ -143,7 +144,7 @@ def aggregate_samples(samples: DataFrame, motion: str, means: list[str]) -> Data
     """Motion statistics and plain means per segment. Samples per segment are few by
     construction (see even_samples), so the exact percentile stays small."""
     return samples.groupBy(*SEG).agg(
-        F.count(F.lit(1)).alias("samples"), F.avg(motion).alias("motion_mean"), F.stddev_pop(motion).alias("motion_std"),
+        F.count("frame").alias("samples"), F.avg(motion).alias("motion_mean"), F.stddev_pop(motion).alias("motion_std"),
         F.percentile(motion, F.lit(0.9)).alias("motion_p90"), F.max(motion).alias("motion_max"),
         *[F.avg(c).alias(f"{c}_mean") for c in means])
 
@@ -174,11 +175,15 @@ def attach_zones(segs: DataFrame, zones: DataFrame, width: int = FRAME_CHUNK) ->
 
     With as many zones as segments they pair by position, and the zone start is the
     segment's. Otherwise the latest zone at or before the segment start applies, or
-    the earliest zone when none is. Zones: video_id, zone_pos, zone_start, crf, qp, bitrate.
+    the earliest zone when none is. Segments of a video without zones have no settings
+    and the mode `fallback`. Zones: video_id, zone_pos, zone_start, crf, qp, bitrate.
     """
     opts = ["crf", "qp", "bitrate"]
     per = zones.groupBy("video_id").agg(F.count(F.lit(1)).alias("_nz"), F.min("zone_start").alias("_z0"))
-    s = _per_video(segs, _ns=group_sum(F.lit(1))).join(per, "video_id")
+    s = _per_video(segs, _ns=group_sum(F.lit(1))).join(per, "video_id", "left")
+    none = s.filter(F.col("_nz").isNull()).select(*segs.columns, F.lit(None).cast("bigint").alias("zone_start_frame"),
+                                                  *[F.lit(None).cast(zones.schema[c].dataType).alias(c) for c in opts],
+                                                  F.lit("none").alias("zone_match"))
     pair = s.filter(F.col("_ns") == F.col("_nz")).join(
         zones.select("video_id", F.col("zone_pos").alias("seg_index"), "zone_start", *opts), SEG)
     pair = pair.select(*segs.columns, F.col("start_frame").cast("bigint").alias("zone_start_frame"), *opts,
@@ -189,7 +194,7 @@ def attach_zones(segs: DataFrame, zones: DataFrame, width: int = FRAME_CHUNK) ->
     hit = asof(rest.select(*segs.columns, "_at"), z, ["video_id"], "_at", "zone_start", opts, "_z", width, tie=["zone_pos"])
     hit = hit.select(*segs.columns, F.col("_z.zone_start").alias("zone_start_frame"),
                      *[F.col(f"_z.{c}").alias(c) for c in opts], F.lit("by_start").alias("zone_match"))
-    both = pair.unionByName(hit)
+    both = pair.unionByName(hit).unionByName(none)
     mode = (F.when(F.col("qp").isNotNull(), "qp").when(F.col("crf").isNotNull(), "crf")
             .when(F.col("bitrate").isNotNull(), "bitrate").otherwise("fallback"))
     return both.withColumns({
@@ -220,19 +225,16 @@ def zone_means(rows: DataFrame) -> DataFrame:
         (F.sum(F.col("compression_rate") * w) / F.sum(w)).alias("rate_wmean"))
 
 
-def zones_text(segs: DataFrame, qp: str = "qp", part_size: int = 1024) -> DataFrame:
-    """`start,end,q=N/...` per video in segment order.
+def zones_text(segs: DataFrame, qp: str = "qp") -> DataFrame:
+    """`zones=start,end,q=N/...`, one text per video in segment order.
 
-    One text per video, in parts of `part_size` zones, so that no single value has
-    to hold an unbounded video; clips of usual size have only part 0.
+    A video has few segments (see limit_segments), so its text stays small.
     """
     ok = segs.filter(F.col("end_frame") > F.col("start_frame"))
     item = F.concat_ws(",", F.col("start_frame").cast("string"), F.col("end_frame").cast("string"),
                        F.concat(F.lit("q="), F.col(qp).cast("string")))
-    g = ok.groupBy("video_id", F.floor(F.col("seg_index") / part_size).cast("int").alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("seg_index", item.alias("t")))).alias("z"))
-    text = F.array_join(F.transform("z", lambda x: x["t"]), "/")
-    return g.select("video_id", "part", F.when(F.col("part") == 0, F.concat(F.lit("zones="), text)).otherwise(text).alias("zones"))
+    g = ok.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("seg_index", item.alias("t")))).alias("z"))
+    return g.select("video_id", F.concat(F.lit("zones="), F.array_join(F.transform("z", lambda x: x["t"]), "/")).alias("zones"))
 
 
 def _difficulty_scale(segs: DataFrame) -> DataFrame:
@@ -353,11 +355,10 @@ def to_metrics(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
 
 
 def metric_distribution(segs: DataFrame, metrics: list[str], key: str = "video_id") -> DataFrame:
-    """mean/max/min/p95/variance/std of several metrics per video, in one pass each."""
-    long = to_metrics(segs, [key], metrics)
-    a = long.groupBy(key, "metric").agg(F.avg("value").alias("mean"), F.max("value").alias("max"), F.min("value").alias("min"),
-                                        F.var_pop("value").alias("variance"), F.stddev_pop("value").alias("std"))
-    return a.join(exact_quantiles(long, [key, "metric"], "value", {"p95": 0.95}, 0.02), [key, "metric"])
+    """mean/max/min/p95/variance/std of several metrics per video, from one pass over the segments."""
+    counts = value_counts(to_metrics(segs, [key], metrics), [key, "metric"], "value")
+    p95 = exact_quantiles(segs, [key, "metric"], "value", {"p95": 0.95}, 0.02, counts)
+    return moments(counts, [key, "metric"], "value").drop("n").join(p95, [key, "metric"])
 
 
 def difficulty_histogram(segs: DataFrame, key: str = "video_id") -> DataFrame:
@@ -393,8 +394,8 @@ def calibration(df: DataFrame, metrics: list[str], suggest: float = 50.0) -> Dat
     long = to_metrics(df, [], metrics).filter(F.col("value").isNotNull() & ~F.isnan("value")
                                               & (F.abs("value") != float("inf")))
     qs = {f"p{p}": p / 100.0 for p in PERCENTS} | {"suggested_mid": suggest / 100.0}
-    a = long.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("n"))
-    return exact_quantiles(long, ["metric"], "value", qs, 0.005).join(a, "metric")
+    counts = value_counts(long, ["metric"], "value")
+    return exact_quantiles(long, ["metric"], "value", qs, 0.005, counts).join(moments(counts, ["metric"], "value").select("metric", "mean", "std", "n"), "metric")
 
 
 def whole_file_setting(segs: DataFrame) -> DataFrame:

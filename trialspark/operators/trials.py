@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trialspark.functions.numbers import round_even, short_text
+from trialspark.functions.numbers import round_even
 from trialspark.functions.score import compression_rate, compression_ratio, score_struct
 from trialspark.operators.scan import max_before, ordered_scan, top_one
 
@@ -331,8 +331,8 @@ def surface_summary(df: DataFrame, keys=SEGMENT, gates_only: bool = False) -> Da
     aq = round_even(F.col("aq_strength"), 4)
     g = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_trials"), F.count_if(ok).alias("n_ok"),
-        F.size(F.collect_set(F.when(ok, F.col("crf")))).cast("bigint").alias("n_crf"),
-        F.size(F.collect_set(F.when(ok, aq))).cast("bigint").alias("n_aq"))
+        F.count_distinct(F.when(ok, F.col("crf"))).alias("n_crf"),
+        F.count_distinct(F.when(ok, aq)).alias("n_aq"))
     return g.withColumn("sparse", F.col("n_ok") < F.greatest(F.lit(1), F.col("n_crf") * F.col("n_aq")) * 0.85)
 
 
@@ -380,8 +380,3 @@ def dashboard_summary(df: DataFrame, keys=SEGMENT, seq=SEQ) -> DataFrame:
 def ordered_distinct(df: DataFrame, key: list[str], position: list[str]) -> DataFrame:
     """First occurrence of every key, with its position kept."""
     return top_one(df, key, *[F.col(c).asc() for c in position])
-
-
-def trial_params(crf: Column, aq: Column) -> Column:
-    """A small parameter text for trials that carry none."""
-    return F.concat(F.lit("crf="), crf.cast("string"), F.lit(":aq-strength="), short_text(aq))

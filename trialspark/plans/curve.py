@@ -34,25 +34,28 @@ def curves(t):
     return C.curves(C.observations(t.scored))
 
 
-@query("f11_threshold_crossing", f"SELECT {K}, cq_star FROM v_cross", "cq_star")
+ALL = f"(SELECT DISTINCT {K} FROM v_obs)"  # curves without a working point too
+
+
+@query("f11_threshold_crossing", f"SELECT {K}, cq_star FROM {ALL} LEFT JOIN v_cross USING (video_id, segment_index)", "cq_star")
 def _(t):
-    return C.with_crossing(curves(t), THR).filter(F.size("pts") > 0).select("video_id", "segment_index", "cq_star")
+    return C.with_crossing(curves(t), THR).select("video_id", "segment_index", "cq_star")
 
 
-@query("f12_crossing_to_crf", f"""SELECT {K}, CAST(CASE WHEN n = 1 AND va >= 93 THEN least({HI}, cq_star + 1) WHEN n = 1 THEN greatest({LO}, cq_star - 1) ELSE greatest({LO}, least({HI}, round_even(cq_star, 0))) END AS INT) AS crf,
-CASE WHEN n = 1 THEN 'single_probe_vmaf=' || fixed_text(va, 1) || CASE WHEN va >= 93 THEN '>=93' ELSE '<93' END ELSE 'interp_vmaf=93 crf*=' || fixed_text(cq_star, 2) END AS crf_reason FROM v_cross""")
+@query("f12_crossing_to_crf", f"""SELECT {K}, CAST(CASE WHEN n IS NULL THEN NULL WHEN n = 1 AND va >= 93 THEN least({HI}, cq_star + 1) WHEN n = 1 THEN greatest({LO}, cq_star - 1) ELSE greatest({LO}, least({HI}, round_even(cq_star, 0))) END AS INT) AS crf,
+CASE WHEN n IS NULL THEN 'no_observations' WHEN n = 1 THEN 'single_probe_vmaf=' || fixed_text(va, 1) || CASE WHEN va >= 93 THEN '>=93' ELSE '<93' END ELSE 'interp_vmaf=93 crf*=' || fixed_text(cq_star, 2) END AS crf_reason FROM {ALL} LEFT JOIN v_cross USING (video_id, segment_index)""")
 def _(t):
-    return C.interpolated_crf(curves(t).filter(F.size("pts") > 0), THR, LO, HI).select("video_id", "segment_index", "crf", "crf_reason")
+    return C.interpolated_crf(curves(t), THR, LO, HI).select("video_id", "segment_index", "crf", "crf_reason")
 
 
-@query("d13_predict_unseen_crf", f"SELECT {K}, candidate, predicted_s_f FROM v_pred", "predicted_s_f")
+@query("d13_predict_unseen_crf", f"SELECT {K}, candidate, predicted_s_f FROM (SELECT *, unnest(range({LO}, {HI + 1}))::INT AS candidate FROM {ALL}) LEFT JOIN v_pred USING (video_id, segment_index, candidate)", "predicted_s_f")
 def _(t):
-    return C.predict_candidates(curves(t), LO, HI, THR).filter(F.size("pts") > 0).select("video_id", "segment_index", "candidate", "predicted_s_f")
+    return C.predict_candidates(curves(t), LO, HI, THR).select("video_id", "segment_index", "candidate", "predicted_s_f")
 
 
-@query("f13_anchor_and_band", f"SELECT {K}, anchor_cq, band_lo, band_hi FROM v_anchor")
+@query("f13_anchor_and_band", f"SELECT {K}, anchor_cq, band_lo, band_hi FROM {ALL} LEFT JOIN v_anchor USING (video_id, segment_index)")
 def _(t):
-    return C.with_anchor(curves(t).filter(F.size("pts") > 0), THR).select("video_id", "segment_index", F.col("anchor.cq").alias("anchor_cq"), "band_lo", "band_hi")
+    return C.with_anchor(curves(t), THR).select("video_id", "segment_index", F.col("anchor.cq").alias("anchor_cq"), "band_lo", "band_hi")
 
 
 def probes_sql(used: str, count: int) -> str:
@@ -68,9 +71,13 @@ SELECT {K}, candidate AS cq, predicted_s_f, CASE WHEN anyk THEN concat_ws('+', '
  ELSE ['fallback_best-1', 'fallback_best+1', 'fallback_cq_vmaf*'][tag + 1] END AS probe_reason FROM r WHERE rn <= {count}"""
 
 
-@query("f14_next_probes", probes_sql("EXISTS (SELECT 1 FROM v_obs o WHERE o.video_id = p.video_id AND o.segment_index = p.segment_index AND o.cq = p.candidate)", 3), "predicted_s_f")
+BARE_SQL = f"""SELECT {K}, unnest(list_filter(list_sort(list_distinct(list_transform(range(0, len(used) + 3), lambda i: CAST(round_even({LO} + {HI - LO} * i / greatest(len(used) + 2, 1)::DOUBLE, 0) AS INT)))), lambda c: NOT list_contains(used, c))[1:3]) AS cq,
+ 0.0::DOUBLE AS predicted_s_f, 'fallback_linspace' AS probe_reason FROM (SELECT {K}, list(DISTINCT cq) AS used FROM v_obs GROUP BY ALL HAVING count(*) FILTER (encode_ok) = 0) AS b"""
+
+
+@query("f14_next_probes", "SELECT * FROM (" + probes_sql("EXISTS (SELECT 1 FROM v_obs o WHERE o.video_id = p.video_id AND o.segment_index = p.segment_index AND o.cq = p.candidate)", 3) + ") AS q UNION ALL " + BARE_SQL, "predicted_s_f")
 def _(t):
-    return C.next_probes(curves(t).filter(F.size("pts") > 0), 3, LO, HI, THR)
+    return C.next_probes(curves(t), 3, LO, HI, THR)
 
 
 view("v_targets", """SELECT video_id, segment_index, 1 AS ti, av AS target, 'vmaf_anchor match CQ' || anchor_cq || ' V=' || fixed_text(av, 1) AS reason FROM v_anchor

@@ -90,7 +90,7 @@ def _(t):
 
 @query("c01_score_filter", "SELECT line, uid, final, status FROM v_scores WHERE codec = 'hevc' AND CASE mode WHEN 'ABR' THEN 'VBR' ELSE mode END = 'CRF' AND vmaf_threshold = 85 AND uid IN (0, 2) AND NOT (status = 'miner_failure' AND vmaf IS NULL)")
 def _(t):
-    return L.filter_scores(L.analyse(t.log_table), codec="HEVC", mode="rc", vmaf_threshold=85, uids=[0, 2]).select("line", "uid", "final", "status")
+    return L.filter_scores(L.score_rows(t.log_table), codec="HEVC", mode="rc", vmaf_threshold=85, uids=[0, 2]).select("line", "uid", "final", "status")
 
 
 @query("c02_video_matcher", """SELECT line, (video_idx = 2 AND starts_with(video_id, 'video2')) OR contains(video_id, 'video2') AS by_name, video_id = '2' OR video_idx = 2 AS by_index,
@@ -122,39 +122,45 @@ def _(t):
 
 @query("e01_uid_summary", "SELECT * FROM v_summary", MEANS)
 def _(t):
-    return L.summarize(L.analyse(t.log_table))
+    return L.summarize(L.score_rows(t.log_table))
 
 
 @query("e02_challenge_rollup", """SELECT *, CAST(row_number() OVER (PARTITION BY codec, mode, vmaf_threshold ORDER BY mean_final DESC, uid) AS INT) AS uid_rank,
 max(mean_final) OVER (PARTITION BY codec, mode, vmaf_threshold) AS top_mean_final FROM v_summary""", MEANS + " top_mean_final")
 def _(t):
-    return L.challenge_rollup(L.analyse(t.log_table))
+    return L.challenge_rollup(L.score_rows(t.log_table))
+
+
+@query("e02_challenge_details", """SELECT coalesce(codec, '?') AS codec, coalesce(mode, '?') AS mode, vmaf_threshold, uid, line, final, video_idx,
+CAST(row_number() OVER (PARTITION BY coalesce(codec, '?'), coalesce(mode, '?'), vmaf_threshold, uid ORDER BY final DESC, video_idx, line) AS INT) AS detail_rank FROM v_rows""")
+def _(t):
+    return L.challenge_details(L.score_rows(t.log_table)).select("codec", "mode", "vmaf_threshold", "uid", "line", "final", "video_idx", "detail_rank")
 
 
 @query("e19_codecs_seen", "SELECT DISTINCT codec FROM v_rows WHERE codec IS NOT NULL")
 def _(t):
-    return L.codecs_seen(L.challenges(t.log_table), L.score_rows(t.log_table))
+    return L.codecs_seen(t.log_table)
 
 
 @query("g01_entry_sort", "SELECT line, uid, ts, final FROM v_kept ORDER BY final DESC, ts, uid, line")
 def _(t):
-    return L.sort_entries(L.filter_scores(L.analyse(t.log_table))).select("line", "uid", "ts", "final")
+    return L.sort_entries(L.filter_scores(L.score_rows(t.log_table))).select("line", "uid", "ts", "final")
 
 
-@query("g01_entry_sort_time", "SELECT line, uid, ts, final FROM v_kept ORDER BY ts DESC, final ASC, line DESC")
+@query("g01_entry_sort_time", "SELECT line, uid, ts, final FROM v_kept ORDER BY ts DESC, final ASC, line ASC")
 def _(t):
-    return L.sort_entries(L.filter_scores(L.analyse(t.log_table)), "time").select("line", "uid", "ts", "final")
+    return L.sort_entries(L.filter_scores(L.score_rows(t.log_table)), "time").select("line", "uid", "ts", "final")
 
 
 @query("g03_ranked_uids", "SELECT codec, mode, vmaf_threshold, uid, mean_final, CAST(row_number() OVER (PARTITION BY codec, mode, vmaf_threshold ORDER BY mean_final DESC, uid) AS INT) AS uid_rank FROM v_summary", "mean_final")
 def _(t):
-    return L.ranked_uids(L.summarize(L.analyse(t.log_table))).select("codec", "mode", "vmaf_threshold", "uid", "mean_final", "uid_rank")
+    return L.ranked_uids(L.summarize(L.score_rows(t.log_table))).select("codec", "mode", "vmaf_threshold", "uid", "mean_final", "uid_rank")
 
 
 @query("g04_challenge_order", """SELECT codec, mode, vmaf_threshold, max(mean_final) AS top_mean_final, count(*) AS uids, CAST(sum(n) AS BIGINT) AS videos FROM v_summary GROUP BY 1, 2, 3
 ORDER BY 4 DESC, 3 DESC, 1, 2""", "top_mean_final")
 def _(t):
-    return L.order_challenges(L.summarize(L.analyse(t.log_table)))
+    return L.order_challenges(L.summarize(L.score_rows(t.log_table)))
 
 
 @query("h03_latest_url_per_path", """WITH u AS (SELECT line, generate_subscripts(urls, 1) AS pos, unnest(urls) AS url FROM v_lp WHERE is_pl),

@@ -54,7 +54,7 @@ WITH c AS (SELECT video_id, n, nz, z0 FROM v_counts JOIN (SELECT video_id, count
 a AS (SELECT s.video_id, s.seg_index, s.start_frame AS zone_start_frame, z.crf, z.qp, z.bitrate, 'by_position' AS zone_match FROM v_frames s JOIN c USING (video_id) JOIN v_zones z ON z.video_id = s.video_id AND z.zone_pos = s.seg_index WHERE n = nz),
 b AS (SELECT video_id, seg_index, zone_start AS zone_start_frame, crf, qp, bitrate, 'by_start' AS zone_match FROM (SELECT s.video_id, s.seg_index, z.zone_start, z.crf, z.qp, z.bitrate,
   row_number() OVER (PARTITION BY s.video_id, s.seg_index ORDER BY z.zone_start DESC, z.zone_pos DESC) AS rn FROM v_frames s JOIN c USING (video_id) JOIN v_zones z ON z.video_id = s.video_id AND z.zone_start <= greatest(s.start_frame, z0) WHERE n <> nz) AS x WHERE rn = 1),
-u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
+u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT video_id, seg_index, NULL, NULL, NULL, NULL, 'none' FROM v_frames WHERE video_id NOT IN (SELECT video_id FROM v_zones))
 SELECT video_id, seg_index, CAST(zone_start_frame AS BIGINT) AS zone_start_frame, zone_match, CASE WHEN qp IS NOT NULL THEN 'qp' WHEN crf IS NOT NULL THEN 'crf' WHEN bitrate IS NOT NULL THEN 'bitrate' ELSE 'fallback' END AS rc_mode,
 CAST(round_even(coalesce(qp, crf), 0) AS INT) AS applied_q, CASE WHEN qp IS NULL THEN crf END AS applied_crf FROM u""")
 def _(t):
@@ -63,8 +63,8 @@ def _(t):
 
 view("v_inseg", """WITH hit AS (SELECT s.video_id, s.seg_index, p.frame, p.size FROM v_frames s JOIN v_packets p ON p.video_id = s.video_id AND p.frame >= s.start_frame AND p.frame < s.end_frame),
 bare AS (SELECT video_id, seg_index, (start_frame + end_frame - 1) // 2 AS mid FROM v_frames s WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.video_id = s.video_id AND h.seg_index = s.seg_index)),
-near AS (SELECT video_id, seg_index, frame, size FROM (SELECT b.*, p.frame, p.size, row_number() OVER (PARTITION BY b.video_id, b.seg_index ORDER BY abs(p.frame - b.mid), p.frame) AS rn FROM bare b JOIN v_packets p USING (video_id)) AS x WHERE rn = 1)
-SELECT *, FALSE AS is_nearest FROM hit UNION ALL SELECT *, TRUE FROM near""")
+near AS (SELECT video_id, seg_index, frame, size FROM (SELECT b.*, p.frame, p.size, row_number() OVER (PARTITION BY b.video_id, b.seg_index ORDER BY abs(p.frame - b.mid), p.frame) AS rn FROM bare b LEFT JOIN v_packets p USING (video_id)) AS x WHERE rn = 1)
+SELECT *, FALSE AS is_nearest FROM hit UNION ALL SELECT *, frame IS NOT NULL FROM near""")
 view("v_sampled", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY video_id, seg_index ORDER BY frame) - 1 AS p, count(*) OVER (PARTITION BY video_id, seg_index) AS n FROM v_inseg)
 SELECT video_id, seg_index, frame, size FROM r WHERE n <= 16 OR p = n - 1 OR list_contains(list_transform(range(0, 15), lambda i: CAST(floor(i * ((n - 1)::DOUBLE / 15.0::DOUBLE)) AS BIGINT)), p)""")
 
@@ -147,7 +147,7 @@ def _(t):
     return S.calibration(t.segments_d, METRICS)
 
 
-@query("e08_segment_sample_stats", """SELECT video_id, seg_index, count(*) AS samples, avg(size / 51234.0::DOUBLE) AS motion_mean, stddev_pop(size / 51234.0::DOUBLE) AS motion_std, quantile_cont(size / 51234.0::DOUBLE, 0.9) AS motion_p90, max(size / 51234.0::DOUBLE) AS motion_max,
+@query("e08_segment_sample_stats", """SELECT video_id, seg_index, count(frame) AS samples, avg(size / 51234.0::DOUBLE) AS motion_mean, stddev_pop(size / 51234.0::DOUBLE) AS motion_std, quantile_cont(size / 51234.0::DOUBLE, 0.9) AS motion_p90, max(size / 51234.0::DOUBLE) AS motion_max,
 avg((size % 97)::DOUBLE) AS noise_mean FROM v_sampled GROUP BY 1, 2""", "motion_mean motion_std motion_p90 motion_max noise_mean")
 def _(t):
     fr = t.packet_table.withColumns({"motion": F.col("size") / 51234.0, "noise": (F.col("size") % 97).cast("double")})
@@ -251,6 +251,6 @@ def _(t):
     return S.difficulty_settings(t.segments_d).select("video_id", "seg_index", "qp", "bitrate_factor")
 
 
-@query("f26_zones_text", "SELECT video_id, 0 AS part, 'zones=' || string_agg(start_frame || ',' || end_frame || ',q=' || qp, '/' ORDER BY seg_index) AS zones FROM v_qp GROUP BY 1")
+@query("f26_zones_text", "SELECT video_id, 'zones=' || string_agg(start_frame || ',' || end_frame || ',q=' || qp, '/' ORDER BY seg_index) AS zones FROM v_qp GROUP BY 1")
 def _(t):
     return S.zones_text(S.difficulty_settings(t.segment_table.withColumn("difficulty", FE.segment_difficulty())))

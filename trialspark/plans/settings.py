@@ -81,7 +81,19 @@ def _(t):
     return P.segment_rule_table(t.segments_d).select("seg_key", s.alias("aq_strength"))
 
 
-@query("i05_aq_strength_reasons")
+REASONS = f"""list_filter(['aq-strength=' || {short_sql('aq_strength')} || ' (base 1.0)',
+ CASE WHEN texture_level >= 0.75 THEN 'very_high_texture=' || fixed_text(texture_level, 2) || ' +0.35' WHEN texture_level >= 0.55 THEN 'high_texture=' || fixed_text(texture_level, 2) || ' +0.20' WHEN texture_level < 0.3 THEN 'very_low_texture=' || fixed_text(texture_level, 2) || ' -0.20' WHEN texture_level < 0.4 THEN 'low_texture=' || fixed_text(texture_level, 2) || ' -0.10' END,
+ CASE WHEN texture_level < 0.75 AND edge_level >= 0.62 THEN 'high_edge=' || fixed_text(edge_level, 2) || ' +0.05' END, CASE WHEN entropy >= 0.65 AND texture_level < 0.75 THEN 'high_entropy=' || fixed_text(entropy, 2) || ' +0.05' END,
+ CASE WHEN noise_level_norm >= 0.55 THEN 'very_high_noise=' || fixed_text(noise_level_norm, 2) || ' -0.30' WHEN noise_level_norm >= 0.5 THEN 'high_noise=' || fixed_text(noise_level_norm, 2) || ' -0.20' WHEN noise_level_norm >= 0.4 THEN 'medium_noise=' || fixed_text(noise_level_norm, 2) || ' -0.10' WHEN noise_level_norm < 0.25 THEN 'very_low_noise=' || fixed_text(noise_level_norm, 2) || ' +0.10' END,
+ CASE WHEN motion_level >= 0.68 THEN 'very_high_motion=' || fixed_text(motion_level, 2) || ' +0.10' WHEN motion_level >= 0.52 THEN 'high_motion=' || fixed_text(motion_level, 2) || ' +0.05' END,
+ CASE WHEN flatness >= 0.7 THEN 'extremely_flat=' || fixed_text(flatness, 2) || ' -0.20' WHEN flatness >= 0.55 THEN 'large_flat=' || fixed_text(flatness, 2) || ' -0.10' END,
+ CASE WHEN noise_level_norm >= 0.5 THEN NULL WHEN lum < 60 THEN 'very_dark_luma=' || fixed_text(lum, 0) || ' +0.20' WHEN lum < 90 THEN 'dark_luma=' || fixed_text(lum, 0) || ' +0.10' END,
+ CASE WHEN s1 > s0 THEN 'sports_like → floor 1.2' END, CASE WHEN s2 > s1 THEN 'forest_like → floor 1.3' END, CASE WHEN flatness >= 0.6 AND motion_level < 0.45 AND texture_level < 0.55 THEN 'anime_flat → cap 1.0' END,
+ CASE WHEN flatness >= 0.55 AND motion_level < 0.4 AND edge_level < 0.35 THEN 'screen_like → cap 1.0' END,
+ CASE WHEN lum < 90 AND noise_level_norm >= 0.45 THEN 'dark_noisy → cap 1.0' WHEN lum < 90 AND noise_level_norm < 0.4 AND s4 < 1.15 THEN 'dark_clean → floor 1.15' END], lambda x: x IS NOT NULL)"""
+
+
+@query("i05_aq_strength_reasons", f"SELECT video_id, CAST(generate_subscripts(why, 1) - 1 AS INT) AS pos, unnest(why) AS reason FROM (SELECT video_id, {REASONS} AS why FROM {strength_sql('v_clips')} AS x) AS y")
 def _(t):
     _, why = R.aq_strength()
     return clips(t).select("video_id", F.posexplode(why).alias("pos", "reason"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -32,17 +35,22 @@ def read_small(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def replace_small(spark: SparkSession, path: str, text: str) -> None:
-    """Write a control file next to its place, then rename it over the old one."""
+def create_small(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a control file under a name that must be new; False if another writer took it first."""
     fs, p = _fs(spark, path)
-    tmp = spark._jvm.org.apache.hadoop.fs.Path(path + ".next")
-    out = fs.create(tmp, True)
+    tmp = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(tmp, False)
     try:
         out.write(bytearray(text, "utf-8"))
     finally:
         out.close()
     ctx = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration())
-    opts = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    arr = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    arr[0] = opts
-    ctx.rename(tmp, p, arr)
+    none = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        ctx.rename(tmp, p, none)
+        return True
+    except Py4JJavaError:
+        if not fs.exists(p):
+            raise
+        fs.delete(tmp, False)
+        return False

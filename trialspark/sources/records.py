@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from trialspark import schema as S
 from trialspark.operators.trials import truthy
+from trialspark.session import materialize
 from trialspark.sources import files
 
 # Name of a segment clip.
@@ -24,7 +25,7 @@ def parse_objects(lines: DataFrame, fields: dict[str, T.DataType], column: str =
     def typed(name, t) -> Column:
         raw = F.col(f"_j.{name}")
         if isinstance(t, (T.IntegerType, T.LongType)):
-            return raw.try_cast("double").cast(t)
+            return raw.try_cast("double").try_cast(t)
         if isinstance(t, T.BooleanType):
             return F.when(raw.isNotNull(), truthy(raw, False))
         return raw if isinstance(t, T.StringType) else raw.try_cast(t)
@@ -32,21 +33,24 @@ def parse_objects(lines: DataFrame, fields: dict[str, T.DataType], column: str =
     return df.select(*rest, *[typed(n, t).alias(n) for n, t in fields.items()])
 
 
-def read_trials(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
-    """All trials of a work folder. A flat all_trials.jsonl is preferred to the
-    per-segment files; video and segment come from the path where the row lacks them."""
-    flat = files.glob(spark, f"{folder}/all_trials.jsonl") or files.glob(spark, f"{folder}/*/all_trials.jsonl")
-    reader = spark.read
-    if flat:
-        lines = reader.text(flat)
-    else:
-        lines = reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder)
+def read_trials(spark: SparkSession, folder: str, pattern: str = "trials.jsonl") -> DataFrame:
+    """All trials of a work folder. Rows of flat all_trials.jsonl files are preferred to the per-segment files,
+    which are read when those have none; video and segment come from the path where the row lacks them."""
+    for flat in (f"{folder}/all_trials.jsonl", f"{folder}/*/all_trials.jsonl"):
+        if files.glob(spark, flat):
+            rows = _trial_rows(spark.read.text(flat))
+            if not rows.isEmpty():
+                return rows
+    return _trial_rows(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder))
+
+
+def _trial_rows(lines: DataFrame) -> DataFrame:
     lines = lines.select("value", F.col("_metadata.file_path").alias("_path"))
     rows = parse_objects(lines, S.TRIAL)
     parts = F.split("_path", "/")
     parent = F.element_at(parts, -2)
     stem = F.when(F.regexp_like(parent, F.lit(r"segment_\d+")), F.element_at(parts, -3)).otherwise(parent)
-    seg = F.nullif(F.regexp_extract("_path", r"segment_(\d+)", 1), F.lit("")).cast("int")
+    seg = F.nullif(F.regexp_extract("_path", r"segment_(\d+)", 1), F.lit("")).try_cast("int")
     return rows.withColumns({"video_stem": F.coalesce("video_stem", F.element_at(F.split(stem, "="), -1)),
                              "segment_index": F.coalesce("segment_index", seg)}).drop("_path")
 
@@ -63,7 +67,7 @@ def read_documents(spark: SparkSession, path, schema: T.StructType, recursive: b
 
 
 # Columns of a sweep plot.
-SWEEP = S.fields("crf:i aq_strength:d s_f:d compression_ratio:d vmaf_neg:d gates_ok:b")
+SWEEP = ("crf", "aq_strength", "s_f", "compression_ratio", "vmaf_neg", "gates_ok")
 
 
 def read_sweep(spark: SparkSession, jsonl: str | None = None, csv: str | None = None, gates_only: bool = False) -> DataFrame:
@@ -84,16 +88,21 @@ def read_sweep(spark: SparkSession, jsonl: str | None = None, csv: str | None =
     if gates_only:
         ok = ok.filter(truthy(col("gates_ok"), False))
     num = {n: col(n).try_cast("double") for n in SWEEP if n != "gates_ok"}
-    out = ok.select(num["crf"].cast("int").alias("crf"), (F.rint(num["aq_strength"] * 10000.0) / 10000.0).alias("aq_strength"),
+    out = ok.select(num["crf"].try_cast("int").alias("crf"), (F.rint(num["aq_strength"] * 10000.0) / 10000.0).alias("aq_strength"),
                     *[num[n].alias(n) for n in ("s_f", "compression_ratio", "vmaf_neg")], truthy(col("gates_ok"), False).alias("gates_ok"))
     return out.dropna(subset=[n for n in SWEEP if n != "gates_ok"])
 
 
+#: Up to this many splits (128 MB of text each by default) the line counts are broadcast.
+MAX_BROADCAST_SPLITS = 100_000
+
+
 def read_log(spark: SparkSession, paths) -> DataFrame:
     """Log lines with their 1-based number per file; undecodable bytes are replaced.
 
-    Files stay splittable: rows of one split are numbered by their place in it, and
-    only one row per split (its line count) is shuffled to find where it starts.
+    Files stay splittable: rows of one split are numbered by their place in it. The line
+    counts of the splits, one row each, are written first; while they are few they are
+    broadcast and the text stays where it is, beyond that an ordinary join adds them.
     """
     raw = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
@@ -101,8 +110,8 @@ def read_log(spark: SparkSession, paths) -> DataFrame:
     from pyspark.sql import Window as W
     per = raw.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    per = per.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    return raw.join(per, ["file", "_block"]).select(
+    per = materialize(per.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))), "log-splits")
+    return raw.join(F.broadcast(per) if per.count() <= MAX_BROADCAST_SPLITS else per, ["file", "_block"]).select(
         "file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line"), "value")
 
 
@@ -134,7 +143,7 @@ def job_manifest(requests: DataFrame) -> DataFrame:
 def parse_clip_names(df: DataFrame, name: str) -> DataFrame:
     """seg<index>_f<start>-<end>.mp4 names to columns; others and empty ranges are dropped."""
     x = df.filter(F.regexp_like(name, F.lit(CLIP_NAME)))
-    x = x.withColumns({c: F.regexp_extract(name, CLIP_NAME, i).cast("int") for i, c in
+    x = x.withColumns({c: F.regexp_extract(name, CLIP_NAME, i).try_cast("int") for i, c in
                        enumerate(("clip_index", "start_frame", "end_frame"), start=1)})
     return x.filter(F.col("end_frame") > F.col("start_frame")).withColumn("frame_count", F.col("end_frame") - F.col("start_frame"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -34,46 +35,65 @@ def latest_rows(df: DataFrame, newest: list[str], key=KEY) -> DataFrame:
 class UpsertTable:
     """A result table without a table format.
 
-    Rows live in hash buckets of their key. An upsert rewrites only the buckets its
-    rows fall into, into new folders, and then swaps a small manifest that names the
-    current folder of each bucket; readers see the old or the new state, never a mix.
-    The manifest also keeps the last stream batch, so a repeated batch is skipped.
+    Rows live in hash buckets of their key. An upsert writes its batch once, rewrites only the buckets that the
+    batch falls into, into a folder of a fresh name, and then creates the next manifest, a small file that names
+    the current folder of each bucket; readers see the old or the new state, never a mix. A crash before that
+    leaves folders nobody names, and the retry starts over. Of two writers one creates the manifest; the other
+    merges again on top of it. The manifest keeps the last stream batch, so a repeated batch is skipped, and the
+    rows of each bucket: when they exceed `bucket_rows` on average, the next upsert doubles the buckets.
     """
 
-    def __init__(self, spark: SparkSession, path: str, newest: list[str], key=tuple(KEY), buckets: int = 16):
-        self.spark, self.path, self.newest, self.key, self.buckets = spark, path.rstrip("/"), list(newest), list(key), buckets
+    def __init__(self, spark: SparkSession, path: str, newest: list[str], key=tuple(KEY), buckets: int = 16, bucket_rows: int = 1_000_000):
+        self.spark, self.path, self.newest, self.key = spark, path.rstrip("/"), list(newest), list(key)
+        self.buckets, self.bucket_rows = buckets, bucket_rows
 
     def _manifest(self) -> dict:
-        p = f"{self.path}/_manifest.json"
-        return json.loads(files.read_small(self.spark, p)) if files.exists(self.spark, p) else {"version": 0, "batch": -1, "parts": {}}
+        # names sort by version
+        found = files.glob(self.spark, f"{self.path}/_manifest/*.json")
+        return json.loads(files.read_small(self.spark, found[-1])) if found else {"version": 0, "batch": -1, "buckets": self.buckets, "parts": {}, "rows": {}}
 
     def _load(self, parts: list[str], schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*parts)
 
+    def parts(self) -> dict[str, str]:
+        """Current folder of each bucket."""
+        return self._manifest()["parts"]
+
     def read(self, schema) -> DataFrame:
-        parts = list(self._manifest()["parts"].values())
+        parts = list(self.parts().values())
         return self._load(parts, schema) if parts else self.spark.createDataFrame([], schema)
 
+    def _bucketed(self, rows: DataFrame, buckets: int) -> DataFrame:
+        return rows.withColumn("_bucket", F.pmod(F.xxhash64(*self.key), F.lit(buckets)).cast("int"))
+
     def upsert(self, rows: DataFrame, batch: int | None = None) -> bool:
         m = self._manifest()
         if batch is not None and batch <= m["batch"]:
             return False
-        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
-        rows = rows.withColumn("_bucket", bucket)
-        # at most one number per bucket comes to the driver
-        touched = [str(r[0]) for r in rows.select("_bucket").distinct().collect()]
-        old = [m["parts"][b] for b in touched if b in m["parts"]]
-        plain = rows.drop("_bucket")
-        if old:
-            plain = self._load(old, plain.schema).unionByName(plain)
-        version = m["version"] + 1
-        folder = f"{self.path}/v{version}"
-        (latest_rows(plain, self.newest, self.key).withColumn("_bucket", bucket)
-         .write.partitionBy("_bucket").parquet(folder))
-        parts = dict(m["parts"]) | {b: f"{folder}/_bucket={b}" for b in touched}
-        files.replace_small(self.spark, f"{self.path}/_manifest.json", json.dumps(
-            {"version": version, "batch": m["batch"] if batch is None else batch, "parts": parts}))
-        return True
+        schema = rows.schema
+        fresh = f"{self.path}/batch-{uuid.uuid4().hex}"
+        latest_rows(rows, self.newest, self.key).write.parquet(fresh)  # the only pass over the batch
+        while True:
+            new = self.spark.read.schema(schema).parquet(fresh)
+            buckets, have = m["buckets"], sum(m["rows"].values())
+            while have > self.bucket_rows * buckets:
+                buckets *= 2
+            # one number for each bucket comes to the driver
+            touched = {str(r[0]) for r in self._bucketed(new, buckets).select("_bucket").distinct().collect()}
+            old = list(m["parts"].values()) if buckets > m["buckets"] else [m["parts"][b] for b in touched if b in m["parts"]]
+            both = self._load(old, schema).unionByName(new) if old else new
+            folder = f"{self.path}/v-{uuid.uuid4().hex}"
+            self._bucketed(latest_rows(both, self.newest, self.key), buckets).repartition("_bucket").write.partitionBy("_bucket").parquet(folder)
+            written = {str(r[0]): r[1] for r in self.spark.read.parquet(folder).groupBy("_bucket").count().collect()} if touched else {}
+            kept = {} if buckets > m["buckets"] else m
+            state = {"version": m["version"] + 1, "batch": m["batch"] if batch is None else batch, "buckets": buckets,
+                     "parts": dict(kept.get("parts", {})) | {b: f"{folder}/_bucket={b}" for b in written},
+                     "rows": dict(kept.get("rows", {})) | written}
+            if files.create_small(self.spark, f"{self.path}/_manifest/{state['version']:020d}.json", json.dumps(state)):
+                return True
+            m = self._manifest()
+            if batch is not None and batch <= m["batch"]:
+                return False
 
 
 def import_results(per_job: DataFrame, batch: DataFrame, root: str = "work_root") -> tuple[DataFrame, DataFrame]:

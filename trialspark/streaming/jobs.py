@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from trialspark.operators.fleet import fleet_status
+from trialspark.operators.fleet import status_against, status_counts
 from trialspark.sources import files
 from trialspark.sources.sinks import UpsertTable
 
@@ -31,13 +31,31 @@ def ingest_results(rows: DataFrame, table: UpsertTable, checkpoint: str, once: b
 
 def watch_results(rows: DataFrame, table: UpsertTable, expected: DataFrame, status_path: str, checkpoint: str,
                   once: bool = False) -> StreamingQuery:
-    """Ingest results and append a status row for every threshold whose counts changed."""
-    schema = rows.schema
+    """Ingest results and append a status row for every threshold whose counts changed.
+
+    The counts of each table bucket are kept beside the status: a batch counts only the buckets
+    that it has rewritten, and adds up one small row per bucket and threshold.
+    """
+    def counts(spark):
+        parts = table.parts()
+        kept = []
+        for folder in sorted({p.rpartition("/")[0] for p in parts.values()}):
+            path = f"{status_path.rstrip('/')}-counts/{folder.rpartition('/')[2]}"
+            if not files.exists(spark, f"{path}/_SUCCESS"):
+                status_counts(spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_bucket", T.IntegerType())])).parquet(folder), "_bucket").withColumn(
+                    "_folder", F.lit(folder)).coalesce(1).write.mode("overwrite").parquet(path)
+            kept.append(path)
+        # at most one row per bucket
+        current = spark.createDataFrame([(int(b), p.rpartition("/")[0]) for b, p in parts.items()], "_bucket int, _folder string")
+        return spark.read.parquet(*kept).join(current, ["_bucket", "_folder"]) if kept else None
 
     def each(df, batch):
         table.upsert(df, batch)
         spark = df.sparkSession
-        now = fleet_status(table.read(schema), expected).withColumn("batch", F.lit(batch).cast("bigint"))
+        found = counts(spark)
+        if found is None:
+            return
+        now = status_against(found, expected).withColumn("batch", F.lit(batch).cast("bigint"))
         if files.exists(spark, status_path):
             # one row per threshold and change: a small table
             log = spark.read.schema(now.schema).parquet(status_path).filter(F.col("batch") < batch)
@@ -58,11 +76,13 @@ def latest_status(spark: SparkSession, status_path: str, schema: T.StructType) -
 
 
 def parse_progress(lines: DataFrame) -> DataFrame:
-    g = F.split(F.regexp_replace("value", PROGRESS + ".*$", "$1\u0001$2\u0001$3\u0001$4\u0001$5\u0001$6\u0001$7\u0001$8"), "\u0001", -1)
+    # the separator cannot stand in a line: it is replaced first
+    line = F.translate("value", "\u0001", "\uFFFD")
+    g = F.split(F.regexp_replace(line, PROGRESS + ".*$", "$1\u0001$2\u0001$3\u0001$4\u0001$5\u0001$6\u0001$7\u0001$8"), "\u0001", -1)
     x = lines.withColumn("_g", g).filter(F.size("_g") == 8)
     c = F.col("_g")
     return x.select(c[0].alias("ts"), c[1].alias("job_id"), c[2].alias("label"), (c[3] == "encode done").alias("done"),
-                    *[c[i].cast("double").alias(n) for i, n in enumerate(("elapsed_sec", "size_mib", "rate", "ratio"), start=4)])
+                    *[c[i].try_cast("double").alias(n) for i, n in enumerate(("elapsed_sec", "size_mib", "rate", "ratio"), start=4)])
 
 
 def progress_state(progress: DataFrame) -> DataFrame:
