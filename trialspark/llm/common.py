@@ -118,6 +118,18 @@ def by_id(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def hash_sample(df: DataFrame, group: str, per_group: int, *key: str) -> DataFrame:
+    """About four times per_group rows of each group, or all of a small one: those whose key has a low hash.
+
+    The share of a group comes from its count, so no group is gathered to cut it; an exact limit may follow.
+    """
+    counts = held(df.groupBy(group).agg(F.count("*").alias("__n")).withColumnRenamed(group, "__group"), "group-counts")
+    counts = F.broadcast(counts) if counts.count() <= 100_000 else counts
+    place = F.pmod(F.xxhash64(*[F.col(c) for c in key], F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
+    low = place * F.col("__n") < 4.0 * per_group
+    return df.join(counts, F.col(group) == F.col("__group")).filter(low).drop("__group", "__n")
+
+
 def held(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared scratch folder."""
     return materialize(df, "llm-" + label)

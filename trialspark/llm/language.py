@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from trialspark.llm.common import held
+from trialspark.llm.common import hash_sample, held
 
 #: Symbols of the n-grams: 0 any run of non-letters, 1 any rare letter, the rest the most frequent letters.
 SYMBOL_BITS = 6
@@ -130,7 +130,7 @@ def fit(labelled: DataFrame, per_language: int = 1000, landmarks_per_language: i
     """
     usable = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = usable.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language)
+    picked = hash_sample(usable.select("doc_id", "lang"), "lang", per_language, "doc_id").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language)
     ids = picked.groupBy("doc_id").agg(F.min("place").alias("place"))
     # the picked ids are few (per_language for each language); repeated rows of one id are cut again
     sample = usable.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id")

@@ -17,7 +17,7 @@ from pyspark.ml.classification import RandomForestClassificationModel, RandomFor
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
-from trialspark.llm.common import held
+from trialspark.llm.common import hash_sample, held
 
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/=\-]{16,}")
 #: Characters kept on either side of a candidate for its neighbouring words.
@@ -130,7 +130,7 @@ def fit(labelled: DataFrame, per_label: int = 4000, trees: int = 30, depth: int
     dictionary holds at most `words` words of 3 to 12 letters from around these findings.
     """
     order = Window.partitionBy("label").orderBy(F.xxhash64("candidate", "doc_id", "start"), "doc_id", "start")
-    sample = labelled.filter("label IS NOT NULL").withColumn("row", F.row_number().over(order)).filter(F.col("row") <= per_label).drop("row")
+    sample = hash_sample(labelled.filter("label IS NOT NULL"), "label", per_label, "candidate", "doc_id", "start").withColumn("row", F.row_number().over(order)).filter(F.col("row") <= per_label).drop("row")
     sample = held(sample, "secret-sample")
     if sample.select("label").distinct().count() < 2:
         return SecretModel(None, frozenset())
@@ -146,5 +146,5 @@ def fit(labelled: DataFrame, per_label: int = 4000, trees: int = 30, depth: int
 def scan(documents: DataFrame, label=None, path_col: str = "source", **settings) -> DataFrame:
     """Every candidate of documents with score and is_secret; `label` is a column over findings, null where unknown."""
     findings = held(find_candidates(documents, path_col), "candidates")
-    model = fit(findings.withColumn("label", label), **settings)
+    model = fit(findings.withColumn("label", F.lit(None).cast("boolean") if label is None else label), **settings)
     return model.score(findings)
