@@ -79,14 +79,24 @@ def _(t):
     return table.read(rows.drop("l_linestatus").schema).drop("k4")
 
 
+def imports(t):
+    n = t.nation.select(F.col("n_nationkey").alias("nk"), F.col("n_name").alias("work_root"))
+    a = t.supplier.filter("s_acctbal > 4000").join(n, F.col("s_nationkey") == F.col("nk")).select("work_root", F.col("s_suppkey").cast("string").alias("job_id"))
+    b = t.customer.join(n, F.col("c_nationkey") == F.col("nk")).select("work_root", F.col("c_custkey").cast("string").alias("job_id"))
+    return a, b
+
+
 @query("a07_bulk_import", """WITH a AS (SELECT n_name AS work_root, CAST(s_suppkey AS VARCHAR) AS job_id FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal > 4000), b AS (SELECT n_name AS work_root, CAST(c_custkey AS VARCHAR) AS job_id FROM customer JOIN nation ON n_nationkey = c_nationkey),
 s AS (SELECT * FROM b WHERE work_root NOT IN (SELECT work_root FROM a))
 SELECT work_root, count(DISTINCT job_id) AS job_count, count(DISTINCT job_id) AS ok_count FROM a GROUP BY 1 UNION ALL SELECT work_root, count(*), count(*) FROM s GROUP BY 1""")
 def _(t):
-    n = t.nation.select(F.col("n_nationkey").alias("nk"), F.col("n_name").alias("work_root"))
-    a = t.supplier.filter("s_acctbal > 4000").join(n, F.col("s_nationkey") == F.col("nk")).select("work_root", F.col("s_suppkey").cast("string").alias("job_id"))
-    b = t.customer.join(n, F.col("c_nationkey") == F.col("nk")).select("work_root", F.col("c_custkey").cast("string").alias("job_id"))
-    return K.import_results(a, b)[1]
+    return K.import_results(*imports(t))[1]
+
+
+@query("a07_imported_rows", """WITH a AS (SELECT n_name AS work_root, CAST(s_suppkey AS VARCHAR) AS job_id FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal > 4000), b AS (SELECT n_name AS work_root, CAST(c_custkey AS VARCHAR) AS job_id FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT * FROM a UNION ALL SELECT * FROM b WHERE work_root NOT IN (SELECT work_root FROM a)""")
+def _(t):
+    return K.import_results(*imports(t))[0]
 
 
 @query("a08_training_table_sink", f"SELECT {SEQ}, video_id, crf, vmaf_neg, oracle_crf FROM v_trials JOIN v_labels USING (video_id)")

@@ -207,10 +207,10 @@ k AS (SELECT *, CASE WHEN c THEN dense_rank() OVER (PARTITION BY video_id ORDER
 m AS (SELECT *, max(rk) OVER w AS best, max(rk) OVER (PARTITION BY video_id ORDER BY {SEQ} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
   FROM k WINDOW w AS (PARTITION BY video_id ORDER BY {SEQ} ROWS UNBOUNDED PRECEDING))
 SELECT video_id, k1, k2, k3, k4, rk IS NOT NULL AND (prev IS NULL OR rk > prev) AS accepted,
-  max(CASE WHEN rk IS NOT NULL AND (prev IS NULL OR rk > prev) THEN rk END) OVER (PARTITION BY video_id ORDER BY {SEQ} ROWS UNBOUNDED PRECEDING) IS NOT NULL AS has_best FROM m""")
+  last_value(CASE WHEN rk IS NOT NULL AND (prev IS NULL OR rk > prev) THEN s_f END IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY {SEQ} ROWS UNBOUNDED PRECEDING) AS best_s_f FROM m""", "best_s_f")
 def _(t):
     out = T.incumbent_trace(t.scored, ["video_id"], 85.0, F.floor(F.col("k1") / 4096).cast("bigint"))
-    return out.select("video_id", "k1", "k2", "k3", "k4", "accepted", F.col("best_s_f").isNotNull().alias("has_best"))
+    return out.select("video_id", "k1", "k2", "k3", "k4", "accepted", "best_s_f")
 
 
 @query("f10_attempt_pick", f"""SELECT {OUT}, passed FROM (SELECT *, row_number() OVER (PARTITION BY video_id, segment_index ORDER BY passed DESC, CASE WHEN passed THEN crf END DESC NULLS LAST,
