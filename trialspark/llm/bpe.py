@@ -64,16 +64,41 @@ def serialize_model(ranks: dict[bytes, int]) -> bytes:
     return b"".join(out)
 
 
+#: A character of each class that stands for others of it when a text is split; none is special in a pattern.
+STAND_INS = {"L": "b", "N": "0", "other": "!"}
+
+
+def moved_characters(ranks: dict[bytes, int]) -> dict[int, str]:
+    """Characters that this regex module classes otherwise than the tokenizer library, with a stand-in each.
+
+    Both know letters and numbers of some Unicode version; the library's counts. All code points are run
+    through one pattern for each class, so the table follows the installed versions.
+    """
+    import regex
+    import tiktoken
+
+    points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    there, here = {}, {}
+    for kind in ("L", "N"):
+        pattern = rf"\p{{{kind}}}+"
+        plain = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        there |= dict.fromkeys(plain.decode(plain.encode_ordinary(points)), kind)
+        here |= dict.fromkeys("".join(regex.findall(pattern, points)), kind)
+    return {ord(c): STAND_INS[there.get(c, "other")] for c in there.keys() | here.keys() if there.get(c) != here.get(c)}
+
+
 class Codec:
     """Encoder and decoder of one task."""
 
-    def __init__(self, model: bytes, ids: np.ndarray, pattern: str):
+    def __init__(self, model: bytes, ids: np.ndarray, pattern: str, moved: dict[int, str]):
         import regex
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.ids = ids  # id of each piece after the unknown one
         self.split = regex.compile(pattern).findall
+        self.moved = moved
+        self.has_moved = regex.compile("[" + "".join(map(chr, moved)) + "]").search if moved else None
         self.known: dict[str, bytes] = {}
 
     def _learn(self, tokens: list[str]) -> None:
@@ -86,7 +111,12 @@ class Codec:
         """Ids of a text as 32-bit numbers."""
         if not text:
             return b""
-        tokens = self.split(text)
+        if self.has_moved and not text.isascii() and self.has_moved(text):
+            # split with stand-ins of one character each, then take the text itself
+            ends = np.cumsum([0, *map(len, self.split(text.translate(self.moved)))]).tolist()
+            tokens = [text[a:b] for a, b in zip(ends, ends[1:])]
+        else:
+            tokens = self.split(text)
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = [t for t in dict.fromkeys(tokens) if t not in self.known]
@@ -112,7 +142,7 @@ class ByteBPE:
         if missing:
             raise ValueError(f"the vocabulary lacks the bytes {missing[:5]}")
         ids = np.array(sorted(ranks.values()), np.int32)
-        self._model = spark.sparkContext.broadcast((serialize_model(ranks), ids, pattern))
+        self._model = spark.sparkContext.broadcast((serialize_model(ranks), ids, pattern, moved_characters(ranks)))
 
     def encode(self, text: Column) -> Column:
         """Ids (array of int) of a text; null and empty texts have none."""
