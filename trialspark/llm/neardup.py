@@ -102,7 +102,7 @@ def _compare(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(run, "node long, to long, links long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", sample: int = 8192, cell_rows: int = 1024, max_cells: int = 256) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", sample: int = 8192, cell_rows: int = 2048, max_cells: int = 256) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector.
 
     Vectors of equal, non-null label and equal length link when their cosine, in double precision, is at
@@ -110,17 +110,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     reachable (its own included), kept says that it is its own. Null or empty vectors, zero vectors and
     vectors with null or non-finite components link with nothing and are kept; so are rows of null label.
     Equal vectors are compared once and counted each; rows with a null id are not linked. Repeated ids count
-    as separate vectors of one id. Centres are fitted on at most `sample` vectors; every vector is indexed.
+    as separate vectors of one id. Centres are fitted on at most `sample` vectors, as many as
+    give the largest label cells of about cell_rows vectors; every vector is indexed.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vec"), F.col(label_col).cast("string").alias("label"))
     good = rows.filter(usable("vec") & F.exists("vec", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     distinct = held(good.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("node", F.xxhash64("label", "vec")), "distinct-vectors")
-    total = distinct.count()
+    largest = distinct.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     some = bounded_sample(distinct, "vec", "node", sample)
     if len(some):
         some = some / np.abs(some).max(axis=1, keepdims=True)
         some = some / np.linalg.norm(some, axis=1, keepdims=True)
-        some = spherical_kmeans(some, min(max_cells, max(1, total // cell_rows)))
+        some = spherical_kmeans(some, min(max_cells, max(1, largest // cell_rows)))
     cells = held(_cells(distinct, some, threshold), "cells")
     count = cells.groupBy("label", "dim", "cell").agg(F.count("*").alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
     dealt = cells.join(count, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("node", "guest"), F.col("blocks")).cast("int"))

@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Rows of a block; a block of 64 doubles a row is 1 MB.
-BLOCK = 2048
+#: Rows of a block; a block of 64 doubles a row is half a MB.
+BLOCK = 1024
 
 
 def usable(vector: str) -> Column:
@@ -54,5 +54,7 @@ def bounded_sample(df: DataFrame, vector: str, key: str, size: int) -> np.ndarra
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one: a row may hold a block."""
     for batch in batches:
-        yield from batch.to_pylist()
+        for i in range(batch.num_rows):
+            yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns)}
