@@ -12,6 +12,7 @@ from trialspark.plans import load_all  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 ORDERS = {"e16_param_impact": "ORDER BY max_abs_delta_vmaf DESC, param"}
+KEYS = {"g07_grid_order": ("crf", "aq_strength")}
 
 
 @pytest.mark.parametrize("name", ["g01_entry_sort", "g01_entry_sort_time", "g02_latest_results", "g04_challenge_order", "g05_catalogue_order", "g07_grid_order", "e16_param_impact"])
@@ -22,4 +23,8 @@ def test_order(spark, name):
     names = [d[0] for d in cur.description]
     want = [key(r) for r in cur.fetchall()]
     got = [key(r) for r in q.frame(spark, FOLDER).select(*names).collect()]
+    if name in KEYS:  # rows of equal keys have no order among themselves
+        at = [names.index(c) for c in KEYS[name]]
+        assert [[r[i] for i in at] for r in got] == [[r[i] for i in at] for r in want]
+        got, want = sorted(got), sorted(want)
     assert got == want
