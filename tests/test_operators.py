@@ -217,6 +217,16 @@ def test_folds_split_like_blocks(spark):
     assert [got[i] for i in range(11)] == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2, 2]
 
 
+def test_model_is_trained_saved_and_loaded(spark, tmp_path):
+    df = spark.range(40).selectExpr("id", "CAST(id % 10 AS DOUBLE) AS a", "IF(id % 10 < 5, 24, 36) AS y")
+    meta = M.train_model(df, ["a"], "y", ["id"], F.floor(F.col("id") / 8).cast("bigint"), str(tmp_path), k=2, rounds=3, depth=2)
+    assert meta["rows"] == 40 and [f["n"] for f in meta["folds"]] == [20, 20] and meta["cv_mae_mean"] < 6
+    model, again = M.load_model(spark, str(tmp_path))
+    assert again == meta
+    got = {r.a: r.prediction for r in M.predict(model, again, spark.createDataFrame([(1.0,), (8.0,)], "a double")).collect()}
+    assert got[1.0] < got[8.0] and all(22 <= p <= 42 for p in got.values())
+
+
 def test_training_needs_rows(spark):
     x = M.vectors(spark.range(5).select(F.col("id").alias("f"), F.lit(30).alias("y")), ["f"], "y")
     with pytest.raises(ValueError):

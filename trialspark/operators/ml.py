@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import json
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trialspark.operators.scan import group_sum, ordered_scan, running_sum
+from trialspark.session import materialize
 
 # Limits of a predicted CRF.
 CRF_MIN, CRF_MAX = 22.0, 42.0
 MIN_ROWS = 8
+# Boosting rounds and folds.
+ROUNDS, FOLDS = 400, 5
 
 
 def contiguous_folds(df: DataFrame, order: list[str], chunk: Column, k: int) -> DataFrame:
@@ -48,17 +55,46 @@ def require_rows(df: DataFrame) -> None:
         raise ValueError(f"need at least {MIN_ROWS} labelled rows")
 
 
-def fit(train: DataFrame, *, rounds: int = 100, depth: int = 6, step: float = 0.05, seed: int = 42):
+def fit(train: DataFrame, *, rounds: int = ROUNDS, depth: int = 6, step: float = 0.05, seed: int = 42):
     """Gradient-boosted trees on absolute error; `train` comes from `vectors`."""
     from pyspark.ml.regression import GBTRegressor
     return GBTRegressor(featuresCol="features", labelCol="label", lossType="absolute", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed).fit(train)
 
 
-def cross_validate(folded: DataFrame, k: int, **params) -> DataFrame:
-    """Out-of-fold predictions: one model per fold, each trained on the others."""
+def cross_validate(folded: DataFrame, k: int = FOLDS, **params) -> DataFrame:
+    """Out-of-fold predictions: one model per fold, each trained on the others, all at the same time."""
     require_rows(folded)
-    out = None
-    for i in range(k):
-        part = fit(folded.filter(F.col("fold") != i), **params).transform(folded.filter(F.col("fold") == i))
-        out = part if out is None else out.unionByName(part)
+
+    def one(i: int) -> DataFrame:
+        return fit(folded.filter(F.col("fold") != i), **params).transform(folded.filter(F.col("fold") == i))
+
+    with ThreadPoolExecutor(k) as pool:
+        parts = list(pool.map(one, range(k)))
+    out = reduce(DataFrame.unionByName, parts)
     return out.withColumn("prediction", clip_prediction(F.col("prediction"))).drop("features")
+
+
+def train_model(table: DataFrame, features: list[str], label: str, order: list[str], chunk: Column, path: str, k: int = FOLDS, **params) -> dict:
+    """Cross-validate, fit on all labelled rows, and save the model with its metadata below `path`.
+
+    The metadata hold the rows, the feature columns, the label and the metrics of each fold and their means.
+    """
+    rows = materialize(contiguous_folds(vectors(table, features, label), order, chunk, k), "training")
+    per_fold = fold_metrics(cross_validate(rows, k, **params), "label", "prediction").orderBy("fold").collect()  # one row per fold
+    meta = {"rows": rows.count(), "features": features, "label": label, "folds": [r.asDict() for r in per_fold],
+            "cv_mae_mean": sum(r.mae for r in per_fold) / len(per_fold), "cv_rmse_mean": sum(r.rmse for r in per_fold) / len(per_fold)}
+    fit(rows, **params).write().overwrite().save(f"{path}/model")
+    table.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+    return meta
+
+
+def load_model(spark, path: str):
+    """(model, metadata) as saved by train_model."""
+    from pyspark.ml.regression import GBTRegressionModel
+    return GBTRegressionModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/metadata").first()[0])
+
+
+def predict(model, meta: dict, table: DataFrame) -> DataFrame:
+    """table with `prediction`, a whole CRF within the limits; missing features count as 0."""
+    rows = vectors(table.withColumn("__label", F.lit(0.0)), meta["features"], "__label")
+    return model.transform(rows).withColumn("prediction", clip_prediction(F.col("prediction"))).select(*table.columns, "prediction")
