@@ -27,11 +27,9 @@ from pyspark.sql import DataFrame, functions as F
 from trialspark.llm.common import RangeHash, by_id, held, in_chunks, near_semi, text_rows, word_hashes
 from trialspark.llm.components import components
 
-#: Shingles whose hash starts with COUNTED_BITS zero bits are counted in 2**SKETCH_BITS buckets; they come first
-#: in the order of shingles, those of rare buckets first. Any order gives the same result: these numbers bound
-#: memory and never change the answer.
-SKETCH_BITS = 18
-COUNTED_BITS = 2
+#: Shingles are counted in 2**SKETCH_BITS hash buckets; those of rare buckets come first in the order of
+#: shingles. Any order gives the same result: the number bounds memory and never changes the answer.
+SKETCH_BITS = 19
 
 
 def shingles_of(text: bytes, words: int, ranges: RangeHash) -> np.ndarray:
@@ -45,14 +43,14 @@ def shingles_of(text: bytes, words: int, ranges: RangeHash) -> np.ndarray:
 
 
 def bucket_counts(docs: DataFrame, words: int) -> np.ndarray:
-    """How many counted shingles fall into each hash bucket, over all documents (2**18 numbers)."""
-    shift = np.uint64(64 - COUNTED_BITS - SKETCH_BITS)
+    """How many shingles fall into each hash bucket, over all documents (2**19 numbers)."""
+    shift = np.uint64(64 - SKETCH_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges, total = RangeHash(), np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             found = np.concatenate([shingles_of(text, words, ranges) for _, text in text_rows([batch])]) >> shift
-            total += np.bincount(found[found < len(total)].astype(np.int64), minlength=len(total))
+            total += np.bincount(found.astype(np.int64), minlength=len(total))
         used = np.flatnonzero(total)
         for at in range(0, len(used), 1 << 16):
             part = used[at:at + (1 << 16)]
@@ -72,8 +70,8 @@ def shingle_sets(docs: DataFrame, words: int, percent: int, counts: np.ndarray,
     rank = np.empty(len(counts), np.uint64)
     rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.uint64)
     rank = docs.sparkSession.sparkContext.broadcast(rank)
-    shift = np.uint64(64 - COUNTED_BITS - SKETCH_BITS)
-    low = np.uint64((1 << (64 - COUNTED_BITS - SKETCH_BITS)) - 1)
+    shift = np.uint64(64 - SKETCH_BITS)
+    low = np.uint64((1 << (64 - SKETCH_BITS)) - 1)
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -82,9 +80,7 @@ def shingle_sets(docs: DataFrame, words: int, percent: int, counts: np.ndarray,
             keys = np.unique(shingles_of(text, words, ranges))
             n = len(keys)
             sid = int.from_bytes(hashlib.blake2b(keys.tobytes(), digest_size=8).digest(), "big", signed=True) if n else None
-            counted = int(np.searchsorted(keys, np.uint64(1 << (64 - COUNTED_BITS))))
-            head = keys[:counted]
-            keys[:counted] = np.sort(order[(head >> shift).astype(np.int64)] << shift | head & low)
+            keys = np.sort(order[(keys >> shift).astype(np.int64)] << shift | keys & low)
             yield doc, n, sid, (keys ^ np.uint64(1 << 63)).view(np.int64)[: n if whole else n - -(-percent * n // 100) + 1]
 
     return docs.mapInArrow(lambda batches: in_chunks(rows(batches), schema, 256), "doc_id long, n int, sid long, keys array<long>")
