@@ -7,17 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trialspark.llm.bpe import decode_documents, encode_documents
 from trialspark.llm.common import held
 from trialspark.llm.jaccard import keep_one
-from trialspark.llm.language import UNKNOWN, identify
+from trialspark.llm.language import identify
 from trialspark.llm.lines import drop_boilerplate
 from trialspark.llm.mixing import take_mix
 
-#: A text is rejected if no language scores so much (0 to 1).
-LEAST_SCORE = 0.25
-
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; null texts and texts without letters go."""
-    found = identify(docs).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    """Documents whose language is recognised; null texts, gibberish, ids and texts of an unlearned language go."""
+    found = identify(docs).filter("recognised")
     return found.select(docs.columns)
 
 

@@ -115,6 +115,23 @@ def test_language_cases(spark, docs):
     assert docs([(7, "x")]).select(is_held_out()).first()[0] in (True, False)
 
 
+def test_unrecognised_texts_go(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    r = random.Random(6)
+    gibberish = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 11))) for _ in range(n))
+    bad = [gibberish(n) for n in (5, 30, 500)] + [f"{r.getrandbits(160):040x} {r.getrandbits(160):040x} a7", "Все люди рождаются свободными и равными"]
+    more = spark.createDataFrame([(10**6 + i, t, None, "src0", len(t)) for i, t in enumerate(bad)], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    kept = {x.doc_id for x in corpus_pipeline.identify_languages(spark, docs.select(more.columns).unionByName(more), folder).collect()}
+    assert kept == {x.doc_id for x in docs.select("doc_id").collect()}
+    # French is not learned when no row says so; the others stay
+    unlearned = docs.withColumn("lang", F.when(F.col("lang") != "fr", F.col("lang")))
+    kept = {x.doc_id for x in corpus_pipeline.identify_languages(spark, unlearned, folder).collect()}
+    assert kept == {x.doc_id for x in docs.filter("lang <> 'fr'").select("doc_id").collect()}
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, node int"
 
 

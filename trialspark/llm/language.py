@@ -5,6 +5,10 @@ by the geometric mean of both counts. Nyström: a text is described by its kerne
 texts, mapped so that inner products reproduce the kernel between landmarks. Classifier: one kernel ridge
 regression per language against the rest. Scoring multiplies a batch's presence matrix with the landmarks'
 and the result with the weights.
+
+Rejection: a language knows the 3-grams of at least COMMON of its learning texts. A text is recognised if its
+winner knows enough of the 3-grams of the text's words; how much is enough comes from the learning texts that the
+language wins, so it does not depend on the number of languages.
 """
 
 from __future__ import annotations
@@ -25,6 +29,10 @@ GRAMS = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
 #: Rows of a presence matrix.
 BLOCK = 256
 UNKNOWN = "und"
+#: A 3-gram is known to a language if this share of its learning texts has it, and two of them at least.
+COMMON = 0.03
+#: Texts are recognised from this part of what nearly all learning texts of a language reach (all but LOWEST of them).
+ENOUGH, LOWEST = 0.6, 0.005
 
 
 def symbol_table(letters: list[int]) -> np.ndarray:
@@ -54,11 +62,29 @@ def presence(text: str, table: np.ndarray, out: np.ndarray) -> bool:
     return True
 
 
+#: Code points of digits.
+DIGITS = np.fromiter((chr(c).isdigit() for c in range(0x110000)), bool, 0x110000)
+
+
+def word_grams(text: str, table: np.ndarray) -> np.ndarray:
+    """Every 3-gram of a text's words, with repeats; runs of letters and digits that hold a digit (ids, hashes) count as blank."""
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    symbols, digit = table[codes].astype(np.int32), DIGITS[codes]
+    run = np.cumsum((symbols == 0) & ~digit)
+    symbols[np.bincount(run, digit, len(codes) + 1)[run] > 0] = 0
+    symbols = np.concatenate(([0], symbols, [0]))
+    keep = symbols > 0
+    keep[1:] |= symbols[:-1] > 0
+    s = np.concatenate(([0], symbols[keep]))
+    return (s[:-2] << SYMBOL_BITS | s[1:-1]) << SYMBOL_BITS | s[2:]
+
+
 @dataclass
 class LanguageModel:
     """Landmark n-grams (grams x landmarks), their sizes, and the weights of each language.
 
-    At most GRAMS x landmarks numbers, whatever the corpus.
+    At most GRAMS x (landmarks + languages) numbers, whatever the corpus. `known` says which 3-grams each
+    language knows, `floors` how much of a text it has to know.
     """
 
     languages: list[str]
@@ -68,6 +94,8 @@ class LanguageModel:
     sizes: np.ndarray
     weights: np.ndarray | None = None
     offsets: np.ndarray | None = None
+    known: np.ndarray | None = None
+    floors: np.ndarray | None = None
 
     def kernel(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Kernel values of texts with the landmarks; which texts have letters."""
@@ -80,14 +108,21 @@ class LanguageModel:
         common = (rows @ self.landmarks).astype(np.float64)  # whole numbers, exact in any order
         return common / np.sqrt(sizes[:, None] * self.sizes[None, :]), ok
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float], list[bool]]:
+        """Language, score, share of 3-grams known to the language, and whether that is enough, of each text."""
         if self.weights is None:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts), [False] * len(texts)
         kernel, ok = self.kernel(texts)
         scores = np.round(kernel @ self.weights + self.offsets, 9)
         best = scores.argmax(axis=1)
         value = np.clip((scores[np.arange(len(texts)), best] + 1) / 2, 0, 1).round(6)
-        return [self.languages[b] if o else UNKNOWN for b, o in zip(best, ok)], [float(v) if o else 0.0 for v, o in zip(value, ok)]
+        share = np.zeros(len(texts))
+        for i in np.flatnonzero(ok) if self.known is not None else ():
+            grams = word_grams(texts[i], self.table)
+            share[i] = self.known[best[i]][grams].mean() if len(grams) else 0
+        enough = ok & (share > 0) & (share >= self.floors[best]) if self.floors is not None else np.zeros(len(texts), bool)
+        return ([self.languages[b] if o else UNKNOWN for b, o in zip(best, ok)], [float(v) if o else 0.0 for v, o in zip(value, ok)],
+                share.round(6).tolist(), enough.tolist())
 
 
 def _letters(sample: DataFrame) -> list[int]:
@@ -154,9 +189,35 @@ def fit(labelled: DataFrame, per_language: int = 1000, landmarks_per_language: i
     inner = centred.T @ centred + ridge * np.eye(centred.shape[1])
     beta = np.linalg.solve(inner, centred.T @ (target - mean))
     model.weights, model.offsets = nystroem @ beta, mean - middle @ beta
+    model.known = _known(sample, model)
+    answers = sample.select(predict(model, sample, F.col("text")).alias("x")).select("x.lang", "x.known").filter(F.col("lang") != UNKNOWN)
+    least = {r.lang: r.low for r in answers.groupBy("lang").agg(F.expr(f"percentile(known, {LOWEST})").alias("low")).collect()}
+    model.floors = np.array([ENOUGH * least.get(lang, 0.0) for lang in languages])
     return model
 
 
+def _known(sample: DataFrame, model: LanguageModel) -> np.ndarray:
+    """Which 3-grams each language knows (languages x 3-grams)."""
+    table, languages = sample.sparkSession.sparkContext.broadcast(model.table), model.languages
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+                counts.setdefault(lang, np.zeros(SYMBOLS**3, np.int64))[np.unique(word_grams(text, table.value))] += 1
+        for lang, n in counts.items():
+            gram = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int32)), pa.array(n[gram])], names=["lang", "gram", "n"])
+
+    rows = sample.groupBy("lang").agg(F.count("*").alias("rows"))  # one row a language
+    found = sample.select("lang", "text").mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = found.join(F.broadcast(rows), "lang").filter((F.col("n") >= 2) & (F.col("n") >= COMMON * F.col("rows")))
+    known = np.zeros((len(languages), SYMBOLS**3), bool)
+    for r in found.groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect():
+        known[languages.index(r.lang), r.grams] = True
+    return known
+
+
 def _kernel_rows(sample: DataFrame, model: LanguageModel) -> DataFrame:
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
@@ -171,23 +232,23 @@ def _kernel_rows(sample: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def predict(model: LanguageModel, documents: DataFrame, text: Column) -> Column:
-    """struct(lang string, score double) of a text; `und` and 0 for null texts and texts without letters.
+    """struct(lang string, score double, known double, recognised boolean) of a text; `und`, 0, 0 and false for
+    null texts and texts without letters.
 
-    Texts of any length count whole. The score is the winner's regression value, from -1 to 1, moved to 0 to 1.
+    Texts of any length count whole. The score is the winner's regression value, from -1 to 1, moved to 0 to 1;
+    known is the share of the text's 3-grams that the winner knows.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            langs, scores = [], []
-            for at in range(0, len(texts), BLOCK):
-                lang, score = shared.value.predict(texts.slice(at, BLOCK).to_pylist())
-                langs += lang
-                scores += score
-            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
+            parts = [shared.value.predict(texts.slice(at, BLOCK).to_pylist()) for at in range(0, len(texts), BLOCK)]
+            columns = [[x for part in parts for x in part[i]] for i in range(4)]
+            kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "score", "known", "recognised"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "lang string, score double")(text)
+    return F.arrow_udf(run, "lang string, score double, known double, recognised boolean")(text)
 
 
 def is_held_out(id_col: str = "doc_id") -> Column:
@@ -196,7 +257,7 @@ def is_held_out(id_col: str = "doc_id") -> Column:
 
 
 def identify(documents: DataFrame, **settings) -> DataFrame:
-    """documents with held_out, lang_pred and score; fitted on the rows that are not held out.
+    """documents with held_out, lang_pred, score and recognised; fitted on the rows that are not held out.
 
     Only the text is an input of a prediction. Repeated rows get equal answers, an empty table stays empty;
     columns named like the new ones are replaced.
@@ -204,4 +265,4 @@ def identify(documents: DataFrame, **settings) -> DataFrame:
     plain = documents.select("doc_id", "text", "lang")
     model = fit(plain.filter(~is_held_out()), **settings)
     found = documents.withColumn("__found", predict(model, documents, F.col("text").cast("string")))
-    return found.withColumns({"held_out": is_held_out(), "lang_pred": F.col("__found.lang"), "score": F.col("__found.score")}).drop("__found")
+    return found.withColumns({"held_out": is_held_out(), "lang_pred": F.col("__found.lang"), "score": F.col("__found.score"), "recognised": F.col("__found.recognised")}).drop("__found")
