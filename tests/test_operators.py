@@ -231,3 +231,18 @@ def test_training_needs_rows(spark):
     x = M.vectors(spark.range(5).select(F.col("id").alias("f"), F.lit(30).alias("y")), ["f"], "y")
     with pytest.raises(ValueError):
         M.require_rows(x)
+
+
+def test_regression_query_trains_all_rounds(spark, monkeypatch):
+    from trialspark.plans import load_all
+
+    class Trained(Exception):
+        pass
+
+    def fit(train, *, rounds=M.ROUNDS, depth=6, **more):
+        raise Trained(rounds, depth)
+
+    monkeypatch.setattr(M, "fit", fit)
+    with pytest.raises(Trained) as found:
+        load_all()["k01_crf_regression"].frame(spark, "/root/testdata/sf0.001")
+    assert found.value.args == (400, 6)

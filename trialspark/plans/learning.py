@@ -20,8 +20,6 @@ def folded(t):
 def training(t):
     lab = labels(t).select("video_id", "crf_at_threshold")
     return clips(t).join(lab, "video_id").select("video_id", *[F.col(c).alias(f"feat_{c}") for c in FEATURES], F.lit(85).alias("threshold"), "crf_at_threshold")
-#: Boosting rounds of the query; training itself takes M.ROUNDS.
-QUERY_ROUNDS = 10
 
 
 @query("k01_crf_regression")
@@ -30,7 +28,7 @@ def _(t):
     train = materialize(training(t), "training")
     x = M.vectors(train, names, "crf_at_threshold")
     x = materialize(M.contiguous_folds(x, ["video_id"], F.floor(F.col("video_id") / 1024).cast("bigint"), M.FOLDS), "folds")
-    return M.cross_validate(x, rounds=QUERY_ROUNDS).select("video_id", "fold", "label", "prediction")
+    return M.cross_validate(x).select("video_id", "fold", "label", "prediction")
 
 
 @query("k02_contiguous_folds", "SELECT o_orderkey, CAST(fold AS INT) AS fold FROM v_folds")
