@@ -273,3 +273,19 @@ def test_secret_cases(spark, docs):
     unlabelled = secrets.scan(table, F.lit(None).cast("boolean")).collect()
     assert len(unlabelled) == len(out) and all(x.is_secret and x.score is None for x in unlabelled)
     assert secrets.scan(table.limit(0), label).count() == 0
+
+
+def test_secret_formats(spark, tmp_path):
+    from trialspark.llm import queries
+
+    r = random.Random(8)
+    make = lambda n, chars="abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789": "".join(r.choice(chars) for _ in range(n))
+    digits = "0123456789abcdef"
+    kinds = [lambda: "AKIA" + make(16, "ABCDEFGHIJ234567"), lambda: "ghp_" + make(36), lambda: f'secret: "{make(64, digits)}"', lambda: f"password={make(32, digits)}",
+             lambda: f"auth: {make(30)}", lambda: f'credential = "zq9_{make(14)}+{make(9)}"', lambda: f'key = "{make(48, digits)}"']  # the last is in no label rule
+    more = [(10**6 + i, f"The of and {kinds[i % 7]()} in the of.", "en", "src1", 1) for i in range(210)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    docs.unionByName(spark.createDataFrame(more, docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op4_secret_scan(spark, str(tmp_path)).filter("doc_id >= 1000000").collect()
+    assert {x.doc_id for x in found if x.is_secret} == {i for i, *_ in more}

@@ -11,7 +11,7 @@ from trialspark.llm.language import identify, is_held_out
 from trialspark.llm.lines import LINES_SQL, drop_boilerplate
 from trialspark.llm.mixing import MIX_SQL, mix
 from trialspark.llm.neardup import near_duplicates
-from trialspark.llm.secrets import scan
+from trialspark.llm.secrets import known_label, scan
 from trialspark.llm.substrings import remove_repeats
 from trialspark.llm.topk import top_k
 
@@ -43,9 +43,8 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Labels: findings of documents outside the held-out third, reviewed by the format of the planted secrets."""
-    real = F.col("before").rlike(r'(?i)(token|key|secret|password)\s*[=:]\s*"$') & F.col("candidate").rlike("^[0-9a-f]{40}$")
-    found = scan(_table(spark, folder, "documents"), F.when(~is_held_out(), real))
+    """Labels: findings of documents outside the held-out third, where their format is known (see known_label)."""
+    found = scan(_table(spark, folder, "documents"), F.when(~is_held_out(), known_label()))
     return found.select("doc_id", "start", F.length("candidate").alias("length"), F.sha2(F.col("candidate").cast("binary"), 256).alias("candidate_sha256"), "score", "is_secret")
 
 

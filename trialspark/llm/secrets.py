@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trialspark.llm.common import hash_sample, held
 
@@ -28,6 +28,19 @@ KEY_WORDS = ("token", "key", "secret", "password", "passwd", "pwd", "credential"
 DUMMY_WORDS = ("example", "sample", "test", "dummy", "placeholder", "changeme", "xxxx", "hash", "checksum", "commit")
 DUMMY_PATHS = ("test", "example", "sample", "doc", "fixture", "lock")
 
+# Formats that name themselves (cloud key ids, tokens with prefixes, signed web tokens), values that are
+# secrets where a key word is assigned (hex of the usual lengths; 20 or more characters with lower, upper and digits),
+# and findings that are harmless for certain.
+ASSIGNED = r"(?i)(token|key|secret|password|passwd|pwd|credentials?|auth|bearer)[\"']?\s*(=>|=|:)?\s*[\"']?$"
+INSIDE = r"^[A-Za-z0-9_\-]*(?i:token|key|secret|password|passwd|pwd|credentials?|auth)="
+SELF_NAMED = (r"^([A-Za-z0-9_\-]+=)?((AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_\-]{20,}"
+              r"|xox[abeprs]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{35}|[srp]k_(live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_\-]{20,}|npm_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_\-]{16,})$")
+VALUE = r"^([0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[A-Za-z0-9+/_\-]{20,}={0,2})$"
+HASH_BEFORE = r"(?i)(checksum|commit|sha-?1|sha-?256|md5|digest|revision)[\"']?\s*[=:]?\s*[\"']?$"
+WORDS = r"^([a-z]+|[A-Z]+|[A-Z][a-z]+)$"
+NUMBER = r"^[0-9+\-]+$"
+RULE = r"^[=\-_+/]+$"
+
 FINDING = "doc_id long, start int, candidate string, before string, after string, path string"
 
 
@@ -143,6 +156,21 @@ def fit(labelled: DataFrame, per_label: int = 4000, trees: int = 30, depth: int
     return model
 
 
+def known_label() -> Column:
+    """True for findings in a known secret format, false for those harmless for certain, null for all others.
+
+    Harmless are words (letters of one case), numbers of cards and phones, ruled lines, and hashes after a checksum or
+    commit word; none of them counts as harmless where a key word is assigned.
+    """
+    candidate, before = F.col("candidate"), F.col("before")
+    inside = candidate.rlike(INSIDE)
+    assigned = before.rlike(ASSIGNED) | inside
+    secret = candidate.rlike(SELF_NAMED) | assigned & F.regexp_replace(candidate, INSIDE, "").rlike(VALUE)
+    hashed = before.rlike(HASH_BEFORE) & candidate.rlike("^[0-9a-fA-F]+$")
+    harmless = ~assigned & (candidate.rlike(WORDS) | candidate.rlike(NUMBER) | candidate.rlike(RULE) | hashed)
+    return F.when(secret & ~hashed, True).when(harmless, False)
+
+
 def scan(documents: DataFrame, label=None, path_col: str = "source", **settings) -> DataFrame:
     """Every candidate of documents with score and is_secret; `label` is a column over findings, null where unknown."""
     findings = held(find_candidates(documents, path_col), "candidates")
