@@ -76,3 +76,11 @@ def test_rule_anchored(spark, points, mashup, crf, why):
     c = curve(spark, points).withColumns({"plan": F.array(F.lit(30), F.lit(32)), "mashup": F.lit(mashup)})
     r = C.rule_anchored_crf(c, "plan", "mashup", 22, 40, 85.0).first()
     assert (r.crf, r.crf_reason) == (crf, why)
+
+
+def test_rejected_observations_name_the_reason(spark):
+    rows = [(1, 0, c, s, 90.0, .2, 4.0, True, 0, i, 0, 0, 0) for i, (c, s) in enumerate([(23.0, .5), (23.5, .6), (24.0, .5), (70.0, .5), (None, .5)])]
+    df = spark.createDataFrame(rows, "video_id int, segment_index int, crf double, s_f double, vmaf_neg double, compression_rate double, compression_ratio double, "
+                               "encode_ok boolean, root_rank int, k1 int, k2 int, k3 int, k4 int")
+    assert {(r.crf, r.reject_reason) for r in C.rejected_observations(df).collect()} == {(23.0, "same_cq"), (70.0, "cq_out_of_range"), (None, "no_cq")}
+    assert C.observations(df).count() == 2

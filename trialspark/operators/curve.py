@@ -21,6 +21,11 @@ def _with_cq(trials: DataFrame) -> DataFrame:
     return trials.withColumn("cq", F.col("crf").try_cast("int"))
 
 
+def _precedence(seq) -> list[Column]:
+    """Order of the trials of one CQ: a working one before a failed one, the best score, the first."""
+    return [F.coalesce(F.col("encode_ok"), F.lit(False)).desc(), F.coalesce("s_f", F.lit(0.0)).desc(), *[F.col(c).asc() for c in seq]]
+
+
 def observations(trials: DataFrame, keys=SEGMENT, seq=SEQ, cq_range: tuple[int, int] = (MIN_CQ, MAX_CQ)) -> DataFrame:
     """One observation per (curve, cq): a working trial before a failed one, then the best score.
 
@@ -30,16 +35,19 @@ def observations(trials: DataFrame, keys=SEGMENT, seq=SEQ, cq_range: tuple[int,
     """
     rows = _with_cq(trials).filter(F.col("cq").between(*cq_range))
     ok = F.coalesce(F.col("encode_ok"), F.lit(False))
-    best = top_one(rows, [*keys, "cq"], ok.desc(), F.coalesce("s_f", F.lit(0.0)).desc(), *[F.col(c).asc() for c in seq])
+    best = top_one(rows, [*keys, "cq"], *_precedence(seq))
     return best.select(*keys, "cq", F.coalesce("vmaf_neg", F.lit(0.0)).alias("vmaf"), F.coalesce("compression_rate", F.lit(1.0)).alias("compression_rate"),
                        "compression_ratio", F.coalesce("s_f", F.lit(0.0)).alias("s_f"), ok.alias("encode_ok"))
 
 
-def rejected_observations(trials: DataFrame, cq_range: tuple[int, int] = (MIN_CQ, MAX_CQ)) -> DataFrame:
-    """Trials that no curve can hold, with the reason: no number, or a CQ outside the range."""
+def rejected_observations(trials: DataFrame, cq_range: tuple[int, int] = (MIN_CQ, MAX_CQ), keys=SEGMENT, seq=SEQ) -> DataFrame:
+    """Trials that no curve holds, with the reason: no number, a CQ outside the range, or another trial of the same CQ."""
     rows = _with_cq(trials)
     reason = F.when(F.col("cq").isNull(), "no_cq").when(~F.col("cq").between(*cq_range), "cq_out_of_range")
-    return rows.withColumn("reject_reason", reason).filter(F.col("reject_reason").isNotNull()).drop("cq")
+    out = rows.withColumn("reject_reason", reason).filter(F.col("reject_reason").isNotNull())
+    place = F.row_number().over(W.partitionBy(*keys, "cq").orderBy(*_precedence(seq)))
+    lost = rows.filter(F.col("cq").between(*cq_range)).withColumn("__place", place).filter("__place > 1").drop("__place")
+    return out.unionByName(lost.withColumn("reject_reason", F.lit("same_cq"))).drop("cq")
 
 
 def curves(obs: DataFrame, keys=SEGMENT) -> DataFrame:
