@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trialspark.session import materialize
+from trialspark.session import materialize, scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -130,6 +130,10 @@ def hash_sample(df: DataFrame, group: str, per_group: int, *key: str) -> DataFra
     return df.join(counts, F.col(group) == F.col("__group")).filter(low).drop("__group", "__n")
 
 
-def held(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared scratch folder."""
-    return materialize(df, "llm-" + label)
+def held(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """df as a table in the shared scratch folder; options are those of the Parquet writer."""
+    if not options:
+        return materialize(df, "llm-" + label)
+    path = scratch_path(df.sparkSession, "llm-" + label)
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,6 +13,7 @@ from trialspark.llm.mixing import MIX_SQL, mix
 from trialspark.llm.neardup import near_duplicates
 from trialspark.llm.secrets import known_label, scan
 from trialspark.llm.substrings import remove_repeats
+from trialspark.llm.tokenfile import tokens_on_disk
 from trialspark.llm.topk import top_k
 
 
@@ -73,6 +74,13 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return drop_boilerplate(docs, F.col("source")).select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
+def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    found = tokens_on_disk(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 TOP_K_SQL = """
 WITH scaled AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -102,7 +110,7 @@ FROM reach r LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_warc_fixity, op2_byte_bpe, op3_language_id, op4_secret_scan, op5_ngram_jaccard_join, op6_embedding_near_dedup,
-        op7_substring_dedup, op8_source_mix, op9_exact_top_k, op10_line_dedup)}
+        op7_substring_dedup, op8_source_mix, op9_exact_top_k, op10_line_dedup, op13_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
