@@ -11,6 +11,7 @@ from trialspark.llm.language import identify, is_held_out
 from trialspark.llm.lines import LINES_SQL, drop_boilerplate
 from trialspark.llm.mixing import MIX_SQL, mix
 from trialspark.llm.neardup import near_duplicates
+from trialspark.llm.repair import repair_report
 from trialspark.llm.secrets import known_label, scan
 from trialspark.llm.substrings import remove_repeats
 from trialspark.llm.tokenfile import tokens_on_disk
@@ -74,6 +75,10 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return drop_boilerplate(docs, F.col("source")).select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair_report(_table(spark, folder, "conversations"))
+
+
 def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -110,7 +115,7 @@ FROM reach r LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_warc_fixity, op2_byte_bpe, op3_language_id, op4_secret_scan, op5_ngram_jaccard_join, op6_embedding_near_dedup,
-        op7_substring_dedup, op8_source_mix, op9_exact_top_k, op10_line_dedup, op13_token_files)}
+        op7_substring_dedup, op8_source_mix, op9_exact_top_k, op10_line_dedup, op12_conversation_repair, op13_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
