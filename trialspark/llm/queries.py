@@ -11,6 +11,7 @@ from trialspark.llm.language import identify, is_held_out
 from trialspark.llm.lines import LINES_SQL, drop_boilerplate
 from trialspark.llm.mixing import MIX_SQL, mix
 from trialspark.llm.neardup import near_duplicates
+from trialspark.llm.negatives import mine
 from trialspark.llm.repair import repair_report
 from trialspark.llm.secrets import known_label, scan
 from trialspark.llm.substrings import remove_repeats
@@ -75,6 +76,11 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return drop_boilerplate(docs, F.col("source")).select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, moved)
+
+
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair_report(_table(spark, folder, "conversations"))
 
@@ -112,11 +118,30 @@ FROM reach r LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a
 """
 
 
+HARD_NEGATIVE_SQL = """
+WITH scaled AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM scaled a JOIN scaled b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INT) AS rank, n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 100 * n.score BETWEEN 30 * p.positive_score AND 90 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_warc_fixity, op2_byte_bpe, op3_language_id, op4_secret_scan, op5_ngram_jaccard_join, op6_embedding_near_dedup,
-        op7_substring_dedup, op8_source_mix, op9_exact_top_k, op10_line_dedup, op12_conversation_repair, op13_token_files)}
+        op7_substring_dedup, op8_source_mix, op9_exact_top_k, op10_line_dedup, op11_hard_negatives, op12_conversation_repair, op13_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_fixity": FIXITY_SQL, "op6_embedding_near_dedup": NEAR_DUP_SQL, "op8_source_mix": MIX_SQL, "op9_exact_top_k": TOP_K_SQL, "op10_line_dedup": LINES_SQL}
+    return {"op1_warc_fixity": FIXITY_SQL, "op6_embedding_near_dedup": NEAR_DUP_SQL, "op8_source_mix": MIX_SQL, "op9_exact_top_k": TOP_K_SQL, "op10_line_dedup": LINES_SQL,
+            "op11_hard_negatives": HARD_NEGATIVE_SQL}
