@@ -71,10 +71,20 @@ def test_coding_round_trip():
         assert (T.unpack(control, data, np.array(counts)) == ranks).all()
 
 
-def test_safe_pieces_join():
-    text = "ab " * 1000 + "é é " * 1000 + " \n x"
-    parts = T.safe_pieces(text, 50)
-    assert len(parts) > 10 and "".join(parts) == text
+def test_pieces_encode_like_the_whole():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    random.seed(4)
+    parts = ["ab", "é", "ñandú", " ", "  ", "\n", " \n", "\n\n ", "\t", "\u00a0", "\u3000", ".", ",", "...", "!?", "'s", "'", "don't", "12", "a1", "<|endoftext|>", "\x00", "\x00\x1f\x00", "日本", "x" * 60, ")\"", "e\u0301", "_"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randrange(12))) for _ in range(3000)]
+    model = Tokenizer.from_file(token_path())
+    encoder = T.Encoder(token_path())
+    assert encoder.cuts
+    for some in ([t for t in texts if "\x1f" not in t], texts):
+        ids, counts = encoder.ids(pa.array(some, pa.large_string()))
+        want = [e.ids for e in model.encode_batch(some, add_special_tokens=False)]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
 
 
 def conversations(spark, rows):

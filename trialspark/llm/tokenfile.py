@@ -19,17 +19,21 @@ the files, so any store that Spark reaches will do, and a lost task is written a
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trialspark.llm.common import by_id, held, text_rows
+from trialspark.llm.common import by_id, held
 from trialspark.operators.scan import ordered_scan, running_sum
 from trialspark.session import scratch_path
 
@@ -44,8 +48,8 @@ MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 #: About as many bytes has a file (a longer document makes a longer one), and as many ids a block.
 FILE_BYTES = 16 << 20
 BLOCK_IDS = 1 << 18
-#: About as many characters are encoded at once.
-PIECE = 1 << 18
+#: About as many bytes of text are encoded at once.
+PIECE = 1 << 22
 
 
 def _slots(counts: np.ndarray) -> tuple[np.ndarray, int]:
@@ -78,59 +82,108 @@ def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndar
     return words[starts] & MASKS[lengths]
 
 
-def safe_pieces(text: str, size: int = PIECE) -> list[str]:
-    """A long text in pieces that encode like the whole.
+class Encoder:
+    """The tokenizers library over batches of whole texts, with the ids of short pieces remembered.
 
-    Cut is only before a space that follows a printable ASCII character: byte-level pre-tokens take a space
-    in at their start only, so that one ends there in any case. Without such a place the text stays whole.
+    A byte-level pre-token takes a space in at its start only and never joins letters with punctuation, so that a text
+    may be cut before a space or newline that follows a printable ASCII character, and before punctuation that
+    follows a-z: the pieces encode like the whole. Pieces repeat, so the library sees each of a batch once.
+    Tokenizers of another kind get whole texts.
     """
-    out, start = [], 0
-    while len(text) - start > size:
-        at = text.find(" ", start + size)
-        while at > 0 and not "!" <= text[at - 1] <= "~":
-            at = text.find(" ", at + 1)
-        if at < 0:
-            break
-        out.append(text[start:at])
-        start = at
-    return [*out, text[start:]]
+
+    CUTS = (r"([!-~])([ \n])", r"([a-z])([,.;:!?)\"])")
+    MARK = "\x00\x1f\x00"
+    #: Pieces that a worker remembers, and their greatest length.
+    REMEMBERED, SHORT = 1 << 20, 48
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path)
+        self.batch = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        split = rules.get("pre_tokenizer") or {}
+        self.cuts = (split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+                     and not any(rules.get(k) for k in ("normalizer", "truncation", "padding"))
+                     and not any(t["lstrip"] or t["rstrip"] or re.search("|".join(self.CUTS), t["content"]) for t in rules["added_tokens"]))
+        self.known: dict[str, bytes] = {}
+
+    def _pieces(self, texts: pa.Array) -> pa.Array:
+        """Lists of pieces."""
+        if not self.cuts or pc.any(pc.match_substring(texts, self.MARK)).as_py():
+            return pa.LargeListArray.from_arrays(pa.array(np.arange(len(texts) + 1)), texts)
+        for cut in self.CUTS:
+            texts = pc.replace_substring_regex(texts, cut, "\\1" + self.MARK + "\\2")
+        return pc.split_pattern(texts, self.MARK)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has."""
+        lists = self._pieces(texts)
+        codes = lists.flatten().dictionary_encode()
+        pieces = codes.dictionary.to_pylist()
+        found = list(map(self.known.get, pieces))
+        new = [i for i, x in enumerate(found) if x is None]
+        for at in range(0, len(new), 4096):
+            some = new[at:at + 4096]
+            for i, e in zip(some, self.batch([pieces[i] for i in some], add_special_tokens=False)):
+                found[i] = array("I", e.ids).tobytes()
+                if len(self.known) < self.REMEMBERED and len(pieces[i]) <= self.SHORT:
+                    self.known[pieces[i]] = found[i]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        table, start = np.frombuffer(b"".join(found), np.uint32), np.cumsum(size) - size
+        place = codes.indices.to_numpy()
+        sizes = size[place]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        whole = table[np.repeat(start[place] - upto[:-1], sizes) + np.arange(upto[-1])]
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+        return whole, np.diff(upto[ends])
+
+
+#: Of the worker: it outlives a task.
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def _slices(texts: pa.Array, size: int = PIECE) -> Iterator[pa.Array]:
+    """Parts of about `size` bytes; one text may be longer."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size)))
+        yield texts.slice(at, stop - at)
+        at = stop
 
 
 def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, place, n, ids): place tells rows of one doc_id apart, ids are uint32 (uint16 where all fit)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("n", pa.int64()), ("wide", pa.bool_()), ("ids", pa.binary())])
+    """(doc_id, place, n, ids): place tells rows of one doc_id apart, ids are uint32 (uint16 where all of a batch fit)."""
+    fields = [("doc_id", pa.int64()), ("place", pa.int64()), ("n", pa.int64()), ("wide", pa.bool_()), ("ids", pa.binary())]
+    names = [name for name, _ in fields]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-        from tokenizers import Tokenizer
+        from trialspark.llm.tokenfile import encoder
 
-        model = Tokenizer.from_file(tokenizer)
-        encode = getattr(model, "encode_batch_fast", model.encode_batch)
-        place = TaskContext.get().partitionId() << 40
-        held_: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            nonlocal place
-            pieces = [p for _, text in held_ for p in text]
-            found = iter([np.array(e.ids, np.uint32) for e in encode(pieces, add_special_tokens=False)])
-            cols: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in held_:
-                ids = np.concatenate([*[next(found) for _ in text], [end_id]]).astype(np.uint32)
-                wide = bool(ids.max() > 0xFFFF)
-                for col, value in zip(cols, (doc, place, len(ids), wide, ids.astype("<u4" if wide else "<u2").tobytes())):
-                    col.append(value)
-                place += 1
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
-
-        chars = 0
-        for doc, text in text_rows(batches):
-            held_.append((doc, safe_pieces(text.decode())))
-            chars += len(text)
-            if chars > PIECE:
-                yield flush()
-                held_, chars = [], 0
-        if held_:
-            yield flush()
+        model, place = encoder(tokenizer), TaskContext.get().partitionId() << 40
+        for batch in batches:
+            texts, at = pc.fill_null(batch.column(1).cast(pa.large_string()), ""), 0
+            for part in _slices(texts):
+                ids, counts = model.ids(part)
+                whole = np.empty(len(ids) + len(part), np.uint32)
+                ends = np.cumsum(counts + 1) - 1
+                keep = np.ones(len(whole), bool)
+                keep[ends] = False
+                whole[keep], whole[ends] = ids, end_id
+                wide = bool(whole.max(initial=0) > 0xFFFF)
+                data = _binary(whole.astype("<u4" if wide else "<u2").view(np.uint8), (counts + 1) * (4 if wide else 2))
+                cols = [batch.column(0).slice(at, len(part)), pa.array(np.arange(place, place + len(part))), pa.array(counts + 1), pa.array([wide] * len(part)), data]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+                at, place = at + len(part), place + len(part)
 
     return docs.mapInArrow(rows, "doc_id long, place long, n long, wide boolean, ids binary")
 
@@ -156,30 +209,26 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     return tokens.select("wide", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Blocks of sorted partitions, one file each."""
+def _blocks(rows: DataFrame, rank) -> DataFrame:
+    """Blocks of sorted partitions, one file each; rank: broadcast rank of each id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        held_: list[dict] = []
-        size = 0
-
-        def block() -> pa.RecordBatch:
-            docs, counts, control, data = ([r[c] for r in held_] for c in ("doc_id", "n", "control", "data"))
-            control, data = b"".join(control), b"".join(data)
-            body = [struct.pack(HEADER, MAGIC, len(docs), part, before, len(control), len(data)),
-                    np.array([d or 0 for d in docs], "<i8").tobytes(), bytes(d is None for d in docs), np.array(counts, "<u8").tobytes(), control, data]
+
+        def block(docs: pa.Array, counts: np.ndarray, ids: list[np.ndarray]) -> pa.RecordBatch:
+            control, data, _ = pack(rank.value[np.concatenate(ids)], counts)
+            nulls = docs.is_null().to_numpy(zero_copy_only=False)
+            body = [struct.pack(HEADER, MAGIC, len(docs), part, before, len(control), len(data)), docs.fill_null(0).to_numpy().astype("<i8").tobytes(),
+                    nulls.astype(np.uint8).tobytes(), counts.astype("<u8").tobytes(), control.tobytes(), data.tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([b"".join(body)], pa.binary())], names=["block"])
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                held_.append({name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns)})
-                size += held_[-1]["n"]
-                if size >= BLOCK_IDS:
-                    yield block()
-                    before += size
-                    held_, size = [], 0
-        if held_:
-            yield block()
+            counts, ids = batch.column("n").to_numpy(), list(_ids_of(batch))
+            upto, at = np.cumsum(counts), 0
+            while at < len(ids):
+                stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK_IDS)))
+                yield block(batch.column("doc_id").slice(at, stop - at), counts[at:stop], ids[at:stop])
+                before += int(counts[at:stop].sum())
+                at = stop
 
     return rows.mapInArrow(run, "block binary")
 
@@ -201,20 +250,9 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
     rank[order] = np.arange(len(order), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank)
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                ids = list(_ids_of(batch))
-                counts = np.array([len(x) for x in ids], np.int64)
-                control, data, sizes = pack(shared.value[np.concatenate(ids)], counts)
-                texts = [_binary(control, -(-counts // 4)), _binary(data, sizes)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), batch.column("n"), *texts], names=["doc_id", "place", "n", "control", "data"])
-
     files = max(1, -(-(total + total // 2) // file_bytes))
-    rows = tokens.mapInArrow(code, "doc_id long, place long, n long, control binary, data binary")
-    rows = rows.repartitionByRange(files, "doc_id", "place").sortWithinPartitions("doc_id", "place")
-    _write(_blocks(rows), path + "/ids")
+    rows = tokens.repartitionByRange(files, "doc_id", "place").sortWithinPartitions("doc_id", "place")
+    _write(_blocks(rows, shared), path + "/ids")
     table = MAGIC + struct.pack("<I", len(order)) + order.astype("<u4").tobytes()
     _write(spark.createDataFrame([(table,)], "block binary").coalesce(1), path + "/ranks")
 
