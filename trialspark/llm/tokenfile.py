@@ -66,7 +66,8 @@ def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     codes = np.zeros(slots, np.uint8)
     codes[at] = more
     control = codes.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
-    data = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[np.arange(4) <= more[:, None]]
+    wide = int(more.max(initial=0)) + 1
+    data = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :wide][np.arange(wide) <= more[:, None]]
     ends = np.concatenate([[0], np.cumsum(more.astype(np.int64) + 1)])
     stops = np.cumsum(counts)
     return control, data, ends[stops] - ends[stops - counts]
@@ -122,7 +123,7 @@ class Encoder:
         """Ids of all texts one after the other, and how many each has."""
         lists = self._pieces(texts)
         codes = lists.flatten().dictionary_encode()
-        pieces = codes.dictionary.to_pylist()
+        pieces = codes.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.known.get, pieces))
         new = [i for i, x in enumerate(found) if x is None]
         for at in range(0, len(new), 4096):
@@ -162,7 +163,10 @@ def _slices(texts: pa.Array, size: int = PIECE) -> Iterator[pa.Array]:
 
 
 def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, place, n, ids): place tells rows of one doc_id apart, ids are uint32 (uint16 where all of a batch fit)."""
+    """(doc_id, place, n, wide, ids): place tells rows of one doc_id apart, ids are uint32 (uint16 where not wide).
+
+    Each task adds one row of place -1: how often each id occurs in it (pairs of uint64).
+    """
     fields = [("doc_id", pa.int64()), ("place", pa.int64()), ("n", pa.int64()), ("wide", pa.bool_()), ("ids", pa.binary())]
     names = [name for name, _ in fields]
 
@@ -170,6 +174,7 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         from trialspark.llm.tokenfile import encoder
 
         model, place = encoder(tokenizer), TaskContext.get().partitionId() << 40
+        total = np.zeros(0, np.int64)
         for batch in batches:
             texts, at = pc.fill_null(batch.column(1).cast(pa.large_string()), ""), 0
             for part in _slices(texts):
@@ -179,11 +184,16 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 keep = np.ones(len(whole), bool)
                 keep[ends] = False
                 whole[keep], whole[ends] = ids, end_id
+                total = _added(total, np.bincount(whole))
                 wide = bool(whole.max(initial=0) > 0xFFFF)
                 data = _binary(whole.astype("<u4" if wide else "<u2").view(np.uint8), (counts + 1) * (4 if wide else 2))
                 cols = [batch.column(0).slice(at, len(part)), pa.array(np.arange(place, place + len(part))), pa.array(counts + 1), pa.array([wide] * len(part)), data]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
                 at, place = at + len(part), place + len(part)
+        used = np.flatnonzero(total)
+        if len(used):
+            pairs = np.stack([used, total[used]], axis=1).astype("<u8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, (_, t) in zip((None, -1, 0, False, pairs), fields)], names=names)
 
     return docs.mapInArrow(rows, "doc_id long, place long, n long, wide boolean, ids binary")
 
@@ -193,20 +203,23 @@ def _ids_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield np.frombuffer(ids.as_buffer(), "<u4" if wide else "<u2")
 
 
-def id_counts(tokens: DataFrame) -> DataFrame:
-    """(id, n): how often each id occurs; tasks count first, so at most a vocabulary from each is shuffled."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum of two counts of different length."""
+    out = np.zeros(max(len(a), len(b)), np.int64)
+    out[: len(a)] += a
+    out[: len(b)] += b
+    return out
+
+
+def id_counts(encoded: DataFrame) -> DataFrame:
+    """(id, n): how often each id occurs over all documents, from the counts of the tasks that encoded them."""
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids in _ids_of(batch):
-                got = np.bincount(ids)
-                if len(got) > len(total):
-                    total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-                total[: len(got)] += got
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
+            for counts in batch.column(0):
+                both = np.frombuffer(counts.as_buffer(), "<u8").reshape(-1, 2).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["id", "n"])
 
-    return tokens.select("wide", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.filter("place < 0").select("ids").mapInArrow(pairs, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _blocks(rows: DataFrame, rank) -> DataFrame:
@@ -242,8 +255,9 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
     gives an empty rank table and no block. Texts of any length are encoded whole. Other columns are ignored.
     """
     spark = documents.sparkSession
-    tokens = held(_encoded(by_id(documents, id_col, text_col), tokenizer, end_id), "token-ids", compression="zstd")
-    counts = sorted(((r.n, r.id) for r in id_counts(tokens).collect()), key=lambda x: (-x[0], x[1]))  # a vocabulary at most
+    encoded = held(_encoded(by_id(documents, id_col, text_col), tokenizer, end_id), "token-ids", compression="zstd")
+    tokens = encoded.filter("place >= 0")
+    counts = sorted(((r.n, r.id) for r in id_counts(encoded).collect()), key=lambda x: (-x[0], x[1]))  # a vocabulary at most
     order = np.array([i for _, i in counts], np.uint32)
     total = sum(n for n, _ in counts)
     rank = np.zeros(int(order.max(initial=0)) + 1, np.uint32)
