@@ -98,7 +98,8 @@ class Codec:
         self.ids = ids  # id of each piece after the unknown one
         self.split = regex.compile(pattern).findall
         self.moved = moved
-        self.has_moved = regex.compile("[" + "".join(map(chr, moved)) + "]").search if moved else None
+        self.is_moved = np.zeros(0x110000, bool)
+        self.is_moved[list(moved)] = True
         self.known: dict[str, bytes] = {}
 
     def _learn(self, tokens: list[str]) -> None:
@@ -111,7 +112,7 @@ class Codec:
         """Ids of a text as 32-bit numbers."""
         if not text:
             return b""
-        if self.has_moved and not text.isascii() and self.has_moved(text):
+        if self.moved and not text.isascii() and self.is_moved[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
             # split with stand-ins of one character each, then take the text itself
             ends = np.cumsum([0, *map(len, self.split(text.translate(self.moved)))]).tolist()
             tokens = [text[a:b] for a, b in zip(ends, ends[1:])]
