@@ -9,11 +9,14 @@ decoded by mapping the characters of their pieces back to bytes.
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Field numbers and types of the serialised sentencepiece model.
@@ -26,8 +29,8 @@ NORMALIZER_NAME, ADD_DUMMY_PREFIX, REMOVE_EXTRA_WHITESPACES, ESCAPE_WHITESPACES
 FIRST_CHAR = 0x100
 BYTE_CHARS = [chr(FIRST_CHAR + b) for b in range(256)]
 
-#: Pre-tokens whose ids a task remembers.
-REMEMBERED = 1 << 19
+#: Pre-tokens whose ids a worker remembers (frequent ones come early), and their greatest length.
+REMEMBERED, LONGEST = 1 << 19, 64
 
 
 def _varint(n: int) -> bytes:
@@ -88,7 +91,7 @@ def moved_characters(ranks: dict[bytes, int]) -> dict[int, str]:
 
 
 class Codec:
-    """Encoder and decoder of one task."""
+    """Encoder and decoder of one worker."""
 
     def __init__(self, model: bytes, ids: np.ndarray, pattern: str, moved: dict[int, str]):
         import regex
@@ -102,11 +105,13 @@ class Codec:
         self.is_moved[list(moved)] = True
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, tokens: list[str]) -> None:
+    def _learn(self, tokens: list[str]) -> dict[str, bytes]:
+        out = {}
         mapped = ["".join([BYTE_CHARS[b] for b in t.encode()]) for t in tokens]
         for token, text, found in zip(tokens, mapped, self.model.encode(mapped, out_type=int)):
             whole = self.model.piece_to_id(text)
-            self.known[token] = self.ids[np.array([whole] if whole else found, np.int64) - 1].tobytes()
+            out[token] = self.ids[whole - 1].tobytes() if whole else self.ids[np.array(found, np.int64) - 1].tobytes()
+        return out
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as 32-bit numbers."""
@@ -118,18 +123,36 @@ class Codec:
             tokens = [text[a:b] for a, b in zip(ends, ends[1:])]
         else:
             tokens = self.split(text)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [t for t in dict.fromkeys(tokens) if t not in self.known]
-        for at in range(0, len(new), 4096):
-            self._learn(new[at:at + 4096])
-        return b"".join(map(self.known.__getitem__, tokens))
-
+        known = self.known
+        found = list(map(known.get, tokens))
+        if None in found:
+            new = list(dict.fromkeys(t for t, x in zip(tokens, found) if x is None))
+            learnt: dict[str, bytes] = {}
+            for at in range(0, len(new), 4096):
+                learnt |= self._learn(new[at:at + 4096])
+            found = [learnt[t] if x is None else x for t, x in zip(tokens, found)]
+            for token in new[: max(0, REMEMBERED - len(known))]:
+                if len(token) <= LONGEST:
+                    known[token] = learnt[token]
+        return b"".join(found)
+
+    @cached_property
     def vocabulary(self) -> dict[int, bytes]:
         pieces = (self.model.id_to_piece(i + 1) for i in range(len(self.ids)))
         return {int(i): bytes(ord(c) - FIRST_CHAR for c in p) for i, p in zip(self.ids, pieces)}
 
 
+#: The codec of the worker: it outlives a task, with what it remembers. Another tokenizer takes its place.
+_codecs: dict[str, Codec] = {}
+
+
+def codec_of(key: str, model: Broadcast) -> Codec:
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(*model.value)
+    return _codecs[key]
+
+
 class ByteBPE:
     """Byte-level BPE as column functions.
 
@@ -143,14 +166,18 @@ class ByteBPE:
         if missing:
             raise ValueError(f"the vocabulary lacks the bytes {missing[:5]}")
         ids = np.array(sorted(ranks.values()), np.int32)
-        self._model = spark.sparkContext.broadcast((serialize_model(ranks), ids, pattern, moved_characters(ranks)))
+        parts = (serialize_model(ranks), ids, pattern, moved_characters(ranks))
+        self._key = hashlib.sha256(parts[0] + pattern.encode()).hexdigest()
+        self._model = spark.sparkContext.broadcast(parts)
 
     def encode(self, text: Column) -> Column:
         """Ids (array of int) of a text; null and empty texts have none."""
-        model = self._model
+        key, model = self._key, self._model
 
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            codec = Codec(*model.value)
+            from trialspark.llm.bpe import codec_of
+
+            codec = codec_of(key, model)
             for texts in batches:
                 parts = [codec.encode(t.as_py()) for t in texts]
                 ends = np.cumsum([0, *map(len, parts)]) // 4
@@ -161,10 +188,12 @@ class ByteBPE:
 
     def decode(self, ids: Column) -> Column:
         """Bytes of an array of ids; null where the array is null. An id without a piece is an error."""
-        model = self._model
+        key, model = self._key, self._model
 
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            pieces = Codec(*model.value).vocabulary()
+            from trialspark.llm.bpe import codec_of
+
+            pieces = codec_of(key, model).vocabulary
             for lists in batches:
                 yield pa.array([None if not x.is_valid else b"".join(map(pieces.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist())) for x in lists], pa.binary())
 
