@@ -289,3 +289,16 @@ def test_secret_formats(spark, tmp_path):
     docs.unionByName(spark.createDataFrame(more, docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
     found = queries.op4_secret_scan(spark, str(tmp_path)).filter("doc_id >= 1000000").collect()
     assert {x.doc_id for x in found if x.is_secret} == {i for i, *_ in more}
+
+
+def test_words_built_to_collide(spark, docs):
+    """Words and word orders whose polynomial hashes modulo a power of two are equal are still told apart."""
+    swap = str.maketrans("ab", "ba")
+    morse = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    tail = [f"x{i}" for i in range(49)]
+    rows = [(1, " ".join([morse, *tail])), (2, " ".join([morse.translate(swap), *tail])), (3, morse), (4, morse.translate(swap)),
+            (5, " ".join(morse)), (6, " ".join(morse.translate(swap)))]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.sha256) for r in remove_repeats(docs(rows)).collect()}
+    assert got == brute.repeats(rows, 50)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs(rows), 4, 85).collect()}
+    assert got == brute.jaccard(rows, 4, 85)

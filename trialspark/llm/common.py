@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,50 +29,58 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class RangeHash:
-    """Hashes of word ranges: sums of word hash times a power of an odd base, modulo 2**64.
+    """Hashes of word ranges: two polynomials of the word hashes, each modulo the prime 2**31 - 1.
 
-    The base has an inverse modulo 2**64, so the hash of words [l, r) comes from two prefix
-    sums, whatever the length of the range.
+    The hash of words [l, r) comes from two prefix sums, whatever the length of the range. The bases are primitive
+    roots, so that no power of one repeats within a text and no arrangement of words is special.
     """
 
-    BASE = 0x9E3779B97F4A7C15
+    PRIME = np.uint64((1 << 31) - 1)
+    BASES = (7, 48271)  # primitive roots of the prime
 
     def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
+        self.up = self.down = np.ones((1, 2), np.uint64)
+
+    def _powers(self, bases: list[int], n: int) -> np.ndarray:
+        out = np.ones((1, 2), np.uint64)
+        while len(out) < n:
+            step = np.array([pow(b, len(out), int(self.PRIME)) for b in bases], np.uint64)
+            out = np.concatenate([out, out * step % self.PRIME])
+        return out
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         if len(self.up) <= len(values):
-            n = 1 << int(len(values) + 1).bit_length()
-            inverse = pow(self.BASE, -1, 1 << 64)
-            steps = np.ones(n, np.uint64)
-            steps[1:] = self.BASE
-            self.up = np.cumprod(steps)
-            steps[1:] = inverse
-            self.down = np.cumprod(steps)
-        out = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self.up[: len(values)], out=out[1:])
+            self.up = self._powers(list(self.BASES), len(values) + 1)
+            self.down = self._powers([pow(b, -1, int(self.PRIME)) for b in self.BASES], len(values) + 1)
+        halves = values.astype("<u8", copy=False).view("<u4").reshape(-1, 2).astype(np.uint64) % self.PRIME
+        out = np.zeros((len(values) + 1, 2), np.uint64)
+        np.cumsum(halves * self.up[: len(values)] % self.PRIME, axis=0, out=out[1:])
         return out
 
     def ranges(self, sums: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        length = (right - left).astype(np.uint64)
-        return mix((sums[right] - sums[left]) * self.down[left] + length)
+        both = (sums[right] - sums[left]) % self.PRIME * self.down[left] % self.PRIME
+        return mix((both[:, 0] << np.uint64(31) | both[:, 1]) + ((right - left).astype(np.uint64) << np.uint64(62)))
+
+
+class WordHashes(dict):
+    """64-bit hash of each word by a strong hash function; a bounded number of words is remembered."""
+
+    REMEMBERED = 1 << 18
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.REMEMBERED:
+            self.clear()
+        self[word] = found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return found
 
 
-_BYTE_VALUES = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
-_LOWER_VALUES = _BYTE_VALUES.copy()
-_LOWER_VALUES[65:91] = _BYTE_VALUES[97:123]
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
+_word_hashes = WordHashes()
 
 
-def word_hashes(text: bytes, ranges: RangeHash, lower: bool = False) -> np.ndarray:
+def word_hashes(text: bytes, lower: bool = False) -> np.ndarray:
     """64-bit hash of each word of a text, in order; with `lower`, A-Z count as a-z."""
-    codes = np.frombuffer(text, np.uint8)
-    blank = np.ones(len(codes) + 2, bool)
-    blank[1:-1] = _SPACE[codes]
-    left = np.flatnonzero(blank[:-1] & ~blank[1:])
-    right = np.flatnonzero(~blank[:-1] & blank[1:])
-    return ranges.ranges(ranges.sums((_LOWER_VALUES if lower else _BYTE_VALUES)[codes]), left, right)
+    words = (text.lower() if lower else text).split()
+    return np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
 
 
 def text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:

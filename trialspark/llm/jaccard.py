@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from trialspark.llm.common import RangeHash, by_id, held, in_chunks, near_semi, text_rows, word_hashes
@@ -34,7 +35,7 @@ SKETCH_BITS = 19
 
 def shingles_of(text: bytes, words: int, ranges: RangeHash) -> np.ndarray:
     """Hashes of the word shingles of a text, in order; A-Z are lower-cased first."""
-    hashes = word_hashes(text, ranges, lower=True)
+    hashes = word_hashes(text, lower=True)
     n = len(hashes)
     if not n:
         return hashes
@@ -42,34 +43,51 @@ def shingles_of(text: bytes, words: int, ranges: RangeHash) -> np.ndarray:
     return ranges.ranges(ranges.sums(hashes), left, np.minimum(left + words, n))
 
 
+#: Buckets that are summed in one group.
+SLICE = 1 << 14
+
+
 def bucket_counts(docs: DataFrame, words: int) -> np.ndarray:
-    """How many shingles fall into each hash bucket, over all documents (2**19 numbers)."""
-    shift = np.uint64(64 - SKETCH_BITS)
+    """How many shingles fall into each hash bucket, over all documents (2**19 numbers).
+
+    Tasks count first and send each slice of the buckets as one row of bytes.
+    """
+    shift, slices = np.uint64(64 - SKETCH_BITS), (1 << SKETCH_BITS) // SLICE
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges, total = RangeHash(), np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             found = np.concatenate([shingles_of(text, words, ranges) for _, text in text_rows([batch])]) >> shift
             total += np.bincount(found.astype(np.int64), minlength=len(total))
-        used = np.flatnonzero(total)
-        for at in range(0, len(used), 1 << 16):
-            part = used[at:at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part], pa.int64())], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(slices)), pa.array([x.tobytes() for x in total.reshape(slices, SLICE)], pa.binary())], names=["slice", "n"])
 
-    rows = docs.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return out
+    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLICE, np.int64)
+        for part in parts:
+            for row in part.column("n"):
+                total += np.frombuffer(row.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["slice", "n"])
 
+    rows = docs.mapInArrow(count, "slice long, n binary").groupBy("slice").applyInArrow(add, "slice long, n binary").collect()
+    out = np.zeros((slices, SLICE), np.int64)
+    for row in rows:
+        out[row["slice"]] = np.frombuffer(row["n"], np.int64)
+    return out.reshape(-1)
 
-def shingle_sets(docs: DataFrame, words: int, percent: int, counts: np.ndarray, whole: bool) -> DataFrame:
+
+def shared_order(docs: DataFrame, words: int) -> Broadcast:
+    """Place of each bucket in the order of shingles, rarest first; broadcast once, 2**19 numbers of 4 bytes."""
+    counts = bucket_counts(docs, words)
+    rank = np.empty(len(counts), np.uint32)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.uint32)
+    return docs.sparkSession.sparkContext.broadcast(rank)
+
+
+def shingle_sets(docs: DataFrame, words: int, percent: int, rank: Broadcast, whole: bool) -> DataFrame:
     """(doc_id, n, sid, keys): size, 64-bit digest and keys of each set, rarest first.
 
     whole: all keys, else only the prefix that a set must share with every set similar to it.
     """
-    rank = np.empty(len(counts), np.uint64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.uint64)
-    rank = docs.sparkSession.sparkContext.broadcast(rank)
     shift = np.uint64(64 - SKETCH_BITS)
     low = np.uint64((1 << (64 - SKETCH_BITS)) - 1)
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("keys", pa.list_(pa.int64()))])
@@ -80,7 +98,7 @@ def shingle_sets(docs: DataFrame, words: int, percent: int, counts: np.ndarray,
             keys = np.unique(shingles_of(text, words, ranges))
             n = len(keys)
             sid = int.from_bytes(hashlib.blake2b(keys.tobytes(), digest_size=8).digest(), "big", signed=True) if n else None
-            keys = np.sort(order[(keys >> shift).astype(np.int64)] << shift | keys & low)
+            keys = np.sort(order[(keys >> shift).astype(np.int64)].astype(np.uint64) << shift | keys & low)
             yield doc, n, sid, (keys ^ np.uint64(1 << 63)).view(np.int64)[: n if whole else n - -(-percent * n // 100) + 1]
 
     return docs.mapInArrow(lambda batches: in_chunks(rows(batches), schema, 256), "doc_id long, n int, sid long, keys array<long>")
@@ -89,9 +107,9 @@ def shingle_sets(docs: DataFrame, words: int, percent: int, counts: np.ndarray,
 class Texts:
     """Reads the whole sets of a few documents again, when pairs have to be compared."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, words: int, percent: int, counts: np.ndarray):
+    def __init__(self, docs: DataFrame, reps: DataFrame, words: int, percent: int, rank: Broadcast):
         self.docs, self.reps, self.percent = docs, reps, percent
-        self.sets = lambda some: shingle_sets(some, words, percent, counts, whole=True)
+        self.sets = lambda some: shingle_sets(some, words, percent, rank, whole=True)
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         """pairs (a, b, ...) with the sizes na, nb of both sets and the size `common` of their intersection."""
@@ -206,8 +224,8 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80,
     of them. An empty table gives an empty table. Other columns are ignored.
     """
     docs = by_id(documents, id_col, text_col)
-    counts = bucket_counts(docs, words)
-    sig = held(shingle_sets(docs, words, percent, counts, whole=False), "shingles")
+    rank = shared_order(docs, words)
+    sig = held(shingle_sets(docs, words, percent, rank, whole=False), "shingles")
     keyed = sig.filter("n > 0 AND doc_id IS NOT NULL")
     # equal sets: one representative, the rest follows it
     classes = held(keyed.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
@@ -218,7 +236,7 @@ def jaccard_components(documents: DataFrame, words: int = 5, percent: int = 80,
     found = twins.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     if not entries.isEmpty():
         reps = classes.select("sid", "rep")
-        texts = Texts(docs, reps, words, percent, counts)
+        texts = Texts(docs, reps, words, percent, rank)
         ids = held(entries.select("sid").distinct(), "listed")
         links = _pivot_links(entries, ids.withColumn("comp", F.col("sid")), texts, "first")
         leaders = links.select(F.col("a").alias("sid"), F.col("b").alias("leader"), "gap")

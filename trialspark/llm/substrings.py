@@ -39,7 +39,7 @@ class Seeds:
         self.ranges = RangeHash()
 
     def sums(self, text: bytes) -> np.ndarray:
-        return self.ranges.sums(word_hashes(text, self.ranges))
+        return self.ranges.sums(word_hashes(text))
 
     def chosen(self, sums: np.ndarray) -> np.ndarray:
         """Position of the seed of each window: of its leftmost least k-gram."""
