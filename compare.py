@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import sys
 import time
@@ -41,10 +42,25 @@ def connect(folder):
     return con
 
 
+def close(got, want, floats, cols, df):
+    """Rows in order of their exact columns; floating-point columns have to agree in 9 digits."""
+    exact = [i for i in range(len(cols)) if i not in floats]
+    place = lambda r: (key([r[i] for i in exact]), [(r[i] is not None, round(float(r[i] or 0), 5)) for i in floats])
+    bad = []
+    for a, b in zip(sorted(got, key=place), sorted(want, key=place)):
+        near = all((a[i] is None) == (b[i] is None) and (a[i] is None or math.isclose(a[i], b[i], rel_tol=1e-9, abs_tol=1e-9) or a[i] != a[i] and b[i] != b[i]) for i in floats)
+        if not near or place(a)[0] != place(b)[0]:
+            bad.append((tuple(a), tuple(b)))
+    if bad or len(got) != len(want):
+        return len(got), len(want), f"values differ {cols}\n   {len(bad)}: {bad[:2]}", df
+    return len(got), len(want), "ok", df
+
+
 def compare(spark, con, q, folder):
     df = q.frame(spark, folder)
     cols = sorted(df.columns)
-    got = sorted(key(r) for r in df.select(*cols).collect())
+    taken = df.select(*cols).collect()
+    got = sorted(key(r) for r in taken)
     if q.sql is None:
         return len(got), None, "rows only", df
     cur = con.execute(q.check_sql())
@@ -53,6 +69,9 @@ def compare(spark, con, q, folder):
     if sorted(names) != cols:
         return len(got), len(rows), f"columns differ: {sorted(set(names) ^ set(cols))}", df
     order = [names.index(c) for c in cols]
+    floats = [cols.index(c) for c in getattr(q, "floats", ())]
+    if floats:
+        return close(taken, [[r[i] for i in order] for r in rows], floats, cols, df)
     want = sorted(key([r[i] for i in order]) for r in rows)
     if got == want:
         return len(got), len(want), "ok", df

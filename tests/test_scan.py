@@ -110,3 +110,33 @@ def test_no_forward_frames(spark):
     df = spark.range(10).selectExpr("1 AS g", "id AS at", "id AS v")
     plan = scan.ordered_scan(df, ["g"], ["at"], F.floor(F.col("at") / 5).cast("bigint"), n=scan.next_value(F.col("v")))._jdf.queryExecution().executedPlan().toString()
     assert "unboundedfollowing" not in plan.replace("specifiedwindowframe(RowFrame, unboundedpreceding$(), unboundedfollowing$())", "")
+
+
+@pytest.mark.parametrize("buffered", [10, 1 << 16])
+def test_quantiles_between_sketch_bounds(spark, buffered):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal(size=20_000), "b": np.repeat([1.0, 2.0, 2.5], [4000, 1, 3999]), None: rng.exponential(size=3000) * 1e6, "few": np.array([3.0, 1.0])}
+    rows = [(k, float(x), "m") for k, v in groups.items() for x in v] + [("a", float("nan"), "m"), ("a", None, "m")]
+    df = spark.createDataFrame(rows, "k string, x double, name string").repartition(5)
+    qs = {"q0": 0.0, "q1": 0.01, "q50": 0.5, "q95": 0.95, "q100": 1.0}
+    got = {r.k: r for r in S.moments_and_quantiles(df, ["k"], "x", qs, buffered=buffered).collect()}
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        assert got[k].n == len(v) and got[k].std == pytest.approx(v.std(), rel=1e-9)
+        for name, q in qs.items():
+            assert got[k][name] == pytest.approx(np.quantile(v, q), rel=1e-12, abs=1e-12), (k, name)
+    whole = S.exact_quantiles(df, [], "x", qs, buffered=buffered).collect()
+    assert len(whole) == 1 and whole[0].q50 == pytest.approx(np.quantile(np.concatenate(list(groups.values())), 0.5))
+
+
+def test_variance_of_large_values(spark):
+    df = spark.createDataFrame([(1, 1e9), (1, 1e9 + 1)], "k int, x double")
+    assert S.moments_and_quantiles(df, ["k"], "x", {"q": 0.5}).first().variance == pytest.approx(0.25)
+
+
+def test_exact_sums_do_not_depend_on_order(spark):
+    df = spark.range(10_000).selectExpr("id % 3 as k", "cast(id * 0.1 as double) + 1e7 as x")
+    sums = {tuple(map(tuple, df.repartition(n).groupBy("k").agg(S.exact_sum(S.F.col("x")).alias("s")).orderBy("k").collect())) for n in (1, 8, 211)}
+    assert len(sums) == 1

@@ -48,6 +48,19 @@ def test_sweep_falls_back_to_csv(spark, tmp_path):
         R.read_sweep(spark, str(tmp_path / "no"), str(tmp_path / "none"))
 
 
+def test_log_lines_stay_when_parallelism_changes(spark, tmp_path):
+    big = write(tmp_path / "c.log", "\n".join(f"line {i} " + "y" * (i % 70) for i in range(50_000)) + "\n")
+    key = "spark.sql.leafNodeDefaultParallelism"
+    try:
+        spark.conf.set(key, "4")
+        df = R.read_log(spark, [big])
+        spark.conf.set(key, "6")
+        assert df.count() == 50_000
+        assert df.filter("value not like concat('line ', line - 1, ' %')").count() == 0
+    finally:
+        spark.conf.unset(key)
+
+
 def test_log_lines_are_numbered_across_splits(spark, tmp_path):
     lines = [f"line {i} " + "x" * (i % 90) for i in range(3000)]
     big = write(tmp_path / "a.log", "\n".join(lines) + "\n")

@@ -206,55 +206,107 @@ def top_one(df: DataFrame, keys: list[str], *ordering: Column) -> DataFrame:
             .filter(F.col("_rn") == 1).drop("_rn"))
 
 
-def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, value, _n): how often each value occurs, written once. Null and NaN values are ignored.
+def exact_sum(x: Column) -> Column:
+    """Sum of numbers as a double that does not depend on the order of rows: they are added with 12 decimal places.
 
-    Moments and quantiles both come from this table, so that the input is read once.
+    What is no finite number adds nothing.
     """
-    base = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    return materialize(base.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+    return F.sum(x.try_cast("decimal(38,12)")).cast("double")
 
 
-def moments(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n, mean, min, max, variance and std per group of a value_counts table."""
-    v, n = F.col(value).cast("double"), F.col("_n")
-    g = counts.groupBy(*keys).agg(F.sum(n).alias("n"), (F.sum(v * n) / F.sum(n)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v * v * n).alias("_sq"))
-    var = F.greatest(F.lit(0.0), F.col("_sq") / F.col("n") - F.col("mean") * F.col("mean"))
-    return g.withColumn("variance", var).withColumn("std", F.sqrt("variance")).drop("_sq")
+#: Groups of up to so many rows keep their values in one buffer to rank them; larger ones are ranked by _between.
+BUFFERED = 1 << 16
+#: Size of a sketch, and a rank error that it rarely exceeds (when it does, the whole group is ranked).
+SKETCH_K, RANK_ERROR = 800, 0.008
+
+
+def _same(left: DataFrame, keys: list[str], right: DataFrame):
+    """Null-safe equality of the keys; those of right are prefixed by _k."""
+    return reduce(lambda x, y: x & y, [left[k].eqNullSafe(right[f"_k_{k}"]) for k in keys])
+
+
+def _keyed(df: DataFrame, keys: list[str]) -> DataFrame:
+    df = df.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    return F.broadcast(df) if df.count() <= 100_000 else df
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
-                    width: float, counts: DataFrame | None = None) -> DataFrame:
-    """Linear-interpolated exact quantiles of `value` per group, one column each.
+                    width: float | None = None, buffered: int = BUFFERED) -> DataFrame:
+    """Linear-interpolated exact quantiles of `value` per group, one column each. Null and NaN values are ignored.
 
-    Equal values are counted before the shuffle and ranks come from chunked
-    running sums, so neither a hot group nor a hot value lands in one task.
-    `width` is the value range of one chunk; `counts` is a value_counts table, if there is one.
+    `width` is the value range that is ranked together in a large group (see _between).
     """
-    keys = list(keys)
-    counts = value_counts(df, keys, value) if counts is None else counts
-    group = keys or ["_all"]
-    if not keys:
-        counts = counts.withColumn("_all", F.lit(0))
-    joined = ordered_scan(counts, group, [value],
-                          F.floor(F.col(value) / F.lit(width)).cast("bigint"),
-                          _cum=running_sum(F.col("_n")), _total=group_sum(F.col("_n")))
-    aggs = []
-    lo_rank = {}
+    return _grouped(df, keys, value, qs, {}, width, buffered)
+
+
+def moments_and_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], width: float | None = None,
+                          buffered: int = BUFFERED) -> DataFrame:
+    """exact_quantiles with n, mean, min, max, variance and std of each group."""
+    v = F.col(value).cast("double")
+    aggs = {"n": F.count(v), "mean": F.avg(v), "min": F.min(v), "max": F.max(v), "variance": F.var_pop(v), "std": F.stddev_pop(v)}
+    return _grouped(df, keys, value, qs, aggs, width, buffered)
+
+
+def _grouped(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], more: dict[str, Column], width: float | None, buffered: int) -> DataFrame:
+    """Aggregates and quantiles of small groups in one aggregate; quantiles of large ones from bounded parts of them."""
+    group = list(keys) or ["_all"]
+    base = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, value)
+    base = base if keys else base.withColumn("_all", F.lit(0))
+    large = materialize(base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > buffered).drop("_n"), "large-groups")
+    ranked = F.percentile(F.col(value).cast("double"), [float(q) for q in qs.values()])
+    names = [F.col("_q")[i].alias(name) for i, name in enumerate(qs)]
+    own, aggs = list(more), [a.alias(name) for name, a in more.items()]
+    if large.isEmpty():
+        return base.groupBy(*group).agg(*aggs, ranked.alias("_q")).select(*keys, *own, *names)
+    mark = _keyed(large, group)
+    small = base.join(mark, _same(base, group, mark), "left_anti").groupBy(*group).agg(*aggs, ranked.alias("_q")).select(*group, *own, *names)
+    rows = base.join(mark, _same(base, group, mark), "left_semi")
+    found = _between(rows, group, value, qs, width)
+    if own:
+        whole, found = rows.groupBy(*group).agg(*aggs), found.withColumnsRenamed({k: f"_k_{k}" for k in group})
+        found = whole.join(found, _same(whole, group, found)).select(*group, *own, *qs)
+    return small.unionByName(found).select(*keys, *own, *qs)
+
+
+def _between(rows: DataFrame, keys: list[str], value: str, qs: dict[str, float], width: float | None) -> DataFrame:
+    """Exact quantiles of large groups: a mergeable sketch brackets each wanted rank, and only values inside are ranked.
+
+    One pass makes the sketches, a second counts what lies below each bracket and keeps the counts of the
+    values inside. A bracket that turns out not to hold its ranks is opened to the whole group.
+    """
+    v = F.col(value).cast("double")
+    sketch = rows.groupBy(*keys).agg(F.count(v).alias("_n"), F.min(v).alias("_min"), F.max(v).alias("_max"), F.kll_sketch_agg_double(v, F.lit(SKETCH_K)).alias("_s"))
+    edge = lambda rank: F.kll_sketch_get_quantile_double("_s", F.lit(rank))
+    wanted = []
     for name, q in qs.items():
-        pos = F.lit(float(q)) * (F.col("_total") - 1)
-        lo_rank[name] = pos
-        for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            inside = (F.col("_cum") - F.col("_n") <= rank) & (rank < F.col("_cum"))
-            aggs.append(F.max(F.when(inside, F.col(value))).alias(f"_{side}_{name}"))
-    aggs.append(F.max("_total").alias("_total"))
-    picked = joined.groupBy(*group).agg(*aggs)
-    out = [F.col(k) for k in keys]
-    for name in qs:
-        pos = lo_rank[name]
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    return picked.select(*out)
+        pos, low, high = F.lit(float(q)) * (F.col("_n") - 1), float(q) - RANK_ERROR, float(q) + RANK_ERROR
+        wanted.append(F.struct(F.lit(name).alias("name"), pos.alias("pos"), (edge(low) if low > 0 else F.col("_min")).alias("a"),
+                               (edge(high) if high < 1 else F.col("_max")).alias("b")))
+    brackets = sketch.select(*keys, "_min", "_max", F.explode(F.array(*wanted)).alias("_w")).select(*keys, "_min", "_max", "_w.*")
+    brackets = materialize(brackets, "brackets")
+    done = _ranked(rows, keys, value, brackets, width)
+    missed = done.filter("lo IS NULL OR hi IS NULL")
+    if not missed.isEmpty():
+        again = missed.withColumnsRenamed({k: f"_k_{k}" for k in keys}).select(*[f"_k_{k}" for k in keys], F.col("name").alias("_name"))
+        wide = brackets.join(again, _same(brackets, keys, again) & (F.col("name") == F.col("_name")), "left_semi")
+        whole = _ranked(rows, keys, value, wide.withColumns({"a": F.col("_min"), "b": F.col("_max")}), width)
+        done = done.filter("lo IS NOT NULL AND hi IS NOT NULL").unionByName(whole)
+    at = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("pos") - F.floor("pos"))
+    return done.groupBy(*keys).pivot("name", list(qs)).agg(F.max(at))
+
+
+def _ranked(rows: DataFrame, keys: list[str], value: str, brackets: DataFrame, width: float | None) -> DataFrame:
+    """(keys, name, pos, lo, hi): the values around rank `pos`, null where they are outside of the bracket [a, b]."""
+    marks = _keyed(brackets.select(*keys, "name", "pos", "a", "b"), keys)
+    near = rows.join(marks, _same(rows, keys, marks)).filter(F.col(value) <= F.col("b"))
+    inside = F.col(value) >= F.col("a")
+    # values below a bracket count for one place before it
+    counts = near.select(*keys, "name", "pos", "a", F.when(inside, F.col(value)).alias("_v")).groupBy(*keys, "name", "pos", "a", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialize(counts, "bracket-counts")
+    part = F.when(F.col("_v").isNull(), F.lit(-1 << 62)).otherwise(F.floor(F.col("_v") / F.lit(width or 1.0)).cast("bigint"))
+    run = ordered_scan(counts, [*keys, "name"], ["_v"], part, _upto=running_sum(F.col("_n")))
+    holds = lambda rank: F.max(F.when((F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto")), F.col("_v")))
+    return run.groupBy(*keys, "name", "pos").agg(holds(F.floor("pos")).alias("lo"), holds(F.ceil("pos")).alias("hi"))
 
 
 def bucket_range_join(points: DataFrame, ranges: DataFrame, keys: list[str], point: str,

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trialspark.functions.features import (EDGE_MID, HARD_DIFFICULTY, HF_MID, MOTION_MID, NOISE_MID, TEXTURE_MID,
                                            FEATURE_KEYS)
 from trialspark.functions.numbers import half_even, round_even, soft_level
-from trialspark.operators.scan import (asof, bucket_range_join, exact_quantiles, group_max, group_min, group_sum,
-                                       moments, ordered_scan, nearest, previous, running_sum, value_counts)
+from trialspark.operators.scan import (asof, bucket_range_join, exact_quantiles, exact_sum, group_max, group_min,
+                                       group_sum, moments_and_quantiles, ordered_scan, nearest, previous, running_sum)
 from trialspark.session import materialize
 
 FRAME_BUCKET = 64
@@ -219,10 +219,10 @@ def zone_means(rows: DataFrame) -> DataFrame:
     w = F.greatest(F.lit(1), F.col("end_frame") - F.col("start_frame"))
     has = F.col("vmaf_neg").isNotNull()
     return rows.groupBy("video_id").agg(
-        F.min("vmaf_neg").alias("vmaf_min"), F.max("vmaf_neg").alias("vmaf_max"), F.avg("vmaf_neg").alias("vmaf_mean"),
-        (F.sum(F.when(has, F.col("vmaf_neg") * w)) / F.sum(F.when(has, w))).alias("vmaf_wmean"),
+        F.min("vmaf_neg").alias("vmaf_min"), F.max("vmaf_neg").alias("vmaf_max"), (exact_sum(F.col("vmaf_neg")) / F.count("vmaf_neg")).alias("vmaf_mean"),
+        (exact_sum(F.when(has, F.col("vmaf_neg") * w)) / F.sum(F.when(has, w))).alias("vmaf_wmean"),
         F.min("compression_rate").alias("rate_min"), F.max("compression_rate").alias("rate_max"),
-        (F.sum(F.col("compression_rate") * w) / F.sum(w)).alias("rate_wmean"))
+        (exact_sum(F.col("compression_rate") * w) / F.sum(w)).alias("rate_wmean"))
 
 
 def zones_text(segs: DataFrame, qp: str = "qp") -> DataFrame:
@@ -330,7 +330,7 @@ def clip_summary(segs: DataFrame, width: int = 3840, height: int = 2160, fps: fl
         wmean("edge").alias("edge_density"), wmean("noise").alias("noise_level"), wmean("hf_energy").alias("high_freq_energy"),
         wmean("flatness").alias("flatness"), wmean("luma_mean").alias("luma_mean"), wmean("luma_std").alias("luma_std"),
         wmean("sat_mean").alias("sat_mean"), wmean("chroma_std").alias("chroma_std"))
-    p90 = exact_quantiles(segs, ["video_id"], c["difficulty"], {"difficulty_p90": 0.9}, 0.01)
+    p90 = exact_quantiles(segs, ["video_id"], c["difficulty"], {"difficulty_p90": 0.9})
     out = agg.join(p90, "video_id")
     out = out.withColumn("cut_count", F.greatest(F.lit(0.0), F.col("segment_count") - 1))
     out = out.withColumn("cut_rate", F.col("cut_count") / F.greatest(F.col("duration"), F.lit(1e-6)))
@@ -355,10 +355,9 @@ def to_metrics(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
 
 
 def metric_distribution(segs: DataFrame, metrics: list[str], key: str = "video_id") -> DataFrame:
-    """mean/max/min/p95/variance/std of several metrics per video, from one pass over the segments."""
-    counts = value_counts(to_metrics(segs, [key], metrics), [key, "metric"], "value")
-    p95 = exact_quantiles(segs, [key, "metric"], "value", {"p95": 0.95}, 0.02, counts)
-    return moments(counts, [key, "metric"], "value").drop("n").join(p95, [key, "metric"])
+    """mean/max/min/p95/variance/std of several metrics per video."""
+    long = to_metrics(segs, [key], metrics)
+    return moments_and_quantiles(long, [key, "metric"], "value", {"p95": 0.95}).drop("n")
 
 
 def difficulty_histogram(segs: DataFrame, key: str = "video_id") -> DataFrame:
@@ -394,16 +393,32 @@ def calibration(df: DataFrame, metrics: list[str], suggest: float = 50.0) -> Dat
     long = to_metrics(df, [], metrics).filter(F.col("value").isNotNull() & ~F.isnan("value")
                                               & (F.abs("value") != float("inf")))
     qs = {f"p{p}": p / 100.0 for p in PERCENTS} | {"suggested_mid": suggest / 100.0}
-    counts = value_counts(long, ["metric"], "value")
-    return exact_quantiles(long, ["metric"], "value", qs, 0.005, counts).join(moments(counts, ["metric"], "value").select("metric", "mean", "std", "n"), "metric")
+    return moments_and_quantiles(long, ["metric"], "value", qs).drop("min", "max", "variance")
 
 
-def whole_file_setting(segs: DataFrame) -> DataFrame:
-    """Duration-weighted CRF and the parameters of the longest segment (last on ties)."""
-    d = F.col("duration")
-    return segs.groupBy("video_id").agg(
-        half_even(F.sum(F.col("crf") * d) / F.greatest(F.sum(d), F.lit(1e-6))).alias("crf"),
-        F.max_by("params", F.struct(d.alias("d"), F.col("seg_index").alias("i"))).alias("params"))
+#: Parts of a CRF and of a second that weighted sums are counted in.
+CRF_PARTS, TIME_PARTS = 10_000, 1_000_000
+
+
+def whole_file_setting(segs: DataFrame, weight: str = "duration") -> DataFrame:
+    """Weighted CRF and the parameters of the longest segment (last on ties).
+
+    Weights are whole frames where `weight` is an integer column, else seconds in millionths. Sums are
+    of integers and the half is rounded to even on integers, so the order of rows never shows. CRF has four places;
+    segments without a weight or CRF add nothing, and a video without any weight gets 0.
+    """
+    w = F.col(weight)
+    if segs.schema[weight].dataType.typeName() in ("double", "float", "decimal"):
+        w = F.round(w * TIME_PARTS)
+    w = w.cast("bigint")
+    crf = F.round(F.col("crf") * CRF_PARTS).cast("bigint")
+    sums = segs.groupBy("video_id").agg(
+        F.coalesce(F.sum((crf * w).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias("_sum"),
+        (F.coalesce(F.sum(w.cast("decimal(28,0)")), F.lit(0)) * CRF_PARTS).cast("decimal(38,0)").alias("_all"),
+        F.max_by("params", F.struct(F.col(weight).alias("d"), F.col("seg_index").alias("i"))).alias("params"))
+    sums = sums.withColumn("_whole", F.expr("if(_all > 0, _sum div _all, 0)"))
+    up = F.expr("CASE WHEN _all <= 0 THEN 0 WHEN 2 * (_sum - _whole * _all) > _all THEN 1 WHEN 2 * (_sum - _whole * _all) = _all THEN _whole % 2 ELSE 0 END")
+    return sums.select("video_id", (F.col("_whole") + up).cast("int").alias("crf"), "params")
 
 
 def harmonic_pool(frames: DataFrame, score: str, keys: list[str], pooled: str | None = None) -> DataFrame:

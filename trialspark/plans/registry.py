@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from trialspark.adapters import VIEW_SQL, Tables, with_views
 
 VIEWS = dict(VIEW_SQL)
-TIE = 1.000000000001
 
 
 @dataclass
@@ -18,30 +17,22 @@ class Query:
     name: str
     run: Callable[[Tables], DataFrame]
     sql: str | None = None
-    round6: tuple[str, ...] = field(default_factory=tuple)
+    #: Columns of floating-point arithmetic, whose last bits may differ from those of the check SQL.
+    floats: tuple[str, ...] = field(default_factory=tuple)
 
     def frame(self, spark, folder: str) -> DataFrame:
-        df = self.run(Tables(spark, folder))
-        # sums differ in the last bits with the order of addition; compare 6 places, and let
-        # neither side fall below a tie that it should stand on
-        return df.withColumns({c: F.round(F.col(c) * TIE, 6) for c in self.round6}) if self.round6 else df
+        return self.run(Tables(spark, folder))
 
     def check_sql(self) -> str | None:
-        if self.sql is None:
-            return None
-        body = with_views(self.sql, VIEWS)
-        if not self.round6:
-            return body
-        cols = ", ".join(f"round({c} * {TIE}::DOUBLE, 6) AS {c}" for c in self.round6)
-        return f"SELECT * REPLACE ({cols}) FROM ({body}) AS q"
+        return None if self.sql is None else with_views(self.sql, VIEWS)
 
 
 QUERIES: dict[str, Query] = {}
 
 
-def query(name: str, sql: str | None = None, round6: tuple[str, ...] | str = ()):
+def query(name: str, sql: str | None = None, floats: tuple[str, ...] | str = ()):
     """Register `fn(tables) -> DataFrame` under a name."""
-    cols = tuple(round6.split()) if isinstance(round6, str) else tuple(round6)
+    cols = tuple(floats.split()) if isinstance(floats, str) else tuple(floats)
 
     def add(fn):
         QUERIES[name] = Query(name, fn, sql, cols)

@@ -155,10 +155,13 @@ def _(t):
     return S.aggregate_samples(s, "motion", ["noise"])
 
 
-@query("e12_whole_file_setting", """SELECT video_id, CAST(round_even(sum((20 + seg_key % 20) * duration) / greatest(sum(duration), 1e-6), 0) AS INT) AS crf, first('rd=' || (seg_key % 3 + 4) ORDER BY duration DESC, seg_index DESC) AS params FROM v_segments GROUP BY 1""")
+@query("e12_whole_file_setting", """WITH g AS (
+  SELECT video_id, sum((20 + seg_key % 20) * frame_count)::BIGINT AS a, sum(frame_count)::BIGINT AS b,
+    arg_max('rd=' || (seg_key % 3 + 4), frame_count * 1000000::BIGINT + seg_index) AS params FROM v_segments GROUP BY 1)
+SELECT video_id, CAST(a // b + CASE WHEN 2 * (a % b) > b THEN 1 WHEN 2 * (a % b) = b THEN (a // b) % 2 ELSE 0 END AS INT) AS crf, params FROM g""")
 def _(t):
     k = F.col("seg_key")
-    return S.whole_file_setting(t.segments.withColumns({"crf": F.lit(20) + k % 20, "params": F.concat(F.lit("rd="), (k % 3 + 4).cast("string"))}))
+    return S.whole_file_setting(t.segments.withColumns({"crf": F.lit(20) + k % 20, "params": F.concat(F.lit("rd="), (k % 3 + 4).cast("string"))}), "frame_count")
 
 
 @query("e13_zone_means", """WITH r AS (SELECT *, CASE WHEN seg_key % 9 = 0 THEN NULL ELSE 80 + texture END AS v FROM v_frames)

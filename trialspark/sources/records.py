@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from trialspark import schema as S
 from trialspark.operators.trials import truthy
@@ -100,14 +100,14 @@ MAX_BROADCAST_SPLITS = 100_000
 def read_log(spark: SparkSession, paths) -> DataFrame:
     """Log lines with their 1-based number per file; undecodable bytes are replaced.
 
-    Files stay splittable: rows of one split are numbered by their place in it. The line
-    counts of the splits, one row each, are written first; while they are few they are
-    broadcast and the text stays where it is, beyond that an ordinary join adds them.
+    The text is read once: each line is written with its file, split and place in the split, and the line counts
+    of the splits come from that copy. How the files were split does not matter afterwards, so executors
+    may come and go. Files stay splittable; the counts, one row for each split, are broadcast while they are few.
     """
     raw = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
         F.make_valid_utf8("value").alias("value"), F.monotonically_increasing_id().alias("_id"))
-    from pyspark.sql import Window as W
+    raw = materialize(raw, "log-lines")
     per = raw.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     per = materialize(per.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))), "log-splits")
