@@ -74,9 +74,7 @@ OPTION_COLUMNS = {"aq-mode": "int", "aq-strength": "double", "rd": "int", "ref":
 def expand_options(df, params: str, prefix: str = ""):
     """Typed option columns from a parameter text column (integers are read through
     a float), plus the raw text of values that are no number."""
-    # a bare key has the value '1'
-    filled = F.regexp_replace(F.coalesce(F.col(params), F.lit("")), r"(?<=^|:) *([^:= ][^:=]*?) *(?=:|$)", "$1=1")
-    df = df.withColumn("_opts", filled)
+    df = df.withColumn("_opts", tidy_options(F.col(params)))
     raws = df.withColumns({f"_raw_{k}": last_option(F.col("_opts"), k) for k in OPTION_COLUMNS})
     out = {}
     for key, typ in OPTION_COLUMNS.items():
@@ -88,10 +86,21 @@ def expand_options(df, params: str, prefix: str = ""):
     return raws.withColumns(out).drop("_opts", *[f"_raw_{k}" for k in OPTION_COLUMNS])
 
 
-def last_option(filled: Column, key: str) -> Column:
-    """Last value of an option in `a=b:c=d` text, by one anchored pattern; null without it."""
-    found = F.regexp_extract(filled, rf"(?s)^(?:.*:)? *{re.escape(key)} *(=[^:]*)(?::.*)?$", 1)
-    return F.when(found != "", F.trim(found.substr(F.lit(2), F.length(found))))
+def tidy_options(params: Column) -> Column:
+    """Option text as `:key=value:key=value:`: bare keys get the value 1, and no space stands around a key."""
+    def entry(e: Column) -> Column:
+        e = F.trim(e)
+        at = F.instr(e, "=")
+        key = F.rtrim(F.substring_index(e, "=", 1))
+        return F.when(e == "", "").when(at == 0, F.concat(e, F.lit("=1"))).otherwise(F.concat(key, F.lit("="), e.substr(at + 1, F.length(e))))
+
+    return F.concat(F.lit(":"), F.array_join(F.transform(F.split(F.coalesce(params, F.lit("")), ":"), entry), ":"), F.lit(":"))
+
+
+def last_option(tidy: Column, key: str) -> Column:
+    """Last value of an option in a text of tidy_options; null without it."""
+    mark = f":{key}="
+    return F.when(F.contains(tidy, F.lit(mark)), F.trim(F.substring_index(F.substring_index(tidy, mark, -1), ":", 1)))
 
 
 def url_path(url: Column) -> Column:

@@ -248,10 +248,13 @@ def moments_and_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[s
 
 
 def _grouped(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], more: dict[str, Column], width: float | None, buffered: int) -> DataFrame:
-    """Aggregates and quantiles of small groups in one aggregate; quantiles of large ones from bounded parts of them."""
+    """Aggregates and quantiles of small groups in one aggregate; quantiles of large ones from bounded parts of them.
+
+    Keys and values are written once, as they are read more than once.
+    """
     group = list(keys) or ["_all"]
     base = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, value)
-    base = base if keys else base.withColumn("_all", F.lit(0))
+    base = materialize(base if keys else base.withColumn("_all", F.lit(0)), "quantile-values")
     large = materialize(base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > buffered).drop("_n"), "large-groups")
     ranked = F.percentile(F.col(value).cast("double"), [float(q) for q in qs.values()])
     names = [F.col("_q")[i].alias(name) for i, name in enumerate(qs)]
@@ -284,7 +287,7 @@ def _between(rows: DataFrame, keys: list[str], value: str, qs: dict[str, float],
                                (edge(high) if high < 1 else F.col("_max")).alias("b")))
     brackets = sketch.select(*keys, "_min", "_max", F.explode(F.array(*wanted)).alias("_w")).select(*keys, "_min", "_max", "_w.*")
     brackets = materialize(brackets, "brackets")
-    done = _ranked(rows, keys, value, brackets, width)
+    done = materialize(_ranked(rows, keys, value, brackets, width), "ranked")
     missed = done.filter("lo IS NULL OR hi IS NULL")
     if not missed.isEmpty():
         again = missed.withColumnsRenamed({k: f"_k_{k}" for k in keys}).select(*[f"_k_{k}" for k in keys], F.col("name").alias("_name"))
@@ -296,15 +299,26 @@ def _between(rows: DataFrame, keys: list[str], value: str, qs: dict[str, float],
 
 
 def _ranked(rows: DataFrame, keys: list[str], value: str, brackets: DataFrame, width: float | None) -> DataFrame:
-    """(keys, name, pos, lo, hi): the values around rank `pos`, null where they are outside of the bracket [a, b]."""
-    marks = _keyed(brackets.select(*keys, "name", "pos", "a", "b"), keys)
-    near = rows.join(marks, _same(rows, keys, marks)).filter(F.col(value) <= F.col("b"))
-    inside = F.col(value) >= F.col("a")
+    """(keys, name, pos, lo, hi): the values around rank `pos`, null where they are outside of the bracket [a, b].
+
+    Every row meets the brackets of its group as columns; only values inside of one are kept.
+    """
+    names = sorted(r[0] for r in brackets.select("name").distinct().collect())  # as many as quantiles are asked for
+    pick = lambda c, name: F.max(F.when(F.col("name") == name, F.col(c)))
+    marks = brackets.groupBy(*keys).agg(*[pick(c, name).alias(f"_{c}{i}") for i, name in enumerate(names) for c in "ab"])
+    marks = _keyed(marks, keys)
+    near = rows.join(marks, _same(rows, keys, marks))
+    v = F.col(value)
     # values below a bracket count for one place before it
-    counts = near.select(*keys, "name", "pos", "a", F.when(inside, F.col(value)).alias("_v")).groupBy(*keys, "name", "pos", "a", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    counts = materialize(counts, "bracket-counts")
+    below = near.groupBy(*keys).agg(*[F.count_if(v < F.col(f"_a{i}")).alias(f"_n{i}") for i in range(len(names))])
+    below = below.select(*keys, F.posexplode(F.array(*[f"_n{i}" for i in range(len(names))])).alias("_i", "_n")).withColumn("_v", F.lit(None).cast("double"))
+    inside = F.array_compact(F.array(*[F.when((v >= F.col(f"_a{i}")) & (v <= F.col(f"_b{i}")), F.lit(i)) for i in range(len(names))]))
+    held = near.select(*keys, F.explode(inside).alias("_i"), v.cast("double").alias("_v")).groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialize(below.select(*keys, "_i", "_v", "_n").unionByName(held), "bracket-counts")
     part = F.when(F.col("_v").isNull(), F.lit(-1 << 62)).otherwise(F.floor(F.col("_v") / F.lit(width or 1.0)).cast("bigint"))
-    run = ordered_scan(counts, [*keys, "name"], ["_v"], part, _upto=running_sum(F.col("_n")))
+    run = ordered_scan(counts, [*keys, "_i"], ["_v"], part, _upto=running_sum(F.col("_n"))).withColumn("_name", F.array(*map(F.lit, names))[F.col("_i")])
+    want = _keyed(brackets.select(*keys, "name", "pos"), keys)
+    run = run.join(want, _same(run, keys, want) & (F.col("_name") == F.col("name")))
     holds = lambda rank: F.max(F.when((F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto")), F.col("_v")))
     return run.groupBy(*keys, "name", "pos").agg(holds(F.floor("pos")).alias("lo"), holds(F.ceil("pos")).alias("hi"))
 
