@@ -12,29 +12,58 @@ from trialspark.llm.lines import drop_boilerplate
 from trialspark.llm.mixing import take_mix
 
 
+def apart(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns that an operator reads, and all others in one, where the operator's new columns cannot touch them."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, (F.struct(*rest) if rest else F.lit(None)).alias("__rest"))
+
+
+def together(df: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """The columns of docs again."""
+    return df.select(*[c if c in used else F.col(f"__rest.`{c}`") for c in docs.columns])
+
+
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; null texts, gibberish, ids and texts of an unlearned language go."""
-    found = identify(docs).filter("recognised")
-    return found.select(docs.columns)
+    """Documents whose language is recognised; null texts, gibberish, ids and texts of an unlearned language go.
+
+    Empty texts have no language and go as well; rows that repeat stay or go together; an empty table stays empty.
+    Other columns come through as they are, whatever their names.
+    """
+    used = ("doc_id", "text", "lang")
+    return together(identify(apart(docs, *used)).filter("recognised"), docs, *used)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that are boilerplate of their source; n_chars follows the text."""
-    return drop_boilerplate(docs, F.col("source")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Documents without the lines that are boilerplate of their source; n_chars follows the text.
+
+    Null and empty texts stay as they are; documents without a source are one site; each repeated row counts as a page;
+    an empty table stays empty. Other columns come through as they are, whatever their names.
+    """
+    used = ("source", "text")
+    out = together(drop_boilerplate(apart(docs, *used), F.col("source")), docs, *used)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies (five words, similarity 0.8)."""
+    """The first document of each group of near copies (five words, similarity 0.8).
+
+    Null and empty texts and rows without doc_id are in no group and stay; rows that repeat a doc_id stay together; an
+    empty table stays empty.
+    """
     return keep_one(docs, words=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them (at most twice).
+
+    Texts without words weigh nothing; documents without a source are a source of their own; repeated rows are
+    documents of their own; an empty table stays empty.
+    """
     return take_mix(docs)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and whether they decode to it again."""
+    """Token ids of each text, and whether they decode to it again; null and empty texts have none, each row is encoded."""
     import public_tokenizers
 
     tokenizer = {"path": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
