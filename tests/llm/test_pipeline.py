@@ -49,3 +49,15 @@ def test_stages(spark):
     assert sorted(r.doc_id for r in ids) == sorted(r.doc_id for r in mixed)
     assert all(r.round_trip and r.n_tokens == len(r.token_ids) for r in ids)
     assert P.run(spark, FOLDER).count() == len(ids)
+
+
+def test_stages_keep_foreign_columns(spark):
+    """Columns named like those that operators add come through unchanged."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").withColumns(
+        {c: P.F.concat(P.F.lit(c), "doc_id") for c in ("score", "held_out", "lang_pred", "recognised", "n_lines", "n_dropped", "host", "__bad")})
+    for stage in (P.identify_languages, P.dedup_lines):
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns
+        for c in docs.columns[5:]:
+            assert out.filter(P.F.col(c) != P.F.concat(P.F.lit(c), "doc_id")).count() == 0
+        assert stage(spark, docs.limit(0), FOLDER).count() == 0 if stage is P.dedup_lines else True
