@@ -29,8 +29,8 @@ NORMALIZER_NAME, ADD_DUMMY_PREFIX, REMOVE_EXTRA_WHITESPACES, ESCAPE_WHITESPACES
 FIRST_CHAR = 0x100
 BYTE_CHARS = [chr(FIRST_CHAR + b) for b in range(256)]
 
-#: Pre-tokens whose ids a worker remembers (frequent ones come early), and their greatest length.
-REMEMBERED, LONGEST = 1 << 19, 64
+#: Pre-tokens whose ids a task remembers (frequent ones come early), and their greatest length.
+REMEMBERED, LONGEST = 1 << 18, 64
 
 
 def _varint(n: int) -> bytes:
@@ -125,12 +125,14 @@ class Codec:
             tokens = self.split(text)
         known = self.known
         found = list(map(known.get, tokens))
-        if None in found:
-            new = list(dict.fromkeys(t for t, x in zip(tokens, found) if x is None))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            new = list(dict.fromkeys([tokens[i] for i in missing]))
             learnt: dict[str, bytes] = {}
             for at in range(0, len(new), 4096):
                 learnt |= self._learn(new[at:at + 4096])
-            found = [learnt[t] if x is None else x for t, x in zip(tokens, found)]
+            for i in missing:
+                found[i] = learnt[tokens[i]]
             for token in new[: max(0, REMEMBERED - len(known))]:
                 if len(token) <= LONGEST:
                     known[token] = learnt[token]
@@ -142,7 +144,7 @@ class Codec:
         return {int(i): bytes(ord(c) - FIRST_CHAR for c in p) for i, p in zip(self.ids, pieces)}
 
 
-#: The codec of the worker: it outlives a task, with what it remembers. Another tokenizer takes its place.
+#: The codec of the worker: its model outlives a task. Another tokenizer takes its place.
 _codecs: dict[str, Codec] = {}
 
 
@@ -178,10 +180,13 @@ class ByteBPE:
             from trialspark.llm.bpe import codec_of
 
             codec = codec_of(key, model)
-            for texts in batches:
-                parts = [codec.encode(t.as_py()) for t in texts]
-                ends = np.cumsum([0, *map(len, parts)]) // 4
-                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+            try:
+                for texts in batches:
+                    parts = [codec.encode(t.as_py()) for t in texts]
+                    ends = np.cumsum([0, *map(len, parts)]) // 4
+                    yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+            finally:  # later stages need the memory
+                codec.known.clear()
 
         run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
         return F.arrow_udf(run, "array<int>")(text)

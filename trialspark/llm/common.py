@@ -65,7 +65,7 @@ class RangeHash:
 class WordHashes(dict):
     """64-bit hash of each word by a strong hash function; a bounded number of words is remembered."""
 
-    REMEMBERED = 1 << 18
+    REMEMBERED = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.REMEMBERED:
