@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
 from trialspark.llm import fixity, secrets  # noqa: E402
-from trialspark.llm.bpe import decode_documents, encode_documents  # noqa: E402
+from trialspark.llm.bpe import decode_documents, encode_documents, round_trip_documents  # noqa: E402
 from trialspark.llm.components import components  # noqa: E402
 from trialspark.llm.jaccard import jaccard_components, keep_one  # noqa: E402
 from trialspark.llm.language import fit, identify, is_held_out, predict  # noqa: E402
@@ -98,7 +98,10 @@ def test_bpe_against_library(spark, docs):
     assert len(out) == len(rows)
     wrong = [x.doc_id for x in out if x.token_ids != plain.encode_ordinary(texts[x.doc_id] or "") or bytes(x.decoded) != (texts[x.doc_id] or "").encode()]
     assert not wrong
-    assert encode_documents(docs([(1, "a")]).limit(0), **settings).count() == 0
+    whole = {x.doc_id: x for x in round_trip_documents(docs(rows).repartition(8), **settings).collect()}
+    assert whole == {x.doc_id: x for x in out}
+    for step in (encode_documents, round_trip_documents):
+        assert step(docs([(1, "a")]).limit(0), **settings).count() == 0
 
 
 def test_language_cases(spark, docs):

@@ -138,6 +138,9 @@ class Codec:
                     known[token] = learnt[token]
         return b"".join(found)
 
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.vocabulary.__getitem__, ids.tolist()))
+
     @cached_property
     def vocabulary(self) -> dict[int, bytes]:
         pieces = (self.model.id_to_piece(i + 1) for i in range(len(self.ids)))
@@ -195,13 +198,35 @@ class ByteBPE:
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             from trialspark.llm.bpe import codec_of
 
-            pieces = codec_of(key, model).vocabulary
+            codec = codec_of(key, model)
             for lists in batches:
-                yield pa.array([None if not x.is_valid else b"".join(map(pieces.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist())) for x in lists], pa.binary())
+                yield pa.array([codec.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in lists], pa.binary())
 
         run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
         return F.arrow_udf(run, "binary")(ids)
 
+    def round_trip(self, text: Column) -> Column:
+        """Ids of a text and the bytes that they decode to, as a struct.
+
+        One worker does both, so that ids are not sent to a second one, which would hold the tokenizer again.
+        """
+        key, model = self._key, self._model
+
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            from trialspark.llm.bpe import codec_of
+
+            codec = codec_of(key, model)
+            for texts in batches:
+                parts = [codec.encode(t.as_py()) for t in texts]
+                decoded = pa.array([codec.decode(np.frombuffer(p, np.int32)) for p in parts], pa.binary())
+                ends = pa.array(np.cumsum([0, *map(len, parts)]) // 4, pa.int32())
+                ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(parts), np.int32)))
+                del parts
+                yield pa.StructArray.from_arrays([ids, decoded], names=["token_ids", "decoded"])
+
+        run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        return F.arrow_udf(run, "token_ids array<int>, decoded binary")(text)
+
 
 def encode_documents(documents: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
     """Documents with their ids in a new column; a column of that name is replaced, all others stay.
@@ -215,3 +240,13 @@ def encode_documents(documents: DataFrame, path: str, pattern: str, text_col: st
 def decode_documents(tokens: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
     """Tables of ids with their decoded bytes in a new column (null for null ids)."""
     return tokens.withColumn(out_col, ByteBPE(tokens.sparkSession, path, pattern).decode(F.col(ids_col)))
+
+
+def round_trip_documents(documents: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
+    """Documents with their ids and the bytes these decode to: encode_documents and decode_documents in one step.
+
+    Columns of these two names are replaced, all others stay. Null and empty texts have an empty array and no bytes.
+    """
+    both = ByteBPE(documents.sparkSession, path, pattern).round_trip(F.col(text_col).cast("string"))
+    found = documents.withColumn("__both", both)
+    return found.withColumns({ids_col: F.col("__both.token_ids"), out_col: F.col("__both.decoded")}).drop("__both")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trialspark.llm.bpe import decode_documents, encode_documents
+from trialspark.llm.bpe import round_trip_documents
 from trialspark.llm.fixity import FIXITY_SQL, audit, replicas
 from trialspark.llm.jaccard import jaccard_components
 from trialspark.llm.language import identify, is_held_out
@@ -34,8 +34,7 @@ def _tokenizer() -> dict[str, str]:
 
 
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    tokens = encode_documents(_table(spark, folder, "documents").select("doc_id", "text"), **_tokenizer()).select("doc_id", "token_ids")
-    both = decode_documents(tokens, **_tokenizer())
+    both = round_trip_documents(_table(spark, folder, "documents").select("doc_id", "text"), **_tokenizer())
     return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
