@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trialspark.llm.bpe import decode_documents, encode_documents
+from trialspark.llm.bpe import round_trip_documents
 from trialspark.llm.common import held
 from trialspark.llm.jaccard import keep_one
 from trialspark.llm.language import identify
@@ -67,8 +67,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     import public_tokenizers
 
     tokenizer = {"path": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
-    out = encode_documents(docs.select("doc_id", "source", "text"), **tokenizer)
-    out = decode_documents(out, **tokenizer).withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary"))
+    out = round_trip_documents(docs.select("doc_id", "source", "text"), **tokenizer).withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary"))
     return out.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
 
 
