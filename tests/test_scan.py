@@ -60,13 +60,30 @@ def test_quantiles_of_one_value(spark):
     assert [tuple(r) for r in S.exact_quantiles(df, ["k"], "x", {"q": 0.9}, 1.0).collect()] == [(1, 2.5)]
 
 
-def test_range_join_matches_brute_force(spark):
-    r = random.Random(3)
-    pts = [(r.randint(0, 2), r.randint(0, 400), i) for i in range(300)]
-    rng = [(r.randint(0, 2), s, s + r.randint(0, 150), i) for i, s in enumerate(r.sample(range(400), 40))]
-    got = S.bucket_range_join(spark.createDataFrame(pts, "k int, f int, pid int"), spark.createDataFrame(rng, "k int, a int, b int, rid int"),
-                              ["k"], "f", "a", "b", 16)
-    assert sorted((x.rid, x.pid) for x in got.collect()) == sorted((ri, pi) for k, a, b, ri in rng for k2, f, pi in pts if k == k2 and a <= f < b)
+@pytest.mark.parametrize("longest", [150, 40, 3000])
+def test_range_join_matches_brute_force(spark, longest):
+    r = random.Random(longest)
+    pts = [(r.choice([0, 1, 2, None]), r.randint(-2 * longest, 2 * longest), i) for i in range(300)] + [(0, None, -1)]
+    rng = [(r.choice([0, 2, 3, None]), s, s + r.randint(-5, longest), i) for i, s in enumerate(r.choices(range(-2 * longest, 2 * longest), k=40))]
+    rng += [(1, 5, 9, 90), (1, 5, 9, 91), (1, None, 9, 92)]
+    got = S.range_join(spark.createDataFrame(pts, "k int, f int, _size int"), spark.createDataFrame(rng, "k int, a int, b int, _piece int"), ["k"], "f", "a", "b", 16)
+    want = [(ri, pi) for k, a, b, ri in rng for k2, f, pi in pts if k is not None and k == k2 and f is not None and a is not None and a <= f < b]
+    assert sorted((x._piece, x._size) for x in got.collect()) == sorted(want) and got.columns == ["k", "a", "b", "_piece", "f", "_size"]
+
+
+def test_long_range_has_few_pieces(spark):
+    ends = [(3, 10_000_003), (-5_000_001, 5_000_000), (0, 64 << 20), (63, 64 << 20), (10, 60)]
+    cover = S._pieces(spark.createDataFrame(ends, "a bigint, b bigint"), "a", "b", 64).groupBy("a", "b").agg(
+        F.count("*").alias("n"), F.sum(F.expr("shiftleft(1L, __size)")).alias("buckets")).collect()
+    found = {(r.a, r.b): r for r in cover}
+    assert all(r.n < 50 for r in cover) and found[(0, 64 << 20)].n == 1 and found[(10, 60)].n == 1
+    assert all(found[a, b].buckets == -(-b // 64) - a // 64 for a, b in ends)  # disjoint and without a gap
+
+
+def test_points_of_short_ranges_are_not_copied(spark):
+    pts = spark.createDataFrame([(1, 5), (2, 500)], "k int, f int")
+    plan = lambda b: S.range_join(pts, spark.createDataFrame([(1, 0, b)], "k int, a int, b int"), ["k"], "f", "a", "b", 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(50).count("Generate explode") == 1 and plan(5000).count("Generate explode") == 2
 
 
 def test_asof_and_nearest_match_brute_force(spark):

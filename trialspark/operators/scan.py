@@ -323,25 +323,56 @@ def _ranked(rows: DataFrame, keys: list[str], value: str, brackets: DataFrame, w
     return run.groupBy(*keys, "name", "pos").agg(holds(F.floor("pos")).alias("lo"), holds(F.ceil("pos")).alias("hi"))
 
 
-def bucket_range_join(points: DataFrame, ranges: DataFrame, keys: list[str], point: str,
-                      start: str, end: str, width: int, how: str = "inner") -> DataFrame:
-    """Points with start <= point < end, as an equi join on (keys, bucket).
+#: Ranges that touch more buckets than this are covered by dyadic pieces.
+SHORT_BUCKETS = 4
 
-    Ranges are copied into the buckets they touch; a residual condition keeps
-    only true hits, so no (key x key) product is formed.
+
+def _pieces(ranges: DataFrame, start: str, end: str, width: int) -> DataFrame:
+    """Ranges with the pieces that cover them: __size and __piece stand for buckets [piece * 2**size, (piece + 1) * 2**size).
+
+    The pieces of a range are disjoint. A short range takes each bucket it touches (size 0); a longer one the largest
+    aligned blocks that fill it, at most two of each size, so its copies grow with the logarithm of its length.
+    """
+    bucket = lambda c: F.floor(c / F.lit(width)).cast("bigint")
+    r = ranges.filter(F.col(end) > F.col(start)).withColumns({"__lo": bucket(F.col(start)), "__hi": F.ceil(F.col(end) / F.lit(width)).cast("bigint")})
+    lo, hi = F.col("__lo"), F.col("__hi")
+    piece = lambda size, at: F.struct(size.cast("int").alias("size"), at.alias("at"))
+    odd = lambda c: c.bitwiseAND(F.lit(1)) == 1
+
+    def blocks(size: Column) -> Column:
+        first, beyond = -F.call_function("shiftright", -lo, size), F.call_function("shiftright", hi, size)
+        return F.array(F.when((first < beyond) & odd(first), piece(size, first)), F.when((first < beyond) & odd(beyond), piece(size, beyond - 1)))
+
+    sizes = F.sequence(F.lit(0), F.length(F.bin(hi - lo)) - 1)
+    each = F.transform(F.sequence(lo, hi - 1), lambda at: piece(F.lit(0), at))
+    cover = F.when(hi - lo <= SHORT_BUCKETS, each).otherwise(F.array_compact(F.flatten(F.transform(sizes, blocks))))
+    return r.withColumn("__cover", F.explode(cover)).withColumns({"__size": F.col("__cover.size"), "__piece": F.col("__cover.at")}).drop("__lo", "__hi", "__cover")
+
+
+def range_join(points: DataFrame, ranges: DataFrame, keys: list[str], point: str, start: str, end: str, width: int) -> DataFrame:
+    """Points with start <= point < end, as an equi join on (keys, piece); see _pieces.
+
+    A residual condition keeps only true hits, so no (key x key) product is formed. Points travel once, except those
+    of keys with long ranges, which travel once for each size of piece their key uses. Null keys, null points and
+    empty ranges have no hit; each pair of a point and a range comes once. Columns of both sides: those of the range.
     """
-    p = points.withColumn("_b", F.floor(F.col(point) / F.lit(width)).cast("bigint"))
-    r = (ranges.filter(F.col(end) > F.col(start))
-         .withColumn("_b", F.explode(F.sequence(
-             F.floor(F.col(start) / F.lit(width)).cast("bigint"),
-             F.floor((F.col(end) - 1) / F.lit(width)).cast("bigint")))))
+    r = _pieces(ranges, start, end, width)
+    long = r.filter("__size > 0").groupBy(*keys).agg(F.sort_array(F.collect_set("__size")).alias("__sizes"))
+    long = materialize(long, "long-ranges")  # one row per key with a long range, each of at most 64 sizes
+    p = points.withColumn("__at", F.floor(F.col(point) / F.lit(width)).cast("bigint"))
+    if long.isEmpty():
+        p = p.withColumns({"__size": F.lit(0), "__piece": F.col("__at")})
+    else:
+        mark = _keyed(long, keys)
+        p = p.join(mark, reduce(lambda a, b: a & b, [p[k] == mark[f"_k_{k}"] for k in keys]), "left")
+        sizes = F.concat(F.array(F.lit(0)), F.coalesce("__sizes", F.array().cast("array<int>")))
+        p = p.withColumn("__size", F.explode(sizes)).withColumn("__piece", F.call_function("shiftright", F.col("__at"), F.col("__size")))
     p, r = p.alias("p"), r.alias("r")
-    cond = reduce(lambda a, b: a & b,
-                  [F.col(f"p.{k}") == F.col(f"r.{k}") for k in keys + ["_b"]])
+    cond = reduce(lambda a, b: a & b, [F.col(f"p.{k}") == F.col(f"r.{k}") for k in [*keys, "__size", "__piece"]])
     cond = cond & (F.col(f"p.{point}") >= F.col(f"r.{start}")) & (F.col(f"p.{point}") < F.col(f"r.{end}"))
     cols = [F.col(f"r.{c}") for c in ranges.columns]
     cols += [F.col(f"p.{c}") for c in points.columns if c not in ranges.columns]
-    return r.join(p, cond, how).select(*cols)
+    return r.join(p, cond).select(*cols)
 
 
 def _both_sides(left: DataFrame, right: DataFrame, keys, left_at: str, right_at: str, payload, tie) -> DataFrame:

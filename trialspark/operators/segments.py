@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trialspark.functions.features import (EDGE_MID, HARD_DIFFICULTY, HF_MID, MOTION_MID, NOISE_MID, TEXTURE_MID,
                                            FEATURE_KEYS)
 from trialspark.functions.numbers import half_even, round_even, soft_level
-from trialspark.operators.scan import (asof, bucket_range_join, exact_quantiles, exact_sum, group_max, group_min,
-                                       group_sum, moments_and_quantiles, ordered_scan, nearest, previous, running_sum)
+from trialspark.operators.scan import (asof, exact_quantiles, exact_sum, group_max, group_min, group_sum,
+                                       moments_and_quantiles, ordered_scan, nearest, previous, range_join, running_sum)
 from trialspark.session import materialize
 
 FRAME_BUCKET = 64
@@ -91,8 +91,7 @@ def packet_bytes(segs: DataFrame, packets: DataFrame, keys=("video_id",), out: s
     seg_keys = [*keys, "seg_index"]
     # packets of one frame are added up before they travel
     per = packets.groupBy(*keys, "frame").agg(F.sum("size").alias("_size"))
-    hit = bucket_range_join(per, segs.select(*seg_keys, "start_frame", "end_frame"), keys,
-                            "frame", "start_frame", "end_frame", FRAME_BUCKET)
+    hit = range_join(per, segs.select(*seg_keys, "start_frame", "end_frame"), keys, "frame", "start_frame", "end_frame", FRAME_BUCKET)
     sums = hit.groupBy(*seg_keys).agg(F.sum("_size").alias(out))
     return segs.join(sums, seg_keys, "left").withColumn(out, F.coalesce(out, F.lit(0)).cast("bigint"))
 
@@ -113,7 +112,7 @@ def frames_in_segments(segs: DataFrame, frames: DataFrame, payload: list[str]) -
     """
     s = segs.select(*SEG, "start_frame", "end_frame")
     f = frames.select("video_id", "frame", *payload)
-    hit = bucket_range_join(f, s, ["video_id"], "frame", "start_frame", "end_frame", FRAME_BUCKET)
+    hit = range_join(f, s, ["video_id"], "frame", "start_frame", "end_frame", FRAME_BUCKET)
     bare = s.join(hit.select(*SEG).distinct(), SEG, "left_anti")
     bare = bare.withColumn("_mid", F.floor((F.col("start_frame") + F.col("end_frame") - 1) / 2).cast("bigint"))
     f = f.withColumn("frame", F.col("frame").cast("bigint"))
