@@ -246,3 +246,15 @@ def test_regression_query_trains_all_rounds(spark, monkeypatch):
     with pytest.raises(Trained) as found:
         load_all()["k01_crf_regression"].frame(spark, "/root/testdata/sf0.001")
     assert found.value.args == (400, 6)
+
+
+def test_json_fields_are_read_from_one_parse(spark):
+    from trialspark.functions.documents import with_json_fields
+
+    texts = [None, "", "{", '{"a": 1, "b": {"c": ["x", "7"]}}', '{"a": "4", "b": 3}', '{"a": 1e20}', '{"a": 1, "a": 2}', "[1]"]
+    df = spark.createDataFrame([(i, x, "old") for i, x in enumerate(texts)], "i int, text string, a string")
+    got = with_json_fields(df, "text", {"a": ("$.a", "int"), "second": ("$.b.c[1]", "int"), "b": ("$.b", "string")})
+    assert {r.i: (r.a, r.second, r.b) for r in got.collect()} == {
+        0: (None,) * 3, 1: (None,) * 3, 2: (None,) * 3, 3: (1, 7, '{"c":["x","7"]}'), 4: (4, None, "3"), 5: (None,) * 3, 6: (None,) * 3, 7: (None,) * 3}
+    assert got.columns == ["i", "text", "a", "second", "b"]
+    assert got._jdf.queryExecution().executedPlan().toString().lower().count("parse_json(") + got._jdf.queryExecution().executedPlan().toString().count("parseJson") == 1

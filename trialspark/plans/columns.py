@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from trialspark.functions import features as FE, numbers as N, text as X
+from trialspark.functions.documents import with_json_fields
 from trialspark.plans.registry import query
 
 PARAMS = "concat('aq-mode=', CAST(l_linenumber AS STRING), ':aq-strength=', CAST(l_discount AS STRING), ':rd= ', CAST(l_quantity AS STRING), ' :ref=', l_returnflag, ':scenecut::rd=6')"
@@ -97,8 +98,22 @@ def _(t):
 
 @query("b22_result_json_access", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, json_extract_string(props, '$.x.y') AS missing FROM events")
 def _(t):
-    p = F.from_json("props", "k int")
-    return t.events.select("event_id", p["k"].alias("k"), F.get_json_object("props", "$.x.y").alias("missing"))
+    return with_json_fields(t.events, "props", {"k": ("$.k", "int"), "missing": ("$.x.y", "string")}).select("event_id", "k", "missing")
+
+
+@query("b22_result_documents", """SELECT o_orderkey, CAST(CASE WHEN ok THEN 16 + o_orderkey % 25 END AS INT) AS crf, CASE WHEN ok THEN CASE o_orderkey % 2 WHEN 0 THEN 'CRF' ELSE 'VBR' END END AS mode,
+CASE WHEN ok AND o_orderkey % 3 > 0 THEN 80 + o_orderkey % 64 / 4.0::DOUBLE END AS vmaf, CASE WHEN ok THEN o_custkey % 1000 / 8.0::DOUBLE END AS encode_sec, CAST(CASE WHEN ok THEN o_orderkey % 9 END AS INT) AS second_zone_crf,
+CAST(NULL AS INT) AS mode_as_number FROM (SELECT *, o_orderkey % 7 <> 0 AS ok FROM orders) AS o""")
+def _(t):
+    k = F.col("o_orderkey")
+    best = F.struct((16 + k % 25).alias("crf"), F.when(k % 2 == 0, "CRF").otherwise("VBR").alias("mode"), F.when(k % 3 > 0, 80 + k % 64 / 4.0).alias("vmaf"))
+    zones = F.array(F.struct(F.lit(1).alias("crf")), F.struct((k % 9).alias("crf")))
+    doc = F.to_json(F.struct(best.alias("best"), F.struct((F.col("o_custkey") % 1000 / 8.0).alias("encode")).alias("stage_timings"), zones.alias("zones")))
+    # every seventh document is cut off
+    docs = t.orders.select("o_orderkey", F.when(k % 7 == 0, doc.substr(F.lit(1), F.length(doc) - 1)).otherwise(doc).alias("doc"))
+    return with_json_fields(docs, "doc", {
+        "crf": ("$.best.crf", "int"), "mode": ("$.best.mode", "string"), "vmaf": ("$.best.vmaf", "double"), "encode_sec": ("$.stage_timings.encode", "double"),
+        "second_zone_crf": ("$.zones[1].crf", "int"), "mode_as_number": ("$.best.mode", "int")}).drop("doc")
 
 
 @query("b23_human_bytes", """WITH n AS (SELECT o_orderkey, CAST(floor(o_totalprice * pow(1024.0, o_orderkey % 5)) AS BIGINT) AS b FROM orders), v AS (SELECT *, b::DOUBLE AS x, b / 1024.0::DOUBLE AS k, b / 1048576.0::DOUBLE AS m, b / 1073741824.0::DOUBLE AS g, b / 1099511627776.0::DOUBLE AS t FROM n)
