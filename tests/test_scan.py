@@ -157,3 +157,25 @@ def test_exact_sums_do_not_depend_on_order(spark):
     df = spark.range(10_000).selectExpr("id % 3 as k", "cast(id * 0.1 as double) + 1e7 as x")
     sums = {tuple(map(tuple, df.repartition(n).groupBy("k").agg(S.exact_sum(S.F.col("x")).alias("s")).orderBy("k").collect())) for n in (1, 8, 211)}
     assert len(sums) == 1
+
+
+def test_bitmap_filter_loses_no_match(spark):
+    wide = spark.range(60_000).select((F.col("id") % 50_000).cast("int").alias("a"), F.when(F.col("id") % 11 > 0, F.concat(F.lit("k"), (F.col("id") % 7).cast("string"))).alias("b"))
+    narrow = wide.filter("a % 97 = 5").withColumn("more", F.lit(1))
+    got = S.bitmap_semi(wide, narrow, ["a", "b"])
+    want = wide.filter("a % 97 = 5")
+    assert got.columns == ["a", "b"] and want.exceptAll(got).isEmpty() and got.count() < want.count() + 0.2 * wide.count()
+    assert S.bitmap_semi(wide, narrow.withColumn("a", F.col("a").cast("long")).drop("b").withColumn("b", F.lit(1)), ["a", "b"]).count() == 60_000
+    assert S.bitmap_semi(wide, narrow.limit(0), ["a", "b"]).count() == 0
+
+
+def test_long_log_is_thinned_before_its_shuffle(spark, tmp_path):
+    from trialspark.operators.trials import not_logged
+
+    spark.range(5000).selectExpr("id AS a", "cast(id % 3 AS string) AS b").write.parquet(f"{tmp_path}/log")
+    log = spark.read.parquet(f"{tmp_path}/log")
+    cached = spark.createDataFrame([(4998, "0"), (4999, "0"), (6000, None)], "a long, b string")
+    out = not_logged(cached, log, ["a", "b"])
+    assert sorted(r.a for r in out.collect()) == [4999, 6000]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [a") < plan.index("getbit") or plan.index("Aggregate [a") < plan.index("bit_get")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trialspark.functions.text import bitrate_for_rate
-from trialspark.operators.scan import top_one
+from trialspark.operators.scan import bitmap_semi, top_one
 from trialspark.operators.trials import SEGMENT, best_trial, dedupe_last_wins, usable_results
 
 # Tolerances of the pair check.
@@ -24,10 +24,11 @@ def split_jobs(jobs: DataFrame, work: DataFrame, published: DataFrame) -> DataFr
 
 
 def pending_jobs(jobs: DataFrame, work: DataFrame, published: DataFrame) -> DataFrame:
-    """Jobs without any usable result (two anti joins)."""
+    """Jobs without any usable result (two anti joins). Of many results only those that may match are shuffled."""
+    left = jobs
     for res in (work, published):
-        jobs = jobs.join(usable_results(res).select("job_id").distinct(), "job_id", "left_anti")
-    return jobs
+        left = left.join(bitmap_semi(usable_results(res).select("job_id"), jobs, ["job_id"]).distinct(), "job_id", "left_anti")
+    return left
 
 
 def job_keys(jobs: DataFrame) -> DataFrame:

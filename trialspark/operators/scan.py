@@ -323,6 +323,30 @@ def _ranked(rows: DataFrame, keys: list[str], value: str, brackets: DataFrame, w
     return run.groupBy(*keys, "name", "pos").agg(holds(F.floor("pos")).alias("lo"), holds(F.ceil("pos")).alias("hi"))
 
 
+#: Bits of one bitmap (fixed by bitmap_construct_agg) and of all bitmaps of a filter: 8 MB are broadcast at most.
+BITMAP, MOST_BITS = 1 << 15, 1 << 26
+
+
+def bitmap_semi(wide: DataFrame, narrow: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of `wide` whose key may be among those of `narrow`: all that are, and few others. An exact join has to follow.
+
+    One bit is set for each key hash of `narrow`, so a wide table is thinned in its own tasks before it is shuffled. Bits are
+    eight for each row of `narrow` up to MOST_BITS; beyond that more rows pass, none is lost. Null keys count as
+    equal. Keys that have another type on the other side are left out of the hash.
+    """
+    types = dict(narrow.dtypes)
+    same = [k for k, kind in wide.dtypes if k in keys and types[k] == kind]
+    if not same:
+        return wide
+    bits = min(MOST_BITS, max(BITMAP, 1 << (8 * narrow.count()).bit_length()))
+    place = F.pmod(F.xxhash64(*[F.col(k) for k in same]), F.lit(bits))
+    where = {"__bucket": F.floor(place / BITMAP).cast("int"), "__bit": (place % BITMAP).cast("int")}
+    bitmaps = narrow.select(*[c.alias(n) for n, c in where.items()]).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    byte = F.conv(F.hex(F.substr("__bits", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = wide.withColumns(where).join(F.broadcast(bitmaps), "__bucket")
+    return met.filter(F.getbit(byte, F.col("__bit") % 8) == 1).select(*wide.columns)
+
+
 #: Ranges that touch more buckets than this are covered by dyadic pieces.
 SHORT_BUCKETS = 4
 

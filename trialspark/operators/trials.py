@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trialspark.functions.numbers import round_even
 from trialspark.functions.score import compression_rate, compression_ratio, score_struct
-from trialspark.operators.scan import max_before, ordered_scan, top_one
+from trialspark.operators.scan import bitmap_semi, max_before, ordered_scan, top_one
 
 SEQ = ["k1", "k2", "k3", "k4"]
 SEGMENT = ["video_id", "segment_index"]
@@ -225,8 +225,8 @@ def todo_grid(segments: DataFrame, trials: DataFrame, crfs: list[int], aqs: list
 
 
 def not_logged(cached: DataFrame, logged: DataFrame, keys: list[str]) -> DataFrame:
-    """Cached rows whose key is not in the log yet (null-safe)."""
-    c, g = cached.alias("c"), logged.select(*keys).distinct().alias("g")
+    """Cached rows whose key is not in the log yet (null-safe). Of a long log only rows that may match are shuffled."""
+    c, g = cached.alias("c"), bitmap_semi(logged.select(*keys), cached, keys).distinct().alias("g")
     cond = None
     for k in keys:
         e = F.col(f"c.{k}").eqNullSafe(F.col(f"g.{k}"))
