@@ -78,9 +78,58 @@ def test_rule_anchored(spark, points, mashup, crf, why):
     assert (r.crf, r.crf_reason) == (crf, why)
 
 
+TRIAL = ("video_id int, segment_index int, crf double, s_f double, vmaf_neg double, compression_rate double, compression_ratio double, "
+         "encode_ok boolean, k1 int, k2 int, k3 int, k4 int")
+
+
 def test_rejected_observations_name_the_reason(spark):
-    rows = [(1, 0, c, s, 90.0, .2, 4.0, True, 0, i, 0, 0, 0) for i, (c, s) in enumerate([(23.0, .5), (23.5, .6), (24.0, .5), (70.0, .5), (None, .5)])]
-    df = spark.createDataFrame(rows, "video_id int, segment_index int, crf double, s_f double, vmaf_neg double, compression_rate double, compression_ratio double, "
-                               "encode_ok boolean, root_rank int, k1 int, k2 int, k3 int, k4 int")
-    assert {(r.crf, r.reject_reason) for r in C.rejected_observations(df).collect()} == {(23.0, "same_cq"), (70.0, "cq_out_of_range"), (None, "no_cq")}
-    assert C.observations(df).count() == 2
+    rows = [(1, 0, c, s, 90.0, .2, 4.0, True, i, 0, 0, 0) for i, (c, s) in enumerate([(23.0, .5), (23.5, .6), (24.0, .5), (70.0, .5), (None, .5)])]
+    df = spark.createDataFrame(rows, TRIAL)
+    assert {(r.crf, r.reject_reason) for r in C.rejected_observations(df).collect()} == {(70.0, "cq_out_of_range"), (None, "no_cq")}
+    assert sorted((r.cq, r.place) for r in C.observations(df).collect()) == [(23, 0), (23, 1), (24, 0)]
+
+
+def test_fractional_settings_are_observations_of_their_whole_cq(spark):
+    rows = [(1, 0, c, .5, v, .2, 5.0, True, i, 0, 0, 0) for i, (c, v) in enumerate([(23.0, 95.0), (23.5, 91.0), (25.0, 90.0)])]
+    r = C.with_crossing(C.curves(C.observations(spark.createDataFrame(rows, TRIAL))), 93.0).first()
+    assert r.cq_star == 23.0 and [p.vmaf for p in r.pts] == [95.0, 91.0, 90.0]
+
+
+def trace(trials, target, at):
+    """(crossing, prediction inputs at `at`) over every trial of one curve, straight from the rules."""
+    ok = sorted((t for t in trials if t[7]), key=lambda t: (int(t[2]), t[8]))
+    pts = [(int(t[2]), t[4], t[5]) for t in ok if t[4] > 0]
+    star = None if not pts else float(pts[0][0])
+    if len(pts) > 1:
+        hits = [(l, r) for l, r in zip(pts, pts[1:]) if (l[1] - target) * (r[1] - target) <= 0 and l[1] != r[1]]
+        l, r = hits[0] if hits else sorted(sorted(pts, key=lambda p: abs(p[1] - target))[:2], key=lambda p: p[0])
+        star = float(l[0]) if l[1] == r[1] else l[0] + (target - l[1]) / (r[1] - l[1]) * (r[0] - l[0])
+    pts = [(int(t[2]), t[4], t[5]) for t in ok if t[5] > 0]
+    if not pts:
+        return star, None
+    if at <= pts[0][0] or at >= pts[-1][0]:
+        return star, (pts[0] if at <= pts[0][0] else pts[-1])[1:]
+    l, r = next((l, r) for l, r in zip(pts, pts[1:]) if l[0] <= at <= r[0])
+    w = 0 if l[0] == r[0] else (at - l[0]) / (r[0] - l[0])
+    return star, (l[1] + w * (r[1] - l[1]), l[2] + w * (r[2] - l[2]))
+
+
+def test_kept_observations_answer_as_all_trials_do(spark):
+    import random
+    from trialspark.functions.score import predicted_score
+
+    draw, rows = random.Random(7), []
+    for video in range(150):
+        for i in range(draw.choice([1, 2, 3, 8, 40])):
+            v = draw.choice([0.0, 88.0, 93.0, round(draw.uniform(85, 99), 1)]) if video % 3 else round(draw.uniform(80, 92), 0)
+            rows.append((video, 0, draw.choice([30, 30.5, 31, 32.25, 35]) * 1.0, draw.choice([0.0, .2, .3]), v, draw.choice([0.0, .1, .2, .3]), 4.0, draw.random() < .8, i, 0, 0, 0))
+    c = C.curves(C.observations(spark.createDataFrame(rows, TRIAL)))
+    got = C.predict_candidates(C.with_crossing(c, 93.0), 29, 36, 93.0).collect()
+    want = {(v, at): trace([r for r in rows if r[0] == v], 93.0, at) for v in range(150) for at in range(29, 37)}
+    inputs = [(v, at, *w[1]) for (v, at), w in want.items() if w[1]]
+    scores = spark.createDataFrame(inputs, "v int, at int, vmaf double, rate double").select("v", "at", predicted_score(F.col("vmaf"), F.col("rate"), 93.0).alias("s"))
+    scores = {(r.v, r["at"]): r.s for r in scores.collect()}
+    assert len(got) == len(want)
+    for r in got:
+        key = (r.video_id, r.candidate)
+        assert r.cq_star == pytest.approx(want[key][0]) and r.predicted_s_f == pytest.approx(scores.get(key))

@@ -1,8 +1,8 @@
 """Rate/quality curves: interpolation, prediction, next probes.
 
-A curve holds at most one point per integer CQ (see `observations`), so its size
-is bounded by the encoder's CQ range (0..63) however many trials were run. That
-is why the points of one curve may sit together in an array.
+A curve is the sequence of its trials by whole CQ, then by trial order; every trial counts. Of the trials of one CQ
+only a few can decide an answer (the first and last, the two best and two worst qualities, the best scores), so
+`observations` keeps these alone: the points of one curve may sit together in an array however many trials were run.
 """
 
 from __future__ import annotations
@@ -21,42 +21,71 @@ def _with_cq(trials: DataFrame) -> DataFrame:
     return trials.withColumn("cq", F.col("crf").try_cast("int"))
 
 
-def _precedence(seq) -> list[Column]:
-    """Order of the trials of one CQ: a working one before a failed one, the best score, the first."""
-    return [F.coalesce(F.col("encode_ok"), F.lit(False)).desc(), F.coalesce("s_f", F.lit(0.0)).desc(), *[F.col(c).asc() for c in seq]]
+def observations(trials: DataFrame, keys=SEGMENT, seq=SEQ, cq_range: tuple[int, int] = (MIN_CQ, MAX_CQ), gates: tuple[float, ...] = ()) -> DataFrame:
+    """The trials of each (curve, cq) that can decide an answer about the curve, in trial order (`place`).
 
-
-def observations(trials: DataFrame, keys=SEGMENT, seq=SEQ, cq_range: tuple[int, int] = (MIN_CQ, MAX_CQ)) -> DataFrame:
-    """One observation per (curve, cq): a working trial before a failed one, then the best score.
-
-    The setting is cut to a whole CQ and has to lie in cq_range, which bounds the points of a curve; what
-    is left out comes back from rejected_observations. A missing rate counts as 1, a missing quality or
-    score as 0.
+    Settings are cut to a whole CQ, so 23 and 23.5 are two observations of CQ 23. Kept of a CQ's working trials: the
+    first and last with a quality and with a rate, the two highest and two lowest qualities, the best score, and
+    for each quality of `gates` (needed by rule_anchored_crf) the first trial and the best score that reach it. Every
+    question of this module has the same answer for these as for all trials. A CQ without a working trial
+    has one row with encode_ok false. A missing rate counts as 1, a missing quality or score as 0; trials equal in
+    seq and values are one. What lies outside cq_range comes back from rejected_observations.
     """
-    rows = _with_cq(trials).filter(F.col("cq").between(*cq_range))
-    ok = F.coalesce(F.col("encode_ok"), F.lit(False))
-    best = top_one(rows, [*keys, "cq"], *_precedence(seq))
-    return best.select(*keys, "cq", F.coalesce("vmaf_neg", F.lit(0.0)).alias("vmaf"), F.coalesce("compression_rate", F.lit(1.0)).alias("compression_rate"),
-                       "compression_ratio", F.coalesce("s_f", F.lit(0.0)).alias("s_f"), ok.alias("encode_ok"))
-
-
-def rejected_observations(trials: DataFrame, cq_range: tuple[int, int] = (MIN_CQ, MAX_CQ), keys=SEGMENT, seq=SEQ) -> DataFrame:
-    """Trials that no curve holds, with the reason: no number, a CQ outside the range, or another trial of the same CQ."""
+    c, group = F.col, [*keys, "cq"]
+    point = F.struct(*[c(f"__s{i}") for i in range(len(seq))], "vmaf", "compression_rate", "compression_ratio", "s_f")
+    rows = _with_cq(trials).filter(c("cq").between(*cq_range)).select(
+        *group, *[c(x).alias(f"__s{i}") for i, x in enumerate(seq)], F.coalesce("vmaf_neg", F.lit(0.0)).alias("vmaf"),
+        F.coalesce("compression_rate", F.lit(1.0)).alias("compression_rate"), "compression_ratio", F.coalesce("s_f", F.lit(0.0)).alias("s_f"),
+        F.coalesce("encode_ok", F.lit(False)).alias("encode_ok")).withColumn("point", point)
+    ok, has_quality, has_rate = c("encode_ok"), c("vmaf") > 0, c("compression_rate") > 0
+
+    def first(cond):
+        return F.min(F.when(ok & cond, c("point")))
+
+    def last(cond):
+        return F.max(F.when(ok & cond, c("point")))
+
+    def best(cond, *by):
+        return F.max(F.when(ok & cond, F.struct(*[(F.round(x, 12) if x == "s_f" else c(x)).alias(f"b{i}") for i, x in enumerate(by)], "point")))["point"]
+
+    marks = [first(has_quality), last(has_quality), first(has_rate), last(has_rate), best(F.lit(True), "s_f", "vmaf"), best(F.lit(True), "vmaf"),
+             F.min(F.when(ok, F.struct("vmaf", "point")))["point"]]
+    for gate in gates:
+        marks += [first(c("vmaf") >= gate), best(c("vmaf") >= gate, "s_f")]
+    ends = rows.groupBy(*group).agg(F.array_compact(F.array(*marks)).alias("points"))
+
+    def two(order):  # a rank limit: each task sends two rows of a group at most
+        place = F.row_number().over(W.partitionBy(*group).orderBy(order, "point"))
+        return rows.filter(ok & has_quality).withColumn("__place", place).filter("__place <= 2").select(*group, F.array("point").alias("points"))
+
+    kept = ends.unionByName(two(c("vmaf").desc())).unionByName(two(c("vmaf").asc()))
+    kept = kept.groupBy(*group).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("points")))).alias("points"))
+    kept = kept.select(*group, F.posexplode_outer("points").alias("place", "point"))
+    return kept.select(*group, F.coalesce("place", F.lit(0)).alias("place"), F.coalesce("point.vmaf", F.lit(0.0)).alias("vmaf"),
+                       F.coalesce("point.compression_rate", F.lit(1.0)).alias("compression_rate"), "point.compression_ratio",
+                       F.coalesce("point.s_f", F.lit(0.0)).alias("s_f"), c("point").isNotNull().alias("encode_ok"))
+
+
+def rejected_observations(trials: DataFrame, cq_range: tuple[int, int] = (MIN_CQ, MAX_CQ)) -> DataFrame:
+    """Trials that no curve holds, with the reason: no number, or a CQ outside the range."""
     rows = _with_cq(trials)
     reason = F.when(F.col("cq").isNull(), "no_cq").when(~F.col("cq").between(*cq_range), "cq_out_of_range")
-    out = rows.withColumn("reject_reason", reason).filter(F.col("reject_reason").isNotNull())
-    place = F.row_number().over(W.partitionBy(*keys, "cq").orderBy(*_precedence(seq)))
-    lost = rows.filter(F.col("cq").between(*cq_range)).withColumn("__place", place).filter("__place > 1").drop("__place")
-    return out.unionByName(lost.withColumn("reject_reason", F.lit("same_cq"))).drop("cq")
+    return rows.withColumn("reject_reason", reason).filter(F.col("reject_reason").isNotNull()).drop("cq")
 
 
 def curves(obs: DataFrame, keys=SEGMENT) -> DataFrame:
-    """One row per curve: `pts` (working points by cq) and `used` (all tried cqs)."""
-    pt = F.struct("cq", "vmaf", F.col("compression_rate").alias("rate"), "s_f")
+    """One row per curve: `pts` (working points by cq, then place) and `used` (all tried cqs)."""
+    place = F.col("place") if "place" in obs.columns else F.lit(0).alias("place")
+    pt = F.struct("cq", place, "vmaf", F.col("compression_rate").alias("rate"), "s_f")
     return obs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("encode_ok"), pt))).alias("pts"),
                                   F.sort_array(F.collect_set("cq")).alias("used"))
 
 
+def _ranked(point: Column, field: str) -> Column:
+    """A field to rank points by; scores equal in 12 decimals are ties, whatever engine computed them."""
+    return F.round(point[field], 12) if field == "s_f" else point[field]
+
+
 def _neighbours(p: Column) -> Column:
     n = F.greatest(F.size(p) - 1, F.lit(0))
     return F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, F.lit(2), n), lambda a, b: F.struct(a.alias("l"), b.alias("r")))
@@ -112,10 +141,13 @@ def interpolated_crf(df: DataFrame, threshold: float, crf_min: int, crf_max: int
 
 def predict_at(df: DataFrame, cq: str, threshold: float, pts: str = "pts", out: str = "predicted_s_f") -> DataFrame:
     """Predicted score at column `cq`: neighbours interpolate quality and rate, the
-    ends of the curve stand for everything beyond them."""
+    ends of the curve stand for everything beyond them. At a CQ with several points the first counts, at
+    the last CQ of a curve of several CQs the last."""
     x = df.withColumn("_p", F.filter(F.col(pts), lambda v: v["rate"] > 0))
-    x = x.withColumns({"_l": F.try_element_at(F.filter(F.col("_p"), lambda v: v["cq"] < F.col(cq)), F.lit(-1)),
-                       "_r": F.get(F.filter(F.col("_p"), lambda v: v["cq"] >= F.col(cq)), F.lit(0))})
+    start, end = F.get("_p", F.lit(0)), F.try_element_at("_p", F.lit(-1))
+    beyond = (F.col(cq) >= end["cq"]) & (F.col(cq) > start["cq"])
+    x = x.withColumns({"_l": F.when(beyond, end).otherwise(F.try_element_at(F.filter(F.col("_p"), lambda v: v["cq"] < F.col(cq)), F.lit(-1))),
+                       "_r": F.when(~beyond, F.get(F.filter(F.col("_p"), lambda v: v["cq"] >= F.col(cq)), F.lit(0)))})
     l, r = F.col("_l"), F.col("_r")
     t = (F.col(cq) - l["cq"]) / (r["cq"] - l["cq"])
     both = l.isNotNull() & r.isNotNull()
@@ -136,7 +168,7 @@ def with_anchor(df: DataFrame, threshold: float) -> DataFrame:
     """`anchor`: best measured point; `band_lo`/`band_hi`: where the score can still rise."""
     p = F.col("pts")
     good = F.array_max(F.transform(F.filter(p, lambda x: x["s_f"] > 0), lambda x: F.struct(
-        x["s_f"].alias("a"), x["vmaf"].alias("b"), (-x["cq"]).alias("c"), x.alias("x"))))["x"]
+        _ranked(x, "s_f").alias("a"), x["vmaf"].alias("b"), (-x["cq"]).alias("c"), x.alias("x"))))["x"]
     other = F.array_max(F.transform(p, lambda x: F.struct(
         x["vmaf"].alias("b"), (-x["cq"]).alias("c"), x.alias("x"))))["x"]
     df = df.withColumn("anchor", F.coalesce(good, other))
@@ -274,7 +306,8 @@ def rule_anchored_crf(df: DataFrame, candidates: str, mashup: str, crf_min: int,
     """Confirm or nudge a probed CRF: all probes pass, all fail, or they bracket the gate.
 
     `candidates` is the probe plan (array); the answer stays within it, give or take
-    `max_nudge`. Hard mashups (at or above `push_ceiling`) are never pushed up.
+    `max_nudge`. Hard mashups (at or above `push_ceiling`) are never pushed up. The observations need
+    `threshold` among their gates where a CQ was tried more than once.
     """
     thr, aim, k = float(threshold), float(threshold) + float(margin), max(0, int(max_nudge))
     x = df.withColumn("_p", seen(F.col("pts")))
@@ -282,11 +315,12 @@ def rule_anchored_crf(df: DataFrame, candidates: str, mashup: str, crf_min: int,
                        "_star": crossing(F.col("_p"), F.lit(thr))})
 
     def best(arr, *fields):
-        return F.array_max(F.transform(arr, lambda o: F.struct(*[o[f].alias(f) for f in fields], o.alias("o"))))["o"]
+        return F.array_max(F.transform(arr, lambda o: F.struct(*[_ranked(o, f).alias(f) for f in fields], o.alias("o"))))["o"]
 
     x = x.withColumns({"_best": best(F.col("_pass"), "s_f", "cq"), "_top": best(F.col("_pass"), "cq", "s_f"),
-                       "_low": F.get("_p", F.lit(0)), "_high": F.try_element_at("_p", F.lit(-1)),
+                       "_low": F.get("_p", F.lit(0)), "_end": F.try_element_at("_p", F.lit(-1))["cq"],
                        "_min": F.array_min(F.transform("_pass", lambda o: o["vmaf"]))})
+    x = x.withColumn("_high", F.get(F.filter("_p", lambda o: o["cq"] == F.col("_end")), F.lit(0)))
     lo = F.greatest(F.lit(crf_min), F.array_min(candidates) - k)
     hi = F.least(F.lit(crf_max), F.array_max(candidates) + k)
 
@@ -299,7 +333,7 @@ def rule_anchored_crf(df: DataFrame, candidates: str, mashup: str, crf_min: int,
     room = F.col("_min") - aim
     plan_cq = F.least(F.greatest(half_even(F.col("_star")), F.array_min(candidates)), F.array_max(candidates))
     on_curve = F.get(F.filter("_pass", lambda o: o["cq"] == plan_cq), F.lit(0))
-    pick = F.when(on_curve.isNotNull() & (on_curve["s_f"] >= best_["s_f"]), on_curve).otherwise(best_)
+    pick = F.when(on_curve.isNotNull() & (_ranked(on_curve, "s_f") >= _ranked(best_, "s_f")), on_curve).otherwise(best_)
     lean = push & (low["vmaf"] >= thr) & (high["vmaf"] < thr) & (low["vmaf"] >= aim - 0.5) & (high["vmaf"] >= thr - 1.0)
     up = F.least(F.lit(crf_max), low["cq"] + k)
     cases = [
@@ -318,4 +352,4 @@ def rule_anchored_crf(df: DataFrame, candidates: str, mashup: str, crf_min: int,
         crf = F.when(cond, value) if crf is None else crf.when(cond, value)
         why = F.when(cond, name) if why is None else why.when(cond, name)
     return x.withColumns({"crf": crf.otherwise(clamp(pick["cq"])), "crf_reason": why.otherwise("bracket")}).drop(
-        "_p", "_pass", "_fail", "_star", "_best", "_top", "_low", "_high", "_min")
+        "_p", "_pass", "_fail", "_star", "_best", "_top", "_low", "_high", "_end", "_min")

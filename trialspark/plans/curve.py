@@ -1,4 +1,4 @@
-"""Curve queries: trials of one (video, segment) form a curve over integer CQs."""
+"""Curve queries: all trials of one (video, segment) form a curve, by whole CQ and trial order."""
 
 from pyspark.sql import functions as F
 
@@ -9,29 +9,32 @@ THR = 93.0
 LO, HI = 22, 42
 K = "video_id, segment_index"
 
-view("v_obs", """SELECT video_id, segment_index, crf AS cq, vmaf_neg AS vmaf, compression_rate AS rate, s_f, encode_ok FROM (SELECT *, row_number() OVER (PARTITION BY video_id, segment_index, crf
- ORDER BY encode_ok DESC, s_f DESC, k1, k2, k3, k4) AS rn FROM v_scored) AS x WHERE rn = 1""")
+view("v_obs", """SELECT video_id, segment_index, crf AS cq, vmaf_neg AS vmaf, compression_rate AS rate, s_f, encode_ok,
+ crf::BIGINT * 1000000000 + row_number() OVER (PARTITION BY video_id, segment_index, crf ORDER BY k1, k2, k3, k4) AS pos FROM v_scored""")
 view("v_pts", "SELECT * FROM v_obs WHERE encode_ok")
-view("v_cross", f"""WITH p AS (SELECT *, lead(cq) OVER w AS c2, lead(vmaf) OVER w AS v2, row_number() OVER (PARTITION BY {K} ORDER BY abs(vmaf - 93), cq) AS nr, count(*) OVER (PARTITION BY {K}) AS n
- FROM v_pts WHERE vmaf > 0 WINDOW w AS (PARTITION BY {K} ORDER BY cq)),
-h AS (SELECT {K}, first(cq + (93 - vmaf) / (v2 - vmaf) * (c2 - cq) ORDER BY cq) AS x FROM p WHERE (vmaf - 93) * (v2 - 93) <= 0 AND vmaf <> v2 GROUP BY 1, 2),
-t AS (SELECT {K}, any_value(n) AS n, min(cq) FILTER (nr <= 2) AS ca, max(cq) FILTER (nr <= 2) AS cb, first(vmaf ORDER BY cq) FILTER (nr <= 2) AS va, first(vmaf ORDER BY cq DESC) FILTER (nr <= 2) AS vb FROM p GROUP BY 1, 2)
+view("v_cross", f"""WITH p AS (SELECT *, lead(cq) OVER w AS c2, lead(vmaf) OVER w AS v2, row_number() OVER (PARTITION BY {K} ORDER BY abs(vmaf - 93), pos) AS nr, count(*) OVER (PARTITION BY {K}) AS n
+ FROM v_pts WHERE vmaf > 0 WINDOW w AS (PARTITION BY {K} ORDER BY pos)),
+h AS (SELECT {K}, first(cq + (93 - vmaf) / (v2 - vmaf) * (c2 - cq) ORDER BY pos) AS x FROM p WHERE (vmaf - 93) * (v2 - 93) <= 0 AND vmaf <> v2 GROUP BY 1, 2),
+t AS (SELECT {K}, any_value(n) AS n, min(cq) FILTER (nr <= 2) AS ca, max(cq) FILTER (nr <= 2) AS cb, first(vmaf ORDER BY pos) FILTER (nr <= 2) AS va, first(vmaf ORDER BY pos DESC) FILTER (nr <= 2) AS vb FROM p GROUP BY 1, 2)
 SELECT t.video_id, t.segment_index, n, CASE WHEN n = 1 THEN ca WHEN x IS NOT NULL THEN x WHEN va = vb THEN ca ELSE ca + (93 - va) / (vb - va) * (cb - ca) END::DOUBLE AS cq_star, va FROM t LEFT JOIN h USING (video_id, segment_index)""")
 view("v_pred", f"""WITH c AS (SELECT DISTINCT {K} FROM v_pts), g AS (SELECT *, unnest(range({LO}, {HI + 1}))::INT AS candidate FROM c),
-a AS (SELECT g.*, arg_max(p.cq, p.cq) FILTER (p.cq < candidate) AS lc, arg_max(p.vmaf, p.cq) FILTER (p.cq < candidate) AS lv, arg_max(p.rate, p.cq) FILTER (p.cq < candidate) AS lr,
-  min(p.cq) FILTER (p.cq >= candidate) AS rc, arg_min(p.vmaf, p.cq) FILTER (p.cq >= candidate) AS rv, arg_min(p.rate, p.cq) FILTER (p.cq >= candidate) AS rr, max(p.vmaf) FILTER (p.cq >= candidate) AS beyond
+a AS (SELECT g.*, arg_max(p.cq, p.cq) FILTER (p.cq < candidate) AS lc, arg_max(p.vmaf, p.pos) FILTER (p.cq < candidate) AS lv, arg_max(p.rate, p.pos) FILTER (p.cq < candidate) AS lr,
+  min(p.cq) FILTER (p.cq >= candidate) AS rc, arg_min(p.vmaf, p.pos) FILTER (p.cq >= candidate) AS rv, arg_min(p.rate, p.pos) FILTER (p.cq >= candidate) AS rr,
+  candidate >= max(p.cq) AND candidate > min(p.cq) AS past, arg_max(p.vmaf, p.pos) AS zv, arg_max(p.rate, p.pos) AS zr, max(p.vmaf) FILTER (p.cq >= candidate) AS beyond
   FROM g JOIN v_pts p USING (video_id, segment_index) WHERE p.rate > 0 GROUP BY 1, 2, 3),
-m AS (SELECT *, CASE WHEN lc IS NULL THEN rv WHEN rc IS NULL THEN lv ELSE lv + (candidate - lc)::DOUBLE / (rc - lc) * (rv - lv) END AS v, CASE WHEN lc IS NULL THEN rr WHEN rc IS NULL THEN lr ELSE lr + (candidate - lc)::DOUBLE / (rc - lc) * (rr - lr) END AS r FROM a)
+m AS (SELECT *, CASE WHEN past THEN zv WHEN lc IS NULL THEN rv WHEN rc IS NULL THEN lv ELSE lv + (candidate - lc)::DOUBLE / (rc - lc) * (rv - lv) END AS v, CASE WHEN past THEN zr WHEN lc IS NULL THEN rr WHEN rc IS NULL THEN lr ELSE lr + (candidate - lc)::DOUBLE / (rc - lc) * (rr - lr) END AS r FROM a)
 SELECT {K}, candidate, beyond, CASE WHEN r >= 0.8 OR v < 88 THEN 0
  WHEN v < 93 THEN least(1.0, (CASE WHEN 1 / r <= 20 THEN pow((1 / r - 1) / 19, 1.5) ELSE 1.0 + 0.3 * ln(1 / r / 20) END) * (0.7 * pow((v - 88) / 5, 2)) / 1.12)
  ELSE least(1.0, (0.7 * (CASE WHEN 1 / r <= 20 THEN pow((1 / r - 1.25) / 18.75, 0.9) ELSE 1.0 + 0.1 * ln(1 / r / 20) END) + 0.3 * (0.7 + 0.3 * least(1.0, (v - 93) / 7))) / 1.12) END::DOUBLE AS predicted_s_f FROM m""")
-view("v_anchor", f"""WITH a AS (SELECT {K}, cq AS a, s_f AS asf, vmaf AS av FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY s_f > 0 DESC, CASE WHEN s_f > 0 THEN s_f END DESC NULLS LAST, vmaf DESC, cq) AS rn FROM v_pts) AS x WHERE rn = 1),
+view("v_anchor", f"""WITH a AS (SELECT {K}, cq AS a, s_f AS asf, vmaf AS av FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY s_f > 0 DESC, CASE WHEN s_f > 0 THEN round(s_f, 12) END DESC NULLS LAST, vmaf DESC, cq) AS rn FROM v_pts) AS x WHERE rn = 1),
 e AS (SELECT {K}, a, asf, av, min(cq) FILTER (cq > a AND vmaf < 88) AS hard, min(cq) FILTER (cq > a AND vmaf < 93) AS soft, min(cq) AS mn, max(cq) AS mx FROM v_pts JOIN a USING (video_id, segment_index) GROUP BY 1, 2, 3, 4, 5)
 SELECT {K}, a AS anchor_cq, asf, av, least(greatest(a - 1, mn), coalesce(hard, soft, mx)) AS band_lo, greatest(greatest(a - 1, mn), coalesce(hard, soft, mx)) AS band_hi FROM e""")
 
 
-def curves(t):
-    return C.curves(C.observations(t.scored))
+def curves(t, **settings):
+    """The curves of the trials; every second setting has a half, which counts as its whole CQ."""
+    halves = t.scored.withColumn("crf", F.col("crf") + F.when(F.col("k2") % 2 == 0, 0.5).otherwise(0.0))
+    return C.curves(C.observations(halves, **settings))
 
 
 ALL = f"(SELECT DISTINCT {K} FROM v_obs)"  # curves without a working point too
@@ -85,9 +88,9 @@ UNION ALL SELECT video_id, segment_index, 2, greatest(86.0::DOUBLE, av - 2), 'vm
 UNION ALL SELECT video_id, segment_index, 3, 87.0::DOUBLE, 'vmaf_anchor near_gate V=87.0' FROM v_anchor WHERE 87 < av - 0.5""")
 
 
-@query("f15_vmaf_anchored_crfs", f"""WITH p AS (SELECT q.*, ti, target, lead(cq) OVER w AS c2, lead(vmaf) OVER w AS v2, row_number() OVER (PARTITION BY {K}, ti ORDER BY abs(vmaf - target), cq) AS nr FROM v_pts q JOIN v_targets USING (video_id, segment_index) WHERE vmaf > 0 WINDOW w AS (PARTITION BY {K}, ti ORDER BY cq)),
-h AS (SELECT {K}, ti, first(cq + (target - vmaf) / (v2 - vmaf) * (c2 - cq) ORDER BY cq) AS x FROM p WHERE (vmaf - target) * (v2 - target) <= 0 AND vmaf <> v2 GROUP BY 1, 2, 3),
-n AS (SELECT {K}, ti, any_value(target) AS target, count(*) AS n, min(cq) FILTER (nr <= 2) AS ca, max(cq) FILTER (nr <= 2) AS cb, first(vmaf ORDER BY cq) FILTER (nr <= 2) AS va, first(vmaf ORDER BY cq DESC) FILTER (nr <= 2) AS vb FROM p GROUP BY 1, 2, 3),
+@query("f15_vmaf_anchored_crfs", f"""WITH p AS (SELECT q.*, ti, target, lead(cq) OVER w AS c2, lead(vmaf) OVER w AS v2, row_number() OVER (PARTITION BY {K}, ti ORDER BY abs(vmaf - target), pos) AS nr FROM v_pts q JOIN v_targets USING (video_id, segment_index) WHERE vmaf > 0 WINDOW w AS (PARTITION BY {K}, ti ORDER BY pos)),
+h AS (SELECT {K}, ti, first(cq + (target - vmaf) / (v2 - vmaf) * (c2 - cq) ORDER BY pos) AS x FROM p WHERE (vmaf - target) * (v2 - target) <= 0 AND vmaf <> v2 GROUP BY 1, 2, 3),
+n AS (SELECT {K}, ti, any_value(target) AS target, count(*) AS n, min(cq) FILTER (nr <= 2) AS ca, max(cq) FILTER (nr <= 2) AS cb, first(vmaf ORDER BY pos) FILTER (nr <= 2) AS va, first(vmaf ORDER BY pos DESC) FILTER (nr <= 2) AS vb FROM p GROUP BY 1, 2, 3),
 c AS (SELECT n.video_id, n.segment_index, n.ti, n.target, CASE WHEN n = 1 THEN ca WHEN x IS NOT NULL THEN x WHEN va = vb THEN ca ELSE ca + (target - va) / (vb - va) * (cb - ca) END AS cqs FROM n LEFT JOIN h USING (video_id, segment_index, ti)),
 m AS (SELECT c.*, t.reason, CAST(round_even(16 + greatest(0, least(1, (cqs - {LO}) / {HI - LO}.0::DOUBLE)) * 24, 0) AS INT) AS crf FROM c JOIN v_targets t USING (video_id, segment_index, ti)),
 f AS (SELECT {K}, crf AS c0 FROM m WHERE ti = 1),
@@ -99,17 +102,24 @@ def _(t):
     return C.vmaf_anchored_crfs(curves(t), 3, (LO, HI), (16, 40), 85.0)
 
 
-@query("f16_rule_anchored_crf", f"""WITH c AS (SELECT DISTINCT {K}, (video_id % 10) / 10.0::DOUBLE < 0.55 AS push FROM v_obs), p AS (SELECT * FROM v_pts WHERE cq IN (30, 32) AND vmaf > 0),
-g AS (SELECT c.*, a.vmaf AS va, b.vmaf AS vb, a.s_f AS sa, b.s_f AS sb, (a.cq IS NOT NULL)::INT + (b.cq IS NOT NULL)::INT AS n, coalesce((a.vmaf >= 93)::INT, 0) + coalesce((b.vmaf >= 93)::INT, 0) AS np, coalesce(a.cq, b.cq) AS lowc, coalesce(a.vmaf, b.vmaf) AS lowv,
- least(CASE WHEN a.vmaf >= 93 THEN a.vmaf END, CASE WHEN b.vmaf >= 93 THEN b.vmaf END) AS minv, CASE WHEN b.vmaf >= 93 THEN 32 ELSE 30 END AS topc, CASE WHEN a.vmaf >= 93 AND (b.vmaf IS NULL OR b.vmaf < 93 OR a.s_f > b.s_f) THEN 30 ELSE 32 END AS bestc
- FROM c LEFT JOIN p a ON a.cq = 30 AND a.video_id = c.video_id AND a.segment_index = c.segment_index LEFT JOIN p b ON b.cq = 32 AND b.video_id = c.video_id AND b.segment_index = c.segment_index)
-SELECT {K}, CAST(CASE WHEN n = 0 THEN NULL WHEN n = 1 AND np = 1 AND push AND lowv >= 95 THEN lowc + 1 WHEN n = 1 AND np = 1 THEN lowc WHEN n = 1 THEN lowc - 1 WHEN np = 2 AND push AND minv >= 96 THEN 33 WHEN np = 2 AND push AND minv >= 95 THEN 32 WHEN np = 2 THEN bestc WHEN np = 0 THEN 29
- WHEN push AND va >= 94.5 AND vb < 93 AND vb >= 92 THEN 32 ELSE bestc END AS INT) AS crf,
-CASE WHEN n = 0 THEN 'no_observations' WHEN n = 1 AND np = 1 AND push AND lowv >= 96 THEN 'single_pass_margin+1' WHEN n = 1 AND np = 1 AND push AND lowv >= 95 THEN 'single_pass_nudge' WHEN n = 1 AND np = 1 THEN 'single_pass_keep' WHEN n = 1 THEN 'single_fail_nudge-1'
- WHEN np = 2 AND push AND minv >= 96 THEN 'all_pass_margin+1' WHEN np = 2 AND push AND minv >= 95 THEN 'all_pass_high_crf' WHEN np = 2 THEN 'all_pass_best_s_f' WHEN np = 0 THEN 'all_fail_nudge-1' WHEN push AND va >= 94.5 AND vb < 93 AND vb >= 92 THEN 'bracket_lean_up' ELSE 'bracket' END AS crf_reason FROM g""")
+PLAN = "30, 32, 34"
+
+
+@query("f16_rule_anchored_crf", f"""WITH c AS (SELECT DISTINCT {K}, (video_id % 10) / 10.0::DOUBLE < 0.55 AS push FROM v_obs),
+p AS (SELECT *, vmaf >= 93 AS pass, lead(cq) OVER w AS c2, lead(vmaf) OVER w AS v2 FROM v_pts WHERE cq IN ({PLAN}) AND vmaf > 0 WINDOW w AS (PARTITION BY {K} ORDER BY pos)),
+g AS (SELECT {K}, count(*) AS n, count(*) FILTER (pass) AS np, min(cq) AS lowc, max(cq) AS highc, first(vmaf ORDER BY pos) AS lowv, first(vmaf ORDER BY cq DESC, pos) AS highv,
+ min(vmaf) FILTER (pass) AS minv, max(cq) FILTER (pass) AS topc, max(round(s_f, 12)) FILTER (pass) AS bests, first(cq ORDER BY round(s_f, 12) DESC, cq DESC) FILTER (pass) AS bestc,
+ least(34, greatest(30, round_even(first(cq + (93 - vmaf) / (v2 - vmaf) * (c2 - cq) ORDER BY pos) FILTER ((vmaf - 93) * (v2 - 93) <= 0 AND vmaf <> v2), 0))) AS star FROM p GROUP BY 1, 2),
+o AS (SELECT {K}, cq AS star, round(first(s_f ORDER BY pos), 12) AS ons FROM p WHERE pass GROUP BY 1, 2, 3),
+x AS (SELECT c.video_id, c.segment_index, push, n, np, lowc, highc, lowv, highv, minv, topc, CASE WHEN ons >= bests THEN star ELSE bestc END AS pick, bestc,
+ push AND lowv >= 94.5 AND highv < 93 AND highv >= 92 AS lean FROM c LEFT JOIN g USING (video_id, segment_index) LEFT JOIN o USING (video_id, segment_index, star))
+SELECT {K}, CAST(CASE WHEN n IS NULL THEN NULL WHEN n = 1 AND np = 1 AND push AND lowv >= 95 THEN lowc + 1 WHEN n = 1 AND np = 1 THEN lowc WHEN n = 1 THEN lowc - 1
+ WHEN np = n AND push AND minv >= 96 THEN topc + 1 WHEN np = n AND push AND minv >= 95 THEN topc WHEN np = n THEN bestc WHEN np = 0 THEN lowc - 1 WHEN lean THEN highc ELSE pick END AS INT) AS crf,
+CASE WHEN n IS NULL THEN 'no_observations' WHEN n = 1 AND np = 1 AND push AND lowv >= 96 THEN 'single_pass_margin+1' WHEN n = 1 AND np = 1 AND push AND lowv >= 95 THEN 'single_pass_nudge'
+ WHEN n = 1 AND np = 1 THEN 'single_pass_keep' WHEN n = 1 THEN 'single_fail_nudge-1' WHEN np = n AND push AND minv >= 96 THEN 'all_pass_margin+1' WHEN np = n AND push AND minv >= 95 THEN 'all_pass_high_crf'
+ WHEN np = n THEN 'all_pass_best_s_f' WHEN np = 0 THEN 'all_fail_nudge-1' WHEN lean THEN 'bracket_lean_up' ELSE 'bracket' END AS crf_reason FROM x""")
 def _(t):
-    obs = C.observations(t.scored)
-    c = C.curves(obs).withColumns({"plan": F.array(F.lit(30), F.lit(32)), "mashup": (F.col("video_id") % 10) / 10.0})
+    c = curves(t, gates=(THR,)).withColumns({"plan": F.expr(f"array({PLAN})"), "mashup": (F.col("video_id") % 10) / 10.0})
     # the probe plan: only its points count
     c = c.withColumn("pts", F.filter("pts", lambda x: F.array_contains(F.col("plan"), x["cq"])))
     return C.rule_anchored_crf(c, "plan", "mashup", LO, HI, THR).select("video_id", "segment_index", "crf", "crf_reason")
