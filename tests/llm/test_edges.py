@@ -6,6 +6,7 @@ import random
 import sys
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,15 @@ def test_substring_repetitive(spark, docs):
     assert remove_repeats(docs([(1, "")]).limit(0)).count() == 0
 
 
+def test_bpe_without_kept_tokenizer_gives_the_same(spark):
+    from trialspark.llm import bpe
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["Some words, some 12345.", "", None, "naïve \u00df 漢字 words words"] * 5)], "doc_id long, text string").repartition(3)
+    tokenizer = {"path": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    kept, let_go = ({r.doc_id: (r.token_ids, bytes(r.decoded)) for r in bpe.round_trip_documents(rows, keep=k, **tokenizer).collect()} for k in (True, False))
+    assert kept == let_go and all(bytes_ == (t or "").encode() for (_, bytes_), t in zip([kept[r] for r in range(20)], ["Some words, some 12345.", "", None, "naïve \u00df 漢字 words words"] * 5))
+
+
 def test_bpe_against_library(spark, docs):
     import base64
 

@@ -158,6 +158,12 @@ def codec_of(key: str, model: Broadcast) -> Codec:
     return _codecs[key]
 
 
+def release_codecs() -> None:
+    """Let the worker's tokenizer go, and give memory that is no longer used back to the system."""
+    _codecs.clear()
+    pa.default_memory_pool().release_unused()
+
+
 class ByteBPE:
     """Byte-level BPE as column functions.
 
@@ -205,15 +211,17 @@ class ByteBPE:
         run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
         return F.arrow_udf(run, "binary")(ids)
 
-    def round_trip(self, text: Column) -> Column:
+    def round_trip(self, text: Column, keep: bool = True) -> Column:
         """Ids of a text and the bytes that they decode to, as a struct.
 
         One worker does both, so that ids are not sent to a second one, which would hold the tokenizer again.
+        keep: the worker keeps the tokenizer and what it remembers for its next task; else a task lets both go,
+        for jobs in which other operators use the same workers.
         """
         key, model = self._key, self._model
 
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            from trialspark.llm.bpe import codec_of
+            from trialspark.llm.bpe import codec_of, release_codecs
 
             codec = codec_of(key, model)
             for texts in batches:
@@ -223,6 +231,9 @@ class ByteBPE:
                 ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(parts), np.int32)))
                 del parts
                 yield pa.StructArray.from_arrays([ids, decoded], names=["token_ids", "decoded"])
+            if not keep:
+                del codec
+                release_codecs()
 
         run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
         return F.arrow_udf(run, "token_ids array<int>, decoded binary")(text)
@@ -242,11 +253,12 @@ def decode_documents(tokens: DataFrame, path: str, pattern: str, ids_col: str =
     return tokens.withColumn(out_col, ByteBPE(tokens.sparkSession, path, pattern).decode(F.col(ids_col)))
 
 
-def round_trip_documents(documents: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
+def round_trip_documents(documents: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", out_col: str = "decoded", keep: bool = True) -> DataFrame:
     """Documents with their ids and the bytes these decode to: encode_documents and decode_documents in one step.
 
     Columns of these two names are replaced, all others stay. Null and empty texts have an empty array and no bytes.
+    keep: see ByteBPE.round_trip.
     """
-    both = ByteBPE(documents.sparkSession, path, pattern).round_trip(F.col(text_col).cast("string"))
+    both = ByteBPE(documents.sparkSession, path, pattern).round_trip(F.col(text_col).cast("string"), keep)
     found = documents.withColumn("__both", both)
     return found.withColumns({ids_col: F.col("__both.token_ids"), out_col: F.col("__both.decoded")}).drop("__both")
