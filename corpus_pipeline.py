@@ -67,7 +67,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     import public_tokenizers
 
     tokenizer = {"path": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
-    out = round_trip_documents(docs.select("doc_id", "source", "text"), **tokenizer).withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary"))
+    out = round_trip_documents(docs.select("doc_id", "source", "text"), keep=False, **tokenizer).withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary"))
     return out.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
 
 
