@@ -23,6 +23,22 @@ def test_score(spark, vmaf, rate, want):
     assert one(spark, S.predicted_score(lit(vmaf), lit(rate), 85.0)) == pytest.approx(want, abs=1e-12)
 
 
+def test_score_bits(spark):
+    """Rounding decides between equal scores, so the score has the bits of the C library."""
+    def want(vmaf, rate):
+        q = 1.0 / rate
+        if vmaf < 85:
+            return min(1.0, math.pow((q - 1.0) / 19.0, 1.5) * (0.7 * math.pow((vmaf - 80.0) / 5.0, 2.0)) / 1.12)
+        return min(1.0, (0.7 * math.pow((q - 1.25) / 18.75, 0.9) + 0.3 * (0.7 + 0.3 * min(1.0, (vmaf - 85.0) / 15.0))) / 1.12)
+
+    sizes = [(float(p), float(p) * (0.02 + d / 100 * 9.0)) for p in range(1001, 1100) for d in range(1, 9)]
+    rows = [(vmaf, out / size) for size, out in sizes for vmaf in (80.94, 84.72, 85.56, 88.92, 96.48)]
+    df = spark.createDataFrame(rows, "vmaf double, rate double")
+    got = df.select("vmaf", "rate", S.predicted_score(F.col("vmaf"), F.col("rate"), 85.0).alias("s")).collect()
+    assert [r.s for r in got] == [want(r.vmaf, r.rate) for r in got]
+    assert one(spark, S.predicted_score(lit(85.0), F.lit(None).cast("double"), 85.0)) is None
+
+
 def test_score_reasons(spark):
     r = [one(spark, S.score_struct(lit(v), lit(x), 85.0)["reason"]) for v, x in ((90, 0.9), (70, 0.5), (82, 0.5), (90, 0.5), (90, 0.0))]
     assert r == ["No meaningful compression (ratio: 1.11x, rate: 0.90)", "VMAF 70.00 below hard cutoff (80.00)", "VMAF 82.00 in soft zone", "success", "invalid_rate"]
