@@ -52,6 +52,18 @@ def test_token_files_edges(spark, docs):
     assert back.select("part").distinct().count() > 1
 
 
+def test_pieces_are_cut_at_bytes():
+    """Cuts come from the bytes alone: no separator is inserted that a text might hold, and no text's start is a cut."""
+    import pyarrow as pa
+
+    texts = ["", "ab, cd.", "é b\x00\x1f\x00c d", "", " x\n\ny", "!"]
+    pieces, parts = T.Encoder(token_path())._pieces(pa.array(texts, pa.large_string()))
+    assert pieces.to_pylist() == ["", "ab", ",", " cd", ".", "é b\x00\x1f\x00c", " d", "", " x", "\n\ny", "!"]
+    assert parts.tolist() == [1, 4, 2, 1, 2, 1]
+    pieces, parts = T.Encoder(token_path())._pieces(pa.array(texts, pa.large_string()).slice(1, 2))
+    assert "".join(pieces.to_pylist()) == "".join(texts[1:3]) and parts.tolist() == [4, 2]
+
+
 def test_token_files_repeats_and_none(spark, docs):
     path = scratch_path(spark, "tokens")
     T.write_tokens(docs([(1, "a"), (1, "a"), (1, "b c"), (0, None)]), path, token_path())

@@ -93,7 +93,8 @@ class Encoder:
     """
 
     CUTS = (r"([!-~])([ \n])", r"([a-z])([,.;:!?)\"])")
-    MARK = "\x00\x1f\x00"
+    #: Class of each byte, two bits of what may stand before a cut and two of what may follow it.
+    CLASSES = np.array([("!" <= chr(b) <= "~") + 2 * ("a" <= chr(b) <= "z") + 4 * (chr(b) in " \n") + 8 * (chr(b) in ",.;:!?)\"") for b in range(256)], np.uint8)
     #: Pieces that a worker remembers, and their greatest length.
     REMEMBERED, SHORT = 1 << 20, 48
 
@@ -111,18 +112,24 @@ class Encoder:
                      and not any(t["lstrip"] or t["rstrip"] or re.search("|".join(self.CUTS), t["content"]) for t in rules["added_tokens"]))
         self.known: dict[str, bytes] = {}
 
-    def _pieces(self, texts: pa.Array) -> pa.Array:
-        """Lists of pieces."""
-        if not self.cuts or pc.any(pc.match_substring(texts, self.MARK)).as_py():
-            return pa.LargeListArray.from_arrays(pa.array(np.arange(len(texts) + 1)), texts)
-        for cut in self.CUTS:
-            texts = pc.replace_substring_regex(texts, cut, "\\1" + self.MARK + "\\2")
-        return pc.split_pattern(texts, self.MARK)
+    def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Pieces of all texts one after the other, and how many each text has."""
+        if not self.cuts:
+            return texts, np.ones(len(texts), np.int64)
+        _, ends, data = texts.buffers()
+        ends = np.frombuffer(ends, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        kind = np.append(self.CLASSES[np.frombuffer(data, np.uint8)[ends[0]:ends[-1]]] if data else np.zeros(0, np.uint8), np.uint8(0))
+        kind[1:] = kind[:-1] & (kind[1:] >> 2)
+        kind[ends - ends[0]] = 0  # a text's own start is no cut
+        cut = np.flatnonzero(kind) + ends[0]
+        first = np.searchsorted(cut, ends)
+        upto = np.sort(np.concatenate([ends, cut]), kind="stable")
+        return pa.LargeStringArray.from_buffers(len(upto) - 1, pa.py_buffer(upto), data), np.diff(first) + 1
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
-        lists = self._pieces(texts)
-        codes = lists.flatten().dictionary_encode()
+        cut, parts = self._pieces(texts)
+        codes = cut.dictionary_encode()
         pieces = codes.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.known.get, pieces))
         new = [i for i, x in enumerate(found) if x is None]
@@ -138,7 +145,7 @@ class Encoder:
         sizes = size[place]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         whole = table[np.repeat(start[place] - upto[:-1], sizes) + np.arange(upto[-1])]
-        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+        ends = np.concatenate([[0], np.cumsum(parts)])
         return whole, np.diff(upto[ends])
 
 
