@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
-from trialspark.llm import fixity, secrets  # noqa: E402
+from trialspark.llm import fixity, jaccard, secrets  # noqa: E402
 from trialspark.llm.bpe import decode_documents, encode_documents, round_trip_documents  # noqa: E402
 from trialspark.llm.components import components  # noqa: E402
 from trialspark.llm.jaccard import jaccard_components, keep_one  # noqa: E402
@@ -56,6 +56,14 @@ def test_jaccard_family(spark, docs, k, percent):
     assert got == brute.jaccard(FAMILY, k, percent)
 
 
+def test_shingles_are_counted_in_bunches():
+    """A task holds a bounded number of shingles, however many texts its batch has."""
+    sizes = [0, 5, jaccard.COUNTED, 3, *[1000] * 300, 0]
+    bunches = list(jaccard._bunches(np.full(n, i, np.uint64) for i, n in enumerate(sizes)))
+    assert max(map(len, bunches)) < jaccard.COUNTED + max(sizes) and len(bunches) > 2
+    assert np.bincount(np.concatenate(bunches).astype(int), minlength=len(sizes)).tolist() == sizes
+
+
 def test_jaccard_repeats_and_nulls(spark, docs):
     got = jaccard_components(docs([(1, BASE), (1, BASE), (None, BASE), (2, edited(BASE, 5, 0.01)), (3, None)]), 4, 85).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 3)]

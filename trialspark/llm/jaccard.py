@@ -47,6 +47,24 @@ def shingles_of(text: bytes, words: int, ranges: RangeHash) -> np.ndarray:
 SLICE = 1 << 14
 
 
+#: Shingles that are counted at once (one text may have more).
+COUNTED = 1 << 17
+
+
+def _bunches(arrays: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """The arrays one after the other, in bunches of bounded length."""
+    some: list[np.ndarray] = []
+    size = 0
+    for found in arrays:
+        some.append(found)
+        size += len(found)
+        if size >= COUNTED:
+            yield np.concatenate(some)
+            some, size = [], 0
+    if some:
+        yield np.concatenate(some)
+
+
 def bucket_counts(docs: DataFrame, words: int) -> np.ndarray:
     """How many shingles fall into each hash bucket, over all documents (2**19 numbers).
 
@@ -55,10 +73,10 @@ def bucket_counts(docs: DataFrame, words: int) -> np.ndarray:
     shift, slices = np.uint64(64 - SKETCH_BITS), (1 << SKETCH_BITS) // SLICE
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # of earlier jobs of the worker
         ranges, total = RangeHash(), np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            found = np.concatenate([shingles_of(text, words, ranges) for _, text in text_rows([batch])]) >> shift
-            total += np.bincount(found.astype(np.int64), minlength=len(total))
+        for found in _bunches(shingles_of(text, words, ranges) for _, text in text_rows(batches)):
+            np.add.at(total, (found >> shift).view(np.int64), 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(slices)), pa.array([x.tobytes() for x in total.reshape(slices, SLICE)], pa.binary())], names=["slice", "n"])
 
     def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
