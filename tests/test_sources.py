@@ -157,6 +157,13 @@ def test_two_writers_lose_nothing(spark, tmp_path, monkeypatch):
     assert sorted(r.job_id for r in one.read(a.schema).collect()) == ["a", "b"]
 
 
+def test_a_large_first_batch_gets_its_buckets(spark, tmp_path):
+    t = K.UpsertTable(spark, str(tmp_path / "t"), ["created_at", "crf"], buckets=1, bucket_rows=10)
+    rows = spark.range(100).selectExpr("'r' AS run_id", "cast(id AS string) AS job_id", "'1' AS created_at", "cast(id AS double) AS crf")
+    assert t.upsert(rows, 0) and len(t.parts()) > 4
+    assert t.read(rows.schema).count() == 100
+
+
 def test_buckets_follow_the_size(spark, tmp_path):
     t = K.UpsertTable(spark, str(tmp_path / "t"), ["created_at", "crf"], buckets=1, bucket_rows=10)
     rows = spark.range(100).selectExpr("'r' AS run_id", "CAST(id AS STRING) AS job_id", "1D AS created_at", "CAST(id AS DOUBLE) AS crf")

@@ -22,9 +22,13 @@ LATEST = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, job
 (SELECT 'run' || l_suppkey AS run_id, CAST(l_partkey AS VARCHAR) AS job_id, l_shipdate AS created_at, l_quantity AS crf, l_orderkey AS seq, l_extendedprice AS k4, l_returnflag <> 'R' AS fine, 85 + l_linenumber % 3 * 4 AS vmaf_threshold FROM lineitem) AS a) AS b WHERE rn = 1"""
 
 
+#: Files that a stream takes at once; the rows come in two such batches.
+BATCH_FILES = 12
+
+
 def _files(t, rows, label):
     path = scratch_path(t.spark, label)
-    rows.repartition(6, "job_id").write.json(path)
+    rows.repartition(2 * BATCH_FILES, "job_id").write.option("compression", "gzip").json(path)
     return path
 
 
@@ -34,7 +38,7 @@ def _(t):
     rows = _results(t).withColumns({"has_best": F.lit(True), "has_result": F.lit(True), "mtime": F.col("k4")})
     path = _files(t, rows, "result-files")
     e = t.nation.groupBy((F.lit(85) + F.col("n_nationkey") % 3 * 4).cast("int").alias("vmaf_threshold")).agg(F.sum(F.col("n_nationkey") * 100).alias("expected_jobs"))
-    stream = J.json_stream(t.spark, path, _nullable(rows.schema), 3)
+    stream = J.json_stream(t.spark, path, _nullable(rows.schema), BATCH_FILES)
     work = scratch_path(t.spark, "watch")
     table = UpsertTable(t.spark, work + "/table", NEWEST, buckets=4)
     J.watch_results(stream, table, e, work + "/status", work + "/checkpoint", once=True).awaitTermination()
@@ -50,7 +54,7 @@ def _nullable(schema):
 def _(t):
     rows = _results(t)
     path = _files(t, rows, "ingest-files")
-    stream = J.json_stream(t.spark, path, _nullable(rows.schema), 3)
+    stream = J.json_stream(t.spark, path, _nullable(rows.schema), BATCH_FILES)
     work = scratch_path(t.spark, "ingest")
     table = UpsertTable(t.spark, work + "/table", NEWEST, buckets=4)
     J.ingest_results(stream, table, work + "/checkpoint", once=True).awaitTermination()

@@ -26,9 +26,12 @@ def flatten_result(docs: DataFrame) -> DataFrame:
         F.to_json("best").alias("best_json"))
 
 
-def latest_rows(df: DataFrame, newest: list[str], key=KEY) -> DataFrame:
-    """Newest row per key; rows without a run never replace each other."""
-    keyed = top_one(df.filter(F.col(key[0]).isNotNull()), key, *[F.col(c).desc() for c in newest])
+def latest_rows(df: DataFrame, newest: list[str], key=KEY, within=()) -> DataFrame:
+    """Newest row per key; rows without a run never replace each other.
+
+    within: columns that follow from the key; a table already shuffled by them is not shuffled again.
+    """
+    keyed = top_one(df.filter(F.col(key[0]).isNotNull()), [*within, *key], *[F.col(c).desc() for c in newest])
     return keyed.unionByName(df.filter(F.col(key[0]).isNull()))
 
 
@@ -40,7 +43,7 @@ class UpsertTable:
     the current folder of each bucket; readers see the old or the new state, never a mix. A crash before that
     leaves folders nobody names, and the retry starts over. Of two writers one creates the manifest; the other
     merges again on top of it. The manifest keeps the last stream batch, so a repeated batch is skipped, and the
-    rows of each bucket: when they exceed `bucket_rows` on average, the next upsert doubles the buckets.
+    rows of each bucket: when they and the batch exceed `bucket_rows` on average, the upsert doubles the buckets.
     """
 
     def __init__(self, spark: SparkSession, path: str, newest: list[str], key=tuple(KEY), buckets: int = 16, bucket_rows: int = 1_000_000):
@@ -75,7 +78,7 @@ class UpsertTable:
         latest_rows(rows, self.newest, self.key).write.parquet(fresh)  # the only pass over the batch
         while True:
             new = self.spark.read.schema(schema).parquet(fresh)
-            buckets, have = m["buckets"], sum(m["rows"].values())
+            buckets, have = m["buckets"], sum(m["rows"].values()) + new.count()
             while have > self.bucket_rows * buckets:
                 buckets *= 2
             # one number for each bucket comes to the driver
@@ -83,7 +86,9 @@ class UpsertTable:
             old = list(m["parts"].values()) if buckets > m["buckets"] else [m["parts"][b] for b in touched if b in m["parts"]]
             both = self._load(old, schema).unionByName(new) if old else new
             folder = f"{self.path}/v-{uuid.uuid4().hex}"
-            self._bucketed(latest_rows(both, self.newest, self.key), buckets).repartition("_bucket").write.partitionBy("_bucket").parquet(folder)
+            # one shuffle: rows of a key are in one bucket, so the pick of the newest needs no other
+            placed = self._bucketed(both, buckets).repartition("_bucket")
+            latest_rows(placed, self.newest, self.key, within=["_bucket"]).write.partitionBy("_bucket").parquet(folder)
             written = {str(r[0]): r[1] for r in self.spark.read.parquet(folder).groupBy("_bucket").count().collect()} if touched else {}
             kept = {} if buckets > m["buckets"] else m
             state = {"version": m["version"] + 1, "batch": m["batch"] if batch is None else batch, "buckets": buckets,
