@@ -202,3 +202,15 @@ def test_import_uses_the_batch_only_for_roots_without_files(spark):
 
 def test_column_order():
     assert K.ordered_columns(["z", "b", "a", "id"], ["id", "b", "missing"]) == ["id", "b", "a", "z"]
+
+
+def test_documents_share_folders(spark, tmp_path, monkeypatch):
+    """One file for each document, but not one folder: a commit moves folders one by one."""
+    from trialspark.plans import load_all, storage
+    monkeypatch.setattr(storage, "scratch_path", lambda s, label: f"file:{tmp_path}/{label}")
+    supplier = spark.range(250).select(F.col("id").alias("s_suppkey"), F.col("id").cast("double").alias("s_acctbal"), F.lit(3).alias("s_nationkey"), F.lit("x").alias("s_name"))
+    supplier.coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = load_all()["a02_document_source"].frame(spark, str(tmp_path)).collect()
+    assert sorted((int(r.job_id), r.elapsed_sec) for r in rows) == [(i, float(i)) for i in range(250)]
+    folders = [d for d in (tmp_path / "documents").iterdir() if d.is_dir()]
+    assert len(list((tmp_path / "documents").rglob("part-*.txt"))) == 250 and len(folders) <= 3

@@ -11,6 +11,7 @@ from trialspark.session import materialize, scratch_path
 from trialspark.sources import records as R, sinks as K
 
 SEQ = "k1, k2, k3, k4"
+DOCUMENTS_IN_FOLDER = 100
 
 
 @query("a01_trial_jsonl_source", """SELECT CAST(video_id AS VARCHAR) AS video_stem, segment_index, crf, aq_strength, vmaf_neg, encode_ok, CAST(k1 AS VARCHAR) AS params FROM v_trials""")
@@ -31,7 +32,10 @@ def _(t):
     c = F.col
     doc = F.to_json(F.struct(c("s_suppkey").cast("string").alias("job_id"), c("s_acctbal").alias("elapsed_sec"),
                              F.struct(c("s_nationkey").cast("double").alias("crf"), c("s_name").alias("encoder")).alias("best")))
-    t.supplier.select(c("s_suppkey").alias("job_dir"), doc.alias("value")).repartition("job_dir").write.partitionBy("job_dir").text(path)
+    # a file for each document, in folders of about a hundred that one task writes whole: a commit moves folders, not files
+    folders = -(-t.supplier.count() // DOCUMENTS_IN_FOLDER) or 1
+    docs = t.supplier.select(F.pmod(F.hash("s_suppkey"), F.lit(folders)).alias("folder"), doc.alias("value"))
+    docs.repartition(folders, "folder").write.partitionBy("folder").option("maxRecordsPerFile", 1).text(path)
     docs = R.read_documents(t.spark, path, SC.RESULT_DOC, recursive=True)
     return docs.select("job_id", "elapsed_sec", "best.crf", "best.encoder")
 
