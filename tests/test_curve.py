@@ -133,3 +133,23 @@ def test_kept_observations_answer_as_all_trials_do(spark):
     for r in got:
         key = (r.video_id, r.candidate)
         assert r.cq_star == pytest.approx(want[key][0]) and r.predicted_s_f == pytest.approx(scores.get(key))
+
+
+def test_observations_take_one_shuffle_and_groups_span_batches(spark):
+    """One shuffle of the trials, each task cut first; a hot CQ spread over batches of three rows gives what whole groups give."""
+    rows = [(1, 0, 23 if i % 9 else 24, float(80 + i * 7 % 13), 0.1 + i % 5 / 10, 2.0, i % 4 / 4, i % 6 != 5, i, 0, 0, 0) for i in range(300)]
+    names = "video_id segment_index crf vmaf_neg compression_rate compression_ratio s_f encode_ok k1 k2 k3 k4".split()
+    df = spark.createDataFrame(rows, names).repartition(3, "k1")
+
+    def run():
+        obs = C.observations(df, gates=(85.0,))
+        return obs._jdf.queryExecution().executedPlan().toString(), sorted(map(tuple, obs.collect()))
+
+    plan, whole = run()
+    assert plan.count("hashpartitioning(video_id") == 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert run()[1] == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert 4 <= len([r for r in whole if r[2] == 23]) <= 13 and [r[3] for r in whole if r[2] == 23] == list(range(len([r for r in whole if r[2] == 23])))

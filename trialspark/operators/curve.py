@@ -7,6 +7,11 @@ only a few can decide an answer (the first and last, the two best and two worst
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from trialspark.functions.numbers import fixed_text, half_even
@@ -32,38 +37,86 @@ def observations(trials: DataFrame, keys=SEGMENT, seq=SEQ, cq_range: tuple[int,
     seq and values are one. What lies outside cq_range comes back from rejected_observations.
     """
     c, group = F.col, [*keys, "cq"]
-    point = F.struct(*[c(f"__s{i}") for i in range(len(seq))], "vmaf", "compression_rate", "compression_ratio", "s_f")
+    flags = [c("vmaf") > 0, c("compression_rate") > 0, *[c("vmaf") >= g for g in gates]]
     rows = _with_cq(trials).filter(c("cq").between(*cq_range)).select(
-        *group, *[c(x).alias(f"__s{i}") for i, x in enumerate(seq)], F.coalesce("vmaf_neg", F.lit(0.0)).alias("vmaf"),
-        F.coalesce("compression_rate", F.lit(1.0)).alias("compression_rate"), "compression_ratio", F.coalesce("s_f", F.lit(0.0)).alias("s_f"),
-        F.coalesce("encode_ok", F.lit(False)).alias("encode_ok")).withColumn("point", point)
-    ok, has_quality, has_rate = c("encode_ok"), c("vmaf") > 0, c("compression_rate") > 0
-
-    def first(cond):
-        return F.min(F.when(ok & cond, c("point")))
-
-    def last(cond):
-        return F.max(F.when(ok & cond, c("point")))
-
-    def best(cond, *by):
-        return F.max(F.when(ok & cond, F.struct(*[(F.round(x, 12) if x == "s_f" else c(x)).alias(f"b{i}") for i, x in enumerate(by)], "point")))["point"]
-
-    marks = [first(has_quality), last(has_quality), first(has_rate), last(has_rate), best(F.lit(True), "s_f", "vmaf"), best(F.lit(True), "vmaf"),
-             F.min(F.when(ok, F.struct("vmaf", "point")))["point"]]
-    for gate in gates:
-        marks += [first(c("vmaf") >= gate), best(c("vmaf") >= gate, "s_f")]
-    ends = rows.groupBy(*group).agg(F.array_compact(F.array(*marks)).alias("points"))
-
-    def two(order):  # a rank limit: each task sends two rows of a group at most
-        place = F.row_number().over(W.partitionBy(*group).orderBy(order, "point"))
-        return rows.filter(ok & has_quality).withColumn("__place", place).filter("__place <= 2").select(*group, F.array("point").alias("points"))
-
-    kept = ends.unionByName(two(c("vmaf").desc())).unionByName(two(c("vmaf").asc()))
-    kept = kept.groupBy(*group).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("points")))).alias("points"))
-    kept = kept.select(*group, F.posexplode_outer("points").alias("place", "point"))
-    return kept.select(*group, F.coalesce("place", F.lit(0)).alias("place"), F.coalesce("point.vmaf", F.lit(0.0)).alias("vmaf"),
-                       F.coalesce("point.compression_rate", F.lit(1.0)).alias("compression_rate"), "point.compression_ratio",
-                       F.coalesce("point.s_f", F.lit(0.0)).alias("s_f"), c("point").isNotNull().alias("encode_ok"))
+        *group, F.coalesce("encode_ok", F.lit(False)).alias("encode_ok"), *[c(x).alias(f"__s{i}") for i, x in enumerate(seq)],
+        F.coalesce("vmaf_neg", F.lit(0.0)).alias("vmaf"), F.coalesce("compression_rate", F.lit(1.0)).alias("compression_rate"),
+        "compression_ratio", F.coalesce("s_f", F.lit(0.0)).alias("s_f"))
+    rows = rows.select("*", F.round("s_f", 12).alias("__score"), F.array(*flags).alias("__flags"), F.lit(0).alias("place"))
+    point = [*[f"__s{i}" for i in range(len(seq))], "vmaf", "compression_rate", "compression_ratio", "s_f"]
+
+    def cut(df):
+        df = df.sortWithinPartitions(*group, c("encode_ok").desc(), *point)
+        return df.mapInArrow(_deciding(group, ["encode_ok", *point], len(gates)), df.schema)
+
+    kept = cut(cut(rows).repartition(*group))  # once before the shuffle, so that no task gets all rows of a hot group
+    ok = c("encode_ok")
+    return kept.select(*group, "place", F.when(ok, c("vmaf")).otherwise(0.0).alias("vmaf"),
+                       F.when(ok, c("compression_rate")).otherwise(1.0).alias("compression_rate"), F.when(ok, c("compression_ratio")).alias("compression_ratio"),
+                       F.when(ok, c("s_f")).otherwise(0.0).alias("s_f"), "encode_ok")
+
+
+def _deciding(group: list[str], point: list[str], gates: int):
+    """Function for mapInArrow that leaves the rows of each group that `observations` keeps, of rows sorted by group and
+    point; a group may span batches."""
+    def changes(table: pa.Table, columns: list[str]) -> np.ndarray:
+        """Whether a row differs from the one before it."""
+        out = np.zeros(table.num_rows, bool)
+        out[0] = True
+        for name in columns:
+            a, b = table[name].slice(0, table.num_rows - 1), table[name].slice(1)
+            same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+            out[1:] |= ~same.to_numpy()
+        return out
+
+    def marked(table: pa.Table, new: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+        """Places of the deciding rows. A group without a working trial keeps its first row."""
+        group = np.cumsum(new)
+        ok = table["encode_ok"].to_numpy() & distinct
+        vmaf, score = table["vmaf"].to_numpy(), table["__score"].to_numpy()
+        flags = pc.list_flatten(table["__flags"]).to_numpy(zero_copy_only=False).reshape(-1, 2 + gates)
+        keep = new & ~table["encode_ok"].to_numpy()
+
+        def mark(cond, *by, first=0, last=0):
+            """The first and last rows of each group in the order of `by` (the main key last), then of the rows."""
+            rows = np.flatnonzero(ok & cond)
+            rows = rows[np.lexsort([rows, *[k[rows] for k in by], group[rows]])] if by else rows
+            g = group[rows]
+            for n in range(first):
+                keep[rows[np.r_[np.ones(min(n + 1, len(g)), bool), g[n + 1:] != g[:-n - 1]]]] = True
+            for n in range(last):
+                keep[rows[np.r_[g[n + 1:] != g[:-n - 1], np.ones(min(n + 1, len(g)), bool)]]] = True
+
+        quality, rate, everything = flags[:, 0], flags[:, 1], np.ones(len(ok), bool)
+        mark(quality, first=1, last=1)
+        mark(rate, first=1, last=1)
+        mark(everything, vmaf, score, last=1)
+        mark(everything, vmaf, first=1, last=1)
+        mark(quality, vmaf, first=2)
+        mark(quality, -vmaf, ~np.isnan(vmaf), first=2)
+        for i in range(gates):
+            mark(flags[:, 2 + i], first=1)
+            mark(flags[:, 2 + i], score, last=1)
+        return np.flatnonzero(keep)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = (table if carry is None else pa.concat_tables([carry, table])).combine_chunks()
+            if not table.num_rows:
+                continue
+            new = changes(table, group)
+            keep = marked(table, new, new | changes(table, point))
+            start = np.flatnonzero(new[keep] | np.r_[True, np.diff(np.cumsum(new)[keep]) > 0])
+            place = np.arange(len(keep)) - np.repeat(start, np.diff(np.r_[start, len(keep)]))
+            table = table.take(pa.array(keep)).set_column(table.schema.get_field_index("place"), table.schema.field("place"), pa.array(place, pa.int32()))
+            carry = table.slice(start[-1])  # the group may go on in the next batch
+            yield from table.slice(0, start[-1]).to_batches()
+        if carry is not None:
+            yield from carry.to_batches()
+
+    return cut
 
 
 def rejected_observations(trials: DataFrame, cq_range: tuple[int, int] = (MIN_CQ, MAX_CQ)) -> DataFrame:
@@ -77,7 +130,7 @@ def curves(obs: DataFrame, keys=SEGMENT) -> DataFrame:
     """One row per curve: `pts` (working points by cq, then place) and `used` (all tried cqs)."""
     place = F.col("place") if "place" in obs.columns else F.lit(0).alias("place")
     pt = F.struct("cq", place, "vmaf", F.col("compression_rate").alias("rate"), "s_f")
-    return obs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("encode_ok"), pt))).alias("pts"),
+    return obs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("encode_ok"), pt))).alias("pts"),
                                   F.sort_array(F.collect_set("cq")).alias("used"))
 
 
@@ -102,13 +155,20 @@ def crossing(p: Column, target: Column) -> Column:
         t = (target - a["vmaf"]) / (b["vmaf"] - a["vmaf"])
         return a["cq"] + t * (b["cq"] - a["cq"])
 
-    near = F.slice(F.array_sort(F.transform(p, lambda x: F.struct(
+    def flat(two):
+        a, b = F.get(two, F.lit(0)), F.get(two, F.lit(1))
+        return F.when(a["vmaf"] == b["vmaf"], a["cq"].cast("double")).otherwise(line(a, b))
+
+    near = F.slice(F.sort_array(F.transform(p, lambda x: F.struct(
         F.abs(x["vmaf"] - target).alias("d"), x["cq"].alias("cq"), x["vmaf"].alias("vmaf")))), 1, 2)
-    two = F.array_sort(F.transform(near, lambda x: F.struct(x["cq"].alias("cq"), x["vmaf"].alias("vmaf"))))
-    a, b = F.get(two, F.lit(0)), F.get(two, F.lit(1))
-    flat = F.when(a["vmaf"] == b["vmaf"], a["cq"].cast("double")).otherwise(line(a, b))
+    two = F.sort_array(F.transform(near, lambda x: F.struct(x["cq"].alias("cq"), x["vmaf"].alias("vmaf"))))
     return (F.when(F.size(p) == 0, None).when(F.size(p) == 1, F.get(p, F.lit(0))["cq"].cast("double"))
-            .when(hit.isNotNull(), line(hit["l"], hit["r"])).otherwise(flat))
+            .otherwise(_once(hit, lambda h: F.when(h.isNotNull(), line(h["l"], h["r"])).otherwise(_once(two, flat)))))
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), with the value computed a single time however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def seen(pts: Column) -> Column:
