@@ -258,3 +258,21 @@ def test_json_fields_are_read_from_one_parse(spark):
         0: (None,) * 3, 1: (None,) * 3, 2: (None,) * 3, 3: (1, 7, '{"c":["x","7"]}'), 4: (4, None, "3"), 5: (None,) * 3, 6: (None,) * 3, 7: (None,) * 3}
     assert got.columns == ["i", "text", "a", "second", "b"]
     assert got._jdf.queryExecution().executedPlan().toString().lower().count("parse_json(") + got._jdf.queryExecution().executedPlan().toString().count("parseJson") == 1
+
+
+def test_fits_run_in_few_tasks_and_need_no_score(spark, monkeypatch):
+    """Small training tables are not cut into many tasks; the label of k01 is that of the at-threshold row, also where a CRF is missing."""
+    from trialspark.operators import ml, trials
+    seen = []
+
+    class Fitted:
+        def transform(self, df):
+            return df.withColumn("prediction", F.lit(30.0))
+
+    monkeypatch.setattr(ml, "fit", lambda train, **p: seen.append(train.rdd.getNumPartitions()) or Fitted())
+    rows = spark.range(0, 200, 1, 16).select("id", (F.col("id") % 5).cast("int").alias("fold"), F.lit(1).alias("features"))
+    assert ml.cross_validate(rows).count() == 200 and seen == [1] * 5
+    df = spark.createDataFrame([(1, 30, 90.0, True), (1, 28, 86.0, True), (1, 22, 84.0, True), (1, 20, 99.0, False), (2, None, 95.0, True), (2, 25, 95.0, True), (3, 25, 80.0, True)],
+                               "video_id int, crf int, vmaf_neg double, gates_ok boolean").withColumns({"s_f": F.lit(0.5), **{k: F.lit(0) for k in trials.SEQ}})
+    want = trials.crf_at_threshold(df, ["video_id"], 85.0).select("video_id", "crf")
+    assert sorted(map(tuple, trials.lowest_crf_at_threshold(df, ["video_id"], 85.0).collect())) == sorted(map(tuple, want.collect())) == [(1, 28), (2, None)]

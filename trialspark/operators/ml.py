@@ -16,6 +16,8 @@ CRF_MIN, CRF_MAX = 22.0, 42.0
 MIN_ROWS = 8
 # Boosting rounds and folds.
 ROUNDS, FOLDS = 400, 5
+#: A fit runs thousands of short jobs, so its rows are spread over no more tasks than these make worthwhile.
+ROWS_IN_TASK = 100_000
 
 
 def contiguous_folds(df: DataFrame, order: list[str], chunk: Column, k: int) -> DataFrame:
@@ -64,6 +66,7 @@ def fit(train: DataFrame, *, rounds: int = ROUNDS, depth: int = 6, step: float =
 def cross_validate(folded: DataFrame, k: int = FOLDS, **params) -> DataFrame:
     """Out-of-fold predictions: one model per fold, each trained on the others, all at the same time."""
     require_rows(folded)
+    folded = folded.coalesce(-(-folded.count() // ROWS_IN_TASK))
 
     def one(i: int) -> DataFrame:
         return fit(folded.filter(F.col("fold") != i), **params).transform(folded.filter(F.col("fold") == i))

@@ -2,10 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from trialspark.operators import ml as M
+from trialspark.operators import ml as M, trials as T
 from trialspark.plans.registry import query, view
 from trialspark.plans.segments import clips
-from trialspark.plans.trials import labels
 from trialspark.session import materialize
 
 FEATURES = ["motion_level", "texture_level", "noise_level_norm", "edge_level", "volatility", "duration"]
@@ -18,7 +17,7 @@ def folded(t):
 
 
 def training(t):
-    lab = labels(t).select("video_id", "crf_at_threshold")
+    lab = T.lowest_crf_at_threshold(t.trials, ["video_id"], 85.0).withColumnRenamed("crf", "crf_at_threshold")
     return clips(t).join(lab, "video_id").select("video_id", *[F.col(c).alias(f"feat_{c}") for c in FEATURES], F.lit(85).alias("threshold"), "crf_at_threshold")
 
 
