@@ -1,10 +1,14 @@
-"""Embedding near-dedup: spherical k-means cells, blocked cosine products within cells.
+"""Embedding near-dedup: spherical k-means cells of short signatures, then blocked cosine products of the vectors that may link.
 
-A vector belongs to the cell of its nearest centre. Two unit vectors that link are at most
-sqrt(2 - 2 * threshold) apart, so a vector can have a link across the border to a cell only if it lies
-that close to the plane between both centres; such vectors are shown to the other cell as guests. Each pair
-of neighbouring cells sends guests one way, which finds every link once: the search is exact, whatever
-sample the centres were fitted on.
+Two unit vectors that link are at most reach = sqrt(2 - 2 * threshold) apart. A signature is the place of a unit vector
+on at most AXES orthonormal axes, in whole steps. A projection lengthens no distance and rounding adds a step an axis at most,
+so the signatures of linked vectors lie within a known distance; these are whole numbers, compared without rounding.
+
+A signature belongs to the cell of its vector's nearest centre. A vector can have a link across the border to another cell
+only if it lies within reach of the plane between both centres; its signature is shown to that cell as a guest. Each pair of
+neighbouring cells sends guests one way, which finds every pair once. Signatures that lie close form parts; every link lies
+inside a part, so only the vectors of parts are gathered and compared. The search is exact, whatever
+sample the centres and axes were fitted on.
 """
 
 from __future__ import annotations
@@ -14,11 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from trialspark.llm.common import held
 from trialspark.llm.components import components
 from trialspark.llm.vectors import BLOCK, bounded_sample, packed, rows_of, unpacked, usable
+from trialspark.operators.scan import bitmap_semi
+
+#: Axes of a signature, its step, and the signatures of a block.
+AXES, STEP, SIGNATURES = 24, 1 / 64, 65536
+#: Cells an average vector may be shown to; where it would be more, fewer cells are made.
+SHOWN = 2.0
 
 
 def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -38,34 +49,155 @@ def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = 10) -> np.ndarra
     return np.unique(centres.round(12), axis=0)
 
 
-def _cells(distinct: DataFrame, centres: np.ndarray, threshold: float) -> DataFrame:
-    """(label, dim, cell, guest, node, copies, unit): each vector in its cell, and as a guest of others."""
-    shared = distinct.sparkSession.sparkContext.broadcast(centres)
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    schema = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("cell", pa.int32()), ("guest", pa.bool_()), ("node", pa.int64()), ("copies", pa.int64()), ("unit", pa.list_(pa.float64()))])
+def units(vectors: np.ndarray) -> np.ndarray:
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
+
+
+def principal_axes(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and orthonormal axes (columns) along which the vectors differ most."""
+    mean = vectors.mean(axis=0)
+    return mean, np.linalg.eigh((vectors - mean).T @ (vectors - mean))[1][:, ::-1][:, :AXES]
+
+
+def _shown(vectors: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Own cell of each unit vector, and (vector, cell) of the guests.
+
+    Guests go to lower cells only: every pair of cells compares its border once.
+    """
+    near = vectors @ centres.T
+    own = near.argmax(axis=1)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T)) if len(centres) > 256 else np.linalg.norm(centres[:, None, :] - centres[None, :, :], axis=2)
+    guests = near[np.arange(len(own)), own][:, None] - near <= reach * apart[own]
+    return own, *np.nonzero(guests & (np.arange(len(centres))[None, :] < own[:, None]))
+
+
+def _centres(sample: np.ndarray, most: int, reach: float) -> np.ndarray:
+    """At most `most` centres: of that many, a half, a quarter and so on down to one those that leave the fewest pairs to compare."""
+    best, least = sample[:1], len(sample) ** 2
+    while most > 1:
+        centres = spherical_kmeans(sample, most)
+        own, _, guest_of = _shown(sample, centres, reach)
+        pairs = int((np.bincount(np.concatenate([own, guest_of])) ** 2).sum())
+        if pairs < least and len(own) + len(guest_of) <= SHOWN * len(own):
+            best, least = centres, pairs
+        most //= 2
+    return best
+
+
+def _cells(good: DataFrame, centres: np.ndarray, axes: tuple[np.ndarray, np.ndarray], reach: float) -> DataFrame:
+    """(label, dim, cell, guest, node, signature): each vector in its cell, and as a guest of others.
+
+    Vectors of another length than the centres share a cell and have their first components as axes.
+    """
+    shared = good.sparkSession.sparkContext.broadcast((centres, *axes))
+    schema = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("cell", pa.int32()), ("guest", pa.bool_()), ("node", pa.int64()), ("signature", pa.binary())])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
-        if len(c):
-            apart = np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2) if len(c) <= 256 else np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
+        c, mean, turn = shared.value
         for batch in batches:
-            labels, nodes, copies = (batch.column(i).to_pylist() for i in range(3))
-            for at in range(0, batch.num_rows, 512):
-                rows = []
-                for i, v in enumerate(batch.column(3).slice(at, 512).to_pylist(), start=at):
-                    x = np.array(v, np.float64)
-                    x = x / np.abs(x).max()
-                    x = x / np.sqrt(x @ x)
-                    own, others = 0, []
-                    if len(c) and len(x) == c.shape[1]:
-                        near = c @ x
-                        own = int(near.argmax())
-                        # to lower cells only: every pair of cells compares its border once
-                        others = np.flatnonzero(near[own] - near[:own] <= reach * apart[own, :own]).tolist()
-                    rows += [(labels[i], len(x), cell, cell != own, nodes[i], copies[i], x) for cell in (own, *others)]
-                yield pa.RecordBatch.from_arrays([pa.array(list(col), f.type) for col, f in zip(zip(*rows), schema)], schema=schema)
-
-    return distinct.select("label", "node", "copies", "vec").mapInArrow(assign, "label string, dim int, cell int, guest boolean, node long, copies long, unit array<double>")
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                lengths = pc.list_value_length(part.column(2)).to_numpy()
+                flat, starts = part.column(2).flatten().to_numpy().astype(np.float64), np.cumsum(lengths) - lengths
+                for dim in np.unique(lengths):
+                    which = np.flatnonzero(lengths == dim)
+                    x = units(flat[starts[which][:, None] + np.arange(dim)])
+                    if len(c) and dim == c.shape[1]:
+                        own, row, guest_of = _shown(x, c, reach)
+                        place = (x - mean) @ turn
+                    else:
+                        own, row, guest_of, place = np.zeros(len(x), np.int64), np.empty(0, np.int64), np.empty(0, np.int64), x[:, :AXES]
+                    row, cell = np.concatenate([np.arange(len(x)), row]), np.concatenate([own, guest_of])
+                    signs = np.clip(np.rint(place / STEP), -127, 127).astype(np.int8)[row]  # clipping lengthens no distance either
+                    signs = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(np.arange(0, signs.size + 1, signs.shape[1], dtype=np.int32).tobytes()), pa.py_buffer(signs.tobytes())])
+                    picked = pa.array(which[row])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(picked), pa.array(np.full(len(row), dim, np.int32)), pa.array(cell.astype(np.int32)),
+                                                      pa.array(cell != own[row]), part.column(1).take(picked), signs], schema=schema)
+
+    return good.select("label", "node", "vec").mapInArrow(assign, "label string, dim int, cell int, guest boolean, node long, signature binary")
+
+
+def _signature_blocks(cells: DataFrame) -> DataFrame:
+    """(label, dim, cell, block, blocks, n, ids, guests, data): at most about SIGNATURES signatures of a cell in a row."""
+    key = ["label", "dim", "cell"]
+    count = held(cells.groupBy(*key).agg(F.ceil(F.count("*") / SIGNATURES).cast("int").alias("blocks")), "cell-counts")
+    dealt = cells.join(F.broadcast(count) if count.count() <= 100_000 else count, key)
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", "guest"), F.col("blocks")).cast("int"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        out = {c: table.column(c).slice(0, 1) for c in [*key, "block", "blocks"]}
+        out |= {"n": pa.array([table.num_rows], pa.int32()), "ids": pa.array([table.column("node").to_numpy().tobytes()], pa.binary()),
+                "guests": pa.array([table.column("guest").to_numpy().tobytes()], pa.binary()), "data": pa.array([b"".join(table.column("signature").to_pylist())], pa.binary())}
+        return pa.table(out)
+
+    schema = "label string, dim int, cell int, block int, blocks int, n int, ids binary, guests binary, data binary"
+    return dealt.select(*key, "block", "blocks", "node", "guest", "signature").groupBy(*key, "block", "blocks").applyInArrow(pack, schema)
+
+
+def _paired(block: DataFrame, key: list[str]) -> DataFrame:
+    """Every block by itself (its partner is null) and with each later block of its cell; only cells of several blocks are shuffled."""
+    parts = [c for c in block.columns if c not in (*key, "block", "blocks")]
+    other = block.filter("block > 0").select(*key, F.col("block").alias("block_b"), *[F.col(c).alias(c + "_b") for c in parts])
+    two = block.filter("block + 1 < blocks").withColumn("block_b", F.explode(F.expr("sequence(block + 1, blocks - 1)"))).join(other, [*key, "block_b"])
+    one = block.select(*parts, *[F.lit(None).cast(block.schema[c].dataType).alias(c + "_b") for c in parts])
+    return one.unionByName(two.select(*one.columns))
+
+
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest place that each of n places is joined to by the edges (a, b)."""
+    low = np.arange(n)
+    while True:
+        least, new = np.minimum(low[a], low[b]), low.copy()
+        for end in (a, b, low[a], low[b]):
+            np.minimum.at(new, end, least)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def _close(pairs: DataFrame, reach: float, tile: tuple[int, int] = (256, 2048)) -> DataFrame:
+    """(node, to) from pairs of blocks of signatures: a vector that may link, and one of those it is joined to."""
+    def read(row: dict, end: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = row["n" + end]
+        return np.frombuffer(row["ids" + end], np.int64), np.frombuffer(row["guests" + end], np.bool_), np.frombuffer(row["data" + end], np.int8).reshape(n, -1).astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        high, wide = tile
+        for row in rows_of(batches):
+            ids, guest_a, a = read(row, "")
+            alone = row["n_b"] is None
+            more, guest_b, b = (ids, guest_a, a) if alone else read(row, "_b")
+            offset, ids = (0, ids) if alone else (len(ids), np.concatenate([ids, more]))
+            # whole numbers below 2**24: distances come out exactly
+            limit = math.floor((reach / STEP + math.sqrt(a.shape[1]) + 1e-6) ** 2)
+            one, square_a, square_b = np.ones((max(len(a), len(b)), 1), np.float32), (a * a).sum(axis=1, keepdims=True), (b * b).sum(axis=1, keepdims=True)
+            left, right = np.hstack([a, square_a, one[: len(a)]]), np.ascontiguousarray(np.hstack([-2 * b, one[: len(b)], square_b]).T)
+            edges = []
+            for i in range(0, len(a), high):
+                for j in range(i // wide * wide if alone else 0, len(b), wide):
+                    far = left[i:i + high] @ right[:, j:j + wide]
+                    if alone and j < i + high and i < j + wide:
+                        same = np.arange(max(i, j), min(i + far.shape[0], j + far.shape[1]))
+                        far[same - i, same - j] = np.inf
+                    if far.min() > limit:
+                        continue
+                    near = (far <= limit) & ~(guest_a[i:i + high, None] & guest_b[None, j:j + wide])  # guests meet in their own cell
+                    at_a, at_b = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+                    near = near[np.ix_(at_a, at_b)]
+                    if np.count_nonzero(near) > 4 * sum(near.shape):
+                        for place, to in zip((at_a + i, at_b + offset + j), _least_label(near, at_a + i, at_b + offset + j)):
+                            edges.append(np.stack([place, to]))
+                    else:
+                        row_a, row_b = np.nonzero(near)
+                        edges.append(np.stack([at_a[row_a] + i, at_b[row_b] + offset + j]))
+            if edges:
+                low = _joined(len(ids), *np.concatenate(edges, axis=1))
+                some = np.flatnonzero(low != np.arange(len(low)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[low[some]])], names=["node", "to"])
+
+    return pairs.mapInArrow(run, "node long, to long")
 
 
 def _least_label(linked: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,14 +216,15 @@ def _compare(pairs: DataFrame, threshold: float) -> DataFrame:
     """(node, to, links) from pairs of blocks: links of a vector into the other block, and one id it is connected to."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            (id_a, many_a, guest_a), a = unpacked(row["ids"], row["data"], row["n"])
-            (id_b, many_b, guest_b), b = unpacked(row["ids_b"], row["data_b"], row["n_b"])
-            linked = a @ b.T >= threshold
-            linked &= ~((guest_a > 0)[:, None] & (guest_b > 0)[None, :])  # guests meet in their own cell
-            if row["block"] == row["block_b"]:
+            (id_a, many_a), a = unpacked(row["ids"], row["data"], row["n"])
+            a = units(a)
+            if row["n_b"] is None:
+                linked = a @ a.T >= threshold
                 np.fill_diagonal(linked, False)
-                pieces = [(id_a, linked @ many_b, _least_label(linked, id_a, id_b)[0])]
+                pieces = [(id_a, linked @ many_a, _least_label(linked, id_a, id_a)[0])]
             else:
+                (id_b, many_b), b = unpacked(row["ids_b"], row["data_b"], row["n_b"])
+                linked = a @ units(b).T >= threshold
                 to_a, to_b = _least_label(linked, id_a, id_b)
                 pieces = [(id_a, linked @ many_b, to_a), (id_b, many_a @ linked, to_b)]
             for ids, links, to in pieces:
@@ -102,6 +235,38 @@ def _compare(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(run, "node long, to long, links long")
 
 
+def _candidates(good: DataFrame, nodes: DataFrame, threshold: float, sample: int, cell_rows: int, max_cells: int) -> DataFrame:
+    """(id, component_id) of the vectors that may link: every link lies inside a component."""
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+    largest = nodes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    few = nodes.select("label", "node").orderBy(F.xxhash64("node"), "node").limit(sample)
+    some = bounded_sample(good.join(F.broadcast(few), ["label", "node"]).dropDuplicates(["label", "node"]), "vec", "node", sample)
+    centres, axes = some, (np.empty(0), np.empty((0, 0)))
+    if len(some):
+        some = units(some)
+        axes = principal_axes(some)
+        centres = _centres(some, min(max_cells, max(1, largest // cell_rows)), reach)
+    cells = held(_cells(good, centres, axes, reach).distinct(), "cells")
+    pairs = _paired(held(_signature_blocks(cells), "signatures"), ["label", "dim", "cell"])
+    return components(held(_close(pairs, reach), "close"), "node", "to")
+
+
+def _blocks(good: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(label, dim, large, cell, block, blocks, n, ids, data): vectors of parts; small parts share a cell, a large one is cut into four blocks or more."""
+    parts = held(parts, "parts")
+    size = parts.groupBy("component_id").agg(F.count("*").alias("rows"))
+    shared = max(1, -(-parts.count() // (BLOCK // 2)))
+    large = F.col("rows") > BLOCK // 2
+    placed = parts.join(size, "component_id").withColumnRenamed("id", "node").select(
+        "node", large.alias("large"), F.when(large, F.col("component_id")).otherwise(F.pmod(F.xxhash64("component_id"), F.lit(shared))).alias("cell"),
+        F.when(large, F.greatest(F.lit(4), F.ceil(F.col("rows") / BLOCK))).otherwise(1).cast("int").alias("blocks"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    placed = held(nodes.select("label", "node", "copies").join(placed, "node"), "placed")
+    vectors = bitmap_semi(good.select("label", "node", "vec"), placed, ["node"]).groupBy("label", "node").agg(F.first("vec").alias("vec"))
+    key = ["label", "dim", "large", "cell", "block", "blocks"]
+    return packed(vectors.join(placed, ["label", "node"]).withColumn("dim", F.size("vec")), key, ["node", "copies"], "vec")
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", sample: int = 8192, cell_rows: int = 2048, max_cells: int = 256) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector.
 
@@ -109,33 +274,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     least `threshold`. n_links counts the other vectors linked directly, component_id is the smallest vec_id
     reachable (its own included), kept says that it is its own. Null or empty vectors, zero vectors and
     vectors with null or non-finite components link with nothing and are kept; so are rows of null label.
-    Equal vectors are compared once and counted each; rows with a null id are not linked. Repeated ids count
-    as separate vectors of one id. Centres are fitted on at most `sample` vectors, as many as
-    give the largest label cells of about cell_rows vectors; every vector is indexed.
+    Equal vectors (told by 64 bits of hash) are compared once and counted each; rows with a null id are not linked. Repeated ids count
+    as separate vectors of one id. Centres and axes are fitted on at most `sample` vectors, as many centres as
+    give the largest label cells of about cell_rows vectors, or fewer where so many cells would leave more pairs to compare; every vector is indexed.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vec"), F.col(label_col).cast("string").alias("label"))
-    good = rows.filter(usable("vec") & F.exists("vec", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
-    distinct = held(good.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("node", F.xxhash64("label", "vec")), "distinct-vectors")
-    largest = distinct.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    some = bounded_sample(distinct, "vec", "node", sample)
-    if len(some):
-        some = some / np.abs(some).max(axis=1, keepdims=True)
-        some = some / np.linalg.norm(some, axis=1, keepdims=True)
-        some = spherical_kmeans(some, min(max_cells, max(1, largest // cell_rows)))
-    cells = held(_cells(distinct, some, threshold), "cells")
-    count = cells.groupBy("label", "dim", "cell").agg(F.count("*").alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
-    dealt = cells.join(count, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("node", "guest"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("guest", F.col("guest").cast("long"))
-    block = held(packed(dealt, ["label", "dim", "cell", "block", "blocks"], ["node", "copies", "guest"], "unit"), "blocks")
-    other = block.select("label", "dim", "cell", *[F.col(c).alias(c + "_b") for c in ("block", "n", "ids", "data")])
-    pairs = block.withColumn("block_b", F.explode(F.sequence("block", F.col("blocks") - 1))).join(other, ["label", "dim", "cell", "block_b"])
-    found = held(_compare(pairs.select("block", "n", "ids", "data", "block_b", "n_b", "ids_b", "data_b"), threshold), "links")
+    good = rows.filter(usable("vec") & F.exists("vec", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).withColumn("node", F.xxhash64("label", "vec"))
+    nodes = held(good.groupBy("label", "node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "nodes")
+    block = held(_blocks(good, nodes, _candidates(good, nodes, threshold, sample, cell_rows, max_cells)), "blocks")
+    found = held(_compare(_paired(block, ["label", "dim", "large", "cell"]), threshold), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(found, "node", "to").withColumnRenamed("id", "node").withColumnRenamed("component_id", "part")
-    facts = held(distinct.join(links, "node", "left").join(parts, "node", "left").select(
-        "label", "vec", "copies", "rep", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("part", "node").alias("part")), "facts")
-    facts = facts.join(facts.groupBy("part").agg(F.min("rep").alias("component_id")), "part")
-    linked = good.join(facts, ["label", "vec"]).select("vec_id", F.expr("links + copies - 1").alias("n_links"), "component_id")
+    met = held(nodes.select("label", "node", "rep").join(links.join(parts, "node"), "node"), "met")
+    met = met.join(met.groupBy("part").agg(F.min("rep").alias("least")), "part").select("label", "node", "links", "least")
+    facts = nodes.join(met, ["label", "node"], "left").select("label", "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
+    linked = good.select("label", "node", "vec_id").join(facts, ["label", "node"]).select("vec_id", "n_links", "component_id")
     rest = rows.filter(~F.coalesce(usable("vec") & F.exists("vec", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)))
     rest = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
