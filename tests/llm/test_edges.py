@@ -208,7 +208,7 @@ def near_copies(n: int):
     return [(i, v.tolist(), 1 + (i % 8 == 7), 0) for i, v in enumerate(x)], x.astype(float)
 
 
-@pytest.mark.parametrize("blocks", [(65536, 1024), (150, 64)])
+@pytest.mark.parametrize("blocks", [(65536, 1024), (150, 8)])
 def test_near_duplicates_at_the_threshold(spark, monkeypatch, blocks):
     from trialspark.llm import neardup
 

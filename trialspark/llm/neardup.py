@@ -184,14 +184,7 @@ def _close(pairs: DataFrame, reach: float, tile: tuple[int, int] = (256, 2048))
                     if far.min() > limit:
                         continue
                     near = (far <= limit) & ~(guest_a[i:i + high, None] & guest_b[None, j:j + wide])  # guests meet in their own cell
-                    at_a, at_b = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-                    near = near[np.ix_(at_a, at_b)]
-                    if np.count_nonzero(near) > 4 * sum(near.shape):
-                        for place, to in zip((at_a + i, at_b + offset + j), _least_label(near, at_a + i, at_b + offset + j)):
-                            edges.append(np.stack([place, to]))
-                    else:
-                        row_a, row_b = np.nonzero(near)
-                        edges.append(np.stack([at_a[row_a] + i, at_b[row_b] + offset + j]))
+                    edges.append(_edges(near, np.arange(i, i + near.shape[0]), np.arange(offset + j, offset + j + near.shape[1])))
             if edges:
                 low = _joined(len(ids), *np.concatenate(edges, axis=1))
                 some = np.flatnonzero(low != np.arange(len(low)))
@@ -212,25 +205,43 @@ def _least_label(linked: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tu
         a, b = new_a, new_b
 
 
+def _edges(linked: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> np.ndarray:
+    """Pairs of places that join what the links of a tile join: the links themselves, or one pair a place where they are many."""
+    some_a, some_b = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+    linked, at_a, at_b = linked[np.ix_(some_a, some_b)], at_a[some_a], at_b[some_b]
+    if np.count_nonzero(linked) > 4 * sum(linked.shape):
+        return np.stack([np.concatenate([at_a, at_b]), np.concatenate(_least_label(linked, at_a, at_b))])
+    a, b = np.nonzero(linked)
+    return np.stack([at_a[a], at_b[b]])
+
+
 def _compare(pairs: DataFrame, threshold: float) -> DataFrame:
     """(node, to, links) from pairs of blocks: links of a vector into the other block, and one id it is connected to."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            (id_a, many_a), a = unpacked(row["ids"], row["data"], row["n"])
-            a = units(a)
-            if row["n_b"] is None:
-                linked = a @ a.T >= threshold
-                np.fill_diagonal(linked, False)
-                pieces = [(id_a, linked @ many_a, _least_label(linked, id_a, id_a)[0])]
-            else:
+            (ids, many), a = unpacked(row["ids"], row["data"], row["n"])
+            a, alone = units(a), row["n_b"] is None
+            b, offset = a, 0
+            if not alone:
                 (id_b, many_b), b = unpacked(row["ids_b"], row["data_b"], row["n_b"])
-                linked = a @ units(b).T >= threshold
-                to_a, to_b = _least_label(linked, id_a, id_b)
-                pieces = [(id_a, linked @ many_b, to_a), (id_b, many_a @ linked, to_b)]
-            for ids, links, to in pieces:
-                some = links > 0
-                if some.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(to[some]), pa.array(links[some])], names=["node", "to", "links"])
+                b, offset, ids, many = units(b), len(ids), np.concatenate([ids, id_b]), np.concatenate([many, many_b])
+            links, edges = np.zeros(len(ids), np.int64), []
+            for i in range(0, len(a), BLOCK):
+                for j in range(i if alone else 0, len(b), BLOCK):
+                    linked = a[i:i + BLOCK] @ b[j:j + BLOCK].T >= threshold
+                    same = alone and i == j
+                    if same:
+                        np.fill_diagonal(linked, False)
+                    if not linked.any():
+                        continue
+                    at_a, at_b = np.arange(i, i + linked.shape[0]), np.arange(offset + j, offset + j + linked.shape[1])
+                    links[at_a] += linked @ many[at_b]
+                    if not same:
+                        links[at_b] += many[at_a] @ linked
+                    edges.append(_edges(linked, at_a, at_b))
+            if edges:
+                some, low = links > 0, _joined(len(ids), *np.concatenate(edges, axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[low[some]]), pa.array(links[some])], names=["node", "to", "links"])
 
     return pairs.mapInArrow(run, "node long, to long, links long")
 
@@ -259,7 +270,7 @@ def _blocks(good: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
     large = F.col("rows") > BLOCK // 2
     placed = parts.join(size, "component_id").withColumnRenamed("id", "node").select(
         "node", large.alias("large"), F.when(large, F.col("component_id")).otherwise(F.pmod(F.xxhash64("component_id"), F.lit(shared))).alias("cell"),
-        F.when(large, F.greatest(F.lit(4), F.ceil(F.col("rows") / BLOCK))).otherwise(1).cast("int").alias("blocks"))
+        F.when(large, F.greatest(F.lit(4), F.ceil(F.col("rows") / (8 * BLOCK)))).otherwise(1).cast("int").alias("blocks"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     placed = held(nodes.select("label", "node", "copies").join(placed, "node"), "placed")
     vectors = bitmap_semi(good.select("label", "node", "vec"), placed, ["node"]).groupBy("label", "node").agg(F.first("vec").alias("vec"))
